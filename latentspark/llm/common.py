@@ -42,8 +42,8 @@ def partitions_of(spark: SparkSession) -> int:
 # ---- bytes and words -------------------------------------------------------------------------------------------------
 
 #: 0x20 and 0x09-0x0D divide words.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE_CODE = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -96,7 +96,7 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES):
 def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(folded bytes, starts, ends, row of each word) of the words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased."""
     data = _LOWER[data] if lower else data
-    full = ~_SPACE[data]
+    full = ~SPACE[data]
     before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
     before[1:], after[:-1] = full[:-1], full[1:]
     inner = offsets[1:-1]
