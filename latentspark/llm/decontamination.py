@@ -142,34 +142,30 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-class Items:
-    """Benchmark items: hashes of their words, latent vectors."""
-
-    def __init__(self, rows: list[tuple[int, str]], directions: np.ndarray) -> None:
-        powers = Powers()
-        self.ids, self.words = [], []
-        texts = pa.array([t for _, t in rows], pa.string())
-        for at, h, cuts in hashed_words(texts, powers):
-            for i in range(len(cuts) - 1):
-                if cuts[i + 1] > cuts[i]:
-                    self.ids.append(rows[at + i][0])
-                    self.words.append(h[cuts[i] : cuts[i + 1]])
-        self.vectors = np.array([directions[terms(w)].sum(0) for w in self.words], np.float32).reshape(-1, directions.shape[1])
-        self.vectors /= np.maximum(np.linalg.norm(self.vectors, axis=1, keepdims=True), 1e-12)
-        self.lists = [w.tolist() for w in self.words]
-
-
-def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: Items) -> list[tuple[int, int, int, float]]:
+def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list, np.ndarray, list[list[int]]]:
+    """(ids, unit latent vectors, hashes of the words) of the benchmark items that have words."""
+    powers, ids, words = Powers(), [], []
+    for at, h, cuts in hashed_words(pa.array([t for _, t in rows], pa.string()), powers):
+        for i in range(len(cuts) - 1):
+            if cuts[i + 1] > cuts[i]:
+                ids.append(rows[at + i][0])
+                words.append(h[cuts[i] : cuts[i + 1]])
+    vectors = np.array([directions[terms(w)].sum(0) for w in words], np.float32).reshape(-1, directions.shape[1])
+    return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), [w.tolist() for w in words]
+
+
+def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: np.ndarray) -> list[tuple[int, int, int, float]]:
     """(row, first word, item, cosine) of passages whose latent cosine with an item is at least COSINE."""
     first, row, follows = half_windows(cuts)
-    if not len(first) or not len(items.ids):
+    if not len(first) or not len(items):
         return []
-    x = np.add.reduceat(directions[terms(h)], first, axis=0)
-    x[:-1][follows[:-1]] += np.add.reduceat(directions[terms(h)], first, axis=0)[1:][follows[:-1]] if follows.any() else 0
+    halves = np.add.reduceat(directions[terms(h)], first, axis=0)
+    x = halves.copy()
+    x[:-1][follows[:-1]] += halves[1:][follows[:-1]]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     out = []
     for a in range(0, len(x), 4096):
-        cos = x[a : a + 4096] @ items.vectors.T
+        cos = x[a : a + 4096] @ items.T
         for p, i in zip(*np.nonzero(cos >= COSINE), strict=True):
             out.append((int(row[a + p]), int(first[a + p]), int(i), float(cos[p, i])))
     return out
@@ -203,22 +199,22 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     for k in range(parts):
         # ITEMS bounds what is collected here; the hash deals more items over several passes
         mine = benchmark.where("text is not null").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").collect()
-        items = spark.sparkContext.broadcast((Items([(r.item_id, r.text) for r in mine], directions), directions))
+        items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions), directions))
 
         def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            powers, (bench, directions) = Powers(), items.value
+            powers, (ids, vectors, lists, directions) = Powers(), items.value
             for batch in batches:
                 row, found = [], []
                 for at, h, cuts in hashed_words(batch.column(1), powers):
                     best: dict[tuple[int, int], tuple] = {}
-                    for r, first, i, cos in candidates(h, cuts, directions, bench):
-                        got = settled(h, int(cuts[r]), int(cuts[r + 1]), first, bench.lists[i])
+                    for r, first, i, cos in candidates(h, cuts, directions, vectors):
+                        got = settled(h, int(cuts[r]), int(cuts[r + 1]), first, lists[i])
                         if got and (*got, cos) > best.get((r, i), (0, 0.0, 0.0)):
                             best[r, i] = (*got, cos)
                     for (r, i), (lcs, share, cos) in sorted(best.items()):
                         row.append(at + r)
-                        n = len(bench.lists[i])
-                        found.append((bench.ids[i], lcs, n, lcs / n, share, cos))
+                        n = len(lists[i])
+                        found.append((ids[i], lcs, n, lcs / n, share, cos))
                 columns = list(zip(*found, strict=True)) if found else [()] * 6
                 types = [item_type, pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "item_id", "lcs", "item_words", "shared", "answer_share", "cosine"])

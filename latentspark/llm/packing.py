@@ -216,14 +216,16 @@ class Plan:
             use(parts, min(int(left[n]) // k for n, k in parts))
             there = [n for n in there if left[n]]
         rows.sort()
-        self.key, self.first, self.per, self.offset = (np.array([r[i] for r in rows], np.int64) for i in range(4))
+        self.table = np.array(rows, np.int64).reshape(-1, 4).T.copy()
 
-    def place(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(window, offset) of the number-th piece of each length."""
-        key = length * self.STRIDE + number
-        i = np.searchsorted(self.key, key, "right") - 1
-        k = key - self.key[i]
-        return self.first[i] + k // self.per[i], self.offset[i] + k % self.per[i] * length
+
+def place(table: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(window, offset) of the number-th piece of each length, by the table of a plan."""
+    starts, first, per, offset = table
+    key = length * Plan.STRIDE + number
+    i = np.searchsorted(starts, key, "right") - 1
+    k = key - starts[i]
+    return first[i] + k // per[i], offset[i] + k % per[i] * length
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
@@ -239,14 +241,14 @@ def pack_documents(spark: SparkSession, docs: DataFrame, ranks: str | None = Non
     histogram = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `window` rows
         histogram[r.length] = r.n
-    plan = spark.sparkContext.broadcast(Plan(histogram, window))
+    plan = spark.sparkContext.broadcast(Plan(histogram, window).table)
     numbered = gapless_rank(pieces.select("length", "__at", *(c for c in pieces.columns if c not in ("length", "__at"))), ["length"], ["__at"], "__at", "__number", max(16, partitions_of(spark)))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             names = batch.schema.names
             length, number = (batch.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("length", "__number"))
-            at = plan.value.place(length, number) if len(length) else (np.zeros(0, np.int64),) * 2
+            at = place(plan.value, length, number) if len(length) else (np.zeros(0, np.int64),) * 2
             keep = [c for c in names if c not in ("__number", "__at")]
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in keep), pa.array(at[0], pa.int64()), pa.array(at[1], pa.int64())], [*keep, "sequence_id", "offset"])
 

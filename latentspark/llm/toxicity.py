@@ -14,6 +14,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -159,9 +160,11 @@ def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
     return sorted(entries.items()), exceptions
 
 
+@dataclass(frozen=True)
 class Model:
-    def __init__(self, entries: list[tuple[str, float]], exceptions: list[str], weights: np.ndarray) -> None:
-        self.entries, self.exceptions, self.weights = entries, exceptions, weights
+    entries: list[tuple[str, float]]
+    exceptions: list[str]
+    weights: np.ndarray
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
@@ -184,16 +187,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
 def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns `keep` of docs, __score (0 to 1), __weight and __hits of every row; null texts score as empty ones."""
-    held = spark.sparkContext.broadcast(model)
+    held = spark.sparkContext.broadcast((model.entries, model.exceptions, model.weights))
     source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        lexicon = Lexicon(m.entries, m.exceptions)
+        entries, exceptions, weights = held.value
+        lexicon = Lexicon(entries, exceptions)
         for batch in batches:
             got = [lexicon.features(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
             weight, words = np.array([g[0] for g in got]), np.array([g[2] for g in got])
-            score = 1 / (1 + np.exp(-np.clip(inputs(weight, words) @ m.weights, -30, 30))) if got else weight
+            score = 1 / (1 + np.exp(-np.clip(inputs(weight, words) @ weights, -30, 30))) if got else weight
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(weight, pa.float64()), pa.array([g[1] for g in got], pa.int64())], [*keep, "__score", "__weight", "__hits"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
