@@ -16,10 +16,10 @@ from pyspark.sql import functions as F
 from .common import saved
 
 #: Projections, share of them that makes a candidate, factor of a round, vectors in a block and queries in a block at most on average.
-PROJECTIONS, SHARE, FACTOR = 64, 0.6, 1.25
-BLOCK, QUERY_BLOCK = 65_536, 16_384
-#: Verified at least in a block, as a share of it, before a query may stop.
-ENOUGH = 0.05
+PROJECTIONS, SHARE, FACTOR = 64, 0.6, 1.15
+BLOCK, QUERY_BLOCK = 16_384, 16_384
+#: Candidates that a block must give, as a share of it and at least, before a query may stop.
+ENOUGH, ENOUGH_ROWS = 0.15, 3000
 NEIGHBOURS = 20
 
 
@@ -31,24 +31,40 @@ class CollisionIndex:
         lift = np.sqrt(np.maximum(0.0, largest**2 - (vectors**2).sum(1)))
         self.lines = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         shadow = np.column_stack([vectors, lift]) @ self.lines
-        self.order = np.argsort(shadow, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(shadow, self.order.T, 0).T.copy()
-        self.spread = float(shadow.std()) or 1.0
+        order = np.argsort(shadow, axis=0, kind="stable").T
+        self.sorted = np.take_along_axis(shadow.T, order, 1)
+        #: place of each vector in each sorted array: BLOCK keeps places in 16 bits
+        self.place = np.zeros(order.shape, np.uint16 if len(ids) <= 1 << 16 else np.uint32)
+        np.put_along_axis(self.place, order, np.arange(len(ids), dtype=self.place.dtype)[None, :], 1)
+        self.width = 0.25 * float(shadow.std()) or 1.0
+
+    def collisions(self, low: list[int], high: list[int]) -> np.ndarray:
+        """In how many arrays each vector lies in the window."""
+        n = len(self.ids)
+        hits, behind, inside = np.zeros(n, np.uint8), np.zeros(n, self.place.dtype), np.zeros(n, bool)
+        for place, a, b in zip(self.place, low, high, strict=True):
+            if b - a == n:
+                hits += 1
+            elif b > a:
+                np.subtract(place, self.place.dtype.type(a), out=behind)  # places before the window wrap around to large numbers
+                np.less(behind, self.place.dtype.type(b - a), out=inside)
+                np.add(hits, inside, out=hits)
+        return hits
 
     def search(self, query: np.ndarray, own: int | None, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(places, inner products) of the k best verified vectors of others than `own`, best first, ties to smaller ids."""
         n = len(self.ids)
-        enough = min(n, max(4 * k, int(ENOUGH * n)))
+        enough = min(n, max(ENOUGH_ROWS, int(ENOUGH * n)))
         at = query @ self.lines[:-1]
-        least, width = int(np.ceil(SHARE * PROJECTIONS)), 0.25 * self.spread
+        least, width = int(np.ceil(SHARE * PROJECTIONS)), self.width
         while True:
-            low = np.array([np.searchsorted(s, a - width) for s, a in zip(self.sorted, at, strict=True)])
-            high = np.array([np.searchsorted(s, a + width, "right") for s, a in zip(self.sorted, at, strict=True)])
-            hits = np.bincount(np.concatenate([o[a:b] for o, a, b in zip(self.order, low, high, strict=True)]), minlength=n)
-            found = np.flatnonzero(hits >= least)
-            if len(found) >= enough or (low == 0).all() and (high == n).all():
+            low = [int(s.searchsorted(a - width)) for s, a in zip(self.sorted, at, strict=True)]
+            high = [int(s.searchsorted(a + width, "right")) for s, a in zip(self.sorted, at, strict=True)]
+            found = np.flatnonzero(self.collisions(low, high) >= least)
+            if len(found) >= enough or max(low) == 0 and min(high) == n:
                 break
             width *= FACTOR
+        self.width += 0.1 * (width / FACTOR - self.width)  # the next query begins where few are enough at once
         if own is not None:
             found = found[self.ids[found] != own]
         score = (self.vectors[found] * query).sum(1)
