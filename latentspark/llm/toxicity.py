@@ -5,7 +5,7 @@ that label 1 has far more often than label 0, each as long as the words that it
 starts that label 0 has more often are exception phrases: they cancel the entry that they contain. A text's features are its weight
 and its weight by length; a logistic fit on the same rows turns them into a score.
 
-Lexicon and fit use a bounded sample of labelled training rows: SAMPLE_PER_LABEL for each label, the least by a hash of the id.
+Lexicon and fit use a bounded sample of labelled training rows: SAMPLE_PER_LABEL rows of each label, the least by a hash of the id.
 """
 
 from __future__ import annotations
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from .common import saved, sized_hint
 from .language_id import held_out
 
-SAMPLE_PER_LABEL = 4000
+SAMPLE_PER_LABEL = {1: 4000, 0: 8000}
 #: Lengths of word starts, least share of toxic sample rows that have an entry, least log odds, entries at most.
 STARTS, SUPPORT, ODDS, ENTRIES = (4, 12), 0.002, 3.0, 2000
+#: An entry's log likelihood ratio exceeds the log of the number of starts that were looked at by so much, so that chance makes few.
+MARGIN = 1.0
 THRESHOLD = 0.7
 #: Labels that are broadcast at most; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
@@ -109,7 +111,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the sample; of several labels of a document the largest holds."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= SAMPLE_PER_LABEL).drop("__r")
+    ranked = known.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= max(SAMPLE_PER_LABEL.values()))
+    picked = ranked.where(F.col("__r") <= F.when(F.col("toxic") == 1, SAMPLE_PER_LABEL[1]).otherwise(SAMPLE_PER_LABEL[0])).drop("__r")
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(sized_hint(saved(picked), BROADCAST_ROWS), "doc_id")
 
@@ -135,8 +138,10 @@ def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
     if not n or not n.bad:
         return [], []
     odds = F.log((F.col("bad") + 0.5) / F.lit(n.bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n.good + 1.0))
-    least = max(2, SUPPORT * n.bad)
-    strong = totals.where("start != ''").withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= min(ODDS, float(np.log(n.good + 1.0)))))
+    least, share = max(2, SUPPORT * n.bad), n.bad / (n.bad + n.good)
+    part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("bad") + F.col("good")) * F.lit(max(p, 1e-9))))).otherwise(0.0)
+    chance = float(np.log(totals.count())) + MARGIN
+    strong = totals.where("start != ''").withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= min(ODDS, float(np.log(n.good + 1.0)))) & (part("bad", share) + part("good", 1 - share) >= chance))
     found = {r.start: r for r in strong.orderBy(F.desc("bad"), "start").limit(ENTRIES * 10).collect()}
     entries: dict[str, float] = {}
     for start in sorted(found, key=lambda s: (len(s), s)):
@@ -177,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             got = [lexicon.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()), batch.column(1)], ["weight", "words", "toxic"])
 
-    got = sample.select("text", "toxic").mapInArrow(rows, "weight double, words long, toxic int").collect()  # at most 2 * SAMPLE_PER_LABEL rows
+    got = sample.select("text", "toxic").mapInArrow(rows, "weight double, words long, toxic int").collect()  # as many rows as the sample has
     if not got:
         return Model(entries, exceptions, np.array([-5.0, 0.0, 0.0]))
     order = sorted((r.weight, r.words, r.toxic) for r in got)
