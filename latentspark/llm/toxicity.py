@@ -155,13 +155,10 @@ def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
             word = longer[0]
         entries[word] = float(found[word].odds)
     entries = dict(sorted(entries.items(), key=lambda e: (-found[e[0]].bad, e[0]))[:ENTRIES])
-    within = [F.col("start").startswith(w) & (F.length("start") > len(w)) for w in entries]
-    exceptions = []
-    if within:
-        cond = within[0]
-        for c in within[1:]:
-            cond = cond | c
-        exceptions = [r.start for r in totals.where(cond).where((F.col("good") >= 3) & (F.col("good") > F.col("bad"))).orderBy("start").limit(ENTRIES).collect()]
+    cleaner = totals.where((F.col("good") >= 3) & (F.col("good") > F.col("bad")) & (F.length("start") > low))
+    inner = cleaner.withColumn("entry", F.explode(F.transform(F.sequence(F.lit(low), F.length("start") - 1), lambda k: F.substring("start", F.lit(1), k))))
+    known = sample.sparkSession.createDataFrame([(w,) for w in entries], "entry string")  # at most ENTRIES rows
+    exceptions = [r.start for r in inner.join(F.broadcast(known), "entry", "left_semi").select("start").distinct().orderBy("start").limit(ENTRIES).collect()]
     return sorted(entries.items()), exceptions
 
 
