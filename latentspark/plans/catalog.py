@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import queries_base
+
+_ALL = [*queries_base.QUERIES]
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return queries()["d5_detect_bursts"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {q.name: q.run for q in _ALL}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {q.name: q.sql for q in _ALL if q.sql}
