@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_base
+from . import queries_base, queries_decode
 
-_ALL = [*queries_base.QUERIES]
+_ALL = [*queries_base.QUERIES, *queries_decode.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
