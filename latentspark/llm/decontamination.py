@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
 Texts are cut into passages of WINDOW words at half-window steps. Words are hashed to WIDTH terms and weighted by the inverse of the number
-of documents that have them. One pass over all passages multiplies their covariance with random vectors, task by task; from the sum,
-which is WIDTH x RANK whatever the corpus, a randomised (Nystrom) decomposition gives the latent directions. A second pass maps
+of documents that have them. One pass over all passages (of half a window, without overlap) multiplies their covariance with random vectors, task by task; from the
+sum, which is WIDTH x RANK whatever the corpus, a randomised (Nystrom) decomposition gives the latent directions. A second pass maps
 each passage there and takes the benchmark items with a large cosine as candidates. Each is settled by the words around the passage:
 their longest common subsequence with the item, and the share of the item's closing words, its answer, among them.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import Powers, saved, text_slices, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
-#: Least latent cosine of a candidate; least shared share of the item's words in order; that with its answer; closing words that are its answer, and their least share.
+#: Least latent cosine of a candidate (of items shorter than a window that times the fourth root of their share of it, as the rest of the passage dilutes them); least shared share of the item's words in order; that with its answer; closing words that are its answer, and their least share.
 COSINE, SHARED, SHARED_WITH_ANSWER, ANSWER_WORDS, ANSWER = 0.42, 0.8, 0.6, 5, 0.6
 #: Items compared in one pass; a larger benchmark takes several.
 ITEMS = 50_000
@@ -29,46 +29,65 @@ ITEMS = 50_000
 _DIVIDES = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
 
 
-def divided(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, row) of the words."""
+def divided(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) of the words."""
     full = ~_DIVIDES[data]
-    before, after = np.zeros(len(data), bool), np.zeros(len(data), bool)
-    before[1:], after[:-1] = full[:-1], full[1:]
+    edge = np.empty(len(data) + 1, bool)
+    edge[0], edge[-1] = full[0], full[-1]
+    np.not_equal(full[1:], full[:-1], out=edge[1:-1])
+    edges = np.flatnonzero(edge)
+    starts, ends = edges[::2], edges[1::2]
+    # a text may end inside what looks like one word
     inner = offsets[1:-1]
-    inner = inner[(inner > 0) & (inner < len(data))]
-    before[inner] = False
-    after[inner - 1] = False
-    starts = np.flatnonzero(full & ~before)
-    return starts, np.flatnonzero(full & ~after) + 1, np.searchsorted(offsets, starts, "right") - 1
+    inner = np.unique(inner[(inner > 0) & (inner < len(data))])
+    inner = inner[full[inner] & full[inner - 1]] if len(inner) else inner
+    if len(inner):
+        starts, ends = np.sort(np.concatenate([starts, inner])), np.sort(np.concatenate([ends, inner]))
+    return starts, ends
 
 
 def hashed_words(column: pa.Array, powers: Powers):
     """(first row, hash of each word, first word of each row) of runs of rows; letters in lower case."""
     column = pc.utf8_lower(column.cast(pa.large_string()))
     for at, data, offsets in text_slices(column, 1 << 19):
-        starts, ends, rows = divided(data, offsets)
-        yield at, word_hashes(data, starts, ends, powers), np.searchsorted(rows, np.arange(len(offsets)))
+        if not len(data):
+            yield at, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+            continue
+        starts, ends = divided(data, offsets)
+        yield at, word_hashes(data, starts, ends, powers), np.searchsorted(starts, offsets)
 
 
 def terms(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(40)).astype(np.int64) & (WIDTH - 1)
 
 
-def term_weights(docs: DataFrame) -> np.ndarray:
-    """ln((1 + documents) / (1 + documents with the term)) + 0.1 of each term, over all rows."""
+def term_rows(docs: DataFrame) -> DataFrame:
+    """A saved table: term and df (documents that have it; term -1: all documents) of each task, and with term -2 the terms of all words and where texts begin."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers, df, n = Powers(), np.zeros(WIDTH, np.int64), 0
+        names = ["term", "df", "terms", "cuts"]
         for batch in batches:
             for _, h, cuts in hashed_words(batch.column(0), powers):
+                t = terms(h)
                 own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
-                pairs = np.unique(own * WIDTH + terms(h))
-                df += np.bincount(pairs % WIDTH, minlength=WIDTH)
+                for a in range(0, len(cuts) - 1, 256):
+                    part = slice(cuts[a], cuts[min(a + 256, len(cuts) - 1)])
+                    has = np.zeros((min(256, len(cuts) - 1 - a), WIDTH), bool)
+                    has[own[part] - a, t[part]] = True
+                    df += has.sum(0)
                 n += len(cuts) - 1
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH)), pa.array(np.concatenate([[n], df]))], ["term", "df"])
+                if len(t):
+                    yield pa.RecordBatch.from_arrays([pa.array([-2]), pa.array([0]), pa.array([t.astype(np.uint16).tobytes()]), pa.array([cuts.astype(np.int64).tobytes()])], names)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH)), pa.array(np.concatenate([[n], df])), pa.nulls(WIDTH + 1, pa.binary()), pa.nulls(WIDTH + 1, pa.binary())], names)
+
+    return saved(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "term long, df long, terms binary, cuts binary"))
+
 
+def term_weights(rows: DataFrame) -> np.ndarray:
+    """ln((1 + documents) / (1 + documents with the term)) + 0.1 of each term, over all documents."""
     got = np.zeros(WIDTH + 1, np.int64)
-    for r in docs.select("text").mapInArrow(rows, "term long, df long").groupBy("term").agg(F.sum("df").alias("df")).collect():  # WIDTH + 1 rows
+    for r in rows.where("term > -2").groupBy("term").agg(F.sum("df").alias("df")).collect():  # WIDTH + 1 rows
         got[r.term + 1] = r.df
     return (np.log((1 + got[0]) / (1 + got[1:])) + 0.1).astype(np.float32)
 
@@ -84,47 +103,57 @@ def half_windows(cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return first, row, follows
 
 
-def latent_directions(docs: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """WIDTH x RANK: maps a sum of terms to latent coordinates of equal spread."""
-    rng = np.random.default_rng(11)
-    omega = rng.standard_normal((WIDTH, RANK)).astype(np.float32)
-    weighted = omega * weights[:, None]
-    held = docs.sparkSession.sparkContext.broadcast((weighted, weights))
+def block_sums(table: np.ndarray, t: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum of the table's rows over each block's terms. The table ends with a row of zeros, which stands for words that a short block lacks."""
+    size = np.diff(np.append(first, len(t)))
+    out = table[t[first]]
+    for k in range(1, WINDOW // 2):
+        at = np.where(k < size, t[np.minimum(first + k, len(t) - 1)], len(table) - 1)
+        out += table[at]
+    return out
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, (by, weights) = Powers(), held.value
-        total = np.zeros((WIDTH, RANK))
+
+def latent_directions(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
+    """WIDTH x RANK: maps a sum of terms to latent coordinates of equal spread."""
+    omega = np.random.default_rng(11).standard_normal((WIDTH, RANK)).astype(np.float32)
+    weighted = np.zeros((WIDTH + 1, RANK + 1), np.float32)
+    weighted[:-1, :-1], weighted[:-1, -1] = omega * weights[:, None], weights**2
+    held = rows.sparkSession.sparkContext.broadcast((weighted, weights))
+    chunk = 256
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, weights = held.value
+        total = np.zeros((RANK, WIDTH))
         for batch in batches:
-            for _, h, cuts in hashed_words(batch.column(0), powers):
-                if not len(h):
-                    continue
-                t = terms(h)
-                first, _, follows = half_windows(cuts)
-                block = np.add.reduceat(by[t], first, axis=0)
-                norm = np.add.reduceat(weights[t] ** 2, first)
-                y = block / np.maximum(norm, 1e-9)[:, None]  # a unit passage times its random products, for both sides
-                own = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(t))))
-                order = np.argsort(t, kind="stable")
-                kinds, begin = np.unique(t[order], return_index=True)
-                total[kinds] += np.add.reduceat(y[own[order]], begin, axis=0)
-        chunk = 256
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH // chunk)), pa.array([(total[a : a + chunk] * weights[a : a + chunk, None]).astype(np.float32).tobytes() for a in range(0, WIDTH, chunk)])], ["part", "sums"])
+            for t, cuts in zip(batch.column(0), batch.column(1), strict=True):
+                t, cuts = np.frombuffer(t.as_py(), np.uint16).astype(np.int64), np.frombuffer(cuts.as_py(), np.int64)
+                first, _, _ = half_windows(cuts)
+                block = block_sums(table, t, first)
+                y = block[:, :-1] / np.maximum(block[:, -1:], 1e-9)  # a unit passage times its random products, for both sides
+                y, size = np.ascontiguousarray(y.T, np.float64), np.diff(np.append(first, len(t)))
+                for j in range(RANK):
+                    total[j] += np.bincount(t, np.repeat(y[j], size), WIDTH)
+        sums = (total.T * weights[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(WIDTH // chunk)), pa.array([sums[a : a + chunk].tobytes() for a in range(0, WIDTH, chunk)])], ["part", "sums"])
 
     def add(table: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("sums"))
         return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()])})
 
-    got = docs.select("text").mapInArrow(rows, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").collect()  # WIDTH / 256 rows
+    got = rows.where("term = -2").select("terms", "cuts").mapInArrow(products, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").collect()  # WIDTH / 256 rows
+    plain = omega * weights[:, None]
     if not got:
-        return weighted
+        return plain
     y = np.concatenate([np.frombuffer(r.sums, np.float64).reshape(-1, RANK) for r in sorted(got, key=lambda r: r.part)])
     core = omega.astype(np.float64).T @ y
     core = (core + core.T) / 2
     values, q = np.linalg.eigh(core)
     good = values > max(values.max(), 1e-12) * 1e-9
+    if not good.any():
+        return plain
     u, s, _ = np.linalg.svd(y @ (q[:, good] / np.sqrt(values[good])), full_matrices=False)
-    s = np.maximum(s, s[0] * 1e-6) if len(s) else s
-    return (u / s * s[-1] * weights[:, None]).astype(np.float32) if len(s) else weighted
+    s = np.maximum(s, s[0] * 1e-6)
+    return (u / s * s[-1] * weights[:, None]).astype(np.float32)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -154,19 +183,19 @@ def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list,
     return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), [w.tolist() for w in words]
 
 
-def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(row, first word, item, cosine) of passages whose latent cosine with an item is at least COSINE."""
+def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: np.ndarray, limits: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(row, first word, item, cosine) of passages whose latent cosine with an item is at least the item's limit."""
     first, row, follows = half_windows(cuts)
     if not len(first) or not len(items):
         return []
-    halves = np.add.reduceat(directions[terms(h)], first, axis=0)
+    halves = block_sums(directions, terms(h), first)
     x = halves.copy()
     x[:-1][follows[:-1]] += halves[1:][follows[:-1]]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     out = []
     for a in range(0, len(x), 4096):
         cos = x[a : a + 4096] @ items.T
-        for p, i in zip(*np.nonzero(cos >= COSINE), strict=True):
+        for p, i in zip(*np.nonzero(cos >= limits), strict=True):
             out.append((int(row[a + p]), int(first[a + p]), int(i), float(cos[p, i])))
     return out
 
@@ -189,8 +218,9 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     Null and empty texts hold nothing and are held by nothing; null ids stay null; a row that is repeated is reported as often.
     Documents without a find have no row. Whole texts of any length are read. An empty table or benchmark gives an empty table.
     """
-    weights = term_weights(docs)
-    directions = latent_directions(docs, weights)
+    rows_of_terms = term_rows(docs)
+    directions = latent_directions(rows_of_terms, term_weights(rows_of_terms))
+    directions = np.concatenate([directions, np.zeros((1, directions.shape[1]), np.float32)])
     kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     total = benchmark.count()
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -203,11 +233,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
         def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
             powers, (ids, vectors, lists, directions) = Powers(), items.value
+            limits = COSINE * np.minimum(1.0, np.array([len(x) / WINDOW for x in lists])) ** 0.25
             for batch in batches:
                 row, found = [], []
                 for at, h, cuts in hashed_words(batch.column(1), powers):
                     best: dict[tuple[int, int], tuple] = {}
-                    for r, first, i, cos in candidates(h, cuts, directions, vectors):
+                    for r, first, i, cos in candidates(h, cuts, directions, vectors, limits):
                         got = settled(h, int(cuts[r]), int(cuts[r + 1]), first, lists[i])
                         if got and (*got, cos) > best.get((r, i), (0, 0.0, 0.0)):
                             best[r, i] = (*got, cos)
