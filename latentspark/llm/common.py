@@ -30,6 +30,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows and bytes that pass to Python at once, for this session: texts vary from nothing to megabytes, and two workers share an executor's memory."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
 def sized_hint(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast if it has at most most_rows rows by a count; beyond that a shuffled join serves the same result."""
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, saved, text_slices, word_hashes
+from .common import Powers, saved, small_batches, text_slices, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
 #: Least latent cosine of a candidate (of items shorter than a window that times the fourth root of their share of it, as the rest of the passage dilutes them); least shared share of the item's words in order; that with its answer; closing words that are its answer, and their least share.
@@ -218,6 +218,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     Null and empty texts hold nothing and are held by nothing; null ids stay null; a row that is repeated is reported as often.
     Documents without a find have no row. Whole texts of any length are read. An empty table or benchmark gives an empty table.
     """
+    small_batches(spark)
     rows_of_terms = term_rows(docs)
     directions = latent_directions(rows_of_terms, term_weights(rows_of_terms))
     directions = np.concatenate([directions, np.zeros((1, directions.shape[1]), np.float32)])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, saved, sized_hint
+from .common import mix, saved, sized_hint, small_batches
 
 WIDTH, ORDERS = 1 << 12, (1, 2, 3)
 SAMPLE_PER_LANG, CENTROIDS, CLUSTER_ROUNDS = 400, 3, 12
@@ -144,6 +144,7 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     lang_pred is a learned value of lang, or `und` with score 0 if the text is null or has no letter, or nothing could be learned. Ties go to
     the first language by name. Whole texts of any length count. Rows keep their ids, null and repeated ones too.
     """
+    small_batches(spark)
     idf, rows = fit(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     model = spark.sparkContext.broadcast((idf, [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1), np.array([r[2] for r in rows])))

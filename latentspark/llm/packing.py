@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Powers, gapless_rank, mix, partitions_of, saved, text_slices, word_hashes
+from .common import SPACE, Powers, gapless_rank, mix, partitions_of, saved, small_batches, text_slices, word_hashes
 
 WINDOW, DEPTH, ROUNDS = 1024, 3, 300
 SEPARATOR = 0
@@ -235,6 +235,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, ranks: str | None = Non
     pieces of a sequence follow each other from offset 0 without gaps. Repeated rows and null doc_ids are documents of their own. An
     empty table gives an empty one; other columns are not read.
     """
+    small_batches(spark)
     if ranks is None or pattern is None:
         ranks, pattern = vocabulary()
     pieces = saved(pieces_of(docs, ranks, pattern, window, with_ids).withColumn("__at", F.monotonically_increasing_id()))

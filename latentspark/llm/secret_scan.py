@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_slices
+from .common import small_batches, text_slices
 
 
 @dataclass(frozen=True)
@@ -307,6 +307,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
 
     Null and empty texts have no spans. Rows keep their ids, null and repeated ones too; an empty table gives an empty one.
     """
+    small_batches(docs.sparkSession)
     auto = compile_rules(rules)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -337,6 +338,7 @@ def scan_digest(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, each secret in text replaced by `[kind]`; texts without secrets, null ones too, are as they were. n_chars follows the text if there is such a column."""
+    small_batches(docs.sparkSession)
     auto = compile_rules(RULES)
     names = docs.columns
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized_hint
+from .common import saved, sized_hint, small_batches
 from .language_id import held_out
 
 SAMPLE_PER_LABEL = {1: 4000, 0: 8000}
@@ -170,6 +170,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
+    small_batches(docs.sparkSession)
     sample = saved(training_sample(docs, labels))
     entries, exceptions = learn(sample)
 

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder, sized_hint
+from .common import saved, shared_folder, sized_hint, small_batches
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_FROM = 1000
@@ -132,6 +132,7 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
 
     The folder can have any scheme that pyarrow.fs opens (file, hdfs, s3, gs). An empty table writes no archive.
     """
+    small_batches(pages.sparkSession)
     folder = shared_folder(pages.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
