@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_base, queries_decode
+from . import queries_base, queries_decode, queries_stats
 
-_ALL = [*queries_base.QUERIES, *queries_decode.QUERIES]
+_ALL = [*queries_base.QUERIES, *queries_decode.QUERIES, *queries_stats.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["d5_detect_bursts"](spark, sf_dir)
+    return queries()["m3_shuffle_test_marginal"](spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
