@@ -147,7 +147,7 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     small_batches(spark)
     idf, rows = fit(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    model = spark.sparkContext.broadcast((idf, [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), -1), np.array([r[2] for r in rows])))
+    model = spark.sparkContext.broadcast((idf, [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), WIDTH), np.array([r[2] for r in rows])))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, langs, centroids, reach = model.value

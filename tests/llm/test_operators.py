@@ -1,0 +1,423 @@
+"""The ten operators against brute force, round trips and held-out accuracy, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from latentspark.llm import decontamination, language_id, nearest, ngram_join, packing, secret_scan, sharding, toxicity, url_filter, warc
+from latentspark.llm.queries import RULES
+
+SF = "/root/testdata/sf0.001"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+WORDS = [f"w{i}" for i in range(4000)]
+
+
+def docs_of(spark, rows, extra=False):
+    """rows of (doc_id, text); with extra also columns whose names may clash."""
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], DOCS)
+    if extra:
+        from pyspark.sql import functions as F
+
+        for c in ("score", "cid", "a", "b", "n", "sig", "length", "start", "__id", "shard", "size", "label", "key"):
+            df = df.withColumn(c, F.lit(1))
+    return df
+
+
+EDGE = [(1, None), (2, ""), (3, "  \n\t "), (4, "one"), (5, "two words"), (None, "a null id with a few words in it"), (None, None), (6, "same text here again and again"), (6, "same text here again and again"), (7, "x" * 300_000), (8, "long " * 60_000)]
+
+
+# ---- 1: n-gram Jaccard join --------------------------------------------------------------------------------------------
+
+
+def brute_components(rows):
+    sets = []
+    for _, t in rows:
+        w = [x for x in re.split(r"[\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    holders = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            holders[g].append(i)
+    shared = Counter((i, j) for h in holders.values() for k, j in enumerate(h) for i in h[:k])
+    for (i, j), n in shared.items():
+        if 100 * n >= 75 * (len(sets[i]) + len(sets[j]) - n):
+            root[find(i)] = find(j)
+    groups = defaultdict(list)
+    for i in range(len(rows)):
+        groups[find(i)].append(rows[i][0])
+    least = {r: min((x for x in ids if x is not None), default=None) for r, ids in groups.items()}
+    return Counter((rows[i][0], len(sets[i]), least[find(i)]) for i in range(len(rows)))
+
+
+def near_copies(rng):
+    """Texts with exact and near copies of all degrees, a hot passage, a large group, short texts."""
+    rows, hot = [], " ".join(rng.choices(WORDS, k=30))
+    for i in range(60):
+        base = rng.choices(WORDS, k=rng.choice([1, 3, 5, 6, 7, 8, 12, 20, 60, 200]))
+        for _ in range(rng.choice([1, 1, 2, 4])):
+            w = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 4])):
+                w[rng.randrange(len(w))] = rng.choice(WORDS)
+            rows.append(" ".join(w))
+        rows.append(hot + " " + " ".join(rng.choices(WORDS, k=rng.choice([2, 6, 9, 40]))))
+    base = rng.choices(WORDS, k=80)
+    for _ in range(60):
+        w = list(base)
+        for _ in range(rng.randrange(5)):
+            w[rng.randrange(80)] = rng.choice(WORDS)
+        rows.append(" ".join(w).upper() if rng.random() < 0.3 else " ".join(w))
+    return [(k, t) for k, t in enumerate(rows)]
+
+
+def components(spark, df):
+    return Counter((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_components(spark, df).collect())
+
+
+def test_components_equal_brute_force(spark):
+    rows = near_copies(random.Random(4))
+    assert components(spark, docs_of(spark, rows)) == brute_components(rows)
+
+
+def test_components_with_subsets_for_most_sets(spark, monkeypatch):
+    rows = near_copies(random.Random(5))
+    monkeypatch.setattr(ngram_join, "boundary", lambda sizes, mean: 70)
+    monkeypatch.setattr(ngram_join, "COMMON_FROM", 3)
+    monkeypatch.setattr(ngram_join, "PER_LIST", 8)
+    assert components(spark, docs_of(spark, rows)) == brute_components(rows)
+
+
+def test_components_edge_cases(spark):
+    assert components(spark, docs_of(spark, EDGE, extra=True)) == brute_components(EDGE)
+    assert ngram_join.jaccard_components(spark, docs_of(spark, [])).count() == 0
+
+
+def test_boundary_follows_cost():
+    assert ngram_join.boundary([(4, 10), (400, 10)], 1.0) == 4
+    assert 4 < ngram_join.boundary([(4, 10), (400, 10)], 50.0) <= 400
+    assert ngram_join.boundary([(4, 10)], 50.0) == 5
+
+
+# ---- 2: WARC -------------------------------------------------------------------------------------------------------------
+
+
+def test_archives_round_trip(spark):
+    big = "<html>" + "".join(chr(97 + i % 26) for i in range(3000)) + "é\r\n\r\n</html>"
+    rows = [(1, "http://a/x y\r\n", big), (2, None, big), (3, "http://b", "small"), (4, "http://c", "small"), (5, "http://d", None), (6, "http://e", ""), (7, "http://f", big), (None, "http://g", big), (9, "http://h", "é" * 500), (10, "http://i", "é" * 500)]
+    rows += [(100 + i, f"http://z/{i}", f"<p>{i} common words of many pages</p>" * 9) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    manifest = warc.write_archives(pages)
+    got = {r.page_id: r for r in warc.read_archives(spark, manifest).collect()}
+    assert sum(r.records for r in manifest.collect()) == len(rows) == len(got)
+    for i, _, html in rows:
+        data = (html or "").encode()
+        assert (got[i].payload_bytes, got[i].payload_digest) == (len(data), hashlib.sha1(data).hexdigest())
+        kind = ("revisit", 7) if html == big and i != 7 else ("revisit", 10) if i == 9 else ("response", None)
+        assert (got[i].record_type, got[i].refers_to) == kind
+        assert got[i].payload == (None if kind[0] == "revisit" else data)
+    empty = warc.write_archives(spark.createDataFrame([], pages.schema))
+    assert warc.read_archives(spark, empty).count() == 0
+
+
+def test_dictionary_leads_the_archive():
+    records = [warc.record_bytes(i, f"http://a/{i}", f"<html>page {i} of the site</html>".encode() * 20, hashlib.sha1(b"").hexdigest(), "response", None, "2024-01-01T00:00:00Z") for i in range(400)]
+    data = warc.archive_bytes(records)
+    assert data[:4] == b"\x5d\x2a\x4d\x18" and len(data) < sum(map(len, records)) / 5
+    assert len(list(warc.records_of(data))) == 400
+
+
+# ---- 3: language ---------------------------------------------------------------------------------------------------------
+
+
+def test_language_on_held_out_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = language_id.identify(spark, docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert got and sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+
+
+def test_language_edge_cases(spark):
+    rows = [(i, t, lang, "s", 0) for i, (t, lang) in enumerate([("the cat and the dog", "en")] * 9 + [("der hund und die katze", "de")] * 9)] + [(100, None, "en", "s", 0), (101, "12 34 !!", None, "s", 0), (None, "the dog and the cat", None, "s", 0), (102, "", "de", "s", 0)]
+    got = {r.doc_id: r for r in language_id.identify(spark, spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[100].lang_pred == got[101].lang_pred == got[102].lang_pred == "und" and got[100].score == 0
+    assert got[None].lang_pred == "en" and 0.5 < got[None].score <= 1
+    alone = language_id.identify(spark, docs_of(spark, []))
+    assert alone.count() == 0
+    assert {r.lang_pred for r in language_id.identify(spark, docs_of(spark, [(1, None)])).collect()} == {"und"}
+
+
+# ---- 4: URL rules --------------------------------------------------------------------------------------------------------
+
+
+def test_rules_fit_subdomains_and_longest_wins(spark):
+    cases = {
+        "https://WWW.Example.ORG/en/12?x": ("www.example.org", "/en/12", "example.org/en/1", "block"),
+        "https://example.org/en/2": ("example.org", "/en/2", "org/", "allow"),
+        "https://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"),
+        "http://a.com/de/x#y": ("a.com", "/de/x", "com/de/", "block"),
+        "http://a.com/fr/": ("a.com", "/fr/", "com/fr/", "allow"),
+        "http://a.org": ("a.org", "", None, "allow"),
+        "http://a.org?/": ("a.org", "", None, "allow"),
+        "nothing": ("", "", None, "allow"),
+        "x://y://org/": ("y:", "//org/", None, "allow"),
+        "http://É.ORG/": ("É.org", "/", "org/", "allow"),
+    }
+    rows = [(i, u) for i, u in enumerate([*cases, None])]
+    got = url_filter.judge_urls(spark, spark.createDataFrame(rows, "page_id long, url string"), RULES).collect()
+    want = [*cases.values(), ("", "", None, "allow")]
+    assert [(r.host, r.path, r.rule, r.verdict) for r in sorted(got, key=lambda r: r.page_id)] == want
+    assert url_filter.judge_urls(spark, spark.createDataFrame([], "page_id long, url string"), RULES).count() == 0
+
+
+# ---- 5: neighbours -------------------------------------------------------------------------------------------------------
+
+
+def test_neighbours_reach_recall_and_are_exact(spark):
+    rng = np.random.default_rng(1)
+    x = rng.standard_normal((4000, 32)) + 2 * rng.standard_normal((20, 32))[rng.integers(0, 20, 4000)]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows + [(5000, None), (5020, [0.0] * 32), (5040, [float("nan")] * 32), (None, [1.0] * 32)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nearest.nearest_neighbours(spark, df).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    truth = nearest.exact_neighbours(rows)
+    assert set(got) == set(truth)
+    hits = [len({v for _, v, _ in got[q]} & set(truth[q])) / 20 for q in truth]
+    assert np.mean(hits) > 0.9
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == list(range(1, 21)) and all(abs(s - x[q] @ x[v]) < 1e-9 for _, v, s in found)
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+
+
+def test_neighbours_of_few_and_equal_vectors(spark):
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(0, 30)], "vec_id long, embedding array<double>")
+    got = nearest.nearest_neighbours(spark, df).where("query_id = 20").orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(20))
+    few = nearest.nearest_neighbours(spark, df.where("vec_id < 3")).collect()
+    assert sorted(r.vec_id for r in few) == [1, 2]
+    assert nearest.nearest_neighbours(spark, df.where("vec_id < 0")).count() == 0
+
+
+# ---- 6: packing ----------------------------------------------------------------------------------------------------------
+
+
+def test_every_id_is_packed_once(spark):
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = [r for r in EDGE if r[0] not in (6, None)] + [(20, "a <|endoftext|> b\n\n  c　　d é́  <|endoftext|>"), (21, "don't\tstop \r\n日本語 😀")]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").limit(60).collect()]
+    got = packing.pack_documents(spark, docs_of(spark, rows, extra=True)).collect()
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in got:
+        pieces[r.doc_id].append(r)
+        sequences[r.sequence_id].append(r)
+        assert zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.length
+    for i, text in rows:
+        want = t.encode(text or "", add_special_tokens=False).ids + [0]
+        mine = sorted(pieces[i], key=lambda r: r.start)
+        assert [x for r in mine for x in r.ids] == want and {r.doc_tokens for r in mine} == {len(want)}
+        assert [r.start for r in mine] == np.cumsum([0, *(r.length for r in mine)])[:-1].tolist()
+    for s in sequences.values():
+        s.sort(key=lambda r: r.offset)
+        assert [r.offset for r in s] == np.cumsum([0, *(r.length for r in s)])[:-1].tolist() and sum(r.length for r in s) <= 1024
+    total = sum(r.length for r in got)
+    assert total / (1024 * len(sequences)) > 0.95
+    assert packing.pack_documents(spark, docs_of(spark, []), with_ids=False).count() == 0
+
+
+def test_plan_places_every_piece_without_overlap():
+    rng = np.random.default_rng(2)
+    histogram = np.bincount(np.concatenate([rng.integers(1, 1025, 5000), np.full(3000, 700)]), minlength=1025)
+    table = packing.Plan(histogram).table
+    length = np.repeat(np.arange(1025), histogram)
+    number = np.concatenate([np.arange(n) for n in histogram])
+    window, offset = packing.place(table, length, number)
+    by = np.lexsort((offset, window))
+    window, offset, length = window[by], offset[by], length[by]
+    first = np.concatenate([[True], window[1:] != window[:-1]])
+    assert (offset[first] == 0).all() and (offset[1:][~first[1:]] == (offset + length)[:-1][~first[1:]]).all() and (offset + length).max() <= 1024
+
+
+# ---- 7: decontamination --------------------------------------------------------------------------------------------------
+
+
+def test_copies_and_paraphrases_are_found(spark):
+    rng = random.Random(7)
+    items = [(i, " ".join(rng.choices(WORDS, k=rng.choice([14, 30, 60])))) for i in range(30)] + [(99, None), (98, "")]
+    rows, want = [], set()
+    for i in range(300):
+        w = rng.choices(WORDS, k=rng.choice([5, 80, 900]))
+        if i < 60:
+            k, text = items[i % 30]
+            x = text.split()
+            if i >= 30:
+                for _ in range(len(x) // 8):
+                    x[rng.randrange(len(x))] = rng.choice(WORDS)
+            at = rng.randrange(len(w))
+            w[at:at] = x
+            want.add((i, k))
+        rows.append((i, " ".join(w)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(spark, docs_of(spark, rows + [(900, None), (901, "")], extra=True), bench).collect()}
+    assert len(want - got) <= 1 and not got - want
+    assert decontamination.contaminated(spark, docs_of(spark, []), bench).count() == 0
+    assert decontamination.contaminated(spark, docs_of(spark, rows[:5]), bench.limit(0)).count() == 0
+
+
+def test_common_subsequence_equals_the_table():
+    rng = random.Random(1)
+    for _ in range(200):
+        a, b = [rng.randrange(5) for _ in range(rng.randrange(1, 30))], [rng.randrange(5) for _ in range(rng.randrange(30))]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert decontamination.common_subsequence(a, b) == t[-1][-1]
+
+
+# ---- 8: toxicity ---------------------------------------------------------------------------------------------------------
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rng = random.Random(3)
+    bad = ["horridly", "vilexxa", "vilexxo", "vilexxu"]
+    rows, labels = [], []
+    for i in range(900):
+        w = rng.choices(WORDS[:400], k=60)
+        w = ["plain" + x[1:] for x in w]
+        toxic = int(i % 5 == 0)
+        if toxic:
+            x = rng.choice(bad)
+            w[rng.randrange(60)] = rng.choice([x, x.upper(), x.replace("i", "1"), x.replace("e", "3"), x.replace("o", "о")])
+        rows.append((i, " ".join(w)))
+        labels.append((i, 1, toxic))
+    got = toxicity.score_documents(spark, docs_of(spark, rows + [(2000, None), (2001, ""), (None, "vilexxa")]), spark.createDataFrame(labels + [(None, 1, 1)], "doc_id long, quality int, toxic int")).collect()
+    known = {i: t for i, _, t in labels}
+    held = [r for r in got if r.held_out and r.doc_id in known]
+    assert held and sum(r.predicted == known[r.doc_id] for r in held) / len(held) > 0.97
+    by = {r.doc_id: r for r in got}
+    assert by[2000].score == by[2001].score < 0.5 and by[None].predicted == 1
+    assert all(r.predicted == int(r.score >= 0.7) and 0 <= r.score <= 1 for r in got)
+
+
+def test_toxicity_without_labels_or_rows(spark):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.predicted for r in toxicity.score_documents(spark, docs_of(spark, EDGE, extra=True), none).collect()} == {0}
+    assert toxicity.score_documents(spark, docs_of(spark, []), none).count() == 0
+
+
+def test_exceptions_cancel_entries():
+    lexicon = toxicity.Lexicon([("trash", 4.0)], ["trashcan"])
+    assert lexicon.features("TR4SH")[0] == 4 and lexicon.features("a trashcan")[0] == 0 and lexicon.features("untrash")[0] == 0
+
+
+# ---- 9: secrets ----------------------------------------------------------------------------------------------------------
+
+
+def brute_spans(text):
+    e = text.encode()
+    rules = [("assign", rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, re.I), ("access", rb"AKIA[A-Z0-9]+", 0, 16, 0), ("hex", rb"[0-9a-f]+", 0, 32, 0)]
+    at = lambda b: len(e[:b].decode())
+    return [f"{k}:{at(s)}:{at(x)}" for s, _, k, x in sorted((m.start(), i, k, m.end()) for i, (k, p, g, n, f) in enumerate(rules) for m in re.finditer(p, e, f) if len(m[g]) >= n)]
+
+
+def test_spans_equal_the_rules(spark):
+    rng = random.Random(9)
+    parts = ["password", "Token", "api_key", "apikey", "=", ": ", '"', "'", " ", "abcdef12", "AKIA", "ABCDEF1234567890", "0123456789abcdef", "deadbeef", "é", "\n", ".", "secret", "xyz", "ſecret", "KEY", "日本"]
+    rows = EDGE + [(100 + i, "".join(rng.choices(parts, k=rng.randrange(60)))) for i in range(800)]
+    got = secret_scan.scan_digest(docs_of(spark, rows, extra=True)).collect()
+    want = Counter()
+    for i, t in rows:
+        s = brute_spans(t or "")
+        c = Counter(x.split(":")[0] for x in s)
+        want[i, c["assign"], c["access"], c["hex"], hashlib.sha256(",".join(s).encode()).hexdigest()] += 1
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+    assert secret_scan.scan_digest(docs_of(spark, [])).count() == 0
+
+
+def test_redaction_keeps_all_else(spark):
+    rows = [(1, "é token = 'abcdefgh1' and more"), (2, "clean"), (3, None), (4, "ghp_" + "a1" * 20)]
+    got = {r.doc_id: r for r in secret_scan.redacted(docs_of(spark, rows)).collect()}
+    assert got[1].text == "é [assign]' and more" and got[1].n_chars == len(got[1].text)
+    assert got[2].text == "clean" and got[3].text is None and got[4].text == "[forge]"
+
+
+def test_automaton_is_minimal_and_agrees():
+    auto = secret_scan.compile_rules((secret_scan.Rule("x", "a[bc]+d", "a[bc]+d", 0, 1), secret_scan.Rule("y", "bd{2}", "bd{2}", 0, 1)))
+    rng = random.Random(2)
+    for _ in range(200):
+        text = "".join(rng.choices("abcdz", k=rng.randrange(1, 200)))
+        places, bits = secret_scan.accepting_places(auto, np.frombuffer(text.encode(), np.uint8))
+        want = {(i, 1) for i in range(len(text)) if re.search("a[bc]+d$", text[: i + 1])} | {(i, 2) for i in range(len(text)) if text[: i + 1].endswith("bdd")}
+        assert {(p, b) for p, m in zip(places.tolist(), bits.tolist(), strict=True) for b in (1, 2) if m & b} == want
+
+
+# ---- 10: sharding --------------------------------------------------------------------------------------------------------
+
+
+def test_shards_are_even_and_growth_moves_rows_only_into_the_new_one(spark):
+    rows = EDGE + [(100 + i, f"text {i}") for i in range(6000)]
+    got = sharding.shard_documents(docs_of(spark, rows, extra=True), sharding.Tree.even(24)).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, 8 + len((t or "").encode()), zlib.crc32((t or "").encode())) for i, t in rows)
+    slots = defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+        assert r.law == "key" and r.grown_shard in (r.shard, 24)
+    assert set(slots) == set(range(24)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+    counts = [len(s) for s in slots.values()]
+    assert max(counts) < 1.35 * len(rows) / 24 and 0.02 < sum(r.grown_shard == 24 for r in got) / len(rows) < 0.07
+    by_id = defaultdict(set)
+    for r in got:
+        by_id[r.doc_id].add(r.shard)
+    assert all(len(s) == 1 for s in by_id.values())
+    assert sharding.shard_documents(docs_of(spark, []), sharding.Tree.even(24)).count() == 0
+
+
+def test_changed_weights_move_keys_within_their_subtree(spark):
+    from pyspark.sql import functions as F
+
+    a = sharding.Tree.even(24)
+    regions = [list(map(list, r)) for r in a.regions]
+    regions[1][2] = [(s, 0.5 if s == 20 else w) for s, w in regions[1][2]]
+    b = sharding.Tree(tuple(tuple(tuple(k) for k in r) for r in regions))
+    got = spark.range(8000).select(sharding.shard_of(F.col("id"), a).alias("a"), sharding.shard_of(F.col("id"), b).alias("b")).where("a != b").collect()
+    assert got and all(r.a // 12 == 1 for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 5, 24])
+def test_tree_holds_every_shard(n):
+    assert [s for r in sharding.Tree.even(n).regions for k in r for s, _ in k] == list(range(n))
+
+
+def test_word_ids_equal_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    words = packing.WordIds(packing.encoder(*packing.vocabulary()))
+    rng = random.Random(8)
+    texts = ["".join(rng.choices([" ", "  ", "\n", "\t", "　", "\u00a0", "\u2003", "a", "é", "ab", "123", "'s", "!", "日", "<|endoftext|>", "\x1c", "\u0085"], k=rng.randrange(25))) for _ in range(1500)]
+    column = pa.array(texts)
+    from latentspark.llm.common import text_slices
+
+    for first, data, offsets in text_slices(column):
+        ids, cuts = words.of(data, offsets)
+        for i in range(len(cuts) - 1):
+            assert ids[cuts[i] : cuts[i + 1]].tolist() == t.encode(texts[first + i], add_special_tokens=False).ids, repr(texts[first + i])
