@@ -3,8 +3,8 @@
 Texts are cut into passages of WINDOW words at half-window steps. Words are hashed to WIDTH terms and weighted by the inverse of the number
 of documents that have them. One pass over all passages (of half a window, without overlap) multiplies their covariance with random vectors, task by task; from the
 sum, which is WIDTH x RANK whatever the corpus, a randomised (Nystrom) decomposition gives the latent directions. A second pass maps
-each passage there and takes the benchmark items with a large cosine as candidates. Each is settled by the words around the passage:
-their longest common subsequence with the item, and the share of the item's closing words, its answer, among them.
+each passage there and takes the benchmark items with a large cosine as candidates, if they share enough weighted terms too. Each is
+settled by the words around the passage: their longest common subsequence with the item, and the share of the item's closing words, its answer, among them.
 """
 
 from __future__ import annotations
@@ -20,10 +20,14 @@ from pyspark.sql import functions as F
 from .common import Powers, saved, small_batches, text_slices, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
+#: Leading directions that are left out: they tell languages and common words apart, not passages.
+COMMON = 16
 #: Least latent cosine of a candidate (of items shorter than a window that times the fourth root of their share of it, as the rest of the passage dilutes them); least shared share of the item's words in order; that with its answer; closing words that are its answer, and their least share.
-COSINE, SHARED, SHARED_WITH_ANSWER, ANSWER_WORDS, ANSWER = 0.42, 0.8, 0.6, 5, 0.6
+COSINE, SHARED, SHARED_WITH_ANSWER, ANSWER_WORDS, ANSWER = 0.5, 0.8, 0.6, 5, 0.6
+#: Share of an item's weight that a passage must have before words are compared in order.
+OVERLAP = 0.45
 #: Items compared in one pass; a larger benchmark takes several.
-ITEMS = 50_000
+ITEMS = 4096
 
 #: ASCII bytes other than letters and digits divide words here.
 _DIVIDES = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -114,7 +118,7 @@ def block_sums(table: np.ndarray, t: np.ndarray, first: np.ndarray) -> np.ndarra
 
 
 def latent_directions(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """WIDTH x RANK: maps a sum of terms to latent coordinates of equal spread."""
+    """WIDTH x at most RANK - COMMON: maps a sum of terms to latent coordinates of equal spread."""
     omega = np.random.default_rng(11).standard_normal((WIDTH, RANK)).astype(np.float32)
     weighted = np.zeros((WIDTH + 1, RANK + 1), np.float32)
     weighted[:-1, :-1], weighted[:-1, -1] = omega * weights[:, None], weights**2
@@ -153,7 +157,8 @@ def latent_directions(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
         return plain
     u, s, _ = np.linalg.svd(y @ (q[:, good] / np.sqrt(values[good])), full_matrices=False)
     s = np.maximum(s, s[0] * 1e-6)
-    return (u / s * s[-1] * weights[:, None]).astype(np.float32)
+    skip = COMMON if len(s) >= 2 * COMMON else 0
+    return (u[:, skip:] / s[skip:] * s[-1] * weights[:, None]).astype(np.float32)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -183,20 +188,39 @@ def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list,
     return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), [w.tolist() for w in words]
 
 
-def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: np.ndarray, limits: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(row, first word, item, cosine) of passages whose latent cosine with an item is at least the item's limit."""
+def held_weights(lists: list[list[int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(item, term): the term's weight in fifteenths of the largest if the item has it; and the sum that a passage must share: OVERLAP of the item, or of the part of it that some passage holds."""
+    scaled = np.maximum(1, np.rint(weights / max(float(weights.max()), 1e-9) * 15)).astype(np.uint8)
+    held, need = np.zeros((len(lists), WIDTH), np.uint8), np.zeros(len(lists))
+    for i, x in enumerate(lists):
+        t = terms(np.array(x, np.uint64))
+        held[i, t] = scaled[t]
+        need[i] = OVERLAP * scaled[t].astype(int).sum() * min(1.0, 0.75 * WINDOW / len(x))
+    return held, need
+
+
+def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: np.ndarray, limits: np.ndarray, held: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(row, first word, item, cosine) of passages whose latent cosine with an item is at least the item's limit and that share enough of its weight."""
     first, row, follows = half_windows(cuts)
     if not len(first) or not len(items):
         return []
-    halves = block_sums(directions, terms(h), first)
+    t = terms(h)
+    halves = block_sums(directions, t, first)
     x = halves.copy()
     x[:-1][follows[:-1]] += halves[1:][follows[:-1]]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-    out = []
-    for a in range(0, len(x), 4096):
-        cos = x[a : a + 4096] @ items.T
-        for p, i in zip(*np.nonzero(cos >= limits), strict=True):
-            out.append((int(row[a + p]), int(first[a + p]), int(i), float(cos[p, i])))
+    end = np.minimum(first + WINDOW, cuts[1:][row])
+    out, rows = [], max(16, (1 << 20) // len(items))
+    for a in range(0, len(x), rows):
+        cos = x[a : a + rows] @ items.T
+        p, i = np.nonzero(cos >= limits)
+        total = np.zeros(len(p), np.int64)
+        begin, until = first[a + p], end[a + p]
+        for k in range(WINDOW):
+            at = begin + k
+            total += np.where(at < until, held[i, t[np.minimum(at, len(t) - 1)]], 0)
+        good = np.flatnonzero(total >= need[i])
+        out += zip(row[a + p[good]].tolist(), begin[good].tolist(), i[good].tolist(), cos[p[good], i[good]].tolist(), strict=True)
     return out
 
 
@@ -220,7 +244,8 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     """
     small_batches(spark)
     rows_of_terms = term_rows(docs)
-    directions = latent_directions(rows_of_terms, term_weights(rows_of_terms))
+    weights = term_weights(rows_of_terms)
+    directions = latent_directions(rows_of_terms, weights)
     directions = np.concatenate([directions, np.zeros((1, directions.shape[1]), np.float32)])
     kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
     total = benchmark.count()
@@ -230,16 +255,19 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     for k in range(parts):
         # ITEMS bounds what is collected here; the hash deals more items over several passes
         mine = benchmark.where("text is not null").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").collect()
-        items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions), directions))
+        items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions), directions, weights))
 
         def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            powers, (ids, vectors, lists, directions) = Powers(), items.value
+            powers, (ids, vectors, lists, directions, weights) = Powers(), items.value
             limits = COSINE * np.minimum(1.0, np.array([len(x) / WINDOW for x in lists])) ** 0.25
+            held, need = held_weights(lists, weights)
             for batch in batches:
                 row, found = [], []
                 for at, h, cuts in hashed_words(batch.column(1), powers):
                     best: dict[tuple[int, int], tuple] = {}
-                    for r, first, i, cos in candidates(h, cuts, directions, vectors, limits):
+                    for r, first, i, cos in candidates(h, cuts, directions, vectors, limits, held, need):
+                        if best.get((r, i), (0,))[0] == len(lists[i]):
+                            continue  # whole already
                         got = settled(h, int(cuts[r]), int(cuts[r + 1]), first, lists[i])
                         if got and (*got, cos) > best.get((r, i), (0, 0.0, 0.0)):
                             best[r, i] = (*got, cos)
