@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents; those without words all stay, and rows without an id that are linked with an id go."""
+    """The document with the least doc_id of each group of linked documents. Documents without words and rows without an id all stay; rows that repeat the doc_id that stays stay with it."""
     groups = ngram_join.jaccard_components(spark, docs).where("n_shingles > 0")
     gone = saved(groups.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
     return docs.join(gone, docs.doc_id == F.col("__id"), "left_anti")
