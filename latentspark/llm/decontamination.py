@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, saved, small_batches, text_slices, word_hashes
+from .common import Powers, saved, small_batches, text_slices, tidy, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
 #: Leading directions that are left out: they tell languages and common words apart, not passages.
@@ -85,7 +85,7 @@ def term_rows(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([-2]), pa.array([0]), pa.array([t.astype(np.uint16).tobytes()]), pa.array([cuts.astype(np.int64).tobytes()])], names)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH)), pa.array(np.concatenate([[n], df])), pa.nulls(WIDTH + 1, pa.binary()), pa.nulls(WIDTH + 1, pa.binary())], names)
 
-    return saved(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(rows, "term long, df long, terms binary, cuts binary"))
+    return saved(docs.select(F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), "term long, df long, terms binary, cuts binary"))
 
 
 def term_weights(rows: DataFrame) -> np.ndarray:
@@ -144,7 +144,7 @@ def latent_directions(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
         total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in table.column("sums"))
         return pa.table({"part": table.column("part")[:1], "sums": pa.array([total.tobytes()])})
 
-    got = rows.where("term = -2").select("terms", "cuts").mapInArrow(products, "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").collect()  # WIDTH / 256 rows
+    got = rows.where("term = -2").select("terms", "cuts").mapInArrow(tidy(products), "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").collect()  # WIDTH / 256 rows
     plain = omega * weights[:, None]
     if not got:
         return plain
@@ -280,7 +280,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "item_id", "lcs", "item_words", "shared", "answer_share", "cosine"])
 
         item_type = {"bigint": pa.int64(), "int": pa.int32()}.get(item_kind, pa.string())
-        part = source.mapInArrow(rows, f"doc_id {kind}, item_id {item_kind}, lcs long, item_words long, shared double, answer_share double, cosine double")
+        part = source.mapInArrow(tidy(rows), f"doc_id {kind}, item_id {item_kind}, lcs long, item_words long, shared double, answer_share double, cosine double")
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -8,7 +8,6 @@ members do (mean and REJECT_SPREADS standard deviations) is marked as rejected.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import mix, saved, sized_hint, small_batches
+from .common import mix, saved, sized_hint, small_batches, tidy
 
 WIDTH, ORDERS = 1 << 12, (1, 2, 3)
 SAMPLE_PER_LANG, CENTROIDS, CLUSTER_ROUNDS = 400, 3, 12
@@ -89,7 +88,7 @@ def document_frequencies(train: DataFrame) -> tuple[np.ndarray, int]:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, WIDTH)), pa.array(np.concatenate([[n], df]))], ["gram", "df"])
 
     got = np.zeros(WIDTH + 1, np.int64)
-    for r in train.select("text").mapInArrow(rows, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
+    for r in train.select("text").mapInArrow(tidy(rows), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect():
         got[r.gram + 1] = r.df
     return got[1:], int(got[0])
 
@@ -133,7 +132,7 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float]
         c, reach = clustered(np.stack(rows.x.to_numpy()))
         return pd.DataFrame({"lang": rows.lang.iloc[0], "c": list(c.astype(np.float32)), "reach": reach})
 
-    found = sample.mapInArrow(vectors, "lang string, x array<float>").groupBy("lang").applyInPandas(cluster, "lang string, c array<float>, reach double").collect()
+    found = sample.mapInArrow(tidy(vectors), "lang string, x array<float>").groupBy("lang").applyInPandas(cluster, "lang string, c array<float>, reach double").collect()
     rows = [(r.lang, np.array(r.c, np.float32), float(r.reach)) for r in found]
     return idf, sorted(rows, key=lambda r: (r[0], r[1].tolist()[:16]))
 
@@ -166,4 +165,4 @@ def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(far, pa.bool_())], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
     given = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return given.mapInArrow(predict, f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")
+    return given.mapInArrow(tidy(predict), f"doc_id {kind}, held_out boolean, lang_pred string, score double, rejected boolean")

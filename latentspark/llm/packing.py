@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Powers, gapless_rank, mix, partitions_of, saved, small_batches, text_slices, word_hashes
+from .common import SPACE, Powers, gapless_rank, mix, partitions_of, saved, small_batches, text_slices, tidy, word_hashes
 
 WINDOW, DEPTH, ROUNDS = 1024, 3, 300
 SEPARATOR = 0
@@ -41,7 +41,7 @@ def encoder(ranks: str, pattern: str):
 
 
 #: Different words that a task remembers the ids of, bytes of text that it looks at together.
-REMEMBERED, TOGETHER = 1 << 20, 1 << 22
+REMEMBERED, TOGETHER = 1 << 18, 1 << 22
 
 
 class WordIds:
@@ -139,7 +139,7 @@ def pieces_of(docs: DataFrame, ranks: str, pattern: str, window: int = WINDOW, w
             out = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens))]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(rows, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
 
 
 # ---- the plan: numbers only, bounded by the window ---------------------------------------------------------------------
@@ -254,5 +254,5 @@ def pack_documents(spark: SparkSession, docs: DataFrame, ranks: str | None = Non
             yield pa.RecordBatch.from_arrays([*(batch.column(names.index(c)) for c in keep), pa.array(at[0], pa.int64()), pa.array(at[1], pa.int64())], [*keep, "sequence_id", "offset"])
 
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in numbered.schema if f.name not in ("__number", "__at")]
-    placed = numbered.mapInArrow(rows, ", ".join([*fields, "sequence_id long", "offset long"]))
+    placed = numbered.mapInArrow(tidy(rows), ", ".join([*fields, "sequence_id long", "offset long"]))
     return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if with_ids else []))

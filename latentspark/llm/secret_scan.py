@@ -9,7 +9,6 @@ the next bytes that lead from everywhere to the start, which no match crosses: l
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_slices
+from .common import small_batches, text_slices, tidy
 
 
 @dataclass(frozen=True)
@@ -324,7 +323,7 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
                 out.append(spans)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, span_type)], ["doc_id", "spans"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(rows, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long>>")
 
 
 def scan_digest(docs: DataFrame) -> DataFrame:
@@ -369,4 +368,4 @@ def redacted(docs: DataFrame) -> DataFrame:
                     batch = batch.set_column(n, batch.schema.field(n), pa.array(counts, batch.schema.field(n).type))
             yield batch
 
-    return docs.mapInArrow(rows, docs.schema).select(*names)
+    return docs.mapInArrow(tidy(rows), docs.schema).select(*names)

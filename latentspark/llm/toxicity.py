@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, sized_hint, small_batches
+from .common import saved, sized_hint, small_batches, tidy
 from .language_id import held_out
 
 SAMPLE_PER_LABEL = {1: 4000, 0: 8000}
@@ -47,7 +47,6 @@ def fold_table() -> dict[int, str]:
     return {k: v.lower() for k, v in table.items()}
 
 
-_SUBSTITUTED = re.compile(r"(?=\S*[a-z])[a-z0-9@$!]+")
 _WORD_SUBSTITUTES = str.maketrans(SUBSTITUTES)
 _HAS_SUBSTITUTE = re.compile(r"[a-z][0-9@$]|[0-9@$!][a-z]")
 _NOT_WORD = re.compile(r"[^a-z]+")
@@ -132,7 +131,7 @@ def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
         names = [w for w, c in counts[1].items()] + [w for w in counts[0] if w not in counts[1]]
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][w] for w in names], pa.int64()), pa.array([counts[0][w] for w in names], pa.int64())], ["start", "bad", "good"])
 
-    totals = sample.select("text", "toxic").mapInArrow(rows, "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    totals = sample.select("text", "toxic").mapInArrow(tidy(rows), "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     totals = saved(totals)
     n = totals.where("start = ''").first()
     if not n or not n.bad:
@@ -180,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
             got = [lexicon.features(t.as_py()) for t in batch.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64()), batch.column(1)], ["weight", "words", "toxic"])
 
-    got = sample.select("text", "toxic").mapInArrow(rows, "weight double, words long, toxic int").collect()  # as many rows as the sample has
+    got = sample.select("text", "toxic").mapInArrow(tidy(rows), "weight double, words long, toxic int").collect()  # as many rows as the sample has
     if not got:
         return Model(entries, exceptions, np.array([-5.0, 0.0, 0.0]))
     order = sorted((r.weight, r.words, r.toxic) for r in got)
@@ -203,7 +202,7 @@ def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str])
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(weight, pa.float64()), pa.array([g[1] for g in got], pa.int64())], [*keep, "__score", "__weight", "__hits"])
 
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return source.mapInArrow(rows, ", ".join([*fields, "__score double, __weight double, __hits long"]))
+    return source.mapInArrow(tidy(rows), ", ".join([*fields, "__score double, __weight double, __hits long"]))
 
 
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder, sized_hint, small_batches
+from .common import saved, shared_folder, sized_hint, small_batches, tidy
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_FROM = 1000
@@ -161,7 +161,7 @@ def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> Data
         if held:
             yield out()
 
-    return saved(roles(pages).select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to").mapInArrow(rows, "path string, records long, raw_bytes long, stored_bytes long")).withColumn("folder", F.lit(folder))
+    return saved(roles(pages).select("page_id", "url", "payload", "payload_digest", "record_type", "refers_to").mapInArrow(tidy(rows), "path string, records long, raw_bytes long, stored_bytes long")).withColumn("folder", F.lit(folder))
 
 
 def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
@@ -195,4 +195,4 @@ def read_archives(spark: SparkSession, manifest: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     archives = manifest.select("path", "folder").repartition(max(1, min(manifest.count(), 100_000)))
-    return archives.mapInArrow(rows, "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return archives.mapInArrow(tidy(rows), "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long")
