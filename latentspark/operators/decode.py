@@ -6,7 +6,6 @@ kernels are the model: their size is a parameter, and they travel with the tasks
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from math import lgamma
 
 import numpy as np
