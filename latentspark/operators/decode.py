@@ -35,6 +35,13 @@ def poisson_loglik(counts: DataFrame, tuning: DataFrame, keys: list[str], dt: fl
     return frame.join(seen, [*keys, "bin", "latent"], "left").select(*keys, "bin", "latent", (F.coalesce("s", F.lit(0.0)) - F.col("total")).alias("ll"))
 
 
+def poisson_loglik_varying(counts: DataFrame, tuning: DataFrame, keys: list[str], gain: float = 1.0) -> DataFrame:
+    """keys, bin, latent, ll with a bin width of each row's own: counts has a column dt, and a row for each unit that counts in its bin, zeros too; masked units have none."""
+    m = F.col("rate") * F.col("dt") * gain + TINY
+    rows = counts.withColumn("__f", F.when(F.col("n") > 0, log_factorial("n")).otherwise(0.0)).join(F.broadcast(tuning), "unit")
+    return rows.groupBy(*keys, "bin", "latent").agg(F.sum(F.col("n") * F.log(m) - m - F.col("__f")).alias("ll"))
+
+
 def gaussian_loglik(counts: DataFrame, tuning: DataFrame, keys: list[str], std: float, dt: float = 1.0) -> DataFrame:
     """keys, bin, latent, ll: sum over units of the normal log density of n around rate dt. counts holds a row for each unit."""
     constant = 0.5 * float(np.log(2 * np.pi * std * std))

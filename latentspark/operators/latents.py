@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from latentspark.functions.seeds import hash_number
 
+from .perievent import peri_event
+
 
 def mean_latent_per_epoch(posterior: DataFrame, epoch: str = "label") -> DataFrame:
     return posterior.groupBy(epoch, "latent").agg(F.avg("p").alias("mean"))
@@ -156,3 +158,18 @@ def jump_consensus_shuffle(chains: DataFrame, reference: int, window: int, thres
     frame = jumps.withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n_shuffles))))
     all_rows = frame.join(hit, ["shuffle", "bin"], "left").join(F.broadcast(total), F.lit(True))
     return all_rows.groupBy("shuffle").agg(F.avg((F.coalesce("k", F.lit(0)) / F.col("n") >= share).cast("double")).alias("fraction"))
+
+
+def jump_triggered(rows: DataFrame, latent: str, series: DataFrame, pair: tuple[int, int], tolerance: int, reach: int, keys: list[str]) -> DataFrame:
+    """keys, event_bin, rel, y: a series (keys, bin, value) around each step between a pair of latents."""
+    steps = latent_pairs(rows, latent, [pair], tolerance, keys).select(*keys, F.col("bin").alias("event_bin")).distinct()
+    return peri_event(series, steps, reach, keys)
+
+
+def null_steps(rows: DataFrame, latent: str, chains: DataFrame, threshold: float, most: int, keys: list[str], seed: int = 0) -> DataFrame:
+    """keys, event_bin of at most `most` changes of the latent in each series, drawn by hash, at bins where no chain's p is above the threshold."""
+    w = Window.partitionBy(*keys).orderBy("bin")
+    changes = rows.withColumn("__p", F.lag(latent).over(w)).where(F.col("__p").isNotNull() & (F.col("__p") != F.col(latent))).select(*keys, "bin")
+    calm = changes.join(chains.where(F.col("p") > threshold).select("bin").distinct(), "bin", "left_anti")
+    draw = F.row_number().over(Window.partitionBy(*keys).orderBy(hash_number(F.lit(str(seed)), *(F.col(k).cast("string") for k in [*keys, "bin"])), "bin"))
+    return calm.withColumn("__r", draw).where(F.col("__r") <= most).select(*keys, F.col("bin").alias("event_bin"))

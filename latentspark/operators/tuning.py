@@ -106,3 +106,8 @@ def sort_units_by_peak(tuning: DataFrame, latent: str = "latent") -> DataFrame:
 def posterior_weighted_average(posterior: DataFrame, feature: str, latent: str = "latent", p: str = "p") -> DataFrame:
     """latent, mean of the feature weighted by the probability."""
     return posterior.groupBy(latent).agg((F.sum(F.col(p) * F.col(feature)) / F.sum(p)).alias("mean"))
+
+
+def variance_from_std(df: DataFrame, std: str, name: str = "variance") -> DataFrame:
+    """df with the square of a deviation; missing stays missing."""
+    return df.withColumn(name, F.col(std) ** 2)

@@ -11,6 +11,7 @@ from latentspark.operators import decode as D
 from latentspark.operators import fit as G
 from latentspark.operators import intervals as I
 from latentspark.operators import kernels as K
+from latentspark.operators import latents as L
 from latentspark.operators import nulls as M
 from latentspark.operators import selection as S
 from latentspark.operators import signals
@@ -20,7 +21,7 @@ from latentspark.sources.tables import T0
 
 from .binding import EV, HC, KEYS, TUN, Query, day_counts, events, hourly_counts, hourly_tuning, posterior, rounded, table, with_
 from .queries_decode import BASE, EK, LATENTS, LABELS, _labels, _model
-from .queries_stats import P0, _chains, _map, _table
+from .queries_stats import M0, P0, _chains, _dense_signal, _map, _table
 
 
 def _position(spark, sf):
@@ -158,6 +159,13 @@ QUERIES = [
     Query("k12_segment_by_jump", lambda s, d: B.median_in_segments(_chains(s, d).select(F.col("chain").alias("session"), F.col("bin").cast("double").alias("t"), "p", "bin"), B.jump_segments(_chains(s, d).select(F.col("chain").alias("session"), F.col("bin").cast("double").alias("t"), "p"), KEYS, "p", 0.5, 2.0), "bin", KEYS)),
     Query("k18_consensus_by_window", lambda s, d: rounded(B.consensus_by_window(_table(s, d).withColumn("y", F.col("y") - 50.0), 4)),
           P0 + "SELECT CAST(w AS INTEGER) AS \"window\", round(avg(h), 6) AS fraction FROM (SELECT w, session, event_bin, max(CASE WHEN abs(rel) <= w AND y > 50 THEN 1e0 ELSE 0 END) AS h FROM pt, range(1, 5) q(w) GROUP BY 1, 2, 3) GROUP BY 1"),
+    Query("e10_variance_from_std", lambda s, d: rounded(T.variance_from_std(events(s, d).groupBy("session").agg(F.stddev_samp("value").alias("std")), "std"), 4), with_(EV) + "SELECT session, round(stddev_samp(value), 4) AS std, round(pow(stddev_samp(value), 2), 4) AS variance FROM ev GROUP BY 1"),
+    Query("f3_varying_dt_and_mask", lambda s, d: rounded(D.poisson_loglik_varying(hourly_counts(s, d).where("not (unit = 'view' and bin % 5 = 0)").withColumn("dt", F.when(F.col("bin") % 2 == 0, 1.0).otherwise(0.5)), hourly_tuning(hourly_counts(s, d)), KEYS), 5),
+          with_(EV, HC, TUN) + "SELECT session, bin, latent, round(sum(n * ln(rate * dt + 1e-20) - rate * dt - lgamma(n + 1)), 5) AS ll FROM (SELECT *, CASE WHEN bin % 2 = 0 THEN 1e0 ELSE 0.5e0 END AS dt FROM hc WHERE NOT (unit = 'view' AND bin % 5 = 0)) JOIN tun USING (unit) GROUP BY 1, 2, 3"),
+    Query("k14_jump_triggered", lambda s, d: rounded(L.jump_triggered(_map(s, d), "latent", _dense_signal(s, d), (0, 4), 0, 2, KEYS))),
+    Query("k15_null_steps", lambda s, d: L.null_steps(_map(s, d), "latent", _chains(s, d), 0.6, 20, KEYS),
+          M0 + """, ch AS (SELECT bin, sum(n) FILTER (unit = 'view') / greatest(sum(n), 1) AS p FROM hc GROUP BY session, bin), c AS (SELECT session, bin, latent <> lag(latent) OVER (PARTITION BY session ORDER BY bin) AS x FROM mp)
+          SELECT session, bin AS event_bin FROM c WHERE x AND bin NOT IN (SELECT bin FROM ch WHERE p > 0.6) QUALIFY row_number() OVER (PARTITION BY session ORDER BY CAST(('0x' || substr(md5('0|' || session || '|' || bin), 1, 8)) AS BIGINT), bin) <= 20"""),
     Query("l3_pre_post_circular_null", lambda s, d: D.naive_bayes(D.poisson_loglik(M.circular_shuffle(hourly_counts(s, d).where("session = 's0'"), 2, KEYS), hourly_tuning(hourly_counts(s, d)), ["session", "shuffle"]), ["session", "shuffle"]).groupBy("shuffle", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
     Query("t1_counts_by_window", lambda s, d: _stream_counts_batch(s, d), with_(EV) + "SELECT session, unit, floor(t / 21600) * 21600 AS start, count(*) AS n FROM ev GROUP BY 1, 2, 3"),
     Query("t2_session_windows", lambda s, d: rounded(_sessions_batch(s, d), 3),
