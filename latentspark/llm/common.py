@@ -55,7 +55,7 @@ def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> C
 
 def sized_hint(df: DataFrame, most_rows: int) -> DataFrame:
     """df marked for broadcast if it has at most most_rows rows by a count; beyond that a shuffled join serves the same result."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+    return F.broadcast(df) if df.count() <= most_rows else df
 
 
 def partitions_of(spark: SparkSession) -> int:
