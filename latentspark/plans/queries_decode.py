@@ -115,6 +115,7 @@ CIRC = """cs AS (SELECT session, s.shuffle, unit, n, (bin + """ + HASH.format("s
 
 
 def _event_counts(spark, sf):
+    """The first six days, as m1's SQL has them."""
     return day_counts(spark, sf).where("event < 6")
 
 
@@ -144,7 +145,7 @@ def _m_step(spark, sf):
 
 
 def _gain_sweep(spark, sf):
-    c = _event_counts(spark, sf)
+    c = day_counts(spark, sf)
     return M.gain_sweep(M.event_nulls(c, hourly_tuning(hourly_counts(spark, sf)), EK, 20, [0.5, 1.0, 2.0, 4.0]), EK)
 
 
@@ -223,7 +224,7 @@ QUERIES = [
           a AS (SELECT *, row_number() OVER (PARTITION BY session, event, shuffle ORDER BY unit) AS r FROM u),
           b AS (SELECT session, event, shuffle, unit AS dest, row_number() OVER (PARTITION BY session, event, shuffle ORDER BY """ + HASH.format("shuffle || '|' || session || '|' || event || '|' || unit") + """, unit) AS r FROM u)
           SELECT session, event, shuffle, bin, dest AS unit, n FROM dc JOIN a USING (session, event, unit) JOIN b USING (session, event, shuffle, r) WHERE n > 0"""),
-    Query("m3_shuffle_test_marginal", lambda s, d: M.shuffle_test(_event_counts(s, d), hourly_tuning(hourly_counts(s, d)), EK, 5)),
+    Query("m3_shuffle_test_marginal", lambda s, d: M.shuffle_test(day_counts(s, d), hourly_tuning(hourly_counts(s, d)), EK, 5)),
     Query("m4_gain_sweep", lambda s, d: _gain_sweep(s, d)),
     Query("n1_continuous_segments", lambda s, d: N.continuous_segments(_segment_rows(s, d), "p", 20.0, 2, EK).groupBy("session", "event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("segment").alias("segments")),
           with_(EV, SEG) + "SELECT session, event, count(*) AS n, count(DISTINCT g) AS segments FROM s3 GROUP BY 1, 2"),
