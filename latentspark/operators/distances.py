@@ -76,18 +76,21 @@ def residualize(df: DataFrame, y: str, t: str, keys: list[str], name: str) -> Da
     return joined.withColumn(name, F.col(y) - F.col("__i") - F.col("__s") * F.col(t)).drop("__s", "__i")
 
 
-def distance_label_shuffle_test(pairs: DataFrame, labels: DataFrame, n_shuffles: int) -> DataFrame:
-    """slope, p of distance on |difference of labels|: p = (1 + shuffles with as large a slope) / (n + 1). pairs: i, j, d; labels: i, label, i from 1.
+def distance_label_shuffle_test(pairs: DataFrame, labels: DataFrame, n_shuffles: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, slope, p of distance on |difference of labels|: p = (1 + shuffles with as large a slope) / (n + 1). pairs: keys, i, j, d; labels: keys, i, label, i from 1 within keys.
 
-    Permuting rows and columns of the distances is permuting the labels: a table (shuffle, i, label) meets the pairs twice.
+    Permuting rows and columns of the distances is permuting the labels: each shuffle's labels, in drawn order, are one array that meets the pairs of its keys.
     """
+    keys = keys or []
     copies = labels.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles))))
-    drawn = F.when(F.col("shuffle") == 0, F.row_number().over(Window.partitionBy("shuffle").orderBy("i"))).otherwise(permuted_rank(["shuffle"], "i", F.col("shuffle").cast("string")))
-    moved = copies.select("shuffle", drawn.alias("i"), "label")
-    x = pairs.select("i", "j", "d").join(moved.withColumnRenamed("label", "li"), "i").join(moved.select("shuffle", F.col("i").alias("j"), F.col("label").alias("lj")), ["shuffle", "j"]).withColumn("lag", F.abs(F.col("li") - F.col("lj")).cast("double"))
-    slopes = x.groupBy("shuffle").agg(F.regr_slope("d", "lag").alias("slope"))
-    seen = slopes.where("shuffle = 0").select(F.col("slope").alias("seen"))
-    return slopes.where("shuffle > 0").join(F.broadcast(seen), F.lit(True)).groupBy("seen").agg(((1 + F.sum((F.abs("slope") >= F.abs("seen")).cast("int"))) / (F.count(F.lit(1)) + 1)).alias("p")).withColumnRenamed("seen", "slope")
+    seed = [F.col("shuffle").cast("string"), *(F.col(k).cast("string") for k in keys)]
+    drawn = F.when(F.col("shuffle") == 0, F.row_number().over(Window.partitionBy(*keys, "shuffle").orderBy("i"))).otherwise(permuted_rank([*keys, "shuffle"], "i", *seed))
+    moved = copies.select(*keys, "shuffle", drawn.alias("__r"), "label").groupBy(*keys, "shuffle").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "label"))), lambda x: x["label"]).alias("__l"))
+    x = pairs.select(*keys, "i", "j", "d").join(moved, keys or F.lit(True)).withColumn("lag", F.abs(F.element_at("__l", F.col("i")) - F.element_at("__l", F.col("j"))).cast("double"))
+    slopes = x.groupBy(*keys, "shuffle").agg(F.regr_slope("d", "lag").alias("slope"))
+    seen = slopes.where("shuffle = 0").select(*keys, F.col("slope").alias("seen"))
+    null = slopes.where("shuffle > 0").join(seen, keys or F.lit(True))
+    return null.groupBy(*keys, "seen").agg(((1 + F.sum((F.abs("slope") >= F.abs("seen")).cast("int"))) / (F.count(F.lit(1)) + 1)).alias("p")).withColumnRenamed("seen", "slope")
 
 
 def resample_trajectories(rows: DataFrame, points: int) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from latentspark.functions import stats
@@ -80,13 +81,20 @@ CHAINS = "ch AS (SELECT CAST(substr(session, 2, 1) AS INTEGER) AS chain, bin, su
 
 
 def _trajectories(spark, sf):
-    """The first twelve steps of each hundred embeddings, four features."""
-    v = vectors(spark, sf).where("vec_id % 100 < 12")
-    return v.select(F.col("series").alias("traj"), (F.col("vec_id") % 100).alias("step"), F.posexplode(F.slice("embedding", 1, 4)).alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
+    """Each hundred embeddings as one trajectory: traj, step, feature, value."""
+    v = vectors(spark, sf)
+    return v.select(F.col("series").alias("traj"), (F.col("vec_id") % 100).alias("step"), F.posexplode("embedding").alias("feature", "value")).withColumn("value", F.col("value").cast("double"))
 
 
 def _resampled(spark, sf):
-    return I.resample_trajectories(_trajectories(spark, sf), 6)
+    """The first twelve steps and four features, as i9's SQL has them."""
+    return I.resample_trajectories(_trajectories(spark, sf).where("step < 12 and feature < 4"), 6)
+
+
+def _label_shuffle_test(spark, sf):
+    v = vectors(spark, sf)
+    places = v.select("series", F.row_number().over(Window.partitionBy("series").orderBy("vec_id")).alias("i"), "label")
+    return I.distance_label_shuffle_test(I.pairwise_distance(v, "embedding", "euclidean", "vec_id", ["series"], 99), places, 50, ["series"])
 
 
 def _triggered(spark, sf):
@@ -111,12 +119,12 @@ QUERIES = [
           with_(PAIRS) + "SELECT series, round(regr_slope(d, ll), 6) AS slope, round(regr_intercept(d, ll), 6) AS intercept, round(corr(d, ll), 6) AS r, round(regr_r2(d, ll), 6) AS r2 FROM pr GROUP BY 1"),
     Query("i7_residualize", lambda s, d: rounded(I.residualize(hourly_signal(s, d), "value", "bin", KEYS, "residual").select("session", "bin", "residual")),
           with_(EV, SIG) + ", g AS (SELECT session, regr_slope(value, bin) AS a, regr_intercept(value, bin) AS b FROM sig GROUP BY 1) SELECT session, bin, round(value - b - a * bin, 6) + 0.0 AS residual FROM sig JOIN g USING (session)"),
-    Query("i8_distance_label_shuffle_test", lambda s, d: I.distance_label_shuffle_test(I.pairwise_distance(vectors(s, d).where("series = 0"), "embedding", "euclidean", "vec_id", ["series"], 99), vectors(s, d).where("series = 0").select((F.col("vec_id") + 1).cast("int").alias("i"), "label"), 50)),
+    Query("i8_distance_label_shuffle_test", _label_shuffle_test),
     Query("i9_resample_trajectories", lambda s, d: rounded(_resampled(s, d).select("traj", "feature", "point", "value"), 5),
           """WITH v AS (SELECT vec_id // 100 AS traj, vec_id % 100 AS step, CAST(f - 1 AS INTEGER) AS feature, CAST(embedding[f] AS DOUBLE) AS value FROM embeddings, range(1, 5) r(f) WHERE vec_id % 100 < 12),
           g AS (SELECT DISTINCT traj, feature, CAST(p AS INTEGER) AS point, p * 2.2e0 AS at_ FROM v, range(6) q(p))
           SELECT g.traj, g.feature, g.point, round(a.value + (coalesce(b.value, a.value) - a.value) * (at_ - floor(at_ + 1e-9)), 5) + 0.0 AS value FROM g JOIN v a ON a.traj = g.traj AND a.feature = g.feature AND a.step = floor(at_ + 1e-9) LEFT JOIN v b ON b.traj = g.traj AND b.feature = g.feature AND b.step = floor(at_ + 1e-9) + 1"""),
-    Query("i10_mean_distance_matrix", lambda s, d: rounded(I.mean_distance_matrix(_resampled(s, d), 6))),
+    Query("i10_mean_distance_matrix", lambda s, d: rounded(I.mean_distance_matrix(I.resample_trajectories(_trajectories(s, d), 6), 6))),
     Query("j1_peri_event", lambda s, d: rounded(_table(s, d).select("session", "event_bin", "rel", "y")), P0 + "SELECT session, event_bin, rel, round(y, 6) AS y FROM pt"),
     Query("j2_zscore_within_event", lambda s, d: rounded(J.zscore_within_event(_table(s, d), KEYS).select("session", "event_bin", "rel", "z")),
           P0 + "SELECT session, event_bin, rel, CASE WHEN stddev_pop(y) OVER w > 0 THEN round((y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) + 0.0 END AS z FROM pt WINDOW w AS (PARTITION BY session, event_bin)"),

@@ -1,5 +1,6 @@
 """The queries run over all rows of their tables, not over some ids of them."""
 
+import numpy as np
 import pytest
 
 import __spark_entry__
@@ -21,3 +22,38 @@ def test_gain_sweep_counts_every_day(spark):
     assert n.select("session", "event").distinct().count() == len(SESSIONS) * DAYS
     got, want = QUERIES["m4_gain_sweep"](spark, SF), nulls.gain_sweep(n, ["session", "event"])
     assert [(r.gain, r.train, r.test) for r in got.orderBy("gain").collect()] == [(r.gain, pytest.approx(r.train), pytest.approx(r.test)) for r in want.orderBy("gain").collect()]
+
+
+def embeddings(tmp_path, spark):
+    """Three series of 100, 100 and 30 vectors; labels follow the first component in the second series only."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(230, 6)).astype(np.float32)
+    label = [int(v) for v in rng.integers(0, 10, 230)]
+    x[100:200, 0] = 5 * np.array(label[100:200])
+    spark.createDataFrame([(k, x[k].tolist(), label[k]) for k in range(230)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return x.astype(float), np.array(label, float)
+
+
+def test_label_shuffle_test_takes_every_series(spark, tmp_path):
+    x, label = embeddings(tmp_path, spark)
+    got = {r.series: r for r in QUERIES["i8_distance_label_shuffle_test"](spark, str(tmp_path)).collect()}
+    assert set(got) == {0, 1, 2}
+    for k, r in got.items():
+        a, l = x[100 * k : 100 * k + 100], label[100 * k : 100 * k + 100]
+        i, j = np.triu_indices(len(a), 1)
+        assert r.slope == pytest.approx(np.polyfit(np.abs(l[i] - l[j]), np.linalg.norm(a[i] - a[j], axis=1), 1)[0])
+        assert 1 / 51 - 1e-9 <= r.p <= 1
+    assert got[1].p == pytest.approx(1 / 51) and max(got[0].p, got[2].p) > 1 / 51
+
+
+def test_mean_distances_take_every_step_and_component(spark, tmp_path):
+    x, _ = embeddings(tmp_path, spark)
+    at = []
+    for k in range(3):
+        a = x[100 * k : 100 * k + 100]
+        t = np.linspace(0, len(a) - 1, 6)
+        at.append(np.array([np.interp(t, np.arange(len(a)), c) for c in a.T]).T)
+    got = QUERIES["i10_mean_distance_matrix"](spark, str(tmp_path)).collect()
+    assert len(got) == 21
+    for r in got:
+        assert r["mean"] == pytest.approx(np.mean([np.linalg.norm(a[r.p] - a[r.q]) for a in at]), abs=1e-5)
