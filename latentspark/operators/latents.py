@@ -71,15 +71,16 @@ def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
     return label
 
 
-def dbscan_per_latent(rows: DataFrame, latent: str, eps: float, least: int) -> DataFrame:
-    """latent, bin, cluster of the points x, y of each latent."""
+def dbscan_per_latent(rows: DataFrame, latent: str, eps: float, least: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, latent, bin, cluster of the points x, y of each latent within keys."""
+    by = [*(keys or []), latent]
 
     def cluster(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("bin")
-        return pd.DataFrame({latent: g[latent], "bin": g["bin"], "cluster": dbscan(g[["x", "y"]].to_numpy(float), eps, least)})
+        return pd.DataFrame({k: g[k] for k in by} | {"bin": g["bin"], "cluster": dbscan(g[["x", "y"]].to_numpy(float), eps, least)})
 
-    kind = rows.schema[latent].dataType.simpleString()
-    return rows.select(latent, "bin", "x", "y").groupBy(latent).applyInPandas(cluster, f"{latent} {kind}, bin long, cluster long")
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
+    return rows.select(*by, "bin", "x", "y").groupBy(*by).applyInPandas(cluster, f"{fields}, bin long, cluster long")
 
 
 def field_properties(rows: DataFrame, by: list[str], value: str, early, late) -> DataFrame:

@@ -30,15 +30,16 @@ def unit_shuffle(counts: DataFrame, n_shuffles: int, keys: list[str]) -> DataFra
     return counts.join(mapping, [*keys, "unit"]).select(*keys, "shuffle", "bin", F.col("__to").alias("unit"), "n")
 
 
-def relabel_pre_post(rows: DataFrame, n_shuffles: int, value: str, by: list[str]) -> DataFrame:
-    """shuffle, by, diff (post - pre mean) with the labels `epoch` (pre, post) of bins permuted; shuffle 0 is as observed. rows: bin, epoch, by, value."""
-    bins = rows.select("bin", "epoch").distinct()
+def relabel_pre_post(rows: DataFrame, n_shuffles: int, value: str, by: list[str], keys: list[str] | None = None) -> DataFrame:
+    """keys, shuffle, by, diff (post - pre mean) with the labels `epoch` (pre, post) of the bins of keys permuted; shuffle 0 is as observed. rows: keys, bin, epoch, by, value."""
+    keys = keys or []
+    bins = rows.select(*keys, "bin", "epoch").distinct()
     copies = bins.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles))))
-    n_pre = F.sum((F.col("epoch") == "pre").cast("int")).over(Window.partitionBy("shuffle"))
-    drawn = F.when(F.col("shuffle") == 0, F.when(F.col("epoch") == "pre", 0).otherwise(F.lit(2147483647))).otherwise(permuted_rank(["shuffle"], "bin", F.col("shuffle").cast("string")))
-    named = copies.withColumns({"__n": n_pre, "__r": drawn}).select("bin", "shuffle", F.when(F.col("__r") <= F.col("__n"), "pre").otherwise("post").alias("as"))
+    n_pre = F.sum((F.col("epoch") == "pre").cast("int")).over(Window.partitionBy(*keys, "shuffle"))
+    drawn = F.when(F.col("shuffle") == 0, F.when(F.col("epoch") == "pre", 0).otherwise(F.lit(2147483647))).otherwise(permuted_rank([*keys, "shuffle"], "bin", F.col("shuffle").cast("string"), *(F.col(k).cast("string") for k in keys)))
+    named = copies.withColumns({"__n": n_pre, "__r": drawn}).select(*keys, "bin", "shuffle", F.when(F.col("__r") <= F.col("__n"), "pre").otherwise("post").alias("as"))
     mean = lambda k: F.avg(F.when(F.col("as") == k, F.col(value)))
-    return rows.drop("epoch").join(named, "bin").groupBy("shuffle", *by).agg((mean("post") - mean("pre")).alias("diff"))
+    return rows.drop("epoch").join(named, [*keys, "bin"]).groupBy(*keys, "shuffle", *by).agg((mean("post") - mean("pre")).alias("diff"))
 
 
 def poisson_draw(mean: np.ndarray, u: np.ndarray) -> np.ndarray:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -40,53 +43,104 @@ def log_marginal_history(counts: DataFrame, versions: DataFrame, keys: list[str]
     return decode.naive_bayes(ll, ["version", *keys]).select("version", *keys, "bin", "log_marginal").distinct().groupBy("version").agg(F.sum("log_marginal").alias("log_marginal"))
 
 
-def fit_local(y: np.ndarray, latents: int, lengthscale: float, rounds: int, seed: int) -> np.ndarray:
-    """Rates (latent, unit) of one small training table, by the same EM with Gaussian-smoothed ratio updates: what one task can hold."""
-    rng = np.random.default_rng(seed)
-    post = rng.random((len(y), latents))
-    post /= post.sum(1, keepdims=True)
+def _start(size: int, latents: int, *seed) -> np.ndarray:
+    """(time, latent) random probabilities, drawn by the seed."""
+    post = np.random.default_rng(zlib.crc32("|".join(map(str, seed)).encode())).random((size, latents))
+    return post / post.sum(1, keepdims=True)
+
+
+def _smoothing(latents: int, lengthscale: float) -> tuple[np.ndarray, np.ndarray]:
+    """Gaussian weights between latents, and the stacked kernels of moving and jumping."""
     d = np.subtract.outer(np.arange(latents), np.arange(latents))
-    smooth = np.exp(-0.5 * (d / lengthscale) ** 2)
     move = np.exp(-((d / lengthscale) ** 2.0))
-    k = np.stack([move / move.sum(1, keepdims=True), np.full((latents, latents), 1 / latents)])
+    return np.exp(-0.5 * (d / lengthscale) ** 2), np.stack([move / move.sum(1, keepdims=True), np.full((latents, latents), 1 / latents)])
+
+
+def fit_grid(train: DataFrame, jobs: list, units: list, keys: list[str], rounds: int) -> dict[tuple[int, int], np.ndarray]:
+    """Rates (latent, unit) by (config, repeat), by EM with Gaussian-smoothed ratio updates.
+
+    Each round is one job: a task decodes a group of keys (a session) for one configuration and repeat and returns the sums of the
+    posterior and of its products with the counts, which are added up by configuration and repeat. Only those sums, the models, are collected.
+    """
+    spark, frame = train.sparkSession, [(int(j.config), r, int(j.latents), float(j.lengthscale)) for j, r in jobs]
+    copies = train.join(F.broadcast(spark.createDataFrame(frame, "config int, repeat int, latents int, lengthscale double")), F.lit(True))
+
+    def sums_by(held):
+        def sums(g: pd.DataFrame) -> pd.DataFrame:
+            r = g.iloc[0]
+            job, latents = (int(r.config), int(r["repeat"])), int(r.latents)
+            _, y = decode._group_counts(g, units)
+            if job in held.value:
+                _, k = _smoothing(latents, r.lengthscale)
+                post = decode.forward_backward(decode.loglik_matrix(y, held.value[job], 1.0, 1.0), k, kernels.switching(0.02, 0.02))["smooth"].sum(1)
+            else:
+                post = _start(len(y), latents, *job, *(r[k] for k in keys))
+            a = np.column_stack([post.T @ y, post.sum(0)])
+            latent, unit = np.indices(a.shape)
+            return pd.DataFrame({"config": job[0], "repeat": job[1], "latent": latent.ravel(), "unit": unit.ravel(), "a": a.ravel()})
+
+        return sums
+
+    rates: dict[tuple[int, int], np.ndarray] = {}
     for _ in range(rounds):
-        rates = (smooth @ (post.T @ y)) / (smooth @ post.sum(0))[:, None]
-        post = decode.forward_backward(decode.loglik_matrix(y, rates, 1.0, 1.0), k, kernels.switching(0.02, 0.02))["smooth"].sum(1)
+        got = copies.groupBy(*keys, "config", "repeat").applyInPandas(sums_by(spark.sparkContext.broadcast(rates)), "config int, repeat int, latent int, unit int, a double")
+        total = {(c, r): np.zeros((n, len(units) + 1)) for c, r, n, _ in frame}
+        for x in got.groupBy("config", "repeat", "latent", "unit").agg(F.sum("a").alias("a")).collect():  # configurations times latents times units
+            total[x.config, x.repeat][x.latent, x.unit] = x.a
+        rates = {}
+        for c, r, n, scale in frame:
+            smooth, _ = _smoothing(n, scale)
+            rates[c, r] = (smooth @ total[c, r][:, :-1]) / (smooth @ total[c, r][:, -1])[:, None]
     return rates
 
 
-def model_selection(train: DataFrame, test: DataFrame, grid: DataFrame, repeats: int, rounds: int, downsample: float, downsample_repeats: int = 3) -> DataFrame:
-    """config, repeat, test_marginal, downsampled (mean marginal with a random share of the latents), best: one fit for each configuration and repeat, each a task of its own.
+def model_selection(spark: SparkSession, train: DataFrame, test: DataFrame, grid: DataFrame, keys: list[str], repeats: int, rounds: int, downsample: float, downsample_repeats: int = 3) -> DataFrame:
+    """config, repeat, test_marginal, downsampled (mean marginal with a random share of the latents), best: one fit for each configuration and repeat.
 
-    train, test: bin, units (array of counts). They are collected: selection runs on a training table that one worker can hold.
+    train, test: keys, bin, unit, n. Fits and marginals are made in tasks, a group of keys at a time; counts don't pass through the driver.
     """
-    y, z = (np.array([r.units for r in df.orderBy("bin").select("units").collect()], float) for df in (train, test))
-    jobs = grid.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    units = sorted(r.unit for r in train.select("unit").distinct().collect())
+    jobs = [(j, r) for j in grid.collect() for r in range(repeats)]
+    held = spark.sparkContext.broadcast(fit_grid(train, jobs, units, keys, rounds))
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in rows.itertuples():
-            rates = fit_local(y, int(r.latents), float(r.lengthscale), rounds, int(r.config) * 1000 + int(r.repeat))
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        _, z = decode._group_counts(g, units)
 
-            def marginal(some: np.ndarray) -> float:
-                ll = decode.loglik_matrix(z, some, 1.0, 1.0)
-                top = ll.max(1)
-                return float((top + np.log(np.exp(ll - top[:, None]).sum(1)) - np.log(len(some))).sum())
+        def marginal(some: np.ndarray) -> float:
+            ll = decode.loglik_matrix(z, some, 1.0, 1.0)
+            top = ll.max(1)
+            return float((top + np.log(np.exp(ll - top[:, None]).sum(1)) - np.log(len(some))).sum())
 
-            rng = np.random.default_rng(int(r.repeat))
+        out = []
+        for (config, repeat), rates in sorted(held.value.items()):
+            rng = np.random.default_rng(repeat)  # every group of keys keeps the same latents
             keep = max(1, int(round(downsample * len(rates))))
             down = float(np.mean([marginal(rates[rng.permutation(len(rates))[:keep]]) for _ in range(downsample_repeats)]))
-            out.append((r.config, r.repeat, marginal(rates), down))
+            out.append((config, repeat, marginal(rates), down))
         return pd.DataFrame(out, columns=["config", "repeat", "test_marginal", "downsampled"])
 
-    got = jobs.groupBy("config", "repeat").applyInPandas(run, "config int, repeat int, test_marginal double, downsampled double")
+    by_group = test.groupBy(*keys).applyInPandas(run, "config int, repeat int, test_marginal double, downsampled double")
+    got = by_group.groupBy("config", "repeat").agg(F.sum("test_marginal").alias("test_marginal"), F.sum("downsampled").alias("downsampled"))
     by_config = got.groupBy("config").agg(F.avg("downsampled").alias("m"))
     first = by_config.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("m"), "config"))).where("__r = 1").select(F.col("config").alias("__c"))
     return got.join(F.broadcast(first), F.lit(True)).withColumn("best", F.col("config") == F.col("__c")).drop("__c")
 
 
-def label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float = 0.01) -> DataFrame:
-    """shuffle, accuracy of an L1 multinomial logit of the label on the features; shuffle 0 is observed, in others the labels are permuted."""
+def label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float = 0.01, keys: list[str] | None = None) -> DataFrame:
+    """keys, shuffle, accuracy of an L1 multinomial logit of the label on the features, a model for each group of keys; shuffle 0 is observed, in others the labels are permuted."""
+    if not keys:
+        return _label_logit(rows, label, features, n_shuffles, strength)
+    out = None
+    for group in sorted(rows.select(*keys).distinct().collect()):
+        same = [F.col(k).eqNullSafe(F.lit(group[k])) for k in keys]
+        own = _label_logit(rows.where(reduce(lambda a, b: a & b, same)), label, features, n_shuffles, strength)
+        own = own.select(*(F.lit(group[k]).cast(rows.schema[k].dataType).alias(k) for k in keys), "*")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float) -> DataFrame:
+    """shuffle, accuracy of one L1 multinomial logit of the label on the features; shuffle 0 is observed, in others the labels are permuted."""
     base = rows.na.drop(subset=[label, *features]).withColumn("__all", F.lit(1)).withColumn("__id", F.row_number().over(Window.partitionBy("__all").orderBy(*features)))
     out = []
     for s in range(n_shuffles + 1):

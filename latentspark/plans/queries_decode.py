@@ -213,7 +213,7 @@ QUERIES = [
     Query("l1_pre_post_posterior", lambda s, d: rounded(posterior(s, d).groupBy("session", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
           BASE + "SELECT session, latent, round(avg(p) FILTER (bin >= 360) - avg(p) FILTER (bin < 360), 6) + 0.0 AS diff FROM nb GROUP BY 1, 2"),
     Query("l2_circular_shuffle", lambda s, d: _circular(s, d).where("n > 0").select("session", "shuffle", "bin", "unit", "n"), with_(EV, HC, CIRC) + "SELECT session, CAST(shuffle AS INTEGER) AS shuffle, bin, unit, n FROM cs WHERE n > 0"),
-    Query("l4_relabel_pre_post", lambda s, d: rounded(M.relabel_pre_post(hourly_signal(s, d).where("session = 's0'").withColumn("epoch", F.when(F.col("bin") < 360, "pre").otherwise("post")), 5, "value", KEYS))),
+    Query("l4_relabel_pre_post", lambda s, d: rounded(M.relabel_pre_post(hourly_signal(s, d).withColumn("epoch", F.when(F.col("bin") < 360, "pre").otherwise("post")), 5, "value", [], KEYS))),
     Query("l5_poisson_surrogate", lambda s, d: M.poisson_surrogate(hourly_counts(s, d), KEYS, 2)),
     Query("l6_max_then_mean", lambda s, d: rounded(M.max_then_mean(events(s, d).withColumn("day", F.floor((F.col("t") - 1704067200.0) / 86400)), KEYS, "day", "value")),
           with_(EV) + "SELECT session, round(avg(m), 6) AS mean FROM (SELECT session, floor((t - 1704067200e0) / 86400) AS d, max(value) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"),

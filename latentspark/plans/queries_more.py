@@ -72,10 +72,9 @@ def _versions(spark, sf):
 
 
 def _selection(spark, sf):
-    c = hourly_counts(spark, sf).where("session = 's0'")
-    units = c.groupBy("bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "n"))), lambda x: x["n"]).alias("units"))
+    c = hourly_counts(spark, sf)
     grid = G.hyperparameter_grid(spark, {"latents": [3, 6], "lengthscale": [1.0, 2.0]}).withColumn("config", F.col("config").cast("int"))
-    return S.model_selection(units.where("bin < 576"), units.where("bin >= 576"), grid, 2, 2, 0.5)
+    return S.model_selection(spark, c.where("bin < 576"), c.where("bin >= 576"), grid, KEYS, 2, 2, 0.5)
 
 
 def _clean_transition(spark, sf):
@@ -118,7 +117,7 @@ def _sessions_batch(spark, sf):
 
 def _logit(spark, sf):
     rows = B.previous_state(_map(spark, sf).withColumnRenamed("bin", "event_bin"), "latent", KEYS).withColumn("phase", (F.col("event_bin") % 24) / 24.0)
-    return S.label_logit(rows.where("session = 's0'").withColumn("id", F.col("event_bin")), "latent", ["phase", "previous", "id"], 1)
+    return S.label_logit(rows.withColumn("id", F.col("event_bin")), "latent", ["phase", "previous", "id"], 1, keys=KEYS)
 
 
 def _adjacent_test(spark, sf):
@@ -166,7 +165,7 @@ QUERIES = [
     Query("k15_null_steps", lambda s, d: L.null_steps(_map(s, d), "latent", _chains(s, d), 0.6, 20, KEYS),
           M0 + """, ch AS (SELECT bin, sum(n) FILTER (unit = 'view') / greatest(sum(n), 1) AS p FROM hc GROUP BY session, bin), c AS (SELECT session, bin, latent <> lag(latent) OVER (PARTITION BY session ORDER BY bin) AS x FROM mp)
           SELECT session, bin AS event_bin FROM c WHERE x AND bin NOT IN (SELECT bin FROM ch WHERE p > 0.6) QUALIFY row_number() OVER (PARTITION BY session ORDER BY CAST(('0x' || substr(md5('0|' || session || '|' || bin), 1, 8)) AS BIGINT), bin) <= 20"""),
-    Query("l3_pre_post_circular_null", lambda s, d: D.naive_bayes(D.poisson_loglik(M.circular_shuffle(hourly_counts(s, d).where("session = 's0'"), 2, KEYS), hourly_tuning(hourly_counts(s, d)), ["session", "shuffle"]), ["session", "shuffle"]).groupBy("shuffle", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
+    Query("l3_pre_post_circular_null", lambda s, d: D.naive_bayes(D.poisson_loglik(M.circular_shuffle(hourly_counts(s, d), 2, KEYS), hourly_tuning(hourly_counts(s, d)), ["session", "shuffle"]), ["session", "shuffle"]).groupBy("session", "shuffle", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
     Query("t1_counts_by_window", lambda s, d: _stream_counts_batch(s, d), with_(EV) + "SELECT session, unit, floor(t / 21600) * 21600 AS start, count(*) AS n FROM ev GROUP BY 1, 2, 3"),
     Query("t2_session_windows", lambda s, d: rounded(_sessions_batch(s, d), 3),
           with_(EV) + ", a AS (SELECT session, t, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t) < 900 THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT session, round(min(t), 3) AS start, count(*) AS n FROM b GROUP BY session, g"),

@@ -159,7 +159,7 @@ QUERIES = [
           M0 + "SELECT latent, CAST(speed >= 20 AS INTEGER) + CAST(speed >= 60 AS INTEGER) AS level, count(*) AS n FROM mp GROUP BY 1, 2"),
     Query("k4_classify_spatial", lambda s, d: K.classify_spatial(_map(s, d), "latent", "speed", "away", 40.0, 70.0, 10, 20, 15),
           M0 + ", g AS (SELECT latent, count(*) AS total, CAST(count(*) FILTER (speed > 40) AS BIGINT) AS run, CAST(count(*) FILTER (speed > 40 AND away > 70) AS BIGINT) AS off FROM mp GROUP BY 1) SELECT latent, total, run, off, CASE WHEN off > 15 THEN 'off_maze' WHEN run > 20 THEN 'spatial' ELSE 'immobility' END AS kind FROM g WHERE total > 10"),
-    Query("k5_dbscan_per_latent", lambda s, d: K.dbscan_per_latent(_map(s, d).where("session = 's0'").withColumns({"x": F.col("speed"), "y": F.col("away")}), "latent", 5.0, 5)),
+    Query("k5_dbscan_per_latent", lambda s, d: K.dbscan_per_latent(_map(s, d).withColumns({"x": F.col("speed"), "y": F.col("away")}), "latent", 5.0, 5, KEYS)),
     Query("k6_field_properties", lambda s, d: rounded(K.field_properties(_map(s, d), ["latent"], "away", F.col("bin") < 240, F.col("bin") >= 480)),
           M0 + "SELECT latent, count(*) AS n, round(avg(away), 6) AS mean, round(stddev_samp(away), 6) AS std, round(avg(away) FILTER (bin < 240), 6) AS early, round(avg(away) FILTER (bin >= 480), 6) AS late, round(avg(away) FILTER (bin >= 480) - avg(away) FILTER (bin < 240), 6) + 0.0 AS change FROM mp GROUP BY 1"),
     Query("k7_circular_stats", lambda s, d: rounded(K.circular_stats(events(s, d), "k", 0.0, 100.0, ["session", "unit"]), 4),

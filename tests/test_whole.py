@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from latentspark.operators import nulls
+from latentspark.operators import decode, kernels, nulls, selection
 from latentspark.plans.binding import DAYS, day_counts, hourly_counts, hourly_tuning
 
 SF = "/root/testdata/sf0.001"
@@ -57,3 +57,26 @@ def test_mean_distances_take_every_step_and_component(spark, tmp_path):
     assert len(got) == 21
     for r in got:
         assert r["mean"] == pytest.approx(np.mean([np.linalg.norm(a[r.p] - a[r.q]) for a in at]), abs=1e-5)
+
+
+@pytest.mark.parametrize("name", ["l3_pre_post_circular_null", "l4_relabel_pre_post", "k5_dbscan_per_latent", "j12_previous_label_logit"])
+def test_query_has_every_session(spark, name):
+    rows = QUERIES[name](spark, SF).collect()
+    assert {r.session for r in rows} == SESSIONS
+
+
+def test_model_selection_takes_every_session(spark):
+    frame = spark.createDataFrame([(s, b, u, (b * 7 + s * 3 + k) % 5) for s in range(3) for b in range(40) for k, u in enumerate("ab")], "session int, bin long, unit string, n long")
+    grid = spark.createDataFrame([(0, 2, 1.0), (1, 3, 1.0)], "config int, latents int, lengthscale double")
+    got = selection.model_selection(spark, frame.where("bin < 30"), frame.where("bin >= 30"), grid, ["session"], 2, 2, 0.5).collect()
+    assert {(r.config, r.repeat) for r in got} == {(c, r) for c in range(2) for r in range(2)} and len({r.config for r in got if r.best}) == 1
+    y, z = ({s: np.array([[(b * 7 + s * 3 + k) % 5 for k in range(2)] for b in bins], float) for s in range(3)} for bins in (range(30), range(30, 40)))
+    for r in got:
+        n = r.config + 2
+        smooth, k = selection._smoothing(n, 1.0)
+        post = {s: selection._start(30, n, r.config, r.repeat, s) for s in y}
+        for _ in range(2):
+            rates = (smooth @ sum(post[s].T @ y[s] for s in y)) / (smooth @ sum(post[s].sum(0) for s in y))[:, None]
+            post = {s: decode.forward_backward(decode.loglik_matrix(y[s], rates, 1.0, 1.0), k, kernels.switching(0.02, 0.02))["smooth"].sum(1) for s in y}
+        want = sum(np.log(np.exp(decode.loglik_matrix(z[s], rates, 1.0, 1.0)).mean(1)).sum() for s in z)
+        assert r.test_marginal == pytest.approx(want)
