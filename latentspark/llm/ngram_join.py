@@ -7,7 +7,8 @@ The size from which lists are cheaper is chosen by cost from the histogram of se
 
 A list or subset held by many sets is never expanded into all its pairs at first: each member is compared with one leader, then in
 some rounds with one neighbour in a hashed order of the list; only pairs that this leaves in different components are compared at
-last. Links are exact: shared 64-bit shingle hashes are counted.
+last. Links are exact: shared 64-bit shingle hashes are counted. That gives the components; each set's links, which all lie inside its
+component, are then counted over all pairs of sets there, a pair of blocks at a time.
 """
 
 from __future__ import annotations
@@ -31,6 +32,8 @@ FLUSH, PER_GROUP, PER_LIST = 1_000_000, 1_000_000, 100_000
 NEIGHBOUR_ROUNDS, FRUITFUL = 4, 0.1
 #: Document ids that are broadcast at most; beyond, the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Shingles and sets that a block of a component holds on average when its links are counted, and cells of a dense block at once.
+BLOCK_ITEMS, BLOCK_SETS, CELLS = 1_000_000, 512, 1 << 22
 
 
 def least_shared(n: int) -> int:
@@ -230,9 +233,9 @@ def _may_link(large_from: int):
     return (F.lit(SHARE[1]) * small >= F.lit(SHARE[0]) * big) & (F.lit(sum(SHARE)) * rest >= F.lit(SHARE[0]) * (n + m))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, both cids) that link, by the sets themselves, made again from the texts of just these documents."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(sets, "cid").select("cid", F.col("doc").alias("__doc"))
+def set_items(cids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """cid, items (the shingles) of the sets named by cids, among others, made again from the texts of just their documents."""
+    wanted = cids.join(sets, "cid").select("cid", F.col("doc").alias("__doc"))
     texts = docs.select("doc_id", "text").join(sized_hint(wanted.select("__doc").distinct(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +248,12 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
                 cuts = np.cumsum([0, *(len(x) for _, x in part)])
                 yield pa.RecordBatch.from_arrays([pa.array([c for c, _ in part], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat))], ["cid", "items"])
 
-    items = saved(texts.mapInArrow(tidy(rows), "cid long, items array<long>")).dropDuplicates(["cid"])
+    return saved(texts.mapInArrow(tidy(rows), "cid long, items array<long>")).dropDuplicates(["cid"])
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those of pairs (a, b, both cids) that link, by the sets themselves."""
+    items = set_items(pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), docs, sets)
     shared = F.size(F.array_intersect("a_items", "b_items"))
     return (
         pairs.join(items.select(F.col("cid").alias("b"), F.col("items").alias("b_items")), "b")
@@ -310,12 +318,66 @@ def _all_pairs(left: DataFrame, large_from: int) -> DataFrame:
     return side("a").join(side("b"), "sig").where("a < b and a_comp != b_comp").where(_may_link(large_from)).select("a", "b")
 
 
-def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies, n_links for every row of docs.
+def linked_with(sets: list[np.ndarray], first: int) -> np.ndarray:
+    """For each set the sets that it links with: all pairs if first is 0, else only those of one of the first and one of the others."""
+    size = np.array([len(x) for x in sets])
+    own = np.repeat(np.arange(len(sets)), size)
+    _, at, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    held = many[at] > 1
+    at, own = (np.cumsum(many > 1) - 1)[at[held]], own[held]
+    by = np.argsort(at, kind="stable")
+    at, own = at[by], own[by]
+    a, b = (slice(first), slice(first, None)) if first else (slice(None), slice(None))
+    shared, width = np.zeros((len(size[a]), len(size[b])), np.float64), max(64, CELLS // len(sets))
+    for k in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        part = slice(*np.searchsorted(at, [k, k + width]))
+        dense = np.zeros((len(sets), width), np.float32)
+        dense[own[part], at[part] - k] = 1
+        shared += dense[a] @ dense[b].T
+    link = sum(SHARE) * shared >= SHARE[0] * np.add.outer(size[a], size[b])
+    if first:
+        return np.concatenate([link.sum(1), link.sum(0)])
+    np.fill_diagonal(link, False)
+    return link.sum(1)
+
+
+def link_counts(spark: SparkSession, comps: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """cid, n_links: all links of each set of comps. The sets of a component are dealt over blocks by hash, and a task counts inside a pair of blocks; small components share tasks."""
+    named = comps.select(F.col("node").alias("cid"), "comp").join(sets.select("cid", "n"), "cid")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int")
+    of_comp = saved(named.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("items"), blocks.alias("blocks")))
+    groups = max(partitions_of(spark), -(-(of_comp.where("m > 2 and blocks = 1").agg(F.sum("items")).first()[0] or 0) // BLOCK_ITEMS))
+    members = saved(named.join(of_comp.where("m > 2"), "comp").select("cid", "comp", "blocks", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int").alias("block")))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+    group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp", "lo", "hi"))
+    rows = dealt.join(set_items(members.select("cid"), docs, sets), "cid").select(group.alias("grp"), "comp", "lo", "hi", "block", "cid", "items")
+
+    def count(table: pa.Table) -> pa.Table:
+        comp, lo, hi, block, cid = (table.column(c).to_numpy() for c in ("comp", "lo", "hi", "block", "cid"))
+        items = table.column("items").combine_chunks()
+        items = items.combine_chunks() if isinstance(items, pa.ChunkedArray) else items
+        flat, cuts = items.values.to_numpy(), items.offsets.to_numpy()
+        by = np.lexsort((block, hi, lo, comp))
+        key = np.stack([comp[by], lo[by], hi[by]])
+        edges = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
+        n = np.zeros(len(by), np.int64)
+        for s, e in zip(edges[:-1], edges[1:], strict=True):
+            t = by[s:e]
+            cross = lo[t[0]] < hi[t[0]]
+            first = int((block[t] == lo[t[0]]).sum()) if cross else 0
+            if not cross or 0 < first < len(t):
+                n[t] = linked_with([flat[cuts[k] : cuts[k + 1]] for k in t], first)
+        return pa.table({"cid": pa.array(cid), "n_links": pa.array(n)})
+
+    counted = rows.groupBy("grp").applyInArrow(count, "cid long, n_links long").groupBy("cid").agg(F.sum("n_links").alias("n_links"))
+    return counted.unionByName(named.join(of_comp.where("m = 2"), "comp").select("cid", F.lit(1).cast("long").alias("n_links")))
+
+
+def jaccard_components(spark: SparkSession, docs: DataFrame, count_links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies, n_links for every row of docs; without count_links no n_links.
 
     component_id is the least doc_id reachable by links, the row's own included. n_copies counts rows with the row's own set, n_links
-    the links found from its set to other sets (at least those that join it to its component). Sets without shingles link with
-    nothing. Rows with a null doc_id take part; a null is never the least of several ids. Repeated rows come back as often as they
+    all other sets that link with its set. Sets without shingles link with nothing. Rows with a null doc_id take part; a null is never the least of several ids. Repeated rows come back as often as they
     are given. Null and empty texts have n_shingles 0; an empty table gives an empty one. Other columns are not read.
     """
     small_batches(spark)
@@ -339,14 +401,13 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
     as_b = lists.select("sig", F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"))
     star = as_b.join(lead.select("sig", F.col("l.cid").alias("a"), F.col("l.n").alias("a_n"), F.col("l.pos").alias("a_pos")), "sig").where("a != b").where(_may_link(large_from))
     tried = saved(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = saved(verified(tried, docs, sets))
-    comps = saved(components(links))
+    comps = saved(components(saved(verified(tried, docs, sets))))
 
     # then against its neighbours in hashed orders, as long as that joins much; at last all that is left in different ones
     for turn in range(NEIGHBOUR_ROUNDS):
         pairs = saved(_untried(_neighbours(_in_mixed_lists(lists, comps), large_from, turn), tried))
         more = saved(verified(pairs, docs, sets))
-        links, tried = links.unionByName(more), tried.unionByName(pairs)
+        tried = tried.unionByName(pairs)
         found = more.count()
         if found:
             comps = saved(_with_links(comps, more))
@@ -354,12 +415,15 @@ def jaccard_components(spark: SparkSession, docs: DataFrame) -> DataFrame:
             break
     more = saved(verified(saved(_untried(_all_pairs(_in_mixed_lists(lists, comps), large_from), tried)), docs, sets))
     if not more.isEmpty():
-        links, comps = links.unionByName(more), saved(_with_links(comps, more))
+        comps = saved(_with_links(comps, more))
 
     final = sets.join(comps.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     least = final.groupBy("comp").agg(F.min("doc").alias("component_id"))
-    degree = links.select(F.explode(F.array("a", "b")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
-    of_set = final.join(least, "comp").join(degree, "cid", "left").select("cid", "component_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    linked = rows.where("n_shingles > 0").join(of_set, "cid").select("doc_id", "n_shingles", "component_id", "n_copies", "n_links")
+    of_set = final.join(least, "comp").select("cid", "component_id", "n_copies")
+    names = ["doc_id", "n_shingles", "component_id", "n_copies"]
+    if count_links:
+        of_set = of_set.join(link_counts(spark, comps, docs, sets), "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        names.append("n_links")
+    linked = rows.where("n_shingles > 0").join(of_set, "cid").select(*names)
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
-    return linked.unionByName(alone)
+    return linked.unionByName(alone.select(*names))
