@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.llm import decontamination, ngram_join, packing, secret_scan, toxicity
-from latentspark.llm.common import saved
+from latentspark.llm.common import numbered, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least doc_id of each group of linked documents. Documents without words and rows without an id all stay; rows that repeat the doc_id that stays stay with it."""
-    groups = ngram_join.jaccard_components(spark, docs).where("n_shingles > 0")
-    gone = saved(groups.where("doc_id is not null and doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(gone, docs.doc_id == F.col("__id"), "left_anti")
+    """One row of each group of linked documents: that with the least doc_id, nulls last, and one of several such. Documents without words all stay."""
+    rows = numbered(docs)
+    groups = ngram_join.jaccard_components(spark, rows.select(F.col("__row").alias("doc_id"), "text"), count_links=False).where("n_shingles > 0")
+    named = saved(groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).join(rows.select("__row", "doc_id"), "__row"))
+    stays = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__group", F.col("s.__row").alias("__stays"))
+    gone = saved(named.join(stays, "__group").where("__row != __stays").select("__row"))
+    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

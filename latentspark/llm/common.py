@@ -34,6 +34,11 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def numbered(df: DataFrame) -> DataFrame:
+    """df saved with __row, a number of each row's own: ids may be null or repeated."""
+    return saved(df.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def small_batches(spark: SparkSession) -> None:
     """Rows and bytes that pass to Python at once, for this session: texts vary from nothing to megabytes, and two workers share an executor's memory."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

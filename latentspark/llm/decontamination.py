@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, saved, small_batches, text_slices, tidy, word_hashes
+from .common import Powers, numbered, saved, small_batches, text_slices, tidy, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
 #: Leading directions that are left out: they tell languages and common words apart, not passages.
@@ -286,6 +286,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item."""
-    found = saved(contaminated(spark, docs, benchmark).select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(found, docs.doc_id.eqNullSafe(F.col("__id")), "left_anti")
+    """The rows of docs that hold no benchmark item, whatever their ids."""
+    rows = numbered(docs)
+    found = saved(contaminated(spark, rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct())
+    return rows.join(found, "__row", "left_anti").select(*docs.columns)

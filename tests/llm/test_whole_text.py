@@ -2,6 +2,7 @@
 
 import random
 
+import corpus_pipeline
 import pytest
 from test_operators import DOCS, WORDS
 
@@ -33,3 +34,18 @@ def test_links_inside_a_component_are_all_counted(spark, monkeypatch, block):
     want = {i: sum(x != y and 100 * len(x & y) >= 75 * len(x | y) for y in kinds) for i, x in sets.items()}
     assert max(want.values()) > 5 and 0 in want.values() and 1 in want.values()
     assert {r.doc_id: r.n_links for r in got} == want
+
+
+def test_filters_of_the_pipeline_remove_rows_not_ids(spark, tmp_path):
+    rng = random.Random(8)
+    some = lambda n=80: " ".join(rng.choices(WORDS, k=n))
+    copied, other, only, item, null_copy = some(), some(), some(), some(40), some()
+    rows = [(1, copied), (5, copied), (5, other), (1, copied), (None, copied), (None, only), (7, f"{some(30)} {item} {some(30)}"), (7, some()), (None, item), (None, null_copy), (None, null_copy), (8, None), (8, "")]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)
+    spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near, rows = docs, rows + [(1000 + k, some(200)) for k in range(200)]
+    docs = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    assert texts(stage["near_duplicates"](spark, near, str(tmp_path))) == sorted([rows[k] for k in (0, 2, 5, 6, 7, 8, 9, 11, 12)], key=str)
+    assert texts(stage["decontamination"](spark, docs, str(tmp_path))) == sorted([rows[k] for k in (0, 1, 2, 3, 4, 5, 7, *range(9, len(rows)))], key=str)
