@@ -3,7 +3,7 @@
 Texts are cut into passages of WINDOW words at half-window steps. Words are hashed to WIDTH terms and weighted by the inverse of the number
 of documents that have them. One pass over all passages (of half a window, without overlap) multiplies their covariance with random vectors, task by task; from the
 sum, which is WIDTH x RANK whatever the corpus, a randomised (Nystrom) decomposition gives the latent directions. A second pass maps
-each passage there and takes the benchmark items with a large cosine as candidates, if they share enough weighted terms too. Each is
+each passage there and takes the benchmark items with a window of a large cosine as candidates, if they share enough weighted terms too. Each is
 settled by the words around the passage: their longest common subsequence with the item, and the share of the item's closing words, its answer, among them.
 """
 
@@ -176,16 +176,24 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list, np.ndarray, list[list[int]]]:
-    """(ids, unit latent vectors, hashes of the words) of the benchmark items that have words."""
+def windows_of(words: np.ndarray) -> list[np.ndarray]:
+    """words in windows of WINDOW at half-window steps, the last one at the end; all of fewer words as one."""
+    last = max(0, len(words) - WINDOW)
+    return [words[k : k + WINDOW] for k in sorted({*range(0, last, WINDOW // 2), last})]
+
+
+def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list[list[int]]]:
+    """(ids, unit latent vectors of windows, the item of each window, hashes of the words) of the benchmark items that have words."""
     powers, ids, words = Powers(), [], []
     for at, h, cuts in hashed_words(pa.array([t for _, t in rows], pa.string()), powers):
         for i in range(len(cuts) - 1):
             if cuts[i + 1] > cuts[i]:
                 ids.append(rows[at + i][0])
                 words.append(h[cuts[i] : cuts[i + 1]])
-    vectors = np.array([directions[terms(w)].sum(0) for w in words], np.float32).reshape(-1, directions.shape[1])
-    return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), [w.tolist() for w in words]
+    parts = [windows_of(w) for w in words]
+    vectors = np.array([directions[terms(x)].sum(0) for p in parts for x in p], np.float32).reshape(-1, directions.shape[1])
+    of = np.repeat(np.arange(len(words)), [len(p) for p in parts])
+    return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), of, [w.tolist() for w in words]
 
 
 def held_weights(lists: list[list[int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,10 +207,10 @@ def held_weights(lists: list[list[int]], weights: np.ndarray) -> tuple[np.ndarra
     return held, need
 
 
-def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: np.ndarray, limits: np.ndarray, held: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(row, first word, item, cosine) of passages whose latent cosine with an item is at least the item's limit and that share enough of its weight."""
+def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, windows: np.ndarray, of: np.ndarray, limits: np.ndarray, held: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(row, first word, item, cosine) of passages whose latent cosine with some window of an item is at least the item's limit and that share enough of its weight. of: the item of each window, ascending."""
     first, row, follows = half_windows(cuts)
-    if not len(first) or not len(items):
+    if not len(first) or not len(windows):
         return []
     t = terms(h)
     halves = block_sums(directions, t, first)
@@ -210,9 +218,12 @@ def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, items: n
     x[:-1][follows[:-1]] += halves[1:][follows[:-1]]
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
     end = np.minimum(first + WINDOW, cuts[1:][row])
-    out, rows = [], max(16, (1 << 20) // len(items))
+    out, rows = [], max(16, (1 << 20) // len(windows))
+    begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
     for a in range(0, len(x), rows):
-        cos = x[a : a + rows] @ items.T
+        cos = x[a : a + rows] @ windows.T
+        if len(begins) < len(of):
+            cos = np.maximum.reduceat(cos, begins, axis=1)
         p, i = np.nonzero(cos >= limits)
         total = np.zeros(len(p), np.int64)
         begin, until = first[a + p], end[a + p]
@@ -258,14 +269,14 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
         items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions), directions, weights))
 
         def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            powers, (ids, vectors, lists, directions, weights) = Powers(), items.value
+            powers, (ids, vectors, of, lists, directions, weights) = Powers(), items.value
             limits = COSINE * np.minimum(1.0, np.array([len(x) / WINDOW for x in lists])) ** 0.25
             held, need = held_weights(lists, weights)
             for batch in batches:
                 row, found = [], []
                 for at, h, cuts in hashed_words(batch.column(1), powers):
                     best: dict[tuple[int, int], tuple] = {}
-                    for r, first, i, cos in candidates(h, cuts, directions, vectors, limits, held, need):
+                    for r, first, i, cos in candidates(h, cuts, directions, vectors, of, limits, held, need):
                         if best.get((r, i), (0,))[0] == len(lists[i]):
                             continue  # whole already
                         got = settled(h, int(cuts[r]), int(cuts[r + 1]), first, lists[i])

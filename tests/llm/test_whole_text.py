@@ -6,7 +6,7 @@ import corpus_pipeline
 import pytest
 from test_operators import DOCS, WORDS
 
-from latentspark.llm import ngram_join
+from latentspark.llm import decontamination, ngram_join
 
 
 def shingles(text):
@@ -49,3 +49,13 @@ def test_filters_of_the_pipeline_remove_rows_not_ids(spark, tmp_path):
     texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
     assert texts(stage["near_duplicates"](spark, near, str(tmp_path))) == sorted([rows[k] for k in (0, 2, 5, 6, 7, 8, 9, 11, 12)], key=str)
     assert texts(stage["decontamination"](spark, docs, str(tmp_path))) == sorted([rows[k] for k in (0, 1, 2, 3, 4, 5, 7, *range(9, len(rows)))], key=str)
+
+
+def test_items_longer_than_a_window_are_found(spark):
+    rng = random.Random(21)
+    vocabulary = [f"{a}{b}" for a in WORDS for b in range(40)]
+    some = lambda n: rng.choices(vocabulary, k=n)
+    items = [(k, some(n)) for k, n in enumerate([20, 32, 40, 180, 300, 500] * 4)]
+    docs = [(k, " ".join(some(rng.randrange(40)) + w + some(60))) for k, w in items] + [(1000 + k, " ".join(some(300))) for k in range(300)]
+    found = decontamination.contaminated(spark, spark.createDataFrame([(*r, "en", "s", 0) for r in docs], DOCS), spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(k, k) for k, _ in items}
