@@ -74,9 +74,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE_CODE = np.random.Generator(np.random.PCG64(20240117)).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Places of a word's bytes whose random values are in a table; values of later places are computed.
+_PLACES = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,19 +87,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class Powers:
-    """Powers of an odd base and of its inverse modulo 2**64, as far as needed so far."""
+def _place_values(at: np.ndarray, byte: np.ndarray) -> np.ndarray:
+    """A random-looking 64-bit value of each byte at each place of a word."""
+    return mix((at.astype(np.uint64) << np.uint64(8) | byte.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xA24BAED4963EE407))
 
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, np.uint64)
 
-    def reach(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            n = max(n, SLICE_BYTES + 4096)
-            up, down = np.full(n, _BASE, np.uint64), np.full(n, _BASE_INVERSE, np.uint64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        return self.up, self.down
+_VALUES = _place_values(np.repeat(np.arange(_PLACES), 256), np.tile(np.arange(256), _PLACES))
 
 
 def text_slices(column: pa.Array, most: int = SLICE_BYTES):
@@ -136,25 +128,38 @@ def words_of(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple
     return data, starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, powers: Powers) -> np.ndarray:
-    """A 64-bit hash of each word."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each word: the sum of random values of its bytes at their places (tabulation), finished by `mix`.
+
+    Words that differ get unrelated sums wherever they differ; no structure of the bytes, repetition for one, makes them collide.
+    """
     if not len(starts):
         return np.zeros(0, np.uint64)
-    up, down = powers.reach(len(data) + 1)
+    begin = np.zeros(len(data), np.int32)
+    begin[starts] = np.diff(starts, prepend=0)
+    at = np.arange(len(data), dtype=np.int32) - np.cumsum(begin, dtype=np.int32)
+    far = np.flatnonzero(at >= _PLACES)
+    index = np.minimum(at, _PLACES - 1)
+    index <<= 8
+    index |= data
+    index[: starts[0]] = 0
+    values = _VALUES[index]
+    if len(far):
+        values[far] = _place_values(at[far], data[far])
     total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    np.cumsum(values, out=total[1:])
+    return mix(total[ends] - total[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 #: Odd multipliers, one for each place in a shingle.
 PLACES = [np.uint64(x) for x in (0x8CB92BA72F3D8DD7, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x589965CC75374CC3, 0x1D8E4E27C47D124F)]
 
 
-def shingle_sets(column: pa.Array, powers: Powers, size: int = 5):
+def shingle_sets(column: pa.Array, size: int = 5):
     """For each row the sorted distinct 64-bit hashes of its `size`-word shingles; all its words as one if there are fewer; none without words."""
     for _, data, offsets in text_slices(column):
         data, starts, ends, rows = words_of(data, offsets)
-        h = word_hashes(data, starts, ends, powers)
+        h = word_hashes(data, starts, ends)
         cuts = np.searchsorted(rows, np.arange(len(offsets)))
         many = max(0, len(h) - size + 1)
         grams = np.zeros(many, np.uint64)

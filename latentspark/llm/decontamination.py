@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, numbered, saved, small_batches, text_slices, tidy, word_hashes
+from .common import numbered, saved, small_batches, text_slices, tidy, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
 #: Leading directions that are left out: they tell languages and common words apart, not passages.
@@ -50,7 +50,7 @@ def divided(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, ends
 
 
-def hashed_words(column: pa.Array, powers: Powers):
+def hashed_words(column: pa.Array):
     """(first row, hash of each word, first word of each row) of runs of rows; letters in lower case."""
     column = pc.utf8_lower(column.cast(pa.large_string()))
     for at, data, offsets in text_slices(column, 1 << 19):
@@ -58,7 +58,7 @@ def hashed_words(column: pa.Array, powers: Powers):
             yield at, np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
             continue
         starts, ends = divided(data, offsets)
-        yield at, word_hashes(data, starts, ends, powers), np.searchsorted(starts, offsets)
+        yield at, word_hashes(data, starts, ends), np.searchsorted(starts, offsets)
 
 
 def terms(h: np.ndarray) -> np.ndarray:
@@ -69,10 +69,10 @@ def term_rows(docs: DataFrame) -> DataFrame:
     """A saved table: term and df (documents that have it; term -1: all documents) of each task, and with term -2 the terms of all words and where texts begin."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, df, n = Powers(), np.zeros(WIDTH, np.int64), 0
+        df, n = np.zeros(WIDTH, np.int64), 0
         names = ["term", "df", "terms", "cuts"]
         for batch in batches:
-            for _, h, cuts in hashed_words(batch.column(0), powers):
+            for _, h, cuts in hashed_words(batch.column(0)):
                 t = terms(h)
                 own = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
                 for a in range(0, len(cuts) - 1, 256):
@@ -184,8 +184,8 @@ def windows_of(words: np.ndarray) -> list[np.ndarray]:
 
 def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list[list[int]]]:
     """(ids, unit latent vectors of windows, the item of each window, hashes of the words) of the benchmark items that have words."""
-    powers, ids, words = Powers(), [], []
-    for at, h, cuts in hashed_words(pa.array([t for _, t in rows], pa.string()), powers):
+    ids, words = [], []
+    for at, h, cuts in hashed_words(pa.array([t for _, t in rows], pa.string())):
         for i in range(len(cuts) - 1):
             if cuts[i + 1] > cuts[i]:
                 ids.append(rows[at + i][0])
@@ -269,12 +269,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
         items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions), directions, weights))
 
         def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            powers, (ids, vectors, of, lists, directions, weights) = Powers(), items.value
+            (ids, vectors, of, lists, directions, weights) = items.value
             limits = COSINE * np.minimum(1.0, np.array([len(x) / WINDOW for x in lists])) ** 0.25
             held, need = held_weights(lists, weights)
             for batch in batches:
                 row, found = [], []
-                for at, h, cuts in hashed_words(batch.column(1), powers):
+                for at, h, cuts in hashed_words(batch.column(1)):
                     best: dict[tuple[int, int], tuple] = {}
                     for r, first, i, cos in candidates(h, cuts, directions, vectors, of, limits, held, need):
                         if best.get((r, i), (0,))[0] == len(lists[i]):

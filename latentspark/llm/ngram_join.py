@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Powers, from_planes, mix, partitions_of, planes, saved, shingle_sets, signed, sized_hint, small_batches, tidy
+from .common import from_planes, mix, partitions_of, planes, saved, shingle_sets, signed, sized_hint, small_batches, tidy
 
 #: A pair links when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
@@ -50,16 +50,15 @@ def set_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, cid (name of the set; equal sets have one) of each row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers = Powers()
         for batch in batches:
-            sets = [(len(x), set_id(x)) for x in shingle_sets(batch.column(1), powers)]
+            sets = [(len(x), set_id(x)) for x in shingle_sets(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([n for n, _ in sets], pa.int64()), pa.array([c for _, c in sets], pa.int64())], ["doc_id", "n_shingles", "cid"])
 
     return docs.select("doc_id", "text").mapInArrow(tidy(rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, cid long")
 
 
-def _first_seen(batch: pa.RecordBatch, powers: Powers, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
-    for x in shingle_sets(batch.column(0), powers):
+def _first_seen(batch: pa.RecordBatch, seen: set[int]) -> Iterator[tuple[int, np.ndarray]]:
+    for x in shingle_sets(batch.column(0)):
         if len(x) and (c := set_id(x)) not in seen:
             seen.add(c)
             yield c, x
@@ -76,7 +75,7 @@ def shingle_counts(docs: DataFrame, groups: int) -> DataFrame:
     """
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen, held, size = Powers(), set(), [], 0
+        seen, held, size = set(), [], 0
 
         def out() -> pa.RecordBatch:
             h = np.concatenate(held)
@@ -92,7 +91,7 @@ def shingle_counts(docs: DataFrame, groups: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(x) for x in ([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows])], ["grp", "keys", "counts"])
 
         for batch in batches:
-            for _, x in _first_seen(batch, powers, seen):
+            for _, x in _first_seen(batch, seen):
                 held.append(x)
                 size += len(x)
                 if size >= FLUSH:
@@ -180,7 +179,7 @@ def postings(docs: DataFrame, order, large_from: int, groups: int) -> DataFrame:
         return (np.concatenate(sigs), np.concatenate(pos), np.concatenate(hot)) if sigs else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
 
     def blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen, held, size, by = Powers(), set(), [], 0, Order(*order.value)
+        seen, held, size, by = set(), [], 0, Order(*order.value)
 
         def out() -> pa.RecordBatch:
             sig, cid, n, pos, split = (np.concatenate([h[i] for h in held]) for i in range(5))
@@ -194,7 +193,7 @@ def postings(docs: DataFrame, order, large_from: int, groups: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows]) for i in range(6)], ["grp", "sig", "cid", "n", "pos", "split"])
 
         for batch in batches:
-            for c, x in _first_seen(batch, powers, seen):
+            for c, x in _first_seen(batch, seen):
                 sig, pos, hot = publish(*by.sort(x))
                 if len(sig):
                     held.append((sig, np.full(len(sig), c, np.int64).view(np.uint64), np.full(len(sig), len(x)), pos, -(-hot // PER_LIST)))
@@ -239,9 +238,9 @@ def set_items(cids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(sized_hint(wanted.select("__doc").distinct(), BROADCAST_ROWS), F.col("doc_id").eqNullSafe(F.col("__doc")), "left_semi").select("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        powers, seen = Powers(), set()
+        seen = set()
         for batch in batches:
-            got = list(_first_seen(batch, powers, seen))
+            got = list(_first_seen(batch, seen))
             for k in range(0, len(got), 500):
                 part = got[k : k + 500]
                 flat = signed(np.concatenate([x for _, x in part]))

@@ -12,91 +12,56 @@ from __future__ import annotations
 import base64
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, Powers, gapless_rank, mix, partitions_of, saved, small_batches, text_slices, tidy, word_hashes
+from .common import gapless_rank, mix, partitions_of, saved, small_batches, tidy
 
 WINDOW, DEPTH, ROUNDS = 1024, 3, 300
 SEPARATOR = 0
 SPECIAL = {"<|endoftext|>": 50256}
 
 
-def vocabulary() -> tuple[str, str]:
-    """Path of the public vocabulary, as ranks, and the pattern that splits texts."""
-    import public_tokenizers
+@dataclass(frozen=True)
+class Vocabulary:
+    """Paths of one public vocabulary, as a tokenizer file and as ranks, and the pattern that splits texts for the ranks."""
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    file: str
+    ranks: str
+    pattern: str
 
+    @staticmethod
+    def public() -> Vocabulary:
+        import public_tokenizers
 
-def encoder(ranks: str, pattern: str):
-    import tiktoken
+        return Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
-    with open(ranks, "rb") as f:
-        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=merges, special_tokens=SPECIAL)
 
+class Coder:
+    """Ids of texts as the tokenizer file gives them. The ranks give the same ids (tests compare all characters) in a third of the time;
+    where their pattern gives up, on very long runs of white space, the tokenizer itself takes the text."""
 
-#: Different words that a task remembers the ids of, bytes of text that it looks at together.
-REMEMBERED, TOGETHER = 1 << 18, 1 << 22
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        import tiktoken
 
+        with open(vocabulary.ranks, "rb") as f:
+            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        self.ranks = tiktoken.Encoding("packing", pat_str=vocabulary.pattern, mergeable_ranks=merges, special_tokens=SPECIAL)
+        self.file, self.whole = vocabulary.file, None
 
-class WordIds:
-    """Ids of whole texts, each different word encoded once.
+    def ids(self, text: str) -> np.ndarray:
+        try:
+            return self.ranks.encode_to_numpy(text, allowed_special="all")
+        except ValueError:
+            if self.whole is None:
+                from tokenizers import Tokenizer
 
-    The splitting pattern always ends a piece where white space begins, so a text may be cut there: a stretch is white space and the
-    word behind it. No cut is made behind characters that may be white space outside ASCII. Words are known by 64-bit hashes.
-    """
-
-    def __init__(self, coder) -> None:
-        self.coder, self.powers = coder, Powers()
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[int, int] = {}
-        self.flat, self.starts, self.used = np.zeros(1 << 16, np.uint32), [0], 0
-
-    def _learn(self, word: bytes) -> int:
-        x = self.coder.encode_to_numpy(word.decode(), allowed_special="all")
-        if self.used + len(x) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(len(self.flat) + len(x), np.uint32)])
-        self.flat[self.used : self.used + len(x)] = x
-        self.used += len(x)
-        self.starts.append(self.used)
-        return len(self.starts) - 2
-
-    def of(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts, place of each text's first id and the end)."""
-        if not len(data):
-            return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
-        if len(self.known) > REMEMBERED:
-            self.forget()
-        space = SPACE[data]
-        begins = np.zeros(len(data), bool)
-        begins[1:] = space[1:] & ~space[:-1]
-        risky = data >= 0x80
-        before = np.flatnonzero(begins & np.concatenate([[False], risky[:-1]]))
-        wide = np.isin(data[np.maximum(before - 3, 0)], (0xE1, 0xE2, 0xE3)) | (data[np.maximum(before - 2, 0)] == 0xC2)
-        begins[before[wide]] = False
-        begins[offsets[:-1][offsets[:-1] < len(data)]] = True
-        starts = np.flatnonzero(begins)
-        ends = np.append(starts[1:], len(data))
-        kinds, where, back = np.unique(word_hashes(data, starts, ends, self.powers), return_index=True, return_inverse=True)
-        known, entries = self.known, []
-        for h, a, b in zip(kinds.tolist(), starts[where].tolist(), ends[where].tolist(), strict=True):
-            e = known.get(h)
-            if e is None:
-                e = known[h] = self._learn(data[a:b].tobytes())
-            entries.append(e)
-        at = np.array(self.starts)
-        entry = np.array(entries)[back]
-        length = (at[1:] - at[:-1])[entry]
-        total = np.concatenate([[0], np.cumsum(length)])
-        ids = self.flat[np.repeat(at[entry] - total[:-1], length) + np.arange(total[-1])]
-        return ids, total[np.searchsorted(starts, offsets)]
+                self.whole = Tokenizer.from_file(self.file)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def cut_lengths(tokens: int, salt: int, window: int = WINDOW) -> list[int]:
@@ -111,30 +76,27 @@ def cut_lengths(tokens: int, salt: int, window: int = WINDOW) -> list[int]:
     return out
 
 
-def pieces_of(docs: DataFrame, ranks: str, pattern: str, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pieces_of(docs: DataFrame, vocabulary: Vocabulary, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, if with_ids, ids (array) of each piece of every row; null texts count as empty."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, at = WordIds(encoder(ranks, pattern)), 0
+        coder, at = Coder(vocabulary), 0
         for batch in batches:
             row, start, length, crc, tokens, ids = [], [], [], [], [], []
-            salts = batch.column(0).to_pylist()
-            for first, data, offsets in text_slices(batch.column(1), TOGETHER):
-                flat, cuts = words.of(data, offsets)
-                for i in range(len(cuts) - 1):
-                    x = np.append(flat[cuts[i] : cuts[i + 1]], np.uint32(SEPARATOR)).astype("<u4")
-                    salt, begin = salts[first + i], 0
-                    for n in cut_lengths(len(x), (at + first + i if salt is None else salt) & 0xFFFFFFFF, window):
-                        part = x[begin : begin + n]
-                        row.append(first + i)
-                        start.append(begin)
-                        length.append(n)
-                        crc.append(zlib.crc32(part.tobytes()))
-                        tokens.append(len(x))
-                        if with_ids:
-                            ids.append(part.astype(np.int32))
-                        begin += n
+            for i, (salt, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+                x = np.append(coder.ids(text.as_py() or ""), np.uint32(SEPARATOR)).astype("<u4")
+                begin = 0
+                for n in cut_lengths(len(x), (at + i if salt is None else salt) & 0xFFFFFFFF, window):
+                    part = x[begin : begin + n]
+                    row.append(i)
+                    start.append(begin)
+                    length.append(n)
+                    crc.append(zlib.crc32(part.tobytes()))
+                    tokens.append(len(x))
+                    if with_ids:
+                        ids.append(part.astype(np.int32))
+                    begin += n
             at += batch.num_rows
             out = [batch.column(0).take(pa.array(row, pa.int64())), *(pa.array(c, pa.int64()) for c in (start, length, crc, tokens))]
             yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.list_(pa.int32()))] if with_ids else []), ["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
@@ -228,7 +190,7 @@ def place(table: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple[np
     return first[i] + k // per[i], offset[i] + k % per[i] * length
 
 
-def pack_documents(spark: SparkSession, docs: DataFrame, ranks: str | None = None, pattern: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
+def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, ids of each piece of every row of docs.
 
     Ids are those of the public vocabulary and a closing 0; null and empty texts are that 0 alone. Each id lies in one piece; the
@@ -236,9 +198,7 @@ def pack_documents(spark: SparkSession, docs: DataFrame, ranks: str | None = Non
     empty table gives an empty one; other columns are not read.
     """
     small_batches(spark)
-    if ranks is None or pattern is None:
-        ranks, pattern = vocabulary()
-    pieces = saved(pieces_of(docs, ranks, pattern, window, with_ids).withColumn("__at", F.monotonically_increasing_id()))
+    pieces = saved(pieces_of(docs, vocabulary or Vocabulary.public(), window, with_ids).withColumn("__at", F.monotonically_increasing_id()))
     histogram = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `window` rows
         histogram[r.length] = r.n

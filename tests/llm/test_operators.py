@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from latentspark.llm import decontamination, language_id, nearest, ngram_join, packing, secret_scan, sharding, toxicity, url_filter, warc
+from latentspark.llm import common, decontamination, language_id, nearest, ngram_join, packing, secret_scan, sharding, toxicity, url_filter, warc
 from latentspark.llm.queries import RULES
 
 SF = "/root/testdata/sf0.001"
@@ -405,19 +405,38 @@ def test_tree_holds_every_shard(n):
     assert [s for r in sharding.Tree.even(n).regions for k in r for s, _ in k] == list(range(n))
 
 
-def test_word_ids_equal_the_tokenizer():
+def test_ids_equal_the_tokenizer():
     from tokenizers import Tokenizer
 
     import public_tokenizers
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    words = packing.WordIds(packing.encoder(*packing.vocabulary()))
+    coder = packing.Coder(packing.Vocabulary.public())
     rng = random.Random(8)
     texts = ["".join(rng.choices([" ", "  ", "\n", "\t", "　", "\u00a0", "\u2003", "a", "é", "ab", "123", "'s", "!", "日", "<|endoftext|>", "\x1c", "\u0085"], k=rng.randrange(25))) for _ in range(1500)]
-    column = pa.array(texts)
-    from latentspark.llm.common import text_slices
-
-    for first, data, offsets in text_slices(column):
-        ids, cuts = words.of(data, offsets)
-        for i in range(len(cuts) - 1):
-            assert ids[cuts[i] : cuts[i + 1]].tolist() == t.encode(texts[first + i], add_special_tokens=False).ids, repr(texts[first + i])
+    # every 37th character of all, between letters, digits and spaces; runs of white space that the splitting pattern gives up on
+    texts += [f"a{chr(c)}b {chr(c)}1 {chr(c)}{chr(c)} 's{chr(c)}  {chr(c)} \n{chr(c)}x" for c in range(0, 0x110000, 37) if not 0xD800 <= c < 0xE000]
+    texts += [" " * 300_000 + "x", "\n" * 200_000 + " y", "a" * 300_000]
+    for x, want in zip(texts, t.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+        assert coder.ids(x).tolist() == want.ids, repr(x[:80])
+
+
+def thue_morse(rounds):
+    x = "a"
+    for _ in range(rounds):
+        x += x.translate(str.maketrans("ab", "ba"))
+    return x
+
+
+def test_structured_words_have_hashes_and_ids_of_their_own(spark):
+    x = thue_morse(11)
+    y = x.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer(f"{x} {y} {x} {x}a a{x}".encode(), np.uint8)
+    h = common.word_hashes(*common.words_of(data, np.array([0, len(data)]))[:3]).tolist()
+    assert h[0] == h[2] and len(set(h)) == 4
+    five = lambda w: " ".join([w] * 5)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark, docs_of(spark, [(1, five(x)), (2, five(y)), (3, five(x))])).collect()}
+    assert got == {1: 1, 2: 2, 3: 1}
+    crc = {(r.doc_id, r.start): r.ids_crc32 for r in packing.pack_documents(spark, docs_of(spark, [(1, x), (2, y)]), with_ids=False).collect()}
+    coder = packing.Coder(packing.Vocabulary.public())
+    assert coder.ids(x).tolist() != coder.ids(y).tolist() and crc[1, 0] != crc[2, 0]
