@@ -14,30 +14,27 @@ from latentspark.llm.common import numbered, saved
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a score below the threshold. The lexicon is learned from the labelled rows of docs."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    names = docs.columns
-    model = toxicity.fit(docs, labels)
-    return toxicity.scored(spark, docs, model, names).where(F.col("__score") < toxicity.THRESHOLD).select(*names)
+    """Documents with a score below the threshold, each row by its own text, null and repeated ids too. The lexicon is learned from the labelled rows of docs; without any, and for null and empty texts, nothing is toxic."""
+    return toxicity.without_toxic(spark, docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents: that with the least doc_id, nulls last, and one of several such. Documents without words all stay."""
-    rows = numbered(docs)
-    groups = ngram_join.jaccard_components(spark, rows.select(F.col("__row").alias("doc_id"), "text"), count_links=False).where("n_shingles > 0")
-    named = saved(groups.select(F.col("doc_id").alias("__row"), F.col("component_id").alias("__group")).join(rows.select("__row", "doc_id"), "__row"))
-    stays = named.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("__group", F.col("s.__row").alias("__stays"))
-    gone = saved(named.join(stays, "__group").where("__row != __stays").select("__row"))
-    return rows.join(gone, "__row", "left_anti").select(*docs.columns)
+    rows, number = numbered(docs)
+    groups = ngram_join.jaccard_components(spark, rows.select(F.col(number).alias("doc_id"), "text"), count_links=False).where("n_shingles > 0")
+    named = saved(groups.select(F.col("doc_id").alias("row"), F.col("component_id").alias("grp")).join(rows.select(F.col(number).alias("row"), "doc_id"), "row"))
+    stays = named.groupBy("grp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("grp", F.col("s.row").alias("stays"))
+    gone = saved(named.join(stays, "grp").where("row != stays").select(F.col("row").alias(number)))
+    return rows.join(gone, number, "left_anti").select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item, whole or reworded."""
+    """Documents that hold no benchmark item, whole or reworded; null and repeated ids are rows like others, null and empty texts stay."""
     return decontamination.without_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each secret replaced by its kind in brackets."""
+    """All documents, each secret replaced by its kind in brackets; null and repeated ids, null and empty texts stay as they are."""
     return secret_scan.redacted(docs)
 
 

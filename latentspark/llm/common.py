@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import functools
 import gc
 import tempfile
 import uuid
@@ -11,17 +12,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; longer texts are taken alone.
 SLICE_BYTES = 1 << 20
 
 
+#: Folders of the operators that are running, the innermost last: what they save on the way goes there.
+_open: list[str] = []
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where it is unset (tests on one machine), a new temporary one."""
+    """A new name in the folder of spark.checkpoint.dir; where that is unset on one machine, as in tests, it is set to a new temporary folder."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/latentspark-{uuid.uuid4().hex}"
@@ -29,20 +36,60 @@ def shared_folder(spark: SparkSession) -> str:
 
 def saved(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read again: its lineage ends there, and lost executors cost no more than their tasks."""
-    at = shared_folder(df.sparkSession)
+    at = f"{_open[-1]}/{uuid.uuid4().hex}" if _open else shared_folder(df.sparkSession)
     df.write.parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def numbered(df: DataFrame) -> DataFrame:
-    """df saved with __row, a number of each row's own: ids may be null or repeated."""
-    return saved(df.withColumn("__row", F.monotonically_increasing_id()))
+def removed(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def whole(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """operator, run with small batches and its result saved; tables that it saves on the way are removed, and settings are as before, when it returns. Its first argument is the session."""
+
+    @functools.wraps(operator)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        before, own = {k: spark.conf.get(k) for k in BATCHES}, shared_folder(spark)
+        small_batches(spark)
+        _open.append(own)
+        try:
+            try:
+                df = operator(spark, *args, **kwargs)
+            finally:
+                _open.pop()
+            return saved(df)
+        finally:
+            removed(spark, own)
+            for k, v in before.items():
+                spark.conf.set(k, v)
+
+    return run
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """name, lengthened until no column of df has it, in whatever case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """df saved with a column more, a number of each row's own, since ids may be null or repeated; and that column's name."""
+    name = fresh(df, "__row")
+    return saved(df.withColumn(name, F.monotonically_increasing_id())), name
+
+
+#: Rows and bytes that pass to Python at once: texts vary from nothing to megabytes, and two workers share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Rows and bytes that pass to Python at once, for this session: texts vary from nothing to megabytes, and two workers share an executor's memory."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    """Sets BATCHES for this session. Operators that return a frame whose rows are yet to be made can't set them back."""
+    for k, v in BATCHES.items():
+        spark.conf.set(k, v)
 
 
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -63,6 +110,19 @@ def sized_hint(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def least_by_hash(ids: DataFrame, key: str, name: str, most: Column | int) -> DataFrame:
+    """key, name: at most `most` different ids `name` of each key, the least by a hash; a null id is one id.
+
+    From an estimate of how many each key has, all but about twice as many are left out before any are ranked, so no task holds a key.
+    """
+    most = most if isinstance(most, Column) else F.lit(most)
+    place = F.xxhash64(name, F.lit(17)) / F.lit(2.0**64) + 0.5
+    many = ids.groupBy(key).agg(F.approx_count_distinct(F.xxhash64(name)).alias("__many"))
+    near = ids.select(key, name).join(sized_hint(saved(many), 100_000), key).where(place * F.col("__many") <= 2 * most + 200).select(key, name).distinct()
+    first = Window.partitionBy(key).orderBy(place, name)
+    return near.withColumn("__rank", F.row_number().over(first)).where(F.col("__rank") <= most).select(key, name)
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

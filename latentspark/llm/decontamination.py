@@ -297,7 +297,10 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
 
 
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no benchmark item, whatever their ids."""
-    rows = numbered(docs)
-    found = saved(contaminated(spark, rows.select(F.col("__row").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("__row")).distinct())
-    return rows.join(found, "__row", "left_anti").select(*docs.columns)
+    """The rows of docs that hold no benchmark item, whatever their ids and other columns: null and repeated ids are rows like others.
+
+    Rows with a null or empty text stay; each copy of a row has the same fate; an empty table or benchmark takes nothing away.
+    """
+    rows, number = numbered(docs)
+    found = saved(contaminated(spark, rows.select(F.col(number).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(number)).distinct())
+    return rows.join(found, number, "left_anti").select(*docs.columns)

@@ -1,7 +1,7 @@
 """Language by the nearest centroid: normalised TF-IDF vectors of letter n-grams, several clustered centroids for each language.
 
 Document frequencies come from all labelled training rows. Centroids are fitted on a bounded sample of them, SAMPLE_PER_LANG rows for
-each language, the least by a hash of the id, with their whole texts: one grouped task for each language clusters at most so many
+each language, the least by a hash of the id (one row for each id), with their whole texts: one grouped task for each language clusters at most so many
 vectors. A text goes to the language of the centroid with the largest cosine; one that lies further from it than the centroid's own
 members do (mean and REJECT_SPREADS standard deviations) is marked as rejected.
 """
@@ -13,10 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix, saved, sized_hint, small_batches, tidy
+from .common import least_by_hash, mix, saved, sized_hint, tidy, whole
 
 WIDTH, ORDERS = 1 << 12, (1, 2, 3)
 SAMPLE_PER_LANG, CENTROIDS, CLUSTER_ROUNDS = 400, 3, 12
@@ -114,13 +114,13 @@ def clustered(x: np.ndarray, k: int = CENTROIDS, rounds: int = CLUSTER_ROUNDS) -
 
 def fit(docs: DataFrame) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float]]]:
     """idf, and (language, centroid, reach) rows, from the training rows of docs."""
-    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    train = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     df, n = document_frequencies(train)
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = train.select("doc_id", "lang").withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= SAMPLE_PER_LANG).select(F.col("doc_id").alias("__id"), F.col("lang").alias("__lang")).distinct()
-    ids = sized_hint(saved(ids), SAMPLE_PER_LANG * 1000)
-    sample = train.join(ids, train.doc_id.eqNullSafe(F.col("__id")) & (train.lang == F.col("__lang")), "left_semi").select("lang", "text")
+    picked = saved(least_by_hash(train, "lang", "doc_id", SAMPLE_PER_LANG).select(F.col("doc_id").alias("id"), F.col("lang").alias("of")))
+    picked = sized_hint(picked, SAMPLE_PER_LANG * 1000)
+    # of rows that repeat an id and a language one counts, so the sample holds its bound
+    sample = train.join(picked, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("lang") == F.col("of")), "left_semi").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letters = Letters()
@@ -137,13 +137,14 @@ def fit(docs: DataFrame) -> tuple[np.ndarray, list[tuple[str, np.ndarray, float]
     return idf, sorted(rows, key=lambda r: (r[0], r[1].tolist()[:16]))
 
 
+@whole
 def identify(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score (cosine, 0 to 1), rejected of every row of docs.
 
     lang_pred is a learned value of lang, or `und` with score 0 if the text is null or has no letter, or nothing could be learned. Ties go to
-    the first language by name. Whole texts of any length count. Rows keep their ids, null and repeated ones too.
+    the first language by name. Whole texts of any length count. Rows keep their ids, null and repeated ones too; an empty
+    table gives an empty one; other columns are not read, whatever their names.
     """
-    small_batches(spark)
     idf, rows = fit(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     model = spark.sparkContext.broadcast((idf, [r[0] for r in rows], np.array([r[1] for r in rows], np.float32).reshape(len(rows), WIDTH), np.array([r[2] for r in rows])))

@@ -3,13 +3,14 @@
 Each rule's regex (bytes; classes, groups, alternation, ?, *, +, {n}, {n,}) becomes a Thompson automaton; their union behind a loop over
 any byte is made deterministic by subset construction and minimised; the result is one transition array over byte classes. A text
 is read once: state after each byte, rules that accept there. Pairs of bytes that lead from every state to one and the same state
-cut the bytes in lanes that step through the array side by side. Where a rule accepts, its exact spans follow from the text between
-the next bytes that lead from everywhere to the start, which no match crosses: leftmost, non-overlapping, as greedy as the regex.
+cut the bytes in lanes that step through the array side by side. Where a rule accepts, the text between the next bytes that lead from
+everywhere to the start, which no match crosses, is settled by transition arrays too: the rule's reversed automaton, run backwards, marks where
+matches begin, and from there its own one finds their longest end. Leftmost, non-overlapping, and in linear time however often a
+rule begins to match.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,27 +24,37 @@ from .common import small_batches, text_slices, tidy
 
 @dataclass(frozen=True)
 class Rule:
-    """full: the regex whose spans are reported; of its matches only those hold whose group `group` has `least` bytes. sure: what the automaton runs, a regex that every reported span begins with."""
+    """A match is the regex head and then all bytes of the class tail that follow, one at least (no tail: the head alone). Of the leftmost, non-overlapping matches those are reported that have least_tail bytes of tail and least bytes in all; fold: letters of either case."""
 
     kind: str
-    full: str
-    sure: str
-    group: int
-    least: int
+    head: str
+    tail: str = ""
+    least_tail: int = 0
+    least: int = 1
     fold: bool = False
 
+    @property
+    def full(self) -> str:
+        return f"(?:{self.head}){self.tail}+" if self.tail else self.head
 
-_KEYWORD = "(?:password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?"
+    @property
+    def sure(self) -> str:
+        """What every reported match begins with, and as little else as possible: the head and some of the tail, all of the least one if there is no head."""
+        return f"(?:{self.head}){self.tail}{{{min(self.least_tail, QUIET) if self.head else self.least_tail}}}" if self.tail else self.head
+
+
+#: Bytes of a tail that the common automaton waits for behind a head.
+QUIET = 4
 BASE = (
-    Rule("assign", "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)", _KEYWORD + "[A-Za-z0-9+/_.=-]", 2, 8, True),
-    Rule("access", "AKIA[A-Z0-9]+", "AKIA[A-Z0-9]{12}", 0, 16),
-    Rule("hex", "[0-9a-f]+", "[0-9a-f]{32}", 0, 32),
+    Rule("assign", "(password|passwd|secret|token|api_?key)[\"']?\\x20*[:=]\\x20*[\"']?", "[A-Za-z0-9+/_.=-]", least_tail=8, fold=True),
+    Rule("access", "AKIA", "[A-Z0-9]", least_tail=12),
+    Rule("hex", "", "[0-9a-f]", least_tail=32),
 )
 #: What the method adds to the base rules.
 ADDED = (
-    Rule("forge", "gh[opusr]_[A-Za-z0-9]+", "gh[opusr]_[A-Za-z0-9]{4}", 0, 40),
-    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.[A-Za-z0-9_-]+", "eyJ[A-Za-z0-9_-]", 0, 30),
-    Rule("pem", "-----BEGIN(?:\\x20[A-Z]+)*\\x20PRIVATE\\x20KEY-----", "-----BEGIN\\x20", 0, 1),
+    Rule("forge", "gh[opusr]_", "[A-Za-z0-9]", least_tail=36),
+    Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.", "[A-Za-z0-9_-]", least_tail=1, least=30),
+    Rule("pem", "-----BEGIN(?:\\x20[A-Z]+)*\\x20PRIVATE\\x20KEY-----"),
 )
 RULES = BASE + ADDED
 
@@ -63,12 +74,12 @@ class Nfa:
         self.empty.append([])
         return len(self.edges) - 1
 
-    def add(self, pattern: str, fold: bool, start: int) -> int:
-        """Adds the pattern from start on; returns its accepting state."""
+    def add(self, pattern: str, fold: bool, start: int, backwards: bool = False) -> int:
+        """Adds the pattern, or what it matches read backwards, from start on; returns its accepting state."""
         tree, rest = _alternatives(pattern, 0)
         if rest != len(pattern):
             raise ValueError(f"unbalanced pattern: {pattern}")
-        return self._build(tree, fold, start)
+        return self._build(_reversed(tree) if backwards else tree, fold, start)
 
     def _build(self, node: tuple, fold: bool, at: int) -> int:
         kind = node[0]
@@ -107,6 +118,15 @@ class Nfa:
         return end
 
 
+def _reversed(node: tuple) -> tuple:
+    kind = node[0]
+    if kind == "cat":
+        return ("cat", [_reversed(x) for x in reversed(node[1])])
+    if kind == "or":
+        return ("or", [_reversed(x) for x in node[1]])
+    return ("repeat", _reversed(node[1]), *node[2:]) if kind == "repeat" else node
+
+
 def _alternatives(p: str, i: int) -> tuple[tuple, int]:
     options, items = [], []
     while i < len(p) and p[i] != ")":
@@ -159,28 +179,28 @@ def _char_class(p: str, i: int) -> tuple[tuple, int]:
 
 @dataclass
 class Automaton:
-    """table[state * classes + byte_class[b]] is the next state; accepts[state] has a bit for each rule; state 0 is the start.
-
-    resets marks bytes that lead there from everywhere; merged[class of one byte * classes + class of the next] is the state that the two lead to from everywhere, or -1.
-    """
+    """table[state * classes + byte_class[b]] is the next state; accepts[state] has a bit for each of the finals; state 0 is the start."""
 
     table: np.ndarray
     byte_class: np.ndarray
     accepts: np.ndarray
-    resets: np.ndarray
-    merged: np.ndarray
     classes: int
 
+    @property
+    def resets(self) -> np.ndarray:
+        """Bytes that lead to the start from everywhere."""
+        return (self.table.reshape(-1, self.classes) == 0).all(0)[self.byte_class]
 
-def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
-    nfa = Nfa()
-    start = nfa.state()
-    final: dict[int, int] = {}
-    for k, rule in enumerate(rules):
-        begin = nfa.state()
-        nfa.empty[start].append(begin)
-        end = nfa.add(rule.sure, rule.fold, begin)
-        final[end] = final.get(end, 0) | 1 << k
+    @property
+    def merged(self) -> np.ndarray:
+        """[class of one byte * classes + class of the next]: the state that the two lead to from everywhere, or -1."""
+        small = self.table.reshape(-1, self.classes)
+        after = small[small]  # state, first class, second class
+        return np.where((after == after[:1]).all(0), after[0], -1).reshape(-1)
+
+
+def deterministic(nfa: Nfa, start: int, final: dict[int, int], anywhere: bool) -> Automaton:
+    """The minimal automaton of nfa; anywhere: matches may begin behind any byte. final: bits of accepting states."""
     # bytes that no edge tells apart form a class
     sets = {s for edges in nfa.edges for s, _ in edges}
     signature = [tuple(b in s for s in sets) for b in range(256)]
@@ -203,14 +223,14 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
     for current in queue:
         row = []
         for c in range(width):
-            to = closed({t for s in current for chars, t in nfa.edges[s] if sample[c] in chars} | {start})
+            to = closed({t for s in current for chars, t in nfa.edges[s] if sample[c] in chars} | ({start} if anywhere else set()))
             if to not in ids:
                 ids[to] = len(ids)
                 queue.append(to)
             row.append(ids[to])
         rows.append(row)
     table = np.array(rows)
-    bits = np.array([sum(final.get(s, 0) for s in {x for x in st if x in final}) for st in queue])
+    bits = np.array([sum({final[x] for x in st if x in final}) for st in queue])
     # minimise: split blocks by what they accept and where they go, until nothing splits
     block = np.unique(bits, return_inverse=True)[1]
     while True:
@@ -225,14 +245,71 @@ def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
     block = order[block]
     small, accept = np.zeros((len(rest) + 1, width), np.int32), np.zeros(len(rest) + 1, np.int64)
     small[block], accept[block] = block[table], bits
-    resets = (small == 0).all(0)[byte_class]
-    after = small[small]  # state, first class, second class
-    merged = np.where((after == after[:1]).all(0), after[0], -1).reshape(-1)
-    return Automaton(small.reshape(-1), byte_class, accept, resets, merged, width)
+    return Automaton(small.reshape(-1), byte_class, accept, width)
 
 
-#: Pieces that step through the automaton side by side, and bytes that each has at least.
-LANES, LANE_BYTES = 4096, 64
+def compile_rules(rules: tuple[Rule, ...]) -> Automaton:
+    """The common automaton: bit k is rule k's."""
+    nfa = Nfa()
+    start, final = nfa.state(), {}
+    for k, rule in enumerate(rules):
+        begin = nfa.state()
+        nfa.empty[start].append(begin)
+        final[nfa.add(rule.sure, rule.fold, begin)] = 1 << k
+    return deterministic(nfa, start, final, anywhere=True)
+
+
+class Settler:
+    """One rule's own automata: forwards from where a match begins (bit 1: a match ends, bit 2: its head ends), and backwards to where matches begin."""
+
+    def __init__(self, rule: Rule) -> None:
+        self.rule = rule
+        ahead, back = Nfa(), Nfa()
+        start = ahead.state()
+        head, whole = ahead.state(), ahead.state()
+        ahead.empty[start] += [head, whole]
+        self.ahead = self._lists(deterministic(ahead, start, {ahead.add(rule.full, rule.fold, whole): 1} | ({ahead.add(rule.head, rule.fold, head): 2} if rule.tail and rule.head else {}), anywhere=False))
+        start = back.state()
+        self.back = self._lists(deterministic(back, start, {back.add(rule.full, rule.fold, start, backwards=True): 1}, anywhere=True))
+
+    @staticmethod
+    def _lists(auto: Automaton) -> tuple[bytes, list[int], dict[int, int], set[int]]:
+        """Byte classes, transitions between states times the number of classes, bits of accepting ones, dead ones."""
+        w = auto.classes
+        small = auto.table.reshape(-1, w)
+        dead = {i * w for i in range(len(small)) if (small[i] == i).all() and not auto.accepts[i]}
+        return bytes(auto.byte_class.tolist()), (auto.table * w).tolist(), {i * w: int(b) for i, b in enumerate(auto.accepts) if b}, dead
+
+    def spans(self, text: bytes) -> list[tuple[int, int]]:
+        """(start, end) of the reported matches in text."""
+        classes, table, accepts, _ = self.back
+        state, starts, x = 0, [], text.translate(classes)
+        for i in range(len(x) - 1, -1, -1):
+            state = table[state + x[i]]
+            if state in accepts:
+                starts.append(i)
+        classes, table, accepts, dead = self.ahead
+        x, to, out, rule = text.translate(classes), 0, [], self.rule
+        for s in reversed(starts):
+            if s < to:
+                continue
+            state, head = 0, s
+            for i in range(s, len(x)):
+                state = table[state + x[i]]
+                if state in dead:
+                    break
+                bits = accepts.get(state, 0)
+                if bits & 1:
+                    to = i + 1
+                if bits & 2:
+                    head = i + 1
+            if to - head >= rule.least_tail and to - s >= rule.least:
+                out.append((s, to))
+        return out
+
+
+#: Pieces that step through the automaton side by side, bytes that each has at least, and pieces that are stepped through one by one if so few are left.
+LANES, LANE_BYTES, FEW = 4096, 64, 32
 
 
 def accepting_places(auto: Automaton, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -252,16 +329,29 @@ def accepting_places(auto: Automaton, data: np.ndarray) -> tuple[np.ndarray, np.
     by = np.argsort(-length, kind="stable")
     begin, length, state = begin[by], length[by], state[by]
     loud = auto.accepts > 0
-    alive = np.searchsorted(-length, -np.arange(1, length[0] + 1), "right")
+    together = int(length[FEW]) if len(length) > FEW else 0
+    alive = np.searchsorted(-length, -np.arange(1, together + 1), "right")
     places, bits = [], []
-    for i in range(int(length[0])):
+    for i in range(together):
         k = int(alive[i])
-        state = auto.table[state[:k] * auto.classes + classes[begin[:k] + i]]
-        hit = loud[state]
+        state[:k] = auto.table[state[:k] * auto.classes + classes[begin[:k] + i]]
+        hit = loud[state[:k]]
         if hit.any():
             who = np.flatnonzero(hit)
             places.append(begin[who] + i)
             bits.append(auto.accepts[state[who]])
+    # the few longest pieces, from there on
+    table, accepts, w = (auto.table * auto.classes).tolist(), {i * auto.classes: int(b) for i, b in enumerate(auto.accepts) if b}, auto.classes
+    for b, e, st in zip((begin[:FEW] + together).tolist(), (begin[:FEW] + length[:FEW]).tolist(), state[:FEW].tolist(), strict=True):
+        st *= w
+        found = []
+        for i, c in enumerate(classes[b:e].tolist(), b):
+            st = table[st + c]
+            if st in accepts:
+                found.append((i, accepts[st]))
+        if found:
+            places.append(np.array([f[0] for f in found]))
+            bits.append(np.array([f[1] for f in found]))
     if not places:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     places, bits = np.concatenate(places), np.concatenate(bits)
@@ -269,13 +359,10 @@ def accepting_places(auto: Automaton, data: np.ndarray) -> tuple[np.ndarray, np.
     return places[by], bits[by]
 
 
-def exact_spans(rule: Rule, compiled: re.Pattern, text: bytes, base: int) -> list[tuple[int, int]]:
-    return [(base + m.start(), base + m.end()) for m in compiled.finditer(text) if m.end(rule.group) - m.start(rule.group) >= rule.least]
-
-
 def spans_of_texts(column: pa.Array, rules: tuple[Rule, ...], auto: Automaton) -> Iterator[list[tuple[int, int, int]]]:
     """For each text its (start, rule, end) in bytes, by start, then rule."""
-    compiled = [re.compile(r.full.encode(), re.IGNORECASE if r.fold else 0) for r in rules]
+    settlers = [Settler(r) for r in rules]
+    can_reset = auto.resets
     for _, data, offsets in text_slices(column):
         found: list[set[tuple[int, int, int]]] = [set() for _ in range(len(offsets) - 1)]
         # a zero byte between texts: no rule has it, so it leads to the start
@@ -286,25 +373,25 @@ def spans_of_texts(column: pa.Array, rules: tuple[Rule, ...], auto: Automaton) -
         where = offsets[:-1] + np.arange(len(lengths))
         places, bits = accepting_places(auto, apart)
         if len(places):
-            resets = np.flatnonzero(auto.resets[apart])
+            resets = np.flatnonzero(can_reset[apart])
             row = np.searchsorted(where, places, "right") - 1
             after = np.searchsorted(resets, places)
             left = np.where(after > 0, resets[np.maximum(after - 1, 0)] + 1, 0)
             right = np.where(after < len(resets), resets[np.minimum(after, max(0, len(resets) - 1))], len(apart))
-            done = set()
-            for i, a, b, m in zip(row.tolist(), left.tolist(), right.tolist(), bits.tolist(), strict=True):
-                for k in range(len(rules)):
-                    if m >> k & 1 and (a, k) not in done:
-                        done.add((a, k))
-                        text = apart[a:b].tobytes()
-                        found[i] |= {(s, k, e) for s, e in exact_spans(rules[k], compiled[k], text, a - int(where[i]))}
+            for k, settler in enumerate(settlers):
+                mine = np.flatnonzero(bits >> k & 1)
+                begins, first = np.unique(left[mine], return_index=True)
+                for a, b, i in zip(begins.tolist(), right[mine[first]].tolist(), row[mine[first]].tolist(), strict=True):
+                    base = a - int(where[i])
+                    found[i] |= {(base + s, k, base + e) for s, e in settler.spans(apart[a:b].tobytes())}
         yield from (sorted(x) for x in found)
 
 
 def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, spans (array of kind, start, end in code points, by start, then rule order) of every row of docs.
 
-    Null and empty texts have no spans. Rows keep their ids, null and repeated ones too; an empty table gives an empty one.
+    Null and empty texts have no spans; texts of any length are read whole. Rows keep their ids, null and repeated ones too; an empty
+    table gives an empty one; other columns are not read.
     """
     small_batches(docs.sparkSession)
     auto = compile_rules(rules)
@@ -336,7 +423,10 @@ def scan_digest(docs: DataFrame) -> DataFrame:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """docs, each secret in text replaced by `[kind]`; texts without secrets, null ones too, are as they were. n_chars follows the text if there is such a column."""
+    """docs, each secret in text replaced by `[kind]`; texts without secrets, null ones too, are as they were. n_chars follows the text if there is such a column.
+
+    Every row and column stays, null and repeated ids and columns of any name too; spans that overlap are masked as one; an empty table stays empty.
+    """
     small_batches(docs.sparkSession)
     auto = compile_rules(RULES)
     names = docs.columns

@@ -1,11 +1,13 @@
 """Toxicity by a weighted lexicon, matched by one Aho-Corasick automaton over folded text.
 
-Folding lower-cases, strips marks, and maps look-alike letters and digits that stand for letters. The lexicon is learned: starts of words
-that label 1 has far more often than label 0, each as long as the words that it stands for agree, weighted by its log odds. Longer
-starts that label 0 has more often are exception phrases: they cancel the entry that they contain. A text's features are its weight
-and its weight by length; a logistic fit on the same rows turns them into a score.
-
-Lexicon and fit use a bounded sample of labelled training rows: SAMPLE_PER_LABEL rows of each label, the least by a hash of the id.
+Folding lower-cases, strips marks, and maps look-alike letters and digits that stand for letters; words are runs of letters of any
+script, ideographs words of their own. The lexicon is learned: starts of words (of short words the whole, and pairs of them) that label
+1 has far more often than label 0, each start as long as the words that it stands for agree, weighted by its log odds. Words and phrases of two words around an entry that
+label 0 has more often are exception phrases: they cancel the entries in them. A text's weight is normalised by its length; a
+logistic fit on the same rows turns it into a score.
+
+Lexicon and fit use a bounded sample of labelled training rows: SAMPLE_PER_LABEL rows of each label, the least by a hash of the id (one
+row for each id). Entries and exceptions are as many as that sample supports.
 """
 
 from __future__ import annotations
@@ -18,15 +20,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, sized_hint, small_batches, tidy
+from .common import least_by_hash, saved, sized_hint, small_batches, tidy, whole
 from .language_id import held_out
 
 SAMPLE_PER_LABEL = {1: 4000, 0: 8000}
-#: Lengths of word starts, least share of toxic sample rows that have an entry, least log odds, entries at most.
-STARTS, SUPPORT, ODDS, ENTRIES = (4, 12), 0.002, 3.0, 2000
+#: Lengths of word starts (words below the first are taken whole), least share of toxic sample rows that have an entry, least log odds.
+STARTS, SUPPORT, ODDS = (4, 12), 0.002, 3.0
+#: Rows of label 0 that an exception phrase has at least.
+EXCEPTION_ROWS = 3
+#: A text's weight is divided by this power of its words.
+LENGTH_POWER = 0.5
 #: An entry's log likelihood ratio exceeds the log of the number of starts that were looked at by so much, so that chance makes few.
 MARGIN = 1.0
 THRESHOLD = 0.7
@@ -49,49 +55,85 @@ def fold_table() -> dict[int, str]:
 
 _WORD_SUBSTITUTES = str.maketrans(SUBSTITUTES)
 _HAS_SUBSTITUTE = re.compile(r"[a-z][0-9@$]|[0-9@$!][a-z]")
-_NOT_WORD = re.compile(r"[^a-z]+")
+_NOT_WORD = re.compile(r"[\W\d_]+")
+_IDEOGRAPH = re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 
 
 def folded(text: str, table: dict[int, str]) -> str:
-    """Folded words, each behind one space: ` so it reads`. Digits count as letters only next to letters."""
+    """Folded words, each between single spaces: ` so it reads `. Digits count as letters only next to letters."""
     x = text.lower()
     if not x.isascii():
-        x = x.translate(table)
+        x = _IDEOGRAPH.sub(r" \g<0> ", x.translate(table))
     if _HAS_SUBSTITUTE.search(x):
         x = re.sub(r"\S*(?:[a-z][0-9@$]|[0-9@$!][a-z])\S*", lambda m: m[0].translate(_WORD_SUBSTITUTES), x)
     return " " + _NOT_WORD.sub(" ", x).strip() + " "
 
 
+def possible_entries(words: list[str]) -> set[str]:
+    """Starts of long words; short words whole, and pairs of those, each closed by a space."""
+    low, high = STARTS
+    out = {w[:k] for w in set(words) if len(w) >= low for k in range(low, min(len(w), high) + 1)}
+    short = [w if len(w) < low else None for w in words]
+    out.update(w + " " for w in set(short) if w)
+    out.update(f"{v} {w} " for v, w in zip(short, short[1:], strict=False) if v and w)
+    return out
+
+
 class Lexicon:
-    """entries: (start of a word, weight); exceptions cancel what they contain."""
+    """entries: (start of a word, weight), closed by a space where it has to be the whole; exceptions: phrases of whole words, which cancel entries in them."""
 
     def __init__(self, entries: list[tuple[str, float]], exceptions: list[str]) -> None:
         import ahocorasick
 
-        self.table, self.weights = fold_table(), dict(entries)
-        self.automaton = ahocorasick.Automaton()
-        for word, weight in entries:
-            self.automaton.add_word(" " + word, (len(word), weight))
+        self.table, self.automaton = fold_table(), ahocorasick.Automaton()
+        patterns: dict[str, tuple[float, tuple[int, ...]]] = {" " + word: (weight, ()) for word, weight in entries}
         for phrase in exceptions:
-            self.automaton.add_word(" " + phrase, (len(phrase), 0.0))
+            x = f" {phrase} "
+            patterns[x] = (patterns.get(x, (0.0, ()))[0], tuple(i for i, c in enumerate(x[:-1]) if c == " "))
+        for x, (weight, words) in patterns.items():
+            self.automaton.add_word(x, (len(x), weight, words))
         if len(self.automaton):
             self.automaton.make_automaton()
 
-    def features(self, text: str) -> tuple[float, int, int]:
-        """(weight, hits, words): of the entries and exceptions that start at one place the longest counts."""
-        x = folded(text, self.table)
+    def hits(self, x: str) -> dict[int, tuple[int, float]]:
+        """In a folded text, the place before each word that an entry has and no exception cancels: length and weight of the longest entry."""
         best: dict[int, tuple[int, float]] = {}
+        cancelled: set[int] = set()
         if len(self.automaton):
-            for end, (n, weight) in self.automaton.iter(x):
-                if best.get(end - n, (0, 0.0))[0] < n:
-                    best[end - n] = (n, weight)
-        hits = [w for _, w in best.values() if w]
-        return float(sum(hits)), len(hits), max(1, x.count(" ") - 1)
+            for end, (n, weight, words) in self.automaton.iter(x):
+                at = end - n + 1
+                if words:
+                    cancelled.update(at + i for i in words)
+                if weight and best.get(at, (0, 0.0))[0] < n:
+                    best[at] = (n, weight)
+        return {at: b for at, b in best.items() if at not in cancelled} if cancelled else best
+
+    def features(self, text: str) -> tuple[float, int, int]:
+        """(weight, hits, words)."""
+        x = folded(text, self.table)
+        hits = self.hits(x)
+        return float(sum(w for _, w in hits.values())), len(hits), max(1, x.count(" ") - 1)
+
+
+def phrases_around(x: str, hits: dict[int, tuple[int, float]]) -> set[str]:
+    """Words of a folded text that are longer than the entry that they begin with, and each such word with the one before or behind it."""
+    out = set()
+    for at, (n, _) in hits.items():
+        end = x.index(" ", at + max(1, n - 1))
+        word = x[at + 1 : end]
+        if len(word) > n - 1:
+            out.add(word)
+        before, behind = x.rfind(" ", 0, at) if at else -1, x.find(" ", end + 1)
+        if before >= 0:
+            out.add(f"{x[before + 1 : at]} {word}")
+        if behind >= 0:
+            out.add(f"{word} {x[end + 1 : behind]}")
+    return out
 
 
 def inputs(weight: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Columns of the logistic fit: 1, log weight, log weight in a thousand words."""
-    return np.column_stack([np.ones(len(weight)), np.log1p(weight), np.log1p(1000 * weight / words)])
+    """Columns of the logistic fit: 1 and the log of the weight normalised by length."""
+    return np.column_stack([np.ones(len(weight)), np.log1p(weight / words**LENGTH_POWER)])
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -109,56 +151,80 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60
 def training_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, toxic of the sample; of several labels of a document the largest holds."""
     known = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id"), 3, 1)).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    first = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = known.withColumn("__r", F.row_number().over(first)).where(F.col("__r") <= max(SAMPLE_PER_LABEL.values()))
-    picked = ranked.where(F.col("__r") <= F.when(F.col("toxic") == 1, SAMPLE_PER_LABEL[1]).otherwise(SAMPLE_PER_LABEL[0])).drop("__r")
+    picked = least_by_hash(known, "toxic", "doc_id", F.when(F.col("toxic") == 1, SAMPLE_PER_LABEL[1]).otherwise(SAMPLE_PER_LABEL[0]))
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    return texts.join(sized_hint(saved(picked), BROADCAST_ROWS), "doc_id")
+    # of rows that repeat an id one counts, so the sample holds its bound
+    return texts.join(sized_hint(saved(picked), BROADCAST_ROWS), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("doc_id", "text", "toxic")
 
 
-def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
-    """Entries and exceptions, from counts of rows of each label that have each start of a word."""
-    low, high = STARTS
+def _label_counts(sample: DataFrame, things) -> DataFrame:
+    """thing, bad, good: in how many sample rows of label 1 and 0 each of things(text) stands; and the rows themselves for the empty thing."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, counts, n = fold_table(), (Counter(), Counter()), [0, 0]
+        counts, n, of = (Counter(), Counter()), [0, 0], things()
         for batch in batches:
             for text, toxic in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 n[toxic] += 1
-                words = {w for w in folded(text.as_py(), table).split(" ") if len(w) >= low}
-                counts[toxic].update({w[:k] for w in words for k in range(low, min(len(w), high) + 1)})
+                counts[toxic].update(of(text.as_py()))
         counts[0][""], counts[1][""] = n
         names = [w for w, c in counts[1].items()] + [w for w in counts[0] if w not in counts[1]]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([counts[1][w] for w in names], pa.int64()), pa.array([counts[0][w] for w in names], pa.int64())], ["start", "bad", "good"])
+        for a in range(0, len(names), 10_000):
+            part = names[a : a + 10_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.string()), pa.array([counts[1][w] for w in part], pa.int64()), pa.array([counts[0][w] for w in part], pa.int64())], ["thing", "bad", "good"])
+
+    return sample.select("text", "toxic").mapInArrow(tidy(rows), "thing string, bad long, good long").groupBy("thing").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+
+
+def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
+    """Entries and exceptions, from counts of rows of each label."""
+    low, high = STARTS
 
-    totals = sample.select("text", "toxic").mapInArrow(tidy(rows), "start string, bad long, good long").groupBy("start").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    totals = saved(totals)
-    n = totals.where("start = ''").first()
+    def starts():
+        table = fold_table()
+        return lambda text: possible_entries(folded(text, table).split())
+
+    totals = saved(_label_counts(sample, starts))
+    n = totals.where("thing = ''").first()
     if not n or not n.bad:
         return [], []
     odds = F.log((F.col("bad") + 0.5) / F.lit(n.bad + 1.0)) - F.log((F.col("good") + 0.5) / F.lit(n.good + 1.0))
     least, share = max(2, SUPPORT * n.bad), n.bad / (n.bad + n.good)
     part = lambda c, p: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / ((F.col("bad") + F.col("good")) * F.lit(max(p, 1e-9))))).otherwise(0.0)
     chance = float(np.log(totals.count())) + MARGIN
-    strong = totals.where("start != ''").withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= min(ODDS, float(np.log(n.good + 1.0)))) & (part("bad", share) + part("good", 1 - share) >= chance))
-    found = {r.start: r for r in strong.orderBy(F.desc("bad"), "start").limit(ENTRIES * 10).collect()}
+    strong = totals.where("thing != ''").withColumn("odds", odds).where((F.col("bad") >= least) & (F.col("odds") >= min(ODDS, float(np.log(n.good + 1.0)))) & (part("bad", share) + part("good", 1 - share) >= chance))
+    found = {r.thing: r for r in strong.collect()}  # each has `least` of the sample's rows
+    longer: dict[str, list[str]] = {}
+    for thing in sorted(found):
+        longer.setdefault(thing[:-1], []).append(thing)
     entries: dict[str, float] = {}
-    for start in sorted(found, key=lambda s: (len(s), s)):
-        if any(start[:k] in entries or start[:k] in found for k in range(low, len(start))):
+    for thing in sorted(found, key=lambda s: (len(s), s)):
+        words = thing.split()
+        if thing.endswith(" "):
+            if len(words) == 1 or not any(w + " " in found for w in words):
+                entries[thing] = float(found[thing].odds)
+            continue
+        if any(thing[:k] in found for k in range(low, len(thing))):
             continue
-        word = start  # as long as the rows agree
+        word = thing  # as long as the rows agree
         while len(word) < high:
-            longer = [s for s in found if len(s) == len(word) + 1 and s.startswith(word) and found[s].bad >= 0.95 * found[word].bad]
-            if not longer:
+            agree = [s for s in longer.get(word, []) if found[s].bad >= 0.95 * found[word].bad]
+            if not agree:
                 break
-            word = longer[0]
+            word = agree[0]
         entries[word] = float(found[word].odds)
-    entries = dict(sorted(entries.items(), key=lambda e: (-found[e[0]].bad, e[0]))[:ENTRIES])
-    cleaner = totals.where((F.col("good") >= 3) & (F.col("good") > F.col("bad")) & (F.length("start") > low))
-    inner = cleaner.withColumn("entry", F.explode(F.transform(F.sequence(F.lit(low), F.length("start") - 1), lambda k: F.substring("start", F.lit(1), k))))
-    known = sample.sparkSession.createDataFrame([(w,) for w in entries], "entry string")  # at most ENTRIES rows
-    exceptions = [r.start for r in inner.join(F.broadcast(known), "entry", "left_semi").select("start").distinct().orderBy("start").limit(ENTRIES).collect()]
-    return sorted(entries.items()), exceptions
+    known = sorted(entries.items())
+
+    def phrases():
+        lexicon = Lexicon(known, [])
+
+        def of(text: str) -> set[str]:
+            x = folded(text, lexicon.table)
+            return phrases_around(x, lexicon.hits(x))
+
+        return of
+
+    exceptions = _label_counts(sample, phrases).where((F.col("thing") != "") & (F.col("good") >= EXCEPTION_ROWS) & (F.col("good") > F.col("bad"))).select("thing").collect()  # as many as the sample supports
+    return known, sorted(r.thing for r in exceptions)
 
 
 @dataclass(frozen=True)
@@ -169,7 +235,6 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    small_batches(docs.sparkSession)
     sample = saved(training_sample(docs, labels))
     entries, exceptions = learn(sample)
 
@@ -181,35 +246,53 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     got = sample.select("text", "toxic").mapInArrow(tidy(rows), "weight double, words long, toxic int").collect()  # as many rows as the sample has
     if not got:
-        return Model(entries, exceptions, np.array([-5.0, 0.0, 0.0]))
+        return Model(entries, exceptions, np.array([-5.0, 0.0]))
     order = sorted((r.weight, r.words, r.toxic) for r in got)
     w, n, y = (np.array(c, float) for c in zip(*order, strict=True))
     return Model(entries, exceptions, logistic(inputs(w, n), y))
 
 
-def scored(spark: SparkSession, docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
-    """The columns `keep` of docs, __score (0 to 1), __weight and __hits of every row; null texts score as empty ones."""
+def _judge(entries: list[tuple[str, float]], exceptions: list[str], weights: np.ndarray):
+    """A function of a column of texts: (scores, hits)."""
+    lexicon = Lexicon(entries, exceptions)
+
+    def judge(texts: pa.Array) -> tuple[np.ndarray, list[int]]:
+        got = [lexicon.features(t.as_py() or "") for t in texts]
+        weight, words = np.array([g[0] for g in got]), np.array([float(g[2]) for g in got])
+        return 1 / (1 + np.exp(-np.clip(inputs(weight, words) @ weights, -30, 30))) if got else weight, [g[1] for g in got]
+
+    return judge
+
+
+def without_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, in all their columns, whose text scores below THRESHOLD; null texts score as empty ones."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast((model.entries, model.exceptions, model.weights))
-    source = docs.select(*keep, F.col("text").cast("string").alias("__text"))
+    at = docs.columns.index("text")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        entries, exceptions, weights = held.value
-        lexicon = Lexicon(entries, exceptions)
+        judge = _judge(*held.value)
         for batch in batches:
-            got = [lexicon.features(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
-            weight, words = np.array([g[0] for g in got]), np.array([g[2] for g in got])
-            score = 1 / (1 + np.exp(-np.clip(inputs(weight, words) @ weights, -30, 30))) if got else weight
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64()), pa.array(weight, pa.float64()), pa.array([g[1] for g in got], pa.int64())], [*keep, "__score", "__weight", "__hits"])
+            yield batch.filter(pa.array(judge(batch.column(at).cast(pa.string()))[0] < THRESHOLD, pa.bool_()))
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema]
-    return source.mapInArrow(tidy(rows), ", ".join([*fields, "__score double, __weight double, __hits long"]))
+    return docs.mapInArrow(tidy(rows), docs.schema)
 
 
+@whole
 def score_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted, hits of every row of docs.
 
     Rows keep their ids, null and repeated ones too; null and empty texts get the score of a text without hits; without labels of
-    both kinds nothing is toxic. Whole texts of any length count; an empty table gives an empty one.
+    both kinds nothing is toxic. Whole texts of any length count; an empty table gives an empty one; other columns are not read.
     """
-    out = scored(spark, docs, fit(docs, labels), ["doc_id"])
-    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"), F.col("__hits").alias("hits"))
+    model = fit(docs, labels)
+    held = spark.sparkContext.broadcast((model.entries, model.exceptions, model.weights))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = _judge(*held.value)
+        for batch in batches:
+            score, hits = judge(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score, pa.float64()), pa.array(hits, pa.int64())], ["doc_id", "score", "hits"])
+
+    out = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tidy(rows), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double, hits long")
+    return out.select("doc_id", held_out(F.col("doc_id"), 3, 1).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "hits")

@@ -1,24 +1,28 @@
 """URL rules in a sorted digest array: 64-bit xxhash keys in a memory-mapped file, probed by binary search, confirmed by the strings.
 
 A rule is an action with a host and a path, `allow example.org/en/`; it fits its host and all subdomains of it, if the path of the url
-starts with the rule's path. Each url asks for its host and every parent of it, with its path cut to each length that a rule's
-path has. All digests of a batch are looked up at once in the sorted array; the stored string decides, so collisions are harmless.
+starts with the rule's path. Each url asks for the parts of its host and path that are as long as some rule's, whatever its own length. All digests of a batch are looked up at once in the sorted array; the stored string decides, so collisions are harmless.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
+import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyarrow import fs
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import shared_folder
+
+#: Rule files that an application has been given.
+_given: dict[str, set[str]] = {}
 #: What a url gets that no rule fits.
 DEFAULT = "allow"
 
@@ -27,18 +31,17 @@ class RuleFile:
     """One file: count, sorted keys, string ends, actions, strings. Rules are a parameter of the job, so their number doesn't follow the data."""
 
     @staticmethod
-    def write(path: str, rules: list[tuple[str, str, str]]) -> list[int]:
-        """Writes (action, host, path) rules; returns the lengths of their paths. Of equal rules the last one holds."""
-        rows = {(h.lower() + p): (a, len(p)) for a, h, p in rules}
+    def write(f: BinaryIO, rules: list[tuple[str, str, str]]) -> list[tuple[int, int]]:
+        """Writes (action, host, path) rules; returns the lengths of hosts and paths that there are, long hosts first. Of equal rules the last one holds."""
+        rows = {(h.translate(_LOWER) + p): (a, (len(h), len(p))) for a, h, p in rules}
         keyed = sorted((xxhash.xxh64_intdigest(name.encode()), name, a) for name, (a, _) in rows.items())
         strings = [n.encode() for _, n, _ in keyed]
-        with open(path, "wb") as f:
-            f.write(np.array([len(keyed)], np.int64).tobytes())
-            f.write(np.array([k for k, _, _ in keyed], np.uint64).tobytes())
-            f.write(np.cumsum([len(s) for s in strings], dtype=np.int64).tobytes())
-            f.write(np.array([a == "block" for _, _, a in keyed], np.int64).tobytes())
-            f.write(b"".join(strings) + b"\n")
-        return sorted({n for _, n in rows.values()})
+        f.write(np.array([len(keyed)], np.int64).tobytes())
+        f.write(np.array([k for k, _, _ in keyed], np.uint64).tobytes())
+        f.write(np.cumsum([len(s) for s in strings], dtype=np.int64).tobytes())
+        f.write(np.array([a == "block" for _, _, a in keyed], np.int64).tobytes())
+        f.write(b"".join(strings) + b"\n")
+        return sorted({n for _, n in rows.values() if n[0]}, reverse=True)
 
     def __init__(self, path: str) -> None:
         mapped = np.memmap(path, np.uint8, "r")
@@ -83,12 +86,20 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     """page_id, host, path, rule, verdict of every row of pages.
 
     The longest fitting rule (host and path together; ties to the longer host) decides; without one, rule is null and the verdict is DEFAULT. Null urls and
-    those without `://` have an empty host and path. Rows keep their ids, null and repeated ones too. Other columns aren't read.
+    those without `://` have an empty host and path. Rows keep their ids, null and repeated ones too; an empty table gives an empty one.
+    Urls of any length take time in proportion to it. Other columns aren't read.
     """
-    folder = tempfile.mkdtemp(prefix="rules-")
-    name = f"rules-{uuid.uuid4().hex}.bin"
-    lengths = RuleFile.write(os.path.join(folder, name), rules)
-    spark.sparkContext.addFile(os.path.join(folder, name))  # Spark copies it to each executor, where it is mapped
+    data = io.BytesIO()
+    lengths = RuleFile.write(data, rules)
+    name = f"rules-{hashlib.sha256(data.getvalue()).hexdigest()[:32]}.bin"
+    if name not in _given.setdefault(spark.sparkContext.applicationId, set()):
+        folder = shared_folder(spark)
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        with store.open_output_stream(f"{base}/{name}") as f:
+            f.write(data.getvalue())
+        spark.sparkContext.addFile(f"{folder}/{name}")  # Spark copies it to each executor, where it is mapped; equal rules are given once
+        _given[spark.sparkContext.applicationId].add(name)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = RuleFile(SparkFiles.get(name))
@@ -100,13 +111,10 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
                 paths.append(path)
                 if not host:
                     continue
-                labels = host.split(".")
-                for k in range(len(labels)):
-                    tail = ".".join(labels[k:])
-                    for n in lengths:
-                        if n <= len(path):
-                            asked.append((tail + path[:n]).encode())
-                            owner.append(i)
+                for h, n in lengths:
+                    if n <= len(path) and (h == len(host) or h < len(host) and host[-h - 1] == "."):
+                        asked.append((host[len(host) - h :] + path[:n]).encode())
+                        owner.append(i)
             best = [-1] * len(hosts)
             for j, at in enumerate(index.find(asked)):
                 if at >= 0:
