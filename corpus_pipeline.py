@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.llm import decontamination, ngram_join, packing, secret_scan, toxicity
-from latentspark.llm.common import numbered, saved
+from latentspark.llm.common import numbered, saved, whole
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,6 +18,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(spark, docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+@whole
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of linked documents: that with the least doc_id, nulls last, and one of several such. Documents without words all stay."""
     rows, number = numbered(docs)
@@ -55,7 +56,9 @@ STAGES = [
 ORACLE_SQL = None
 
 
+@whole
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces that the last stage makes of documents; what the stages before it wrote is removed."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = saved(stage(spark, docs, sf_dir))

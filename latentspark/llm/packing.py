@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, mix, partitions_of, saved, small_batches, tidy
+from .common import gapless_rank, mix, partitions_of, saved, tidy, whole
 
 WINDOW, DEPTH, ROUNDS = 1024, 3, 300
 SEPARATOR = 0
@@ -190,6 +190,7 @@ def place(table: np.ndarray, length: np.ndarray, number: np.ndarray) -> tuple[np
     return first[i] + k // per[i], offset[i] + k % per[i] * length
 
 
+@whole
 def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if with_ids, ids of each piece of every row of docs.
 
@@ -197,7 +198,6 @@ def pack_documents(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary
     pieces of a sequence follow each other from offset 0 without gaps. Repeated rows and null doc_ids are documents of their own. An
     empty table gives an empty one; other columns are not read.
     """
-    small_batches(spark)
     pieces = saved(pieces_of(docs, vocabulary or Vocabulary.public(), window, with_ids).withColumn("__at", F.monotonically_increasing_id()))
     histogram = np.zeros(window + 1, np.int64)
     for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most `window` rows
