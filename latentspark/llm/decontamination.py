@@ -17,11 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, saved, small_batches, text_slices, tidy, word_hashes
+from .common import numbered, saved, text_slices, tidy, whole, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
-#: Leading directions that are left out: they tell languages and common words apart, not passages.
-COMMON = 16
+#: Leading directions that are left out: they tell languages and common words apart, not passages. A window of an item that keeps less than KEPT
+#: of its squared length without them is compared in all directions: where the corpus is small or an item frequent, they tell that item apart.
+COMMON, KEPT = 16, 0.5
 #: Least latent cosine of a candidate (of items shorter than a window that times the fourth root of their share of it, as the rest of the passage dilutes them); least shared share of the item's words in order; that with its answer; closing words that are its answer, and their least share.
 COSINE, SHARED, SHARED_WITH_ANSWER, ANSWER_WORDS, ANSWER = 0.42, 0.8, 0.6, 5, 0.6
 #: Share of an item's weight that a passage must have before words are compared in order.
@@ -117,8 +118,8 @@ def block_sums(table: np.ndarray, t: np.ndarray, first: np.ndarray) -> np.ndarra
     return out
 
 
-def latent_directions(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
-    """WIDTH x at most RANK - COMMON: maps a sum of terms to latent coordinates of equal spread."""
+def latent_directions(rows: DataFrame, weights: np.ndarray) -> tuple[np.ndarray, int]:
+    """WIDTH x at most RANK: maps a sum of terms to latent coordinates of equal spread; and how many of the first ones are common."""
     omega = np.random.default_rng(11).standard_normal((WIDTH, RANK)).astype(np.float32)
     weighted = np.zeros((WIDTH + 1, RANK + 1), np.float32)
     weighted[:-1, :-1], weighted[:-1, -1] = omega * weights[:, None], weights**2
@@ -147,18 +148,18 @@ def latent_directions(rows: DataFrame, weights: np.ndarray) -> np.ndarray:
     got = rows.where("term = -2").select("terms", "cuts").mapInArrow(tidy(products), "part long, sums binary").groupBy("part").applyInArrow(add, "part long, sums binary").collect()  # WIDTH / 256 rows
     plain = omega * weights[:, None]
     if not got:
-        return plain
+        return plain, 0
     y = np.concatenate([np.frombuffer(r.sums, np.float64).reshape(-1, RANK) for r in sorted(got, key=lambda r: r.part)])
     core = omega.astype(np.float64).T @ y
     core = (core + core.T) / 2
     values, q = np.linalg.eigh(core)
     good = values > max(values.max(), 1e-12) * 1e-9
     if not good.any():
-        return plain
+        return plain, 0
     u, s, _ = np.linalg.svd(y @ (q[:, good] / np.sqrt(values[good])), full_matrices=False)
     s = np.maximum(s, s[0] * 1e-6)
     skip = COMMON if len(s) >= 2 * COMMON else 0
-    return (u[:, skip:] / s[skip:] * s[-1] * weights[:, None]).astype(np.float32)
+    return (u / s * s[-1] * weights[:, None]).astype(np.float32), skip
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -182,8 +183,12 @@ def windows_of(words: np.ndarray) -> list[np.ndarray]:
     return [words[k : k + WINDOW] for k in sorted({*range(0, last, WINDOW // 2), last})]
 
 
-def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list, np.ndarray, np.ndarray, list[list[int]]]:
-    """(ids, unit latent vectors of windows, the item of each window, hashes of the words) of the benchmark items that have words."""
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+def items_of(rows: list[tuple[int, str]], directions: np.ndarray, skip: int) -> tuple[list, list[tuple[int, np.ndarray, np.ndarray]], list[list[int]]]:
+    """(ids, (first direction, unit latent vectors of windows, the item of each) for windows with and without the common directions, hashes of the words) of the benchmark items that have words."""
     ids, words = [], []
     for at, h, cuts in hashed_words(pa.array([t for _, t in rows], pa.string())):
         for i in range(len(cuts) - 1):
@@ -193,7 +198,8 @@ def items_of(rows: list[tuple[int, str]], directions: np.ndarray) -> tuple[list,
     parts = [windows_of(w) for w in words]
     vectors = np.array([directions[terms(x)].sum(0) for p in parts for x in p], np.float32).reshape(-1, directions.shape[1])
     of = np.repeat(np.arange(len(words)), [len(p) for p in parts])
-    return ids, vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12), of, [w.tolist() for w in words]
+    lost = (vectors[:, skip:] ** 2).sum(1) < KEPT * (vectors**2).sum(1)
+    return ids, [(skip, unit(vectors[~lost, skip:]), of[~lost]), (0, unit(vectors[lost]), of[lost])], [w.tolist() for w in words]
 
 
 def held_weights(lists: list[list[int]], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,31 +213,37 @@ def held_weights(lists: list[list[int]], weights: np.ndarray) -> tuple[np.ndarra
     return held, need
 
 
-def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, windows: np.ndarray, of: np.ndarray, limits: np.ndarray, held: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, float]]:
-    """(row, first word, item, cosine) of passages whose latent cosine with some window of an item is at least the item's limit and that share enough of its weight. of: the item of each window, ascending."""
+def candidates(h: np.ndarray, cuts: np.ndarray, directions: np.ndarray, spaces: list[tuple[int, np.ndarray, np.ndarray]], limits: np.ndarray, held: np.ndarray, need: np.ndarray) -> list[tuple[int, int, int, float]]:
+    """(row, first word, item, cosine) of passages whose latent cosine with some window of an item is at least the item's limit and that share enough of its weight. spaces: as items_of gives them, items ascending."""
     first, row, follows = half_windows(cuts)
-    if not len(first) or not len(windows):
+    if not len(first):
         return []
     t = terms(h)
-    halves = block_sums(directions, t, first)
-    x = halves.copy()
-    x[:-1][follows[:-1]] += halves[1:][follows[:-1]]
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    least = min((skip for skip, windows, _ in spaces if len(windows)), default=0)
+    halves = block_sums(np.ascontiguousarray(directions[:, least:]), t, first)
+    sums = halves.copy()
+    sums[:-1][follows[:-1]] += halves[1:][follows[:-1]]
     end = np.minimum(first + WINDOW, cuts[1:][row])
-    out, rows = [], max(16, (1 << 20) // len(windows))
-    begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
-    for a in range(0, len(x), rows):
-        cos = x[a : a + rows] @ windows.T
-        if len(begins) < len(of):
-            cos = np.maximum.reduceat(cos, begins, axis=1)
-        p, i = np.nonzero(cos >= limits)
-        total = np.zeros(len(p), np.int64)
-        begin, until = first[a + p], end[a + p]
-        for k in range(WINDOW):
-            at = begin + k
-            total += np.where(at < until, held[i, t[np.minimum(at, len(t) - 1)]], 0)
-        good = np.flatnonzero(total >= need[i])
-        out += zip(row[a + p[good]].tolist(), begin[good].tolist(), i[good].tolist(), cos[p[good], i[good]].tolist(), strict=True)
+    out = []
+    for skip, windows, of in spaces:
+        if not len(windows):
+            continue
+        x, rows = unit(sums[:, skip - least :]), max(16, (1 << 20) // len(windows))
+        begins = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+        item = of[begins]
+        for a in range(0, len(x), rows):
+            cos = x[a : a + rows] @ windows.T
+            if len(begins) < len(of):
+                cos = np.maximum.reduceat(cos, begins, axis=1)
+            p, j = np.nonzero(cos >= limits[item])
+            i = item[j]
+            total = np.zeros(len(p), np.int64)
+            begin, until = first[a + p], end[a + p]
+            for k in range(WINDOW):
+                at = begin + k
+                total += np.where(at < until, held[i, t[np.minimum(at, len(t) - 1)]], 0)
+            good = np.flatnonzero(total >= need[i])
+            out += zip(row[a + p[good]].tolist(), begin[good].tolist(), i[good].tolist(), cos[p[good], j[good]].tolist(), strict=True)
     return out
 
 
@@ -247,36 +259,36 @@ def settled(h: np.ndarray, begin: int, end: int, at: int, words: list[int]) -> t
     return (lcs, share) if lcs >= SHARED * n or share >= ANSWER else None
 
 
+@whole
 def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, lcs, item_words, shared, answer_share, cosine of each row of docs and each item that it holds, whole or reworded.
 
     Null and empty texts hold nothing and are held by nothing; null ids stay null; a row that is repeated is reported as often.
-    Documents without a find have no row. Whole texts of any length are read. An empty table or benchmark gives an empty table.
+    Documents without a find have no row. Whole texts of any length are read, no other columns. An empty table or benchmark gives an empty table.
     """
-    small_batches(spark)
     rows_of_terms = term_rows(docs)
     weights = term_weights(rows_of_terms)
-    directions = latent_directions(rows_of_terms, weights)
+    directions, skip = latent_directions(rows_of_terms, weights)
     directions = np.concatenate([directions, np.zeros((1, directions.shape[1]), np.float32)])
     kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (benchmark, "item_id")))
-    total = benchmark.count()
+    given = saved(benchmark.where("text is not null").select("item_id", F.col("text").cast("string").alias("text")).withColumn("number", F.monotonically_increasing_id()))
     source = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    parts = -(-max(1, total) // ITEMS)
+    parts = -(-max(1, given.count()) // ITEMS)
     out = None
     for k in range(parts):
-        # ITEMS bounds what is collected here; the hash deals more items over several passes
-        mine = benchmark.where("text is not null").where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).select("item_id", "text").collect()
-        items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions), directions, weights))
+        # about ITEMS rows are collected here, equal ones too, as each is dealt by its number; more items take several passes
+        mine = given.where(F.pmod(F.xxhash64("number"), F.lit(parts)) == k).orderBy("number").collect()
+        items = spark.sparkContext.broadcast((*items_of([(r.item_id, r.text) for r in mine], directions, skip), directions, weights))
 
         def rows(batches: Iterator[pa.RecordBatch], items=items) -> Iterator[pa.RecordBatch]:
-            (ids, vectors, of, lists, directions, weights) = items.value
+            ids, spaces, lists, directions, weights = items.value
             limits = COSINE * np.minimum(1.0, np.array([len(x) / WINDOW for x in lists])) ** 0.25
             held, need = held_weights(lists, weights)
             for batch in batches:
                 row, found = [], []
                 for at, h, cuts in hashed_words(batch.column(1)):
                     best: dict[tuple[int, int], tuple] = {}
-                    for r, first, i, cos in candidates(h, cuts, directions, vectors, of, limits, held, need):
+                    for r, first, i, cos in candidates(h, cuts, directions, spaces, limits, held, need):
                         if best.get((r, i), (0,))[0] == len(lists[i]):
                             continue  # whole already
                         got = settled(h, int(cuts[r]), int(cuts[r + 1]), first, lists[i])
@@ -296,6 +308,7 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     return out
 
 
+@whole
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, whatever their ids and other columns: null and repeated ids are rows like others.
 
