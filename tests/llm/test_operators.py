@@ -330,9 +330,12 @@ def test_exceptions_cancel_entries():
 # ---- 9: secrets ----------------------------------------------------------------------------------------------------------
 
 
-def brute_spans(text):
+BASE_RULES = [("assign", rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, re.I), ("access", rb"AKIA[A-Z0-9]+", 0, 16, 0), ("hex", rb"[0-9a-f]+", 0, 32, 0)]
+ADDED_RULES = [("forge", rb"gh[opusr]_[A-Za-z0-9]+", 0, 40, 0), ("jwt", rb"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 30, 0), ("pem", rb"-----BEGIN(?:\x20[A-Z]+)*\x20PRIVATE\x20KEY-----", 0, 1, 0)]
+
+
+def brute_spans(text, rules=BASE_RULES):
     e = text.encode()
-    rules = [("assign", rb"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 8, re.I), ("access", rb"AKIA[A-Z0-9]+", 0, 16, 0), ("hex", rb"[0-9a-f]+", 0, 32, 0)]
     at = lambda b: len(e[:b].decode())
     return [f"{k}:{at(s)}:{at(x)}" for s, _, k, x in sorted((m.start(), i, k, m.end()) for i, (k, p, g, n, f) in enumerate(rules) for m in re.finditer(p, e, f) if len(m[g]) >= n)]
 
@@ -340,14 +343,19 @@ def brute_spans(text):
 def test_spans_equal_the_rules(spark):
     rng = random.Random(9)
     parts = ["password", "Token", "api_key", "apikey", "=", ": ", '"', "'", " ", "abcdef12", "AKIA", "ABCDEF1234567890", "0123456789abcdef", "deadbeef", "é", "\n", ".", "secret", "xyz", "ſecret", "KEY", "日本"]
+    parts += ["eyJ", "eyJhbGciOi.eyJzdWIi", "ghp_", "A1b2C3d4E5f6G7h8", "-----BEGIN", " RSA", " PRIVATE", " KEY-----", "\x00", ","]
     rows = EDGE + [(100 + i, "".join(rng.choices(parts, k=rng.randrange(60)))) for i in range(800)]
+    rows += [(i, t) for i in (5000, 5001) for t in ("-----BEGIN RSA PRIVATE KEY-----", "x.eyJhbGciOiJI.eyJzdWIiOiIx.abc_def-1.")]
     got = secret_scan.scan_digest(docs_of(spark, rows, extra=True)).collect()
-    want = Counter()
+    want, kinds = Counter(), Counter()
     for i, t in rows:
         s = brute_spans(t or "")
         c = Counter(x.split(":")[0] for x in s)
-        want[i, c["assign"], c["access"], c["hex"], hashlib.sha256(",".join(s).encode()).hexdigest()] += 1
-    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+        every = brute_spans(t or "", BASE_RULES + ADDED_RULES)
+        kinds.update(x.split(":")[0] for x in every)
+        want[i, c["assign"], c["access"], c["hex"], hashlib.sha256(",".join(s).encode()).hexdigest(), ",".join(every)] += 1
+    assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256, r.spans) for r in got) == want
+    assert len(kinds) == 6
     assert secret_scan.scan_digest(docs_of(spark, [])).count() == 0
 
 
@@ -359,7 +367,7 @@ def test_redaction_keeps_all_else(spark):
 
 
 def test_automaton_is_minimal_and_agrees():
-    auto = secret_scan.compile_rules((secret_scan.Rule("x", "a[bc]+d", "a[bc]+d", 0, 1), secret_scan.Rule("y", "bd{2}", "bd{2}", 0, 1)))
+    auto = secret_scan.compile_rules((secret_scan.Rule("x", "a[bc]+d"), secret_scan.Rule("y", "bd{2}")))
     rng = random.Random(2)
     for _ in range(200):
         text = "".join(rng.choices("abcdz", k=rng.randrange(1, 200)))
