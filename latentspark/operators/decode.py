@@ -114,37 +114,76 @@ def loglik_matrix(y: np.ndarray, rates: np.ndarray, dt: float, gain: float) -> n
     return y @ np.log(m).T - m.sum(1) - np.array([lgamma(v + 1) for v in kinds.tolist()])[at].reshape(y.shape).sum(1)[:, None]
 
 
-def forward_backward(ll: np.ndarray, kernels: np.ndarray, switch: np.ndarray, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> dict[str, np.ndarray]:
-    """Filter and smoother of a switching model.
+def forward(ll: np.ndarray, kernels: np.ndarray, switch: np.ndarray, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Filter of a switching model: causal (time, dyn, latent) and step, the log predictive of each row.
 
     ll is (time, latent). The start (uniform by default) passes a transition before the first likelihood; the prediction is
     switch first, then the latent kernel of the new dynamics. scale multiplies the likelihood, prior_power the log prediction.
-    Gives causal and smooth (time, dyn, latent), step (log predictive of each row), joint (summed dyn, latent, dyn', latent').
     """
     n, size = ll.shape
     dyn = len(kernels)
-    causal, predicted, step = np.zeros((n, dyn, size)), np.zeros((n, dyn, size)), np.zeros(n)
+    top = ll.max(1) if n else np.zeros(0)
+    like = np.exp(scale * (ll - top[:, None]))
+    causal, step, to = np.empty((n, dyn, size)), np.empty(n), np.ascontiguousarray(switch.T)
     now = np.full((dyn, size), 1.0 / (dyn * size)) if start is None else start
     for t in range(n):
-        prior = np.einsum("di,dij->dj", switch.T @ now, kernels)
+        prior = np.matmul((to @ now)[:, None, :], kernels)[:, 0]
         if prior_power != 1.0:
             prior = prior**prior_power
             prior /= prior.sum()
-        top = ll[t].max()
-        joint = prior * np.exp(scale * (ll[t] - top))[None]
-        total = joint.sum()
-        step[t] = np.log(total) + scale * top
-        predicted[t], now = prior, joint / total
+        now = prior * like[t]
+        total = now.sum()
+        now /= total
+        step[t] = total
         causal[t] = now
-    smooth, joint_sum = causal.copy(), np.zeros((dyn, size, dyn, size))
-    for t in range(n - 2, -1, -1):
-        ratio = np.where(predicted[t + 1] > 0, smooth[t + 1] / np.where(predicted[t + 1] > 0, predicted[t + 1], 1), 0)
-        # pair[d, i, e, j] = causal[d, i] switch[d, e] kernel[e, i, j] ratio[e, j]
-        pair = np.einsum("di,de,eij,ej->diej", causal[t], switch, kernels, ratio, optimize=True)
-        joint_sum += pair / max(pair.sum(), 1e-300)
-        smooth[t] = pair.sum((2, 3))
-        smooth[t] /= max(smooth[t].sum(), 1e-300)
-    return {"causal": causal, "smooth": smooth, "step": step, "joint": joint_sum}
+    return causal, np.log(step) + scale * top
+
+
+def _prediction(causal: np.ndarray, kernels: np.ndarray, switch: np.ndarray, prior_power: float) -> np.ndarray:
+    """What each row predicts for the next."""
+    prior = np.einsum("de,tdi->eti", switch, causal) @ kernels
+    prior = prior.transpose(1, 0, 2)
+    return prior if prior_power == 1.0 else prior**prior_power / (prior**prior_power).sum((1, 2), keepdims=True)
+
+
+def backward(causal: np.ndarray, kernels: np.ndarray, switch: np.ndarray, prior_power: float = 1.0, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Smoother: smooth (time, dyn, latent), and for each row but the last its ratio of the next row's smooth to what was predicted for it. after: the smooth row behind the last one, where a longer series goes on."""
+    n = len(causal)
+    smooth, ratio = causal.copy(), np.zeros_like(causal)
+    predicted, back = _prediction(causal, kernels, switch, prior_power), np.ascontiguousarray(kernels.transpose(0, 2, 1))
+    for t in range(n - 1, -1, -1):
+        later = smooth[t + 1] if t + 1 < n else after
+        if later is None:
+            continue
+        np.divide(later, predicted[t], out=ratio[t], where=predicted[t] > 0)
+        now = causal[t] * (switch @ np.matmul(ratio[t][:, None, :], back)[:, 0])
+        smooth[t] = now / max(now.sum(), 1e-300)
+    return smooth, ratio
+
+
+def forward_backward(ll: np.ndarray, kernels: np.ndarray, switch: np.ndarray, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """causal and smooth (time, dyn, latent), step (log predictive of each row), ratio as backward gives it."""
+    causal, step = forward(ll, kernels, switch, scale, prior_power, start)
+    smooth, ratio = backward(causal, kernels, switch, prior_power)
+    return {"causal": causal, "smooth": smooth, "step": step, "ratio": ratio}
+
+
+def joint_sums(causal: np.ndarray, ratio: np.ndarray, kernels: np.ndarray, switch: np.ndarray, what: str) -> np.ndarray:
+    """Expected transitions summed over all steps: `latent` (i, j), `dynamics` (d, e), or `full` (d, i, e, j)."""
+    dyn, size = len(kernels), kernels.shape[1]
+    shape = {"latent": (size, size), "dynamics": (dyn, dyn), "full": (dyn, size, dyn, size)}[what]
+    total = np.zeros(shape)
+    for c, r in zip(causal[:-1], ratio[:-1], strict=True):
+        onward = np.matmul(kernels, r[:, :, None])[:, :, 0]  # e, i
+        by_dynamics = switch * (c @ onward.T)
+        mass = max(by_dynamics.sum(), 1e-300)
+        if what == "dynamics":
+            total += by_dynamics / mass
+        elif what == "latent":
+            total += ((switch.T @ c)[:, :, None] * kernels * r[:, None, :]).sum(0) / mass
+        else:
+            total += np.einsum("di,de,eij,ej->diej", c, switch, kernels, r, optimize=True) / mass
+    return total
 
 
 def _group_counts(rows: pd.DataFrame, units: list) -> tuple[np.ndarray, np.ndarray]:
@@ -171,6 +210,59 @@ def decode_hmm(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0
     return counts.groupBy(*keys).applyInPandas(decode, f"{fields}, bin long, p_latent array<double>, p_dyn array<double>, causal_latent array<double>, step double")
 
 
+def decode_in_chunks(counts: DataFrame, model: Model, keys: list[str], chunk: int, dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0) -> DataFrame:
+    """What decode_hmm gives, a chunk of bins of each group at a time, for series that don't fit a task.
+
+    Chunks follow each other: the filter takes over the last row of the chunk before, the smoother the first row of the chunk behind, so
+    the result is that of the whole series. Each chunk is a job over all groups, checkpointed; only the number of chunks is known here.
+    """
+    from latentspark.sources.tables import ensure_checkpoint_dir
+
+    spark = counts.sparkSession
+    ensure_checkpoint_dir(spark)
+    units, rates, kernels, switch = model.units, model.rates, model.kernels, model.switch
+    dyn, size = len(kernels), rates.shape[0]
+    fields = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
+    begins = counts.groupBy(*keys).agg(F.min("bin").alias("__first"))
+    placed = counts.join(begins, keys).withColumn("__chunk", F.floor((F.col("bin") - F.col("__first")) / chunk).cast("int")).select(*keys, "__chunk", "bin", "unit", "n")
+    last = placed.agg(F.max("__chunk")).first()[0]
+    none = spark.createDataFrame([], f"{fields}, state array<double>")
+
+    def ahead(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[*keys, "bin", "causal", "step"])
+        bins, y = _group_counts(rows, units)
+        start = np.array(carry["state"].iloc[0]).reshape(dyn, size) if len(carry) else None
+        causal, step = forward(loglik_matrix(y, rates, dt, gain), kernels, switch, scale, prior_power, start)
+        return pd.DataFrame({k: [rows[k].iloc[0]] * len(bins) for k in keys} | {"bin": bins, "causal": list(causal.reshape(len(bins), -1)), "step": step})
+
+    def back(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame(columns=[*keys, "bin", "smooth", "causal", "step"])
+        rows = rows.sort_values("bin")
+        causal = np.stack(rows["causal"].to_numpy()).reshape(len(rows), dyn, size)
+        smooth, _ = backward(causal, kernels, switch, prior_power, np.array(carry["state"].iloc[0]).reshape(dyn, size) if len(carry) else None)
+        return pd.DataFrame({k: rows[k] for k in keys} | {"bin": rows["bin"], "smooth": list(smooth.reshape(len(rows), -1)), "causal": rows["causal"], "step": rows["step"]})
+
+    filtered, carry = [], none
+    for k in range((last if last is not None else -1) + 1):
+        got = placed.where(F.col("__chunk") == k).groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(ahead, f"{fields}, bin long, causal array<double>, step double").checkpoint()
+        filtered.append(got)
+        carry = got.groupBy(*keys).agg(F.max_by("causal", "bin").alias("state"))
+    out, carry = None, none
+    for got in reversed(filtered):
+        part = got.groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(back, f"{fields}, bin long, smooth array<double>, causal array<double>, step double").checkpoint()
+        carry = part.groupBy(*keys).agg(F.min_by("smooth", "bin").alias("state"))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = none.select(*keys, F.lit(0).cast("long").alias("bin"), F.col("state").alias("smooth"), F.col("state").alias("causal"), F.lit(0.0).alias("step"))
+    add = lambda x, of: F.transform(F.sequence(F.lit(0), F.lit(of - 1)), x)
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    by_latent = lambda c: add(lambda i: total(F.transform(F.sequence(F.lit(0), F.lit(dyn - 1)), lambda d: F.get(c, d * size + i))), size)
+    by_dyn = lambda c: add(lambda d: total(F.slice(c, d * size + 1, size)), dyn)
+    return out.select(*keys, "bin", by_latent(F.col("smooth")).alias("p_latent"), by_dyn(F.col("smooth")).alias("p_dyn"), by_latent(F.col("causal")).alias("causal_latent"), "step")
+
+
 def event_marginals(counts: DataFrame, models: dict[str, Model], keys: list[str], dt: float = 1.0, gain: float = 1.0, prior_power: float = 1.0) -> DataFrame:
     """keys, kernel, log_marginal, probability: each event under each named model in one pass, and the softmax over the models."""
     plain = {k: (m.units, m.rates, m.kernels, m.switch) for k, m in models.items()}
@@ -179,7 +271,7 @@ def event_marginals(counts: DataFrame, models: dict[str, Model], keys: list[str]
         out = []
         for name, (units, rates, kernels, switch) in plain.items():
             _, y = _group_counts(rows, units)
-            step = forward_backward(loglik_matrix(y, rates, dt, gain), kernels, switch, prior_power=prior_power)["step"]
+            _, step = forward(loglik_matrix(y, rates, dt, gain), kernels, switch, prior_power=prior_power)
             out.append({k: rows[k].iloc[0] for k in keys} | {"kernel": name, "log_marginal": float(step.sum())})
         return pd.DataFrame(out)
 
@@ -190,15 +282,47 @@ def event_marginals(counts: DataFrame, models: dict[str, Model], keys: list[str]
     return found.withColumn("__e", e).withColumn("probability", F.col("__e") / F.sum("__e").over(w)).drop("__e")
 
 
-def posterior_transitions(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0) -> DataFrame:
-    """i, j, joint, conditional between latents: expected transitions summed over all groups, and by row; each group sends one matrix."""
+def posterior_transitions(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0, what: str = "latent") -> DataFrame:
+    """i, j, joint, conditional: expected transitions summed over all groups, and by row; each group sends one matrix.
+
+    what: between latents, between dynamics, or `full`: between pairs of them, dynamics times the number of latents plus latent.
+    """
     units, rates, kernels, switch = model.units, model.rates, model.kernels, model.switch
 
     def decode(rows: pd.DataFrame) -> pd.DataFrame:
         _, y = _group_counts(rows, units)
-        joint = forward_backward(loglik_matrix(y, rates, dt, 1.0), kernels, switch)["joint"].sum((0, 2))
+        got = forward_backward(loglik_matrix(y, rates, dt, 1.0), kernels, switch)
+        joint = joint_sums(got["causal"], got["ratio"], kernels, switch, what)
+        if what == "full":
+            joint = joint.reshape(joint.shape[0] * joint.shape[1], -1)
         i, j = np.nonzero(joint)
         return pd.DataFrame({"i": i, "j": j, "w": joint[i, j]})
 
     sums = counts.groupBy(*keys).applyInPandas(decode, "i long, j long, w double").groupBy("i", "j").agg(F.sum("w").alias("w"))
-    return sums.select("i", "j", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("joint"), (F.col("w") / F.sum("w").over(Window.partitionBy("i"))).alias("conditional"))
+    return sums.select("i", "j", (F.col("w") / F.sum("w").over(Window.partitionBy(F.lit(0)))).alias("joint"), (F.col("w") / F.sum("w").over(Window.partitionBy("i"))).alias("conditional"))  # a row for each pair of states
+
+
+def split_posterior(decoded: DataFrame, grid: DataFrame, keys: list[str], maze: str | None = None) -> DataFrame:
+    """keys, bin, flat_idx, p and the grid's coordinates of the latents of one maze, or all: the columns of a decoded array that a grid (maze, flat_idx, coordinates) names."""
+    mine = grid.where(F.col("maze") == maze) if maze is not None else grid
+    return decoded.select(*keys, "bin", F.posexplode("p_latent").alias("flat_idx", "p")).join(F.broadcast(mine), "flat_idx")  # the grid is the model's
+
+
+def map_position(decoded: DataFrame, grid: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, bin, flat_idx, p and the grid's maze and coordinates of the most probable latent of each bin over all mazes, the first of several: the winning maze and the place in it."""
+    best = F.array_position("p_latent", F.array_max("p_latent")).cast("int")
+    return decoded.select(*keys, "bin", (best - 1).alias("flat_idx"), F.array_max("p_latent").alias("p")).join(F.broadcast(grid), "flat_idx")
+
+
+def expected_position(decoded: DataFrame, grid: DataFrame, keys: list[str], coordinate: str, maze: str | None = None) -> DataFrame:
+    """keys, bin, the coordinate averaged by the posterior over the latents that have it, within a maze or all."""
+    rows = split_posterior(decoded, grid, keys, maze).where(F.col(coordinate).isNotNull())
+    return rows.groupBy(*keys, "bin").agg((F.sum(F.col("p") * F.col(coordinate)) / F.sum("p")).alias(coordinate))
+
+
+def decode_multi_kernel(counts: DataFrame, tuning: DataFrame, kernels: np.ndarray, p_stay: float, keys: list[str], dt: float = 1.0) -> DataFrame:
+    """keys, dyn, mean: each event under one model that switches between several kernels, and the mean probability of each kernel over its bins."""
+    n = len(kernels)
+    switch = np.where(np.eye(n, dtype=bool), p_stay, (1 - p_stay) / max(1, n - 1)) if n > 1 else np.ones((1, 1))
+    decoded = decode_hmm(counts, Model.of(tuning, kernels, switch), keys, dt)
+    return decoded.select(*keys, F.posexplode("p_dyn").alias("dyn", "p")).groupBy(*keys, "dyn").agg(F.avg("p").alias("mean"))

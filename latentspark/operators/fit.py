@@ -27,6 +27,20 @@ def empirical_tuning(a: DataFrame, b: DataFrame, units: DataFrame, eps: float =
     return frame.join(a, ["latent", "unit"], "left").select("latent", "unit", (F.coalesce("a", F.lit(0.0)) / (F.col("b") + eps)).alias("rate"))
 
 
+def map_posterior(posterior: DataFrame, keys: list[str]) -> DataFrame:
+    """posterior with p 1 for the most probable latent of each bin, the least of several, and 0 for others."""
+    best = F.row_number().over(Window.partitionBy(*keys, "bin").orderBy(F.desc("p"), "latent")) == 1
+    return posterior.withColumn("p", best.cast("double"))
+
+
+def tuning_basis_nd(kernels: list[np.ndarray], explained: float = 0.999, bias: bool = True) -> np.ndarray:
+    """The basis of a grid of several dimensions (row-major latents): the Kronecker product of each dimension's basis without its constant, and one constant column."""
+    out = np.ones((1, 1))
+    for k in kernels:
+        out = np.kron(out, tuning_basis(k, explained, False))
+    return np.column_stack([np.ones(len(out)), out]) if bias else out
+
+
 def tuning_basis(kernel: np.ndarray, explained: float = 0.999, bias: bool = True) -> np.ndarray:
     """(latent, column): left singular vectors up to the explained share of singular mass, scaled by the fourth root, and a constant column."""
     u, s, _ = np.linalg.svd(kernel)
@@ -50,21 +64,23 @@ def softplus(x: np.ndarray) -> np.ndarray:
     return np.logaddexp(0, x)
 
 
-def poisson_unit(basis: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float, rounds: int = 100) -> np.ndarray:
-    """Weights of one unit: least -sum(a ln f - f b) + |w|^2 / (2 prior^2), f = softplus(basis w), by damped Newton steps with Fisher curvature."""
+def poisson_unit(basis: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float, rounds: int = 100, rough: float = 0.0) -> np.ndarray:
+    """Weights of one unit: least -sum(a ln f - f b) + |w|^2 / (2 prior^2) + rough |second differences of basis w|^2 / 2, f = softplus(basis w), by damped Newton steps with Fisher curvature."""
     w = np.zeros(basis.shape[1])
+    bent = np.diff(basis, 2, axis=0) if rough else np.zeros((0, basis.shape[1]))
+    ridge = np.eye(len(w)) / prior**2 + rough * bent.T @ bent
     w[0] = np.log(np.expm1(max(a.sum() / max(b.sum(), 1e-12), 1e-6)))
 
     def loss(w: np.ndarray) -> float:
         f = softplus(basis @ w) + 1e-20
-        return float(-(a * np.log(f) - f * b).sum() + (w @ w) / (2 * prior**2))
+        return float(-(a * np.log(f) - f * b).sum() + w @ ridge @ w / 2)
 
     now = loss(w)
     for _ in range(rounds):
         x = basis @ w
         f, s = softplus(x) + 1e-20, 1 / (1 + np.exp(-np.clip(x, -500, 500)))
-        grad = basis.T @ ((b - a / f) * s) + w / prior**2
-        step = np.linalg.solve(basis.T @ (basis * (b * s * s / f)[:, None]) + np.eye(len(w)) / prior**2, grad)
+        grad = basis.T @ ((b - a / f) * s) + ridge @ w
+        step = np.linalg.solve(basis.T @ (basis * (b * s * s / f)[:, None]) + ridge, grad)
         size = 1.0
         while size > 1e-8 and (new := loss(w - size * step)) > now:
             size /= 2
@@ -76,7 +92,7 @@ def poisson_unit(basis: np.ndarray, a: np.ndarray, b: np.ndarray, prior: float,
     return w
 
 
-def poisson_m_step(a: DataFrame, b: DataFrame, units: DataFrame, basis: np.ndarray, prior: float) -> DataFrame:
+def poisson_m_step(a: DataFrame, b: DataFrame, units: DataFrame, basis: np.ndarray, prior: float, rough: float = 0.0) -> DataFrame:
     """latent, unit, rate: one convex problem for each unit, dealt to the executors."""
     latents = len(basis)
     total = np.zeros(latents)
@@ -88,7 +104,7 @@ def poisson_m_step(a: DataFrame, b: DataFrame, units: DataFrame, basis: np.ndarr
         weight = np.zeros(latents)
         seen = g.dropna(subset=["latent"])
         weight[seen["latent"].astype(int)] = seen["a"]
-        rate = softplus(basis @ poisson_unit(basis, weight, total, prior))
+        rate = softplus(basis @ poisson_unit(basis, weight, total, prior, rough=rough))
         return pd.DataFrame({"latent": np.arange(latents), "unit": g["unit"].iloc[0], "rate": rate})
 
     kind = units.schema["unit"].dataType.simpleString()
@@ -127,25 +143,85 @@ def long_posterior(decoded: DataFrame, keys: list[str], column: str = "p_latent"
     return decoded.select(*keys, "bin", F.posexplode(column).alias("latent", "p"))
 
 
-def fit_em(spark: SparkSession, counts: DataFrame, posterior: DataFrame, kernels: np.ndarray, switch: np.ndarray, basis: np.ndarray, keys: list[str], rounds: int, prior: float = 1.0, dt: float = 1.0) -> tuple[DataFrame, list[float]]:
+def dense_counts(counts: DataFrame, units: list, keys: list[str]) -> DataFrame:
+    """keys, bin, y: the counts of all units of a bin as one array, in the order of `units`."""
+    known = F.map_from_entries(F.collect_list(F.struct("unit", F.col("n").cast("double"))))
+    rows = counts.groupBy(*keys, "bin").agg(known.alias("__m"))
+    return rows.select(*keys, "bin", F.transform(F.array(*(F.lit(u) for u in units)), lambda u: F.coalesce(F.try_element_at("__m", u), F.lit(0.0))).alias("y"))
+
+
+def _sums(p: np.ndarray, y: np.ndarray, step: float) -> pd.DataFrame:
+    return pd.DataFrame({"latent": np.arange(p.shape[1]), "a": list(p.T @ y), "b": p.sum(0), "step": [step] + [0.0] * (p.shape[1] - 1)})
+
+
+SUMS = "latent long, a array<double>, b double, step double"
+
+
+def _model_sums(parts: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """(latent, unit) sums of p n, sums of p, and the log marginal, from parts of all tasks: added up by latent on Spark, a row for each latent comes back."""
+
+    def add(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"latent": [g["latent"].iloc[0]], "a": [np.sum(g["a"].to_list(), axis=0)], "b": [g["b"].sum()], "step": [g["step"].sum()]})
+
+    rows = sorted(parts.groupBy("latent").applyInPandas(add, SUMS).collect(), key=lambda r: r.latent)
+    return np.array([r.a for r in rows]), np.array([r.b for r in rows]), sum(r.step for r in rows)
+
+
+def posterior_sums(dense: DataFrame, posterior: DataFrame, keys: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of p n and of p from a posterior (keys, bin, latent, p): matrix products of Arrow batches."""
+    rows = posterior.groupBy(*keys, "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("latent", "p"))), lambda x: x["p"]).alias("p"))
+
+    def products(batches):
+        for g in batches:
+            if len(g):
+                yield _sums(np.stack(g["p"].to_numpy()), np.stack(g["y"].to_numpy()), 0.0)
+
+    a, b, _ = _model_sums(dense.join(rows, [*keys, "bin"]).select("p", "y").mapInPandas(products, SUMS))
+    return a, b
+
+
+def rates_of(spark: SparkSession, a: np.ndarray, b: np.ndarray, basis: np.ndarray, prior: float, noise: float | None = None, rough: float = 0.0) -> np.ndarray:
+    """(latent, unit) rates of the M-step: the Gaussian one with `noise`, else a Poisson problem for each unit, dealt to the executors."""
+    if noise is not None:
+        return np.maximum(gaussian_m_step(basis, a, b, noise, prior), 0.0)
+
+    def solve(batches):
+        for g in batches:
+            yield pd.DataFrame({"ix": g["ix"], "rate": [softplus(basis @ poisson_unit(basis, np.asarray(x), b, prior, rough=rough)) for x in g["a"]]})
+
+    problems = spark.createDataFrame(pd.DataFrame({"ix": np.arange(a.shape[1]), "a": [x.tolist() for x in a.T]}), "ix long, a array<double>").repartition(spark.sparkContext.defaultParallelism)
+    return np.array([r.rate for r in sorted(problems.mapInPandas(solve, "ix long, rate array<double>").collect(), key=lambda r: r.ix)]).T  # the model
+
+
+def fit_em(spark: SparkSession, counts: DataFrame, posterior: DataFrame, kernels: np.ndarray, switch: np.ndarray, basis: np.ndarray, keys: list[str], rounds: int, prior: float = 1.0, dt: float = 1.0, noise: float | None = None, rough: float = 0.0, save_every: int | None = None, saved: list | None = None) -> tuple[DataFrame, list[float]]:
     """(tuning, log marginal of each round): M-step first, from the initial posterior, then E-step.
 
-    Each round's decoding is checkpointed in the shared folder of the session, so the loop's lineage stays short and a lost executor
-    costs its tasks. The driver holds only the tuning.
+    Counts become one array for each bin and are checkpointed in the shared folder before the loop. In a round each group of keys is
+    decoded in one task, which returns sums of the size of the model, so posteriors never leave it; the driver holds only the tuning.
+    noise: a Gaussian M-step with that deviation instead of the Poisson one; rough: its roughness penalty. Every save_every rounds the tuning is appended to `saved` as (round, DataFrame).
     """
     from latentspark.sources.tables import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    units = counts.select("unit").distinct()
-    history, tuning = [], None
-    for _ in range(rounds):
-        a, b = weighted_stats(posterior, counts, keys)
-        fitted = poisson_m_step(a, b, units, basis, prior).collect()  # latents times units
-        tuning = spark.createDataFrame(fitted, "latent long, unit " + counts.schema["unit"].dataType.simpleString() + ", rate double")
-        decoded = decode.decode_hmm(counts, decode.Model.of(tuning, kernels, switch), keys, dt).checkpoint()
-        history.append(float(decoded.agg(F.sum("step")).first()[0]))
-        posterior = long_posterior(decoded, keys)
-    return tuning, history
+    units = sorted(r.unit for r in counts.select("unit").distinct().collect())  # the model's
+    kind = counts.schema["unit"].dataType.simpleString()
+    dense = dense_counts(counts, units, keys).checkpoint()
+    table = lambda r: spark.createDataFrame([(i, u, float(r[i, j])) for i in range(len(r)) for j, u in enumerate(units)], f"latent long, unit {kind}, rate double")
+    a, b = posterior_sums(dense, posterior, keys)
+    history, rates = [], None
+    for k in range(rounds):
+        rates = rates_of(spark, a, b, basis, prior, noise, rough) / dt
+
+        def decode_sums(g: pd.DataFrame, rates=rates) -> pd.DataFrame:
+            y = np.stack(g.sort_values("bin")["y"].to_numpy())
+            got = decode.forward_backward(decode.loglik_matrix(y, rates, dt, 1.0), kernels, switch)
+            return _sums(got["smooth"].sum(1), y, float(got["step"].sum()))
+
+        a, b, total = _model_sums(dense.groupBy(*keys).applyInPandas(decode_sums, SUMS))
+        history.append(total)
+        if save_every and saved is not None and (k + 1) % save_every == 0:
+            saved.append((k + 1, table(rates)))
+    return table(rates), history
 
 
 def hyperparameter_grid(spark: SparkSession, ranges: dict[str, list]) -> DataFrame:

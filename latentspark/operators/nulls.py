@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -94,8 +96,12 @@ def shuffle_test(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffl
     return out.withColumn("significant", (F.col("observed") > F.col("unit_limit")) & (F.col("observed") > F.col("circular_limit")))
 
 
-def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffles: int, gains: list[float], dt: float = 1.0, seed: int = 0) -> DataFrame:
-    """keys, gain, kind (observed, unit, circular), shuffle, log_marginal, made inside each event's group: only one number for each leaves it."""
+def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffles: int, gains: list[float], dt: float = 1.0) -> DataFrame:
+    """keys, gain, kind (observed, unit, circular), shuffle, log_marginal, made inside each event's group: only one number for each leaves it.
+
+    Draws are the hashes of unit_shuffle and circular_shuffle, so these are the same nulls as theirs. Bins count from 0.
+    Marginals are rounded to nine digits: a null that is the observed event again must tie with it, however its sum was ordered.
+    """
     rows = tuning.collect()  # the model
     units = sorted({r.unit for r in rows})
     rates = np.zeros((1 + max(r.latent for r in rows), len(units)))
@@ -103,28 +109,56 @@ def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffle
         rates[r.latent, units.index(r.unit)] = r.rate or 0.0
 
     def test(g: pd.DataFrame) -> pd.DataFrame:
-        import zlib
-
-        _, y = decode._group_counts(g, units)
+        bins, y = decode._group_counts(g, units)
         own = "|".join(str(g[k].iloc[0]) for k in keys)
-        rng = np.random.default_rng([seed, zlib.crc32(own.encode())])
+        n = int(bins.max()) + 1
+        if n > len(bins):  # bins without rows are bins without counts
+            whole = np.zeros((n, y.shape[1]))
+            whole[bins.astype(int)] = y
+            y = whole
         tries = [("observed", 0, y)]
         for s in range(1, n_shuffles + 1):
-            tries.append(("unit", s, y[:, rng.permutation(y.shape[1])]))
-            shift = rng.integers(0, len(y), y.shape[1])
-            tries.append(("circular", s, np.take_along_axis(y, (np.arange(len(y))[:, None] - shift) % len(y), 0)))
+            draw = np.array([int(hashlib.md5(f"{s}|{own}|{u}".encode()).hexdigest()[:8], 16) for u in units])
+            moved = np.empty_like(y)
+            moved[:, np.lexsort((np.arange(len(units)), draw))] = y
+            tries.append(("unit", s, moved))
+            tries.append(("circular", s, np.take_along_axis(y, (np.arange(n)[:, None] - draw % n) % n, 0)))
         out = []
         for gain in gains:
             for kind, s, x in tries:
                 ll = decode.loglik_matrix(x, rates, dt, gain)
                 top = ll.max(1, keepdims=True)
-                out.append((gain, kind, s, float((top[:, 0] + np.log(np.exp(ll - top).sum(1))).sum())))
+                out.append((gain, kind, s, round(float((top[:, 0] + np.log(np.exp(ll - top).sum(1))).sum()), 9)))
         return pd.DataFrame({k: g[k].iloc[0] for k in keys} | {"gain": o[0], "kind": o[1], "shuffle": o[2], "log_marginal": o[3]} for o in out)
 
     fields = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
     return counts.groupBy(*keys).applyInPandas(test, f"{fields}, gain double, kind string, shuffle int, log_marginal double")
 
 
+def tested_events(nulls: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:
+    """keys, observed, unit_limit, circular_limit, significant from event_nulls of one gain: above the quantile of both nulls."""
+    of = lambda k: F.when(F.col("kind") == k, F.col("log_marginal"))
+    limits = nulls.groupBy(*keys).agg(F.max(of("observed")).alias("observed"), F.percentile(of("unit"), quantile).alias("unit_limit"), F.percentile(of("circular"), quantile).alias("circular_limit"))
+    return limits.withColumn("significant", (F.col("observed") > F.col("unit_limit")) & (F.col("observed") > F.col("circular_limit")))
+
+
+def null_quantiles(nulls: DataFrame, keys: list[str], levels: int = 41) -> DataFrame:
+    """keys, kind, level (0 to levels - 1), value: evenly spaced quantiles of both nulls of each event."""
+    at = F.array(*(F.lit(k / (levels - 1)) for k in range(levels)))
+    return nulls.where("kind != 'observed'").groupBy(*keys, "kind").agg(F.percentile("log_marginal", at).alias("__q")).select(*keys, "kind", F.posexplode("__q").alias("level", "value"))
+
+
+def significant_fractions(tests: DataFrame, by: list[str]) -> DataFrame:
+    """by, n, and the fractions of events above the unit null, the circular one, and both."""
+    share = lambda c: F.avg((F.col("observed") > c).cast("double"))
+    return tests.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), share(F.col("unit_limit")).alias("unit"), share(F.col("circular_limit")).alias("circular"), share(F.greatest("unit_limit", "circular_limit")).alias("both"))
+
+
+def significant_bins(rows: DataFrame, tests: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, bin, ...) with `significant` of their event; bins outside events, with missing keys or without a test, are dropped."""
+    return rows.join(tests.select(*keys, "significant"), keys)
+
+
 def gain_sweep(nulls: DataFrame, keys: list[str], train_share: float = 0.5, quantile: float = 0.95, least_gains: int = 7) -> DataFrame:
     """gain, train, test (fractions of significant events), kept, best, from event_nulls over several gains.
 

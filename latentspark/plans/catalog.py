@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import queries_base, queries_decode, queries_more, queries_stats
+from . import oracles, queries_base, queries_decode, queries_more, queries_stats
 
 _ALL = [*queries_base.QUERIES, *queries_decode.QUERIES, *queries_stats.QUERIES, *queries_more.QUERIES]
 
@@ -20,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {q.name: q.sql for q in _ALL if q.sql}
+    return {q.name: sql for q in _ALL if (sql := oracles.SQL.get(q.name, q.sql))}

@@ -208,7 +208,7 @@ QUERIES = [
           a AS (SELECT *, z > 0 AND NOT coalesce(lag(z > 0) OVER (PARTITION BY session ORDER BY bin), false) AS b FROM zz), g AS (SELECT *, sum(b::INT) OVER (PARTITION BY session ORDER BY bin ROWS UNBOUNDED PRECEDING) AS g FROM a)
           SELECT session, 1704067200e0 + (min(bin) + 0.5) * 3600 AS start, 1704067200e0 + (max(bin) + 0.5) * 3600 AS "end", count(*) AS n, round(max(z), 6) AS peak FROM g WHERE z > 0 GROUP BY session, g HAVING max(z) > 1.5 AND (max(bin) - min(bin)) * 3600 BETWEEN 3600 AND 36000"""),
     Query("d6_ramp_onsets", lambda s, d: S.ramp_onsets(hourly_signal(s, d), "value", 3, 1.0, 0.05, KEYS).select("session", "bin")),
-    Query("d8_angular_velocity", lambda s, d: _angular(s, d).groupBy("session").agg(F.count("omega").alias("n"))),
+    Query("d8_angular_velocity", lambda s, d: rounded(_angular(s, d))),
     Query("d13_consecutive_euclidean", lambda s, d: rounded(_consecutive(s, d, "euclidean")),
           "SELECT vec_id, round(array_distance(CAST(embedding AS DOUBLE[64]), lag(CAST(embedding AS DOUBLE[64])) OVER (ORDER BY vec_id)), 6) AS distance FROM embeddings"),
     Query("d13_consecutive_cosine", lambda s, d: rounded(_consecutive(s, d, "cosine")),

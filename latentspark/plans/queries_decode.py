@@ -17,6 +17,7 @@ from .binding import EV, HASH, HC, KEYS, LL, NB, TUN, Query, day_counts, events,
 
 BASE = with_(EV, HC, TUN, LL, NB)
 LATENTS = 6
+EK = ["session", "event"]
 
 
 def _model(spark, sf, jump=True):
@@ -27,8 +28,13 @@ def _model(spark, sf, jump=True):
     return D.Model.of(t, K.as_arrays(move, LATENTS), np.ones((1, 1)))
 
 
+def _by_latent(decoded):
+    return decoded.select("session", "bin", F.posexplode("p_latent").alias("latent", "p"), F.round("step", 5).alias("step")).withColumn("p", F.round("p", 6))
+
+
 def _decoded(spark, sf):
-    return D.decode_hmm(day_counts(spark, sf), _model(spark, sf), ["session", "event"])
+    rows = D.decode_hmm(day_counts(spark, sf), _model(spark, sf), EK).select(*EK, "bin", F.posexplode(F.arrays_zip("p_latent", "causal_latent")).alias("latent", "x"), "step")
+    return rows.select(*EK, "bin", "latent", F.round("x.p_latent", 6).alias("p"), F.round("x.causal_latent", 6).alias("causal"), F.round("step", 5).alias("step"))
 
 
 def _expected(spark, sf):
@@ -75,9 +81,6 @@ def _segment_rows(spark, sf):
     return e.select("session", F.floor(F.col("h") / 24).cast("int").alias("event"), (F.col("h") % 24).alias("bin"), "p", "x")
 
 
-EK = ["session", "event"]
-
-
 def _segments(spark, sf):
     return N.split_segments(N.continuous_segments(_segment_rows(spark, sf), "p", 20.0, 2, EK), "x", 60.0, 2, EK)
 
@@ -114,11 +117,6 @@ def _circular(spark, sf):
 CIRC = """cs AS (SELECT session, s.shuffle, unit, n, (bin + """ + HASH.format("s.shuffle || '|' || session || '|' || unit") + """ % 720) % 720 AS bin FROM hc, range(1, 4) s(shuffle))"""
 
 
-def _event_counts(spark, sf):
-    """The first six days, as m1's SQL has them."""
-    return day_counts(spark, sf).where("event < 6")
-
-
 def _replay(spark, sf):
     e = events(spark, sf)
     got = workflows.replay_supervised(e.select("session", "unit", "t"), e.select("session", "t", F.col("k").alias("label")), whole_span(spark, sf), KEYS, tuning_dt=3600.0, low=0.0, size=10.0, bins=10, std=10.0, burst_dt=1800.0, burst_std=2.0, z_peak=1.5, shortest=3600.0, longest=36000.0, event_dt=1800.0, n_shuffles=10, gains=[1.0, 2.0])
@@ -146,7 +144,11 @@ def _m_step(spark, sf):
 
 def _gain_sweep(spark, sf):
     c = day_counts(spark, sf)
-    return M.gain_sweep(M.event_nulls(c, hourly_tuning(hourly_counts(spark, sf)), EK, 20, [0.5, 1.0, 2.0, 4.0]), EK)
+    return rounded(M.gain_sweep(M.event_nulls(c, hourly_tuning(hourly_counts(spark, sf)), EK, 20, [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]), EK))
+
+
+def _nulls(spark, sf):
+    return M.event_nulls(day_counts(spark, sf), hourly_tuning(hourly_counts(spark, sf)), EK, 100, [1.0])
 
 
 def _chains(spark, sf):
@@ -171,11 +173,14 @@ QUERIES = [
     Query("f5_map_latent", lambda s, d: rounded(D.map_latent(posterior(s, d).withColumn("p", F.round("p", 9)), KEYS)),
           BASE + "SELECT session, bin, latent AS map_latent, round(round(p, 9), 6) AS p FROM nb QUALIFY row_number() OVER (PARTITION BY session, bin ORDER BY round(p, 9) DESC, latent) = 1"),
     Query("f7_move_kernel", lambda s, d: rounded(K.move_kernel(s, LATENTS, 2.0).join(hourly_tuning(hourly_counts(s, d)).select(F.col("latent").alias("i")).distinct(), "i")), with_(EV, HC, TUN, TARGET) + "SELECT i, j, round(p, 6) AS p FROM tg WHERE i IN (SELECT latent FROM tun)"),
-    Query("f11_forward_backward", lambda s, d: D.decode_hmm(hourly_counts(s, d), _model(s, d), KEYS).select("session", "bin", "p_latent", "p_dyn", "step")),
-    Query("f12_forward_backward_latent", lambda s, d: D.decode_hmm(hourly_counts(s, d), _model(s, d, False), KEYS).select("session", "bin", "p_latent", "step")),
+    Query("f11_forward_backward", lambda s, d: _by_latent(D.decode_hmm(hourly_counts(s, d), _model(s, d), KEYS))),
+    Query("f12_forward_backward_latent", lambda s, d: _by_latent(D.decode_hmm(hourly_counts(s, d), _model(s, d, False), KEYS))),
     Query("f13_decode_events", lambda s, d: _decoded(s, d)),
-    Query("f14_posterior_transitions", lambda s, d: D.posterior_transitions(day_counts(s, d), _model(s, d), EK)),
-    Query("f15_decode_compare_kernels", lambda s, d: D.event_marginals(day_counts(s, d), {"both": _model(s, d), "move": _model(s, d, False)}, EK)),
+    Query("f13_decode_in_chunks", lambda s, d: _by_latent(D.decode_in_chunks(hourly_counts(s, d), _model(s, d), KEYS, 300))),
+    Query("f14_posterior_transitions", lambda s, d: rounded(D.posterior_transitions(day_counts(s, d), _model(s, d), EK))),
+    Query("f14_dynamics_transitions", lambda s, d: rounded(D.posterior_transitions(day_counts(s, d), _model(s, d), EK, what="dynamics"))),
+    Query("f14_full_transitions", lambda s, d: rounded(D.posterior_transitions(day_counts(s, d), _model(s, d), EK, what="full"))),
+    Query("f15_decode_compare_kernels", lambda s, d: D.event_marginals(day_counts(s, d), {"both": _model(s, d), "move": _model(s, d, False)}, EK).select(*EK, "kernel", F.round("log_marginal", 5).alias("log_marginal"), F.round("probability", 6).alias("probability"))),
     Query("f17_expected_rate", lambda s, d: rounded(_expected(s, d)), BASE.rstrip() + ",\n" + EXPECTED + " SELECT session, bin, unit, round(rate, 6) AS rate FROM ex"),
     Query("f18_gain_per_bin", lambda s, d: rounded(D.gain_per_bin(hourly_counts(s, d), _expected(s, d), KEYS)),
           BASE.rstrip() + ",\n" + EXPECTED + ", y AS (SELECT session, bin, sum(n) AS y FROM hc GROUP BY 1, 2), m2 AS (SELECT session, bin, sum(rate) AS m FROM ex GROUP BY 1, 2) SELECT session, bin, round(y / m, 6) AS gain FROM y JOIN m2 USING (session, bin)"),
@@ -203,13 +208,13 @@ QUERIES = [
           g AS (SELECT a.session, a.label AS i, b.label AS j FROM (SELECT DISTINCT session, label FROM k) a JOIN (SELECT DISTINCT session, label FROM k) b USING (session)),
           c AS (SELECT g.session, g.i, g.j, count(x.i) * 1e0 AS c FROM g LEFT JOIN x ON x.session = g.session AND x.i = g.i AND x.j = g.j GROUP BY 1, 2, 3)
           SELECT session, i, j, c, CASE WHEN sum(c) OVER w > 0 THEN round(c / sum(c) OVER w, 6) ELSE 0 END AS p FROM c WINDOW w AS (PARTITION BY session, i)"""),
-    Query("h4_transition_shuffle_test", lambda s, d: H.transition_shuffle_test(_labels(s, d), 10, 0.99, KEYS)),
+    Query("h4_transition_shuffle_test", lambda s, d: rounded(H.transition_shuffle_test(_labels(s, d), 10, 0.99, KEYS))),
     Query("h6_gibbs_transitions", lambda s, d: rounded(H.gibbs_transitions(_distances(s, d), 2.0)), with_(EV, HC, TUN, DIST) + "SELECT i, j, round(exp(-2 * d) / sum(exp(-2 * d)) OVER (PARTITION BY i), 6) AS p FROM ds"),
     Query("h7_select_beta", lambda s, d: rounded(H.select_beta(_distances(s, d), _target(s, d), BETAS)),
           with_(EV, HC, TUN, DIST, TARGET) + ", x AS (SELECT beta, i, j, -beta * d - ln(sum(exp(-beta * d)) OVER (PARTITION BY beta, i)) AS lp FROM ds, (VALUES (1e0), (2e0), (4e0), (8e0)) b(beta)) SELECT beta, round(-sum(p * lp), 6) AS loss FROM x JOIN tg USING (i, j) GROUP BY 1"),
     Query("h8_weighted_quantile", lambda s, d: H.weighted_quantile(events(s, d), "k", "value", 0.9, KEYS),
           with_(EV) + ", g AS (SELECT session, k, sum(value) AS w FROM ev GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY session ORDER BY k ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY session) AS t FROM g) SELECT session, min(k) AS value FROM c WHERE c >= 0.9 * t GROUP BY 1"),
-    Query("h9_match_step", lambda s, d: H.match_step(_distances(s, d), _target(s, d), BETAS, 0.9)),
+    Query("h9_match_step", lambda s, d: rounded(H.match_step(_distances(s, d), _target(s, d), BETAS, 0.9), 8)),
     Query("l1_pre_post_posterior", lambda s, d: rounded(posterior(s, d).groupBy("session", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
           BASE + "SELECT session, latent, round(avg(p) FILTER (bin >= 360) - avg(p) FILTER (bin < 360), 6) + 0.0 AS diff FROM nb GROUP BY 1, 2"),
     Query("l2_circular_shuffle", lambda s, d: _circular(s, d).where("n > 0").select("session", "shuffle", "bin", "unit", "n"), with_(EV, HC, CIRC) + "SELECT session, CAST(shuffle AS INTEGER) AS shuffle, bin, unit, n FROM cs WHERE n > 0"),
@@ -219,12 +224,15 @@ QUERIES = [
           with_(EV) + "SELECT session, round(avg(m), 6) AS mean FROM (SELECT session, floor((t - 1704067200e0) / 86400) AS d, max(value) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"),
     Query("l7_bin_significance", lambda s, d: rounded(M.bin_significance(hourly_counts(s, d).groupBy("session", "bin").agg(F.max("n").alias("v")), _circular(s, d).groupBy("session", "shuffle", "bin").agg(F.max("n").alias("v")), "v", KEYS)),
           with_(EV, HC, CIRC) + ", a AS (SELECT session, bin, max(n) AS v FROM hc GROUP BY 1, 2), b AS (SELECT session, bin, quantile_cont(v, 0.975) AS l FROM (SELECT session, shuffle, bin, max(n) AS v FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT session, bin, v, round(l, 6) AS \"limit\", v > l AS significant FROM a JOIN b USING (session, bin)"),
-    Query("m1_unit_shuffle", lambda s, d: M.unit_shuffle(_event_counts(s, d), 2, EK).where("n > 0").select("session", "event", "shuffle", "bin", "unit", "n"),
-          with_(EV, HC) + """, dc AS (SELECT session, CAST(bin // 24 AS INTEGER) AS event, bin % 24 AS bin, unit, n FROM hc WHERE bin < 144), u AS (SELECT DISTINCT session, event, unit, CAST(s.shuffle AS INTEGER) AS shuffle FROM dc, range(1, 3) s(shuffle)),
+    Query("m1_unit_shuffle", lambda s, d: M.unit_shuffle(day_counts(s, d), 2, EK).where("n > 0").select("session", "event", "shuffle", "bin", "unit", "n"),
+          with_(EV, HC) + """, dc AS (SELECT session, CAST(bin // 24 AS INTEGER) AS event, bin % 24 AS bin, unit, n FROM hc), u AS (SELECT DISTINCT session, event, unit, CAST(s.shuffle AS INTEGER) AS shuffle FROM dc, range(1, 3) s(shuffle)),
           a AS (SELECT *, row_number() OVER (PARTITION BY session, event, shuffle ORDER BY unit) AS r FROM u),
           b AS (SELECT session, event, shuffle, unit AS dest, row_number() OVER (PARTITION BY session, event, shuffle ORDER BY """ + HASH.format("shuffle || '|' || session || '|' || event || '|' || unit") + """, unit) AS r FROM u)
           SELECT session, event, shuffle, bin, dest AS unit, n FROM dc JOIN a USING (session, event, unit) JOIN b USING (session, event, shuffle, r) WHERE n > 0"""),
-    Query("m3_shuffle_test_marginal", lambda s, d: M.shuffle_test(day_counts(s, d), hourly_tuning(hourly_counts(s, d)), EK, 5)),
+    Query("m2_circular_shuffle_in_event", lambda s, d: M.circular_shuffle(day_counts(s, d), 2, EK).where("n > 0").select("session", "event", "shuffle", "bin", "unit", "n")),
+    Query("m3_shuffle_test_marginal", lambda s, d: rounded(M.tested_events(_nulls(s, d), EK), 5)),
+    Query("m3_quantile_tables", lambda s, d: rounded(M.null_quantiles(_nulls(s, d), EK), 5)),
+    Query("m3_significant_fractions", lambda s, d: rounded(M.significant_fractions(M.tested_events(_nulls(s, d), EK), KEYS))),
     Query("m4_gain_sweep", lambda s, d: _gain_sweep(s, d)),
     Query("n1_continuous_segments", lambda s, d: N.continuous_segments(_segment_rows(s, d), "p", 20.0, 2, EK).groupBy("session", "event").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("segment").alias("segments")),
           with_(EV, SEG) + "SELECT session, event, count(*) AS n, count(DISTINCT g) AS segments FROM s3 GROUP BY 1, 2"),

@@ -55,11 +55,8 @@ def _epochs(spark, sf):
 
 
 def _multi_kernel(spark, sf):
-    t = hourly_tuning(hourly_counts(spark, sf))
     k = K.stacked_kernels([K.move_kernel(spark, LATENTS, 1.0), K.isolated_kernel(spark, LATENTS, 1.5, 0.01)], LATENTS)
-    m = D.Model.of(t, K.as_arrays(k, LATENTS), K.staying(3, 0.9))
-    d = D.decode_hmm(day_counts(spark, sf), m, EK)
-    return d.select(*EK, F.posexplode("p_dyn").alias("dyn", "p")).groupBy(*EK, "dyn").agg(F.avg("p").alias("mean"))
+    return rounded(D.decode_multi_kernel(day_counts(spark, sf), hourly_tuning(hourly_counts(spark, sf)), K.as_arrays(k, LATENTS), 0.9, EK))
 
 
 def _refit(spark, sf):
@@ -155,7 +152,7 @@ QUERIES = [
           with_(EV, HC) + """, p AS (SELECT session, sum(n) FILTER (unit = 'click') - sum(n) FILTER (unit = 'purchase') AS d FROM hc GROUP BY session, bin),
           r AS (SELECT session, d, rank() OVER (PARTITION BY session ORDER BY abs(d)) + (count(*) OVER (PARTITION BY session, abs(d)) - 1) / 2 AS r FROM p WHERE d <> 0),
           w AS (SELECT session, count(*) AS n, sum(CASE WHEN d > 0 THEN r ELSE 0 END) AS w_plus FROM r GROUP BY 1) SELECT session, n, round(w_plus, 6) AS w_plus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z FROM w"""),
-    Query("k12_segment_by_jump", lambda s, d: B.median_in_segments(_chains(s, d).select(F.col("chain").alias("session"), F.col("bin").cast("double").alias("t"), "p", "bin"), B.jump_segments(_chains(s, d).select(F.col("chain").alias("session"), F.col("bin").cast("double").alias("t"), "p"), KEYS, "p", 0.5, 2.0), "bin", KEYS)),
+    Query("k12_segment_by_jump", lambda s, d: B.median_in_segments(_map(s, d).select("session", F.col("bin").cast("double").alias("t"), "latent"), B.jump_segments(_chains(s, d).select(F.concat(F.lit("s"), "chain").alias("session"), F.col("bin").cast("double").alias("t"), "p"), KEYS, "p", 0.5, 2.0), "latent", KEYS)),
     Query("k18_consensus_by_window", lambda s, d: rounded(B.consensus_by_window(_table(s, d).withColumn("y", F.col("y") - 50.0), 4)),
           P0 + "SELECT CAST(w AS INTEGER) AS \"window\", round(avg(h), 6) AS fraction FROM (SELECT w, session, event_bin, max(CASE WHEN abs(rel) <= w AND y > 50 THEN 1e0 ELSE 0 END) AS h FROM pt, range(1, 5) q(w) GROUP BY 1, 2, 3) GROUP BY 1"),
     Query("e10_variance_from_std", lambda s, d: rounded(T.variance_from_std(events(s, d).groupBy("session").agg(F.stddev_samp("value").alias("std")), "std"), 4), with_(EV) + "SELECT session, round(stddev_samp(value), 4) AS std, round(pow(stddev_samp(value), 2), 4) AS variance FROM ev GROUP BY 1"),
@@ -165,7 +162,7 @@ QUERIES = [
     Query("k15_null_steps", lambda s, d: L.null_steps(_map(s, d), "latent", _chains(s, d), 0.6, 20, KEYS),
           M0 + """, ch AS (SELECT bin, sum(n) FILTER (unit = 'view') / greatest(sum(n), 1) AS p FROM hc GROUP BY session, bin), c AS (SELECT session, bin, latent <> lag(latent) OVER (PARTITION BY session ORDER BY bin) AS x FROM mp)
           SELECT session, bin AS event_bin FROM c WHERE x AND bin NOT IN (SELECT bin FROM ch WHERE p > 0.6) QUALIFY row_number() OVER (PARTITION BY session ORDER BY CAST(('0x' || substr(md5('0|' || session || '|' || bin), 1, 8)) AS BIGINT), bin) <= 20"""),
-    Query("l3_pre_post_circular_null", lambda s, d: D.naive_bayes(D.poisson_loglik(M.circular_shuffle(hourly_counts(s, d), 2, KEYS), hourly_tuning(hourly_counts(s, d)), ["session", "shuffle"]), ["session", "shuffle"]).groupBy("session", "shuffle", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
+    Query("l3_pre_post_circular_null", lambda s, d: D.naive_bayes(D.poisson_loglik(M.circular_shuffle(hourly_counts(s, d), 2, KEYS), hourly_tuning(hourly_counts(s, d)), ["session", "shuffle"]), ["session", "shuffle"]).groupBy("session", "shuffle", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff")).select("session", "shuffle", "latent", (F.round("diff", 6) + 0.0).alias("diff"))),
     Query("t1_counts_by_window", lambda s, d: _stream_counts_batch(s, d), with_(EV) + "SELECT session, unit, floor(t / 21600) * 21600 AS start, count(*) AS n FROM ev GROUP BY 1, 2, 3"),
     Query("t2_session_windows", lambda s, d: rounded(_sessions_batch(s, d), 3),
           with_(EV) + ", a AS (SELECT session, t, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t) < 900 THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT session, round(min(t), 3) AS start, count(*) AS n FROM b GROUP BY session, g"),

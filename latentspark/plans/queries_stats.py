@@ -87,8 +87,7 @@ def _trajectories(spark, sf):
 
 
 def _resampled(spark, sf):
-    """The first twelve steps and four features, as i9's SQL has them."""
-    return I.resample_trajectories(_trajectories(spark, sf).where("step < 12 and feature < 4"), 6)
+    return I.resample_trajectories(_trajectories(spark, sf), 6)
 
 
 def _label_shuffle_test(spark, sf):
@@ -103,7 +102,7 @@ def _triggered(spark, sf):
 
 def _interaction(spark, sf):
     got = J.pre_post_interaction(_table(spark, sf), ["session", "event_bin"])
-    return spark.createDataFrame([(k, v["coef"], v["se"], v["z"], v["p"]) for k, v in got.items()], "term string, coef double, se double, z double, p double")
+    return spark.createDataFrame([(k, round(v["coef"], 6) + 0.0, round(v["se"], 6), round(v["z"], 4)) for k, v in got.items()], "term string, coef double, se double, z double")
 
 
 QUERIES = [
@@ -119,12 +118,9 @@ QUERIES = [
           with_(PAIRS) + "SELECT series, round(regr_slope(d, ll), 6) AS slope, round(regr_intercept(d, ll), 6) AS intercept, round(corr(d, ll), 6) AS r, round(regr_r2(d, ll), 6) AS r2 FROM pr GROUP BY 1"),
     Query("i7_residualize", lambda s, d: rounded(I.residualize(hourly_signal(s, d), "value", "bin", KEYS, "residual").select("session", "bin", "residual")),
           with_(EV, SIG) + ", g AS (SELECT session, regr_slope(value, bin) AS a, regr_intercept(value, bin) AS b FROM sig GROUP BY 1) SELECT session, bin, round(value - b - a * bin, 6) + 0.0 AS residual FROM sig JOIN g USING (session)"),
-    Query("i8_distance_label_shuffle_test", _label_shuffle_test),
-    Query("i9_resample_trajectories", lambda s, d: rounded(_resampled(s, d).select("traj", "feature", "point", "value"), 5),
-          """WITH v AS (SELECT vec_id // 100 AS traj, vec_id % 100 AS step, CAST(f - 1 AS INTEGER) AS feature, CAST(embedding[f] AS DOUBLE) AS value FROM embeddings, range(1, 5) r(f) WHERE vec_id % 100 < 12),
-          g AS (SELECT DISTINCT traj, feature, CAST(p AS INTEGER) AS point, p * 2.2e0 AS at_ FROM v, range(6) q(p))
-          SELECT g.traj, g.feature, g.point, round(a.value + (coalesce(b.value, a.value) - a.value) * (at_ - floor(at_ + 1e-9)), 5) + 0.0 AS value FROM g JOIN v a ON a.traj = g.traj AND a.feature = g.feature AND a.step = floor(at_ + 1e-9) LEFT JOIN v b ON b.traj = g.traj AND b.feature = g.feature AND b.step = floor(at_ + 1e-9) + 1"""),
-    Query("i10_mean_distance_matrix", lambda s, d: rounded(I.mean_distance_matrix(I.resample_trajectories(_trajectories(s, d), 6), 6))),
+    Query("i8_distance_label_shuffle_test", lambda s, d: rounded(_label_shuffle_test(s, d))),
+    Query("i9_resample_trajectories", lambda s, d: rounded(_resampled(s, d), 5)),
+    Query("i10_mean_distance_matrix", lambda s, d: rounded(I.mean_distance_matrix(_resampled(s, d), 6))),
     Query("j1_peri_event", lambda s, d: rounded(_table(s, d).select("session", "event_bin", "rel", "y")), P0 + "SELECT session, event_bin, rel, round(y, 6) AS y FROM pt"),
     Query("j2_zscore_within_event", lambda s, d: rounded(J.zscore_within_event(_table(s, d), KEYS).select("session", "event_bin", "rel", "z")),
           P0 + "SELECT session, event_bin, rel, CASE WHEN stddev_pop(y) OVER w > 0 THEN round((y - avg(y) OVER w) / stddev_pop(y) OVER w, 6) + 0.0 END AS z FROM pt WINDOW w AS (PARTITION BY session, event_bin)"),
@@ -179,5 +175,5 @@ QUERIES = [
     Query("k17_jump_consensus_shuffle", lambda s, d: rounded(K.jump_consensus_shuffle(_chains(s, d), 0, 3, 0.4, 0.6, 4)),
           with_(EV, HC, CHAINS) + """, jp AS (SELECT bin FROM ch WHERE chain = 0 AND p >= 0.4), rl AS (SELECT s.shuffle, chain, (bin + """ + HASH.format("s.shuffle || '|' || chain") + """ % 720) % 720 AS at_ FROM ch, range(1, 5) s(shuffle) WHERE chain <> 0 AND p > 0.4),
           fr AS (SELECT CAST(s.shuffle AS INTEGER) AS shuffle, jp.bin, (SELECT count(DISTINCT chain) FROM rl WHERE rl.shuffle = s.shuffle AND rl.at_ BETWEEN jp.bin - 3 AND jp.bin + 3) AS k FROM jp, range(1, 5) s(shuffle)) SELECT shuffle, round(avg(CASE WHEN k / 3 >= 0.6 THEN 1e0 ELSE 0 END), 6) AS fraction FROM fr GROUP BY 1"""),
-    Query("o3_event_triggered", _triggered),
+    Query("o3_event_triggered", lambda s, d: rounded(_triggered(s, d))),
 ]

@@ -38,7 +38,9 @@ def test_forward_backward_equals_all_paths(dyn, size, n):
                 joint[a + b] += p
     got = decode.forward_backward(ll, k, s)
     assert np.isclose(got["step"].sum(), math.log(total))
-    assert np.allclose(got["smooth"], marginal / total) and np.allclose(got["joint"], joint / total)
+    assert np.allclose(got["smooth"], marginal / total) and np.allclose(decode.joint_sums(got["causal"], got["ratio"], k, s, "full"), joint / total)
+    for what, axes in (("latent", (0, 2)), ("dynamics", (1, 3))):
+        assert np.allclose(decode.joint_sums(got["causal"], got["ratio"], k, s, what), (joint / total).sum(axes))
 
 
 def test_uniform_kernels_make_bins_independent():
