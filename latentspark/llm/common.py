@@ -46,6 +46,26 @@ def removed(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextlib.contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables saved inside are removed at the end, but for those that the function given saves."""
+    own = f"{_open[-1]}/{uuid.uuid4().hex}" if _open else shared_folder(spark)
+
+    def keep(df: DataFrame) -> DataFrame:
+        _open.pop()
+        try:
+            return saved(df)
+        finally:
+            _open.append(own)
+
+    _open.append(own)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        removed(spark, own)
+
+
 def whole(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
     """operator, run with small batches and its result saved; tables that it saves on the way are removed, and settings are as before, when it returns. Its first argument is the session."""
 

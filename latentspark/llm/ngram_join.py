@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import from_planes, mix, partitions_of, planes, saved, shingle_sets, signed, sized_hint, tidy, whole
+from .common import from_planes, mix, partitions_of, passing, planes, saved, shingle_sets, signed, sized_hint, tidy, whole
 
 #: A pair links when SHARE[1] * intersection >= SHARE[0] * union.
 SHARE = (75, 100)
@@ -251,16 +251,19 @@ def set_items(cids: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return saved(made.join(sized_hint(wanted.select("cid"), BROADCAST_ROWS), "cid", "left_semi"))
 
 
-def verified(pairs: DataFrame, items: DataFrame) -> DataFrame:
-    """Those of pairs (a, b, both cids) that link, by the sets themselves."""
-    shared = F.size(F.array_intersect("a_items", "b_items"))
-    return (
-        pairs.join(items.select(F.col("cid").alias("b"), F.col("items").alias("b_items")), "b")
-        .join(items.select(F.col("cid").alias("a"), F.col("items").alias("a_items")), "a")
-        .where(F.lit(sum(SHARE)) * shared >= F.lit(SHARE[0]) * (F.size("a_items") + F.size("b_items")))
-        .select("a", "b")
-        .distinct()
-    )
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+    """A saved table: those of pairs (a, b, both cids) that link, by the sets themselves."""
+    with passing(docs.sparkSession) as keep:
+        items = set_items(pairs.select(F.explode(F.array("a", "b")).alias("cid")), docs, sets)
+        shared = F.size(F.array_intersect("a_items", "b_items"))
+        linked = (
+            pairs.join(items.select(F.col("cid").alias("b"), F.col("items").alias("b_items")), "b")
+            .join(items.select(F.col("cid").alias("a"), F.col("items").alias("a_items")), "a")
+            .where(F.lit(sum(SHARE)) * shared >= F.lit(SHARE[0]) * (F.size("a_items") + F.size("b_items")))
+            .select("a", "b")
+            .distinct()
+        )
+        return keep(linked)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -341,7 +344,7 @@ def linked_with(sets: list[np.ndarray], first: int) -> np.ndarray:
     return link.sum(1)
 
 
-def link_counts(spark: SparkSession, comps: DataFrame, items: DataFrame, sets: DataFrame) -> DataFrame:
+def link_counts(spark: SparkSession, comps: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """cid, n_links: all links of each set of comps. The sets of a component are dealt over blocks by hash, and a task counts inside a pair of blocks; small components share tasks."""
     named = comps.select(F.col("node").alias("cid"), "comp").join(sets.select("cid", "n"), "cid")
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int")
@@ -350,7 +353,7 @@ def link_counts(spark: SparkSession, comps: DataFrame, items: DataFrame, sets: D
     members = saved(named.join(of_comp.where("m > 2"), "comp").select("cid", "comp", "blocks", F.pmod(F.xxhash64("cid", F.lit(3)), F.col("blocks")).cast("int").alias("block")))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
     group = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("comp"), F.lit(groups))).otherwise(F.xxhash64("comp", "lo", "hi"))
-    rows = dealt.join(items, "cid").select(group.alias("grp"), "comp", "lo", "hi", "block", "cid", "items")
+    rows = dealt.join(set_items(members.select("cid"), docs, sets), "cid").select(group.alias("grp"), "comp", "lo", "hi", "block", "cid", "items")
 
     def count(table: pa.Table) -> pa.Table:
         comp, lo, hi, block, cid = (table.column(c).to_numpy() for c in ("comp", "lo", "hi", "block", "cid"))
@@ -395,7 +398,6 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, count_links: bool =
     large_from = boundary(sizes, (total.squares or 0) / max(1, total.df or 0))
     order = spark.sparkContext.broadcast((np.array([g << 32 | k for g, k, _ in common], np.uint64), np.array([n for _, _, n in common], np.int64), groups))
     lists = saved(postings(docs, order, large_from, groups))
-    items = set_items(lists.select("cid"), docs, sets)
 
     # each member of a list against the one that shares most
     shares = lists.groupBy("cid").agg(F.count(F.lit(1)).alias("k"))
@@ -403,19 +405,19 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, count_links: bool =
     as_b = lists.select("sig", F.col("cid").alias("b"), F.col("n").alias("b_n"), F.col("pos").alias("b_pos"))
     star = as_b.join(lead.select("sig", F.col("l.cid").alias("a"), F.col("l.n").alias("a_n"), F.col("l.pos").alias("a_pos")), "sig").where("a != b").where(_may_link(large_from))
     tried = saved(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    comps = saved(components(saved(verified(tried, items))))
+    comps = saved(components(verified(tried, docs, sets)))
 
     # then against its neighbours in hashed orders, as long as that joins much; at last all that is left in different ones
     for turn in range(NEIGHBOUR_ROUNDS):
         pairs = saved(_untried(_neighbours(_in_mixed_lists(lists, comps), large_from, turn), tried))
-        more = saved(verified(pairs, items))
+        more = verified(pairs, docs, sets)
         tried = tried.unionByName(pairs)
         found = more.count()
         if found:
             comps = saved(_with_links(comps, more))
         if found < FRUITFUL * pairs.count() or not found:
             break
-    more = saved(verified(saved(_untried(_all_pairs(_in_mixed_lists(lists, comps), large_from), tried)), items))
+    more = verified(saved(_untried(_all_pairs(_in_mixed_lists(lists, comps), large_from), tried)), docs, sets)
     if not more.isEmpty():
         comps = saved(_with_links(comps, more))
 
@@ -424,7 +426,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, count_links: bool =
     of_set = final.join(least, "comp").select("cid", "component_id", "n_copies")
     names = ["doc_id", "n_shingles", "component_id", "n_copies"]
     if count_links:
-        of_set = of_set.join(link_counts(spark, comps, items, sets), "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+        of_set = of_set.join(link_counts(spark, comps, docs, sets), "cid", "left").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
         names.append("n_links")
     linked = rows.where("n_shingles > 0").join(of_set, "cid").select(*names)
     alone = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
