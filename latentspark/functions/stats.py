@@ -55,8 +55,22 @@ def signed_rank(df: DataFrame, keys: list[str], d: str) -> DataFrame:
 
 def ks_statistic(df: DataFrame, x: str, group: str) -> DataFrame:
     """One row: n_a, n_b, ks, the largest distance of the two groups' (0 and 1) cumulative distributions of x."""
-    by_x = df.groupBy(x).agg(F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("b"))
+    edges = sorted(set(df.approxQuantile(x, [k / 64 for k in range(1, 64)], 0.01)))
+    part = F.lit(0)
+    for e in edges:
+        part = part + (F.col(x) > e).cast("int")
+    by_x = df.groupBy(x, part.alias("__p")).agg(F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("a"), F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("b"))
     total = df.agg(F.sum(F.when(F.col(group) == 0, 1).otherwise(0)).alias("n_a"), F.sum(F.when(F.col(group) == 1, 1).otherwise(0)).alias("n_b"))
-    run = Window.orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
-    gap = by_x.withColumn("ca", F.sum("a").over(run)).withColumn("cb", F.sum("b").over(run)).crossJoin(F.broadcast(total))
+    # sums up to each value: inside ranges of values, and of whole ranges before, of which there are at most 64
+    run = Window.partitionBy("__p").orderBy(x).rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    before = by_x.groupBy("__p").agg(F.sum("a").alias("pa"), F.sum("b").alias("pb")).select("__p", F.coalesce(F.sum("pa").over(earlier), F.lit(0)).alias("pa"), F.coalesce(F.sum("pb").over(earlier), F.lit(0)).alias("pb"))
+    gap = by_x.join(F.broadcast(before), "__p").withColumn("ca", F.sum("a").over(run) + F.col("pa")).withColumn("cb", F.sum("b").over(run) + F.col("pb")).crossJoin(F.broadcast(total))
     return gap.groupBy("n_a", "n_b").agg(F.max(F.abs(F.col("ca") / F.col("n_a") - F.col("cb") / F.col("n_b"))).alias("ks"))
+
+
+def ks_test(df: DataFrame, x: str, group: str) -> DataFrame:
+    """ks_statistic with p, its asymptotic tail."""
+    r = ks_statistic(df, x, group).first()
+    rows = [] if r is None else [(r.n_a, r.n_b, float(r.ks), kolmogorov_tail(float(r.ks), r.n_a, r.n_b) if r.n_a and r.n_b else None)]
+    return df.sparkSession.createDataFrame(rows, "n_a long, n_b long, ks double, p double")

@@ -81,5 +81,21 @@ def consensus_by_window(table: DataFrame, widest: int) -> DataFrame:
     return hit.groupBy("window").agg(F.avg(F.col("h").cast("double")).alias("fraction"))
 
 
+def rolled_consensus(series: DataFrame, events: DataFrame, widest: int, n_shuffles: int, keys: list[str]) -> DataFrame:
+    """shuffle, window, fraction of consensus_by_window when each series (keys, bin, value) is rolled by a hashed shift of its own."""
+    from latentspark.functions.seeds import drawn_shift
+
+    from .perievent import peri_event
+
+    size = series.groupBy(*keys).agg((F.max("bin") + 1).alias("__n"))
+    copies = series.join(size, keys).withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n_shuffles))))
+    shift = drawn_shift(F.col("__n"), F.col("shuffle").cast("string"), *(F.col(k).cast("string") for k in keys))
+    rolled = copies.select(*keys, "shuffle", F.pmod(F.col("bin") + shift, F.col("__n")).alias("bin"), "value")
+    table = peri_event(rolled, events.join(rolled.select(*keys, "shuffle").distinct(), keys), widest, [*keys, "shuffle"])
+    wide = table.withColumn("window", F.explode(F.sequence(F.lit(1), F.lit(widest))))
+    hit = wide.groupBy("window", "shuffle", *keys, "event_bin").agg(F.max(F.when(F.abs("rel") <= F.col("window"), (F.col("y") > 0).cast("int")).otherwise(0)).alias("h"))
+    return hit.groupBy("shuffle", "window").agg(F.avg(F.col("h").cast("double")).alias("fraction"))
+
+
 def previous_state(series: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return series.withColumn("previous", F.lag(value).over(Window.partitionBy(*keys).orderBy("event_bin")))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,46 @@ def distance_by_label(pairs: DataFrame, a: str, b: str, edges: list[float] | Non
     return distance_by_lag(pairs.withColumn("label_lag", key).where("label_lag is not null"), "label_lag")
 
 
+def bin_edges(df: DataFrame, x: str, bins: int, how: str = "uniform") -> list[float]:
+    """bins + 1 edges over the values of x: evenly spaced, or its quantiles; equal edges are one. A row comes back, of so many numbers."""
+    known = df.where(F.col(x).isNotNull() & ~F.isnan(F.col(x).cast("double")))
+    if how == "uniform":
+        r = known.agg(F.min(x).cast("double").alias("a"), F.max(x).cast("double").alias("b")).first()
+        edges = [] if r.a is None else [r.a + (r.b - r.a) * k / bins for k in range(bins + 1)]
+    else:
+        edges = known.agg(F.percentile(x, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("e")).first().e or []
+    return sorted(set(edges))
+
+
+def distance_by_label_bins(pairs: DataFrame, a: str, b: str, bins: int, direct: int = 50) -> DataFrame:
+    """distance_by_label by value if there are at most `direct` different label differences, else by quantile bins, right-closed and the lowest edge included."""
+    lag = F.abs(F.col(a) - F.col(b)).cast("double")
+    few = pairs.select(lag.alias("x")).where("x is not null").distinct().limit(direct + 1).count() <= direct
+    return distance_by_label(pairs, a, b, None if few else bin_edges(pairs.select(lag.alias("x")), "x", bins, "quantile"))
+
+
+def bin_stats_auto(df: DataFrame, x: str, y: str, bins: int, how: str = "uniform") -> DataFrame:
+    """bin_stats over uniform or quantile bins of x; the last bin holds the largest value."""
+    edges = bin_edges(df, x, bins, how)
+    top = edges[-1:]
+    last = [math.nextafter(v, math.inf) for v in top]
+    out = bin_stats(df, x, y, edges[:-1] + last)
+    return out.withColumn("right", F.when(F.col("right") == F.lit(last[0]), F.lit(top[0])).otherwise(F.col("right"))) if last else out
+
+
+def feature_vs_label_distance(points: DataFrame, intervals: DataFrame, features: list[str], n_shuffles: int, keys: list[str]) -> DataFrame:
+    """kind, feature, keys, slope, p: means of each feature in the intervals of each kind (keys, kind, interval_id, start, end), their distances regressed on how many intervals lie between them, against permuted intervals. One job for all features and kinds."""
+    from .intervals import interval_join
+
+    held = interval_join(points, intervals.select(*keys, "kind", "interval_id", "start", "end"), keys)
+    means = held.groupBy("kind", *keys, "interval_id", "start").agg(*(F.avg(f).alias(f) for f in features)).unpivot(["kind", *keys, "interval_id", "start"], features, "feature", "value").where("value is not null")
+    by = ["kind", "feature", *keys]
+    placed = means.withColumns({"i": F.row_number().over(Window.partitionBy(*by).orderBy("start", "interval_id")), "x": F.array("value")})
+    most = placed.agg(F.max("i")).first()[0] or 1  # intervals of one kind
+    pairs = pairwise_distance(placed.drop("i"), "x", "euclidean", "start", by, max(1, most - 1))
+    return distance_label_shuffle_test(pairs, placed.select(*by, "i", F.col("i").cast("double").alias("label")), n_shuffles, by)
+
+
 def wasserstein1(a, b, widths: list[float], normalize: bool = False):
     """Sum of width times |difference of the cumulative sums| of two array columns."""
     def cumulative(x):

@@ -193,6 +193,15 @@ def rates_of(spark: SparkSession, a: np.ndarray, b: np.ndarray, basis: np.ndarra
     return np.array([r.rate for r in sorted(problems.mapInPandas(solve, "ix long, rate array<double>").collect(), key=lambda r: r.ix)]).T  # the model
 
 
+def _e_step(rates: np.ndarray, kernels: np.ndarray, switch: np.ndarray, dt: float):
+    def decode_sums(g: pd.DataFrame) -> pd.DataFrame:
+        y = np.stack(g.sort_values("bin")["y"].to_numpy())
+        got = decode.forward_backward(decode.loglik_matrix(y, rates, dt, 1.0), kernels, switch)
+        return _sums(got["smooth"].sum(1), y, float(got["step"].sum()))
+
+    return decode_sums
+
+
 def fit_em(spark: SparkSession, counts: DataFrame, posterior: DataFrame, kernels: np.ndarray, switch: np.ndarray, basis: np.ndarray, keys: list[str], rounds: int, prior: float = 1.0, dt: float = 1.0, noise: float | None = None, rough: float = 0.0, save_every: int | None = None, saved: list | None = None) -> tuple[DataFrame, list[float]]:
     """(tuning, log marginal of each round): M-step first, from the initial posterior, then E-step.
 
@@ -212,12 +221,7 @@ def fit_em(spark: SparkSession, counts: DataFrame, posterior: DataFrame, kernels
     for k in range(rounds):
         rates = rates_of(spark, a, b, basis, prior, noise, rough) / dt
 
-        def decode_sums(g: pd.DataFrame, rates=rates) -> pd.DataFrame:
-            y = np.stack(g.sort_values("bin")["y"].to_numpy())
-            got = decode.forward_backward(decode.loglik_matrix(y, rates, dt, 1.0), kernels, switch)
-            return _sums(got["smooth"].sum(1), y, float(got["step"].sum()))
-
-        a, b, total = _model_sums(dense.groupBy(*keys).applyInPandas(decode_sums, SUMS))
+        a, b, total = _model_sums(dense.groupBy(*keys).applyInPandas(_e_step(rates, kernels, switch, dt), SUMS))
         history.append(total)
         if save_every and saved is not None and (k + 1) % save_every == 0:
             saved.append((k + 1, table(rates)))

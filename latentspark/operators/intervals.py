@@ -81,9 +81,9 @@ def merge_close(intervals: DataFrame, gap: float, keys: list[str]) -> DataFrame:
     return marked.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("__g")
 
 
-def state_intervals(series: DataFrame, value: str, threshold: float, gap: float, longer_than: float, keys: list[str]) -> DataFrame:
+def state_intervals(series: DataFrame, value: str, threshold: float, gap: float, longer_than: float, keys: list[str], **more) -> DataFrame:
     """Runs above the threshold, close ones joined, those longer than `longer_than`."""
-    return merge_close(threshold_runs(series, value, threshold, "above", keys), gap, keys).where(F.col("end") - F.col("start") > longer_than)
+    return merge_close(threshold_runs(series, value, threshold, "above", keys, **more), gap, keys).where(F.col("end") - F.col("start") > longer_than)
 
 
 def set_operation(a: DataFrame, b: DataFrame, op: str, keys: list[str]) -> DataFrame:
@@ -141,6 +141,28 @@ def nearest_to(signal: DataFrame, targets: DataFrame, value: str, keys: list[str
     return _aligned(signal, targets, value, keys).select(*keys, "t", F.when(F.col("bt").isNotNull() & before, F.col("bv")).otherwise(F.col("av")).alias(value))
 
 
+def value_from(signal: DataFrame, bins: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """bins (keys, bin, t) with the value of the sample nearest to each bin's t, the earlier of two as near."""
+    return bins.join(nearest_to(signal, bins.select(*keys, "t"), value, keys), [*keys, "t"])
+
+
+def event_phase(points: DataFrame, intervals: DataFrame, keys: list[str]) -> DataFrame:
+    """points with phase, (t - start) / (end - start), for each interval that holds them."""
+    held = interval_join(points, intervals.select(*keys, "start", "end"), keys)
+    return held.withColumn("phase", (F.col("t") - F.col("start")) / (F.col("end") - F.col("start"))).drop("start", "end")
+
+
+def select_units(rows: DataFrame, units: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """rows of the units that are listed, by `unit` or the given columns."""
+    return rows.join(units.select(*(on or ["unit"])).distinct(), on or ["unit"], "left_semi")
+
+
+def fitting_block(intervals: DataFrame, least: float = 1e-3) -> float:
+    """A time block for interval_join: twice the mean length of the intervals, so that an interval touches two blocks or so and points meet few others. One aggregate."""
+    mean = intervals.agg(F.avg(F.col("end") - F.col("start"))).first()[0]
+    return max(least, 2 * float(mean or 0.0))
+
+
 def mean_in_intervals(points: DataFrame, intervals: DataFrame, values: list[str], keys: list[str]) -> DataFrame:
     """keys, interval_id, t (first sample), mean of each value; intervals without samples are dropped."""
     return interval_join(points, intervals.select(*keys, "interval_id", "start", "end"), keys).groupBy(*keys, "interval_id").agg(F.min("t").alias("t"), *(F.avg(v).alias(v) for v in values))

@@ -38,6 +38,24 @@ def isolated_kernel(spark: SparkSession, n: int, lengthscale: float, to_isolated
     return raw.select("i", "j", p.alias("p"))
 
 
+def label_grid_kernel(grid: DataFrame, dims: list[tuple[str, float | None]]) -> DataFrame:
+    """i, j, p between the bins of a grid (maze, flat_idx, coordinates): within a maze the product of a Gaussian for each (coordinate, deviation), rows made to sum to 1, none between mazes.
+
+    A coordinate that both bins lack doesn't count; without a deviation only equal coordinates meet. Leave bins out of the grid to restrict the
+    kernel to valid ones; a row that would be zero stays where it is.
+    """
+    side = lambda s: grid.select("maze", F.col("flat_idx").alias(s), *(F.col(c).alias(f"{c}_{s}") for c, _ in dims))
+    w = F.lit(1.0)
+    for c, std in dims:
+        d = F.col(f"{c}_i") - F.col(f"{c}_j")
+        both = F.col(f"{c}_i").isNull() & F.col(f"{c}_j").isNull()
+        w = w * F.when(both, 1.0).otherwise(F.coalesce(F.exp(-0.5 * (d / std) ** 2) if std else (d == 0).cast("double"), F.lit(0.0)))
+    pairs = side("i").join(side("j"), "maze").withColumn("w", w)  # a maze's bins are the model's
+    total = F.sum("w").over(Window.partitionBy("i"))
+    same = F.when(F.col("i") == F.col("j"), 1.0).otherwise(0.0)
+    return pairs.select("i", "j", F.when(total > 0, F.col("w") / total).otherwise(same).alias("p"))
+
+
 def stacked_kernels(kernels: list[DataFrame], n: int) -> DataFrame:
     """dyn, i, j, p of several kernels and a uniform one behind them; rows of zeros become the identity."""
     spark = kernels[0].sparkSession

@@ -18,11 +18,11 @@ def mean_latent_per_epoch(posterior: DataFrame, epoch: str = "label") -> DataFra
     return posterior.groupBy(epoch, "latent").agg(F.avg("p").alias("mean"))
 
 
-def classify_latents(means: DataFrame, threshold: float, epoch: str = "label") -> DataFrame:
-    """latent, kind, score: the epoch with the largest share of a latent's mean if it is at least the threshold, else `unclassified`."""
+def classify_latents(means: DataFrame, threshold: float | dict[str, float], epoch: str = "label") -> DataFrame:
+    """latent, kind, score: the epoch with the largest share of a latent's mean if it is at least the threshold (one for all, or one for each epoch), else `unclassified`."""
     share = means.withColumn("score", F.col("mean") / F.sum("mean").over(Window.partitionBy("latent")))
     best = share.groupBy("latent").agg(F.max_by(epoch, F.struct("score", F.col(epoch))).alias("kind"), F.max("score").alias("score"))
-    return best.withColumn("kind", F.when(F.col("score") >= threshold, F.col("kind")).otherwise("unclassified"))
+    return best.withColumn("kind", F.when(F.col("score") >= (threshold if not isinstance(threshold, dict) else F.create_map(*(F.lit(x) for kv in threshold.items() for x in kv))[F.col("kind")]), F.col("kind")).otherwise("unclassified"))
 
 
 def occurrence_by_level(rows: DataFrame, latent: str, value: str, levels: list[float]) -> DataFrame:
@@ -98,6 +98,12 @@ def circular_stats(df: DataFrame, value: str, low: float, high: float, keys: lis
     return g.select(*keys, (F.pmod(F.atan2("s", "c"), F.lit(2 * np.pi)) / (2 * np.pi) * span + low).alias("mean"), (F.sqrt(-2 * F.log(F.least(r, F.lit(1.0)))) / (2 * np.pi) * span).alias("std"))
 
 
+def circular_diff(a, b, low: float, high: float):
+    """a - b on a variable that wraps around [low, high]: the shorter way, from -span / 2 to below span / 2."""
+    span = float(high - low)
+    return F.pmod(a - b + F.lit(span / 2), F.lit(span)) - F.lit(span / 2)
+
+
 def latent_in_range(rows: DataFrame, latent: str, arm: str, value: str, low: float, high: float) -> DataFrame:
     """latent, arm, n (rows with the value in range), frac (of the latent's rows in that arm), share (of the latent's rows in range over arms)."""
     inside = F.col(value).between(low, high).cast("int")
@@ -161,6 +167,30 @@ def jump_consensus_shuffle(chains: DataFrame, reference: int, window: int, thres
     return all_rows.groupBy("shuffle").agg(F.avg((F.coalesce("k", F.lit(0)) / F.col("n") >= share).cast("double")).alias("fraction"))
 
 
+def consensus_null_summary(fractions: DataFrame) -> DataFrame:
+    """One row: low, high (2.5 and 97.5 %), mean, std (population) of the fractions of jump_consensus_shuffle."""
+    return fractions.agg(F.percentile("fraction", 0.025).alias("low"), F.percentile("fraction", 0.975).alias("high"), F.avg("fraction").alias("mean"), F.stddev_pop("fraction").alias("std"))
+
+
+def jump_triggered_features(rows: DataFrame, latent: str, features: DataFrame, counts: DataFrame, tuning: DataFrame, pair: tuple[int, int], tolerance: int, reach: int, keys: list[str]) -> DataFrame:
+    """keys, feature, event_bin, rel, y: features (keys, feature, bin, value), and the projection of counts on the contrast of the pair, around each step between the pair of latents."""
+    projected = contrast_projection(counts, tuning, *pair, tolerance, keys).select(*keys, F.lit("projection").alias("feature"), "bin", F.col("projection").alias("value"))
+    series = features.select(*keys, "feature", "bin", F.col("value").cast("double").alias("value")).unionByName(projected)
+    steps = latent_pairs(rows, latent, [pair], tolerance, keys).select(*keys, F.col("bin").alias("event_bin")).distinct()
+    return peri_event(series, steps.join(series.select(*keys, "feature").distinct(), keys), reach, [*keys, "feature"])
+
+
+def null_contrast_projection(steps: DataFrame, rows: DataFrame, latent: str, counts: DataFrame, tuning: DataFrame, window: int, reach: int, keys: list[str]) -> DataFrame:
+    """keys, event_bin, a, b, rel, y: counts around each step (keys, event_bin, as null_steps gives them), projected on the unit vector from the mean tuning around the latent before the step, a, to that around the one behind, b."""
+    before = rows.select(*keys, F.col("bin").alias("event_bin"), F.col(latent).alias("b"), F.lag(latent).over(Window.partitionBy(*keys).orderBy("bin")).alias("a"))
+    named = steps.join(before, [*keys, "event_bin"]).where("a is not null")
+    near = lambda c: F.avg(F.when(F.abs(F.col("latent") - F.col(c)) <= window, F.col("rate")))
+    axis = named.select("a", "b").distinct().join(F.broadcast(tuning), F.lit(True)).groupBy("a", "b", "unit").agg((near("b") - near("a")).alias("w"))
+    axis = axis.withColumn("w", F.col("w") / F.nullif(F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy("a", "b"))), F.lit(0.0)))
+    table = peri_event(counts.select(*keys, "unit", "bin", F.col("n").alias("value")), named.join(counts.select(*keys, "unit").distinct(), keys), reach, [*keys, "unit"], ["a", "b"])
+    return table.join(axis, ["a", "b", "unit"]).groupBy(*keys, "event_bin", "a", "b", "rel").agg(F.sum(F.col("y") * F.col("w")).alias("y"))
+
+
 def jump_triggered(rows: DataFrame, latent: str, series: DataFrame, pair: tuple[int, int], tolerance: int, reach: int, keys: list[str]) -> DataFrame:
     """keys, event_bin, rel, y: a series (keys, bin, value) around each step between a pair of latents."""
     steps = latent_pairs(rows, latent, [pair], tolerance, keys).select(*keys, F.col("bin").alias("event_bin")).distinct()

@@ -32,6 +32,19 @@ def unit_shuffle(counts: DataFrame, n_shuffles: int, keys: list[str]) -> DataFra
     return counts.join(mapping, [*keys, "unit"]).select(*keys, "shuffle", "bin", F.col("__to").alias("unit"), "n")
 
 
+def pre_post_posterior(posterior: DataFrame, keys: list[str], pre, post) -> DataFrame:
+    """keys, latent, pre, post, diff: mean posterior over the bins where each test holds."""
+    mean = lambda test: F.avg(F.when(test, F.col("p")))
+    return posterior.groupBy(*keys, "latent").agg(mean(pre).alias("pre"), mean(post).alias("post")).withColumn("diff", F.col("post") - F.col("pre"))
+
+
+def pre_post_circular_null(counts: DataFrame, tuning: DataFrame, n_shuffles: int, keys: list[str], pre, post, least: int = 0, dt: float = 1.0) -> DataFrame:
+    """keys, shuffle, latent, pre, post, diff of pre_post_posterior with each unit rolled by a hashed shift of its own."""
+    by = [*keys, "shuffle"]
+    rolled = circular_shuffle(counts, n_shuffles, keys, least)
+    return pre_post_posterior(decode.naive_bayes(decode.poisson_loglik(rolled, tuning, by, dt), by), by, pre, post)
+
+
 def relabel_pre_post(rows: DataFrame, n_shuffles: int, value: str, by: list[str], keys: list[str] | None = None) -> DataFrame:
     """keys, shuffle, by, diff (post - pre mean) with the labels `epoch` (pre, post) of the bins of keys permuted; shuffle 0 is as observed. rows: keys, bin, epoch, by, value."""
     keys = keys or []

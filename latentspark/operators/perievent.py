@@ -25,12 +25,13 @@ def zscore_within_event(table: DataFrame, keys: list[str]) -> DataFrame:
     return table.withColumn("z", F.when(F.stddev_pop("y").over(w) > 0, (F.col("y") - F.avg("y").over(w)) / F.stddev_pop("y").over(w)))
 
 
-def peri_event_shuffle(series: DataFrame, events: DataFrame, reach: int, n_shuffles: int, least: int, most: int, keys: list[str]) -> DataFrame:
-    """keys, shuffle, rel, mean over events that are all moved by one hashed shift of least..most bins, around the ends."""
+def peri_event_shuffle(series: DataFrame, events: DataFrame, reach: int, n_shuffles: int, least: int, most: int, keys: list[str], carry: list[str] | None = None) -> DataFrame:
+    """keys, carry, shuffle, rel, mean over events that are all moved by one hashed shift of least..most bins, around the ends."""
     ends = series.groupBy(*keys).agg(F.min("bin").alias("__lo"), F.max("bin").alias("__hi"))
     shift = F.floor(uniform(F.col("shuffle").cast("string")) * (most - least + 1)).cast("long") + least
     moved = events.join(ends, keys).withColumn("shuffle", F.explode(F.sequence(F.lit(1), F.lit(n_shuffles)))).withColumn("event_bin", F.col("__lo") + F.pmod(F.col("event_bin") + shift - F.col("__lo"), F.col("__hi") - F.col("__lo") + 1)).drop("__lo", "__hi")
-    return peri_event(series, moved, reach, keys, ["shuffle"]).groupBy(*keys, "shuffle", "rel").agg(F.avg("y").alias("mean"))
+    carry = carry or []
+    return peri_event(series, moved, reach, keys, [*carry, "shuffle"]).groupBy(*keys, *carry, "shuffle", "rel").agg(F.avg("y").alias("mean"))
 
 
 def pre_post(table: DataFrame, keys: list[str], window: int, include_zero: bool = False) -> DataFrame:
@@ -48,6 +49,32 @@ def pre_post_test(table: DataFrame, keys: list[str], window: int) -> DataFrame:
     return signed_rank(d, keys, "diff").join(size, keys)
 
 
+def pre_post_correlation(table: DataFrame, keys: list[str], window: int) -> DataFrame:
+    """keys, r_pre, r_post: Pearson correlation of y with time over rel in (-window, 0) and (0, window)."""
+    r = F.col("rel")
+    side = lambda t: F.corr(F.when(t, r.cast("double")), F.when(t, F.col("y")))
+    return table.groupBy(*keys).agg(side((r > -window) & (r < 0)).alias("r_pre"), side((r > 0) & (r < window)).alias("r_post"))
+
+
+def event_triggered_suite(features: DataFrame, events: DataFrame, reach: int, n_shuffles: int, keys: list[str], least: int = 1, most: int = 10) -> dict[str, DataFrame]:
+    """Every feature (keys, feature, bin, value) around every kind of event (keys, event_kind, event_bin) in one job: table, tests, correlation, slopes, shuffled and null, by keys, feature and event_kind."""
+    by, pairs = [*keys, "feature"], [*keys, "feature", "event_kind"]
+    asked = events.join(features.select(*by).distinct(), keys)
+    table = peri_event(features, asked, reach, by, ["event_kind"])
+    shuffled = peri_event_shuffle(features, asked.withColumn("event_kind", F.col("event_kind")), reach, n_shuffles, least, most, by, ["event_kind"])
+    return {"table": table, "tests": pre_post_test(table, pairs, reach), "correlation": pre_post_correlation(table, pairs, reach), "slopes": pre_post_slopes(table, pairs), "shuffled": shuffled, "null": pre_post_vs_shuffle(table, shuffled, pairs, reach)}
+
+
+def bootstrap_band(table: DataFrame, by: list[str], y: str, order: str, repeats: int, low: float = 0.025, high: float = 0.975) -> DataFrame:
+    """by, mean, low, high: quantiles of the mean of y over samples with replacement of a group's rows, drawn by hash."""
+    rows = table.where(F.col(y).isNotNull()).withColumns({"__r": F.row_number().over(Window.partitionBy(*by).orderBy(order)), "__n": F.count(F.lit(1)).over(Window.partitionBy(*by))})
+    u = uniform(F.col("repeat").cast("string"), *(F.col(k).cast("string") for k in by), F.col("__r").cast("string"))
+    drawn = rows.select(*by, "__r", "__n", F.explode(F.sequence(F.lit(1), F.lit(repeats))).alias("repeat")).withColumn("__r", (F.floor(u * F.col("__n")) + 1).cast("int"))
+    means = drawn.select(*by, "repeat", "__r").join(rows.select(*by, "__r", F.col(y).alias("__y")), [*by, "__r"]).groupBy(*by, "repeat").agg(F.avg("__y").alias("m"))
+    band = means.groupBy(*by).agg(F.percentile("m", low).alias("low"), F.percentile("m", high).alias("high"))
+    return rows.groupBy(*by).agg(F.avg(y).alias("mean")).join(band, by)
+
+
 def pre_post_vs_shuffle(table: DataFrame, shuffled: DataFrame, keys: list[str], window: int) -> DataFrame:
     """keys, observed (median diff), p: the share of shuffles whose diff the observed one reaches."""
     seen = pre_post(table, keys, window, True).groupBy(*keys).agg(F.percentile("diff", 0.5).alias("observed"))
@@ -96,6 +123,11 @@ def cluster_kmeans(table: DataFrame, keys: list[str], k: int, seed: int = 0) ->
     return KMeans(k=k, seed=seed).fit(vectors).transform(vectors).select(*keys, "event_bin", F.col("prediction").alias("cluster"))
 
 
+def cluster_means(table: DataFrame, clusters: DataFrame, keys: list[str]) -> DataFrame:
+    """cluster, rel, n, mean of y over the events (keys, event_bin) of each cluster."""
+    return table.join(clusters.select(*keys, "event_bin", "cluster"), [*keys, "event_bin"]).groupBy("cluster", "rel").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("mean"))
+
+
 def cluster_quantile(table: DataFrame, keys: list[str], low: int, high: int, tiles: int) -> DataFrame:
     """keys, event_bin, m (mean over rel in [low, high]), cluster: its right-closed quantile bin."""
     m = table.where((F.col("rel") >= low) & (F.col("rel") <= high)).groupBy(*keys, "event_bin").agg(F.avg("y").alias("m"))

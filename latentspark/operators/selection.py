@@ -3,18 +3,13 @@
 from __future__ import annotations
 
 import zlib
-from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latentspark.functions.seeds import permuted_rank
-
-from . import decode, fit, kernels, tuning
+from . import decode, fit, kernels, transitions, tuning
 
 
 def iterative_label_refit(spark: SparkSession, counts: DataFrame, start: DataFrame, n: int, std: float, rounds: int, keys: list[str]) -> tuple[DataFrame, list[float]]:
@@ -126,30 +121,58 @@ def model_selection(spark: SparkSession, train: DataFrame, test: DataFrame, grid
     return got.join(F.broadcast(first), F.lit(True)).withColumn("best", F.col("config") == F.col("__c")).drop("__c")
 
 
-def label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float = 0.01, keys: list[str] | None = None) -> DataFrame:
-    """keys, shuffle, accuracy of an L1 multinomial logit of the label on the features, a model for each group of keys; shuffle 0 is observed, in others the labels are permuted."""
-    if not keys:
-        return _label_logit(rows, label, features, n_shuffles, strength)
-    out = None
-    for group in sorted(rows.select(*keys).distinct().collect()):
-        same = [F.col(k).eqNullSafe(F.lit(group[k])) for k in keys]
-        own = _label_logit(rows.where(reduce(lambda a, b: a & b, same)), label, features, n_shuffles, strength)
-        own = own.select(*(F.lit(group[k]).cast(rows.schema[k].dataType).alias(k) for k in keys), "*")
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
-def _label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float) -> DataFrame:
-    """shuffle, accuracy of one L1 multinomial logit of the label on the features; shuffle 0 is observed, in others the labels are permuted."""
-    base = rows.na.drop(subset=[label, *features]).withColumn("__all", F.lit(1)).withColumn("__id", F.row_number().over(Window.partitionBy("__all").orderBy(*features)))
-    out = []
-    for s in range(n_shuffles + 1):
-        if s:
-            drawn = base.select(permuted_rank(["__all"], "__id", F.lit(str(s))).alias("__id"), F.col(label).alias("__l"))
-            data = base.drop(label).join(drawn, "__id").withColumnRenamed("__l", label)
-        else:
-            data = base
-        ready = data.select(F.col(label).cast("double").alias("label"), array_to_vector(F.array(*(F.col(f).cast("double") for f in features))).alias("features"))
-        model = LogisticRegression(regParam=strength, elasticNetParam=1.0, family="multinomial", maxIter=30).fit(ready)
-        out.append((s, float(model.summary.accuracy)))
-    return rows.sparkSession.createDataFrame(out, "shuffle int, accuracy double")
+def multinomial_l1(x: np.ndarray, y: np.ndarray, kinds: int, strength: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(coefficients by kind, intercepts) for standardised columns of x: least mean log loss + strength |coefficients|, by accelerated proximal steps."""
+    n, d = x.shape
+    spread = x.std(0, ddof=1) if n > 1 else np.zeros(d)
+    z = np.where(spread > 0, (x - x.mean(0)) / np.where(spread > 0, spread, 1), 0.0)
+    z = np.column_stack([z, np.ones(n)])
+    hot = np.eye(kinds)[y]
+    size = 2.0 / max(np.linalg.eigvalsh(z.T @ z)[-1] / n, 1e-12)
+    w = ahead = np.zeros((d + 1, kinds))
+    t = 1.0
+    for _ in range(rounds):
+        e = z @ ahead
+        e = np.exp(e - e.max(1, keepdims=True))
+        new = ahead - size * (z.T @ (e / e.sum(1, keepdims=True) - hot)) / n
+        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - size * strength, 0)
+        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        ahead = new + (t - 1) / later * (new - w)
+        if np.abs(new - w).max() < 1e-9:
+            w = new
+            break
+        w, t = new, later
+    return z @ w, w
+
+
+def label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float = 0.01, keys: list[str] | None = None, order: str = "event_bin") -> DataFrame:
+    """keys, shuffle, accuracy of an L1 multinomial logit of the label on standardised features, a model for each group of keys; shuffle 0 is observed, in others the labels are permuted by a hashed draw. All fits are one job."""
+    keys = keys or []
+    by = [*keys, "shuffle"]
+    copies = rows.na.drop(subset=[label, *features]).select(*keys, F.col(order).alias("__o"), F.col(label).alias("__l"), *(F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features))).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles))))
+
+    def fitted(g: pd.DataFrame) -> pd.DataFrame:
+        g = g.sort_values("__o")
+        kinds, y = np.unique(g["__l"].to_numpy(), return_inverse=True)
+        shuffle = int(g["shuffle"].iloc[0])
+        if shuffle:
+            y = np.random.default_rng(zlib.crc32("|".join(str(g[k].iloc[0]) for k in by).encode())).permutation(y)
+        score, _ = multinomial_l1(g[[f"__f{i}" for i in range(len(features))]].to_numpy(float), y, len(kinds), strength)
+        return pd.DataFrame({k: [g[k].iloc[0]] for k in by} | {"accuracy": [float((score.argmax(1) == y).mean())]})
+
+    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+    return copies.groupBy(*by).applyInPandas(fitted, (fields + ", " if fields else "") + "shuffle int, accuracy double")
+
+
+def logit_test(accuracies: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:
+    """keys, observed, limit (quantile of the permuted ones), significant."""
+    got = accuracies.groupBy(*keys).agg(F.max(F.when(F.col("shuffle") == 0, F.col("accuracy"))).alias("observed"), F.percentile(F.when(F.col("shuffle") > 0, F.col("accuracy")), quantile).alias("limit"))
+    return got.withColumn("significant", F.col("observed") > F.col("limit"))
+
+
+def clean_transition_decode(counts: DataFrame, posterior: DataFrame, seen: DataFrame, latents: int, betas: list[float], keys: list[str]) -> DataFrame:
+    """decode_hmm under the tuning of a posterior and the Gibbs kernel of its latents' distances at the beta nearest to the transitions seen (i, j, p)."""
+    rates = fit.empirical_tuning(*fit.weighted_stats(posterior, counts, keys), counts)
+    distance = transitions.tuning_distance(rates)
+    beta = transitions.select_beta(distance, seen, betas).first().beta
+    return decode.decode_hmm(counts, decode.Model.of(rates, kernels.as_arrays(transitions.gibbs_transitions(distance, beta), latents), np.ones((1, 1))), keys)

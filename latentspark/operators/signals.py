@@ -91,7 +91,7 @@ def angular_velocity(series: DataFrame, keys: list[str], least_speed: float = 1e
 
 
 def vector_distance(a, b, metric: str):
-    """Euclidean, cosine or correlation distance of two array columns; for the latter two, both zero: 0, one zero: 2."""
+    """Euclidean, cityblock, cosine, correlation or jensenshannon distance of two array columns, another metric is an error. Cosine and correlation: 0 if both are zero, 2 if one is. Jensen-Shannon: the root of the divergence in nats of the arrays as shares, null without mass."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
     if metric == "euclidean":
         d = F.zip_with(a, b, lambda p, q: p.cast("double") - q.cast("double"))
@@ -101,6 +101,14 @@ def vector_distance(a, b, metric: str):
     if metric == "correlation":
         centred = lambda x: F.transform(x, lambda v: v.cast("double") - F.aggregate(x, F.lit(0.0), lambda s, u: s + u.cast("double")) / F.size(x))
         a, b = centred(a), centred(b)
+    if metric == "jensenshannon":
+        total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v.cast("double"))
+        share = lambda x: F.transform(x, lambda v: v.cast("double") / total(x))
+        half = lambda p, q: F.aggregate(F.zip_with(p, q, lambda u, v: F.when(u > 0, u * F.log(2 * u / (u + v))).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+        p, q = share(a), share(b)
+        return F.when((total(a) > 0) & (total(b) > 0), F.sqrt(F.greatest((half(p, q) + half(q, p)) / 2, F.lit(0.0))))
+    if metric not in ("cosine", "correlation"):
+        raise ValueError(f"unknown metric: {metric}")
     na, nb = F.sqrt(dot(a, a)), F.sqrt(dot(b, b))
     return F.when((na == 0) & (nb == 0), 0.0).when((na == 0) | (nb == 0), 2.0).otherwise(1 - dot(a, b) / (na * nb))
 
@@ -111,6 +119,37 @@ def consecutive_distance(vectors: DataFrame, vector: str, metric: str, keys: lis
     return vectors.withColumn("__b", before).withColumn("distance", F.when(F.col("__b").isNotNull(), vector_distance(F.col(vector), F.col("__b"), metric))).drop("__b")
 
 
+def consecutive_in_ranges(vectors: DataFrame, vector: str, metric: str, at: str, width: int) -> DataFrame:
+    """vectors with `distance` to the row before in order of a whole-number column, null for the first, for one series that is too long for a task: lags inside ranges of `width` numbers, and the first row of a range against the last row of the range before."""
+    ranged = vectors.withColumn("__g", F.floor(F.col(at) / width))
+    w = Window.partitionBy("__g").orderBy(at)
+    ends = vectors.groupBy(F.floor(F.col(at) / width).alias("__g")).agg(F.max_by(vector, at).alias("__e"))
+    before = ends.withColumn("__f", F.lag("__e").over(Window.orderBy("__g"))).select("__g", "__f")  # a row for each range
+    with_before = ranged.withColumn("__l", F.lag(vector).over(w)).withColumn("__r", F.row_number().over(w)).join(before, "__g", "left")
+    b = F.when(F.col("__r") == 1, F.col("__f")).otherwise(F.col("__l"))
+    return with_before.withColumn("__b", b).withColumn("distance", F.when(F.col("__b").isNotNull(), vector_distance(F.col(vector), F.col("__b"), metric))).drop("__g", "__f", "__l", "__r", "__b")
+
+
+def population_mean_rate(bins: DataFrame, keys: list[str], t: str = "t") -> DataFrame:
+    """keys, t, rate: the mean count over units of each time bin (keys, t, unit, n) by the median distance of bins."""
+    mean = bins.groupBy(*keys, t).agg(F.avg("n").alias("__m"))
+    gap = F.col(t) - F.lag(t).over(Window.partitionBy(*keys).orderBy(t))
+    width = mean.withColumn("__d", gap).groupBy(*keys).agg(F.percentile("__d", 0.5).alias("__w"))
+    return mean.join(width, keys).select(*keys, t, (F.col("__m") / F.col("__w")).alias("rate"))
+
+
+def feature_table(counts: DataFrame, keys: list[str], jump: DataFrame | None = None, signal: DataFrame | None = None) -> DataFrame:
+    """keys, bin, value, feature: mean count of a bin (`rate`), cosine distance of successive count vectors (`distance`), and, where given, a probability of jumping and a signal (keys, bin, value)."""
+    wide = counts.groupBy(*keys, "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "n"))), lambda x: x["n"].cast("double")).alias("v"))
+    out = counts.groupBy(*keys, "bin").agg(F.avg("n").alias("value")).withColumn("feature", F.lit("rate"))
+    step = consecutive_distance(wide, "v", "cosine", keys, ["bin"]).where("distance is not null")
+    out = out.unionByName(step.select(*keys, "bin", F.col("distance").alias("value"), F.lit("distance").alias("feature")))
+    for name, more in (("jump", jump), ("signal", signal)):
+        if more is not None:
+            out = out.unionByName(more.select(*keys, "bin", F.col("value").cast("double").alias("value"), F.lit(name).alias("feature")))
+    return out
+
+
 def normalize_units(counts: DataFrame, how: str, keys: list[str]) -> DataFrame:
     """counts with `norm`: n by the unit's largest, or its z-score with the population deviation."""
     w = Window.partitionBy(*keys, "unit")

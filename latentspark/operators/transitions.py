@@ -27,6 +27,13 @@ def expected_transitions(posterior: DataFrame, keys: list[str], episode: list[st
     return normalised(c, keys)
 
 
+def transition_mass(transitions: DataFrame, posterior: DataFrame, keys: list[str], episode: list[str]) -> DataFrame:
+    """keys, i, n_steps, mass: the steps inside episodes, and the weight of each row of expected_transitions."""
+    bins = posterior.select(*keys, *episode, "bin").distinct().groupBy(*keys, *episode).agg((F.count(F.lit(1)) - 1).alias("s"))
+    steps = bins.groupBy(*keys).agg(F.sum("s").alias("n_steps"))
+    return transitions.groupBy(*keys, "i").agg(F.sum("c").alias("mass")).join(steps, keys)
+
+
 def label_transitions(labels: DataFrame, keys: list[str], mode: str = "frame", exclude: list[str] | None = None, smoothing: float = 0.0, order: str = "bin") -> DataFrame:
     """keys, i, j, c, p of adjacent labels after excluded ones are removed; mode `segment` counts changes only. Every pair of labels that occur (by keys) has a row."""
     kept = labels.where(~F.col("label").isin(exclude)) if exclude else labels
@@ -53,6 +60,13 @@ def transition_shuffle_test(labels: DataFrame, n_shuffles: int, quantile: float,
     return observed.join(null, [*keys, "i", "j"]).withColumn("significant", F.col("p") > F.col("limit"))
 
 
+def tuning_distance(tuning: DataFrame) -> DataFrame:
+    """i, j, d: absolute difference of the total rates of each pair of latents. A latent table with itself, the model's size."""
+    total = tuning.groupBy("latent").agg(F.sum("rate").alias("r"))
+    a, b = total.select(F.col("latent").alias("i"), F.col("r").alias("a")), total.select(F.col("latent").alias("j"), F.col("r").alias("b"))
+    return a.join(b, F.lit(True)).select("i", "j", F.abs(F.col("a") - F.col("b")).alias("d"))
+
+
 def gibbs_transitions(distances: DataFrame, beta: float) -> DataFrame:
     """i, j, p proportional to exp(-beta d), rows summing to 1."""
     w = Window.partitionBy("i")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import oracles, queries_base, queries_decode, queries_more, queries_stats
+from . import oracles, queries_base, queries_decode, queries_extra, queries_more, queries_stats
 
-_ALL = [*queries_base.QUERIES, *queries_decode.QUERIES, *queries_stats.QUERIES, *queries_more.QUERIES]
+_ALL = [*queries_base.QUERIES, *queries_decode.QUERIES, *queries_stats.QUERIES, *queries_more.QUERIES, *queries_extra.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,6 +30,12 @@ def _two_sets(spark, sf):
     return a, b
 
 
+def _uneven(spark, sf):
+    """Per session and day the span of its events: session, interval_id, start, end."""
+    e = events(spark, sf)
+    return e.groupBy("session", F.floor((F.col("t") - tables.T0) / 86400).cast("int").alias("interval_id")).agg(F.min("t").alias("start"), F.max("t").alias("end"))
+
+
 def _targets(spark, sf):
     return whole_span(spark, sf).select("session", F.explode(F.sequence(F.lit(0), F.lit(239))).alias("i")).select("session", (F.lit(tables.T0) + F.col("i") * 10800.0).alias("t"))
 
@@ -100,8 +106,7 @@ def _angular(spark, sf):
 
 
 def _consecutive(spark, sf, metric):
-    e = table(spark, sf, "embeddings").withColumn("s", F.lit(1))
-    return S.consecutive_distance(e, "embedding", metric, ["s"], ["vec_id"]).select("vec_id", "distance")
+    return S.consecutive_in_ranges(table(spark, sf, "embeddings"), "embedding", metric, "vec_id", 128).select("vec_id", "distance")
 
 
 def _grid_maps(spark, sf):
@@ -111,6 +116,7 @@ def _grid_maps(spark, sf):
     return T.grid_maps({"a": a, "b": b}).select("maze", "flat_idx", "ix", "x", "y")
 
 
+UNEVEN = "un AS (SELECT session, CAST(floor((t - 1704067200e0) / 86400) AS INTEGER) AS interval_id, min(t) AS s, max(t) AS e FROM ev GROUP BY 1, 2)"
 EV_IV = with_(EV, IV)
 RUNS = """r0 AS (SELECT session, t, event_id, value, coalesce({test}, false) AS inside FROM ev),
       r1 AS (SELECT *, inside AND NOT coalesce(lag(inside) OVER w, false) AS b FROM r0 WINDOW w AS (PARTITION BY session ORDER BY t, event_id)),
@@ -142,17 +148,17 @@ ALIGN = """tg AS (SELECT session, 1704067200e0 + i * 10800 AS t FROM (SELECT DIS
 QUERIES = [
     Query("a4_tables_to_long", lambda s, d: tables.to_long(table(s, d, "customer").select("c_custkey", "c_acctbal", F.col("c_nationkey").cast("double").alias("c_nationkey")), ["c_custkey"], ["c_acctbal", "c_nationkey"]),
           "SELECT c_custkey, 'c_acctbal' AS feature, c_acctbal AS value FROM customer UNION ALL SELECT c_custkey, 'c_nationkey', CAST(c_nationkey AS DOUBLE) FROM customer"),
-    Query("a4_tables_to_wide", lambda s, d: tables.to_wide(events(s, d).groupBy("session", "unit").agg(F.count(F.lit(1)).alias("n")), ["session"], "unit", "n", ["click", "purchase"]),
-          with_(EV) + "SELECT session, nullif(count(*) FILTER (unit = 'click'), 0) AS click, nullif(count(*) FILTER (unit = 'purchase'), 0) AS purchase FROM ev GROUP BY 1"),
+    Query("a4_tables_to_wide", lambda s, d: tables.to_wide(events(s, d).groupBy("session", "unit").agg(F.count(F.lit(1)).alias("n")), ["session"], "unit", "n", ["click", "error", "purchase", "signup", "view"]),
+          with_(EV) + "SELECT session, " + ", ".join(f"nullif(count(*) FILTER (unit = '{u}'), 0) AS {u}" for u in ("click", "error", "purchase", "signup", "view")) + " FROM ev GROUP BY 1"),
     Query("b1_filter_by_spec", lambda s, d: predicates.filter_by_spec(table(s, d, "customer"), SPEC)[0].select("c_custkey", "c_acctbal"),
           "SELECT c_custkey, c_acctbal FROM customer WHERE c_acctbal >= 0 AND c_acctbal < 5000 AND (c_mktsegment IN ('BUILDING', 'MACHINERY') OR regexp_matches(c_name, '7$')) AND NOT c_nationkey < 3"),
     Query("b2_compare_mask", lambda s, d: predicates.filter_by_spec(table(s, d, "part"), [["p_size", "!=", 10], ["p_retailprice", ">=", 1000.0]])[1].groupBy("mask").agg(F.count(F.lit(1)).alias("n")),
           "SELECT (p_size <> 10 AND p_retailprice >= 1000) AS mask, count(*) AS n FROM part GROUP BY 1"),
     Query("b6_string_tests", lambda s, d: predicates.filter_by_spec(table(s, d, "part"), {"any": [["p_name", "contains", "ALM", {"case": False}], ["p_brand", "endswith", "3"], ["p_type", "startswith", "STAN"]]})[0].select("p_partkey"),
           "SELECT p_partkey FROM part WHERE regexp_matches(p_name, 'ALM', 'i') OR p_brand LIKE '%3' OR p_type LIKE 'STAN%'"),
-    Query("b8_select_units", lambda s, d: events(s, d).join(F.broadcast(events(s, d).groupBy("unit").agg(F.avg("value").alias("m")).orderBy(F.desc("m"), "unit").limit(2).select("unit")), "unit", "left_semi").groupBy("session", "unit").agg(F.count(F.lit(1)).alias("n")),
+    Query("b8_select_units", lambda s, d: I.select_units(events(s, d), events(s, d).groupBy("unit").agg(F.avg("value").alias("m")).orderBy(F.desc("m"), "unit").limit(2)).groupBy("session", "unit").agg(F.count(F.lit(1)).alias("n")),
           with_(EV) + "SELECT session, unit, count(*) AS n FROM ev WHERE unit IN (SELECT unit FROM ev GROUP BY 1 ORDER BY avg(value) DESC, unit LIMIT 2) GROUP BY 1, 2"),
-    Query("b9_event_phase", lambda s, d: rounded(I.interval_join(events(s, d).select("session", "event_id", "t"), half_days(s, d), KEYS).select("event_id", ((F.col("t") - F.col("start")) / (F.col("end") - F.col("start"))).alias("phase"))),
+    Query("b9_event_phase", lambda s, d: rounded(I.event_phase(events(s, d).select("session", "event_id", "t"), half_days(s, d), KEYS).select("event_id", "phase")),
           EV_IV + "SELECT event_id, round((t - s) / (e - s), 6) AS phase FROM ev JOIN iv ON ev.session = iv.session AND t BETWEEN s AND e"),
     Query("b10_normalize_units", lambda s, d: rounded(S.normalize_units(hourly_counts(s, d), "zscore", KEYS).select("session", "bin", "unit", "norm")),
           with_(EV, HC) + "SELECT session, bin, unit, round((n - avg(n) OVER w) / stddev_pop(n) OVER w, 6) + 0.0 AS norm FROM hc WINDOW w AS (PARTITION BY session, unit)"),
@@ -166,11 +172,12 @@ QUERIES = [
           EV_IV + """, c AS (SELECT ev.session, interval_id, CAST(floor((t - s) / 3600) AS BIGINT) AS bin, unit, count(*) AS n FROM ev JOIN iv ON iv.session = ev.session AND t >= s AND t < e GROUP BY ALL),
           g AS (SELECT session, interval_id, bin, unit FROM iv JOIN (SELECT DISTINCT session, unit FROM ev) USING (session), range(12) r(bin))
           SELECT session, interval_id, bin, unit, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (session, interval_id, bin, unit)"""),
-    Query("c4_bin_to_events", lambda s, d: I.event_bins(half_days(s, d), 3600.0, KEYS).select("session", "interval_id", "n_bins", "start_index", "end_index"),
-          EV_IV + "SELECT session, interval_id, CAST(12 AS BIGINT) AS n_bins, CAST(interval_id * 12 AS INTEGER) AS start_index, CAST(interval_id * 12 + 11 AS INTEGER) AS end_index FROM iv"),
+    Query("c4_bin_to_events", lambda s, d: I.event_bins(_uneven(s, d), 3600.0, KEYS),
+          with_(EV, UNEVEN) + """, nb AS (SELECT session, interval_id, CAST(floor((e - s) / 3600 + 1e-9) AS BIGINT) AS n FROM un), cu AS (SELECT *, sum(n) OVER (PARTITION BY session ORDER BY interval_id) AS c FROM nb)
+          SELECT session, interval_id, n AS n_bins, CASE WHEN n > 0 THEN CAST(c - n AS INTEGER) END AS start_index, CASE WHEN n > 0 THEN CAST(c - 1 AS INTEGER) END AS end_index, n > 0 AS valid FROM cu"""),
     Query("c5_threshold_runs", lambda s, d: _runs(s, d, "above", 60.0).select("session", "start", "end", "n"), with_(EV, RUNS.format(test="value > 60")) + 'SELECT session, s AS start, e AS "end", n FROM runs'),
     Query("c6_merge_close", lambda s, d: I.merge_close(_runs(s, d, "below", 30.0), 900.0, KEYS), with_(EV, RUNS.format(test="value < 30"), MERGE.format(gap=900)) + 'SELECT session, s AS start, e AS "end", parts FROM merged'),
-    Query("c7_state_intervals", lambda s, d: I.merge_close(_runs(s, d, "above", 50.0), 1800.0, KEYS).where(F.col("end") - F.col("start") > 3600.0).select("session", "start", "end"),
+    Query("c7_state_intervals", lambda s, d: I.state_intervals(_t_series(s, d), "value", 50.0, 1800.0, 3600.0, KEYS, order=["t", "event_id"]).select("session", "start", "end"),
           with_(EV, RUNS.format(test="value > 50"), MERGE.format(gap=1800)) + 'SELECT session, s AS start, e AS "end" FROM merged WHERE e - s > 3600'),
     _set_query("union", "ia OR ib"), _set_query("intersect", "ia AND ib"), _set_query("diff", "ia AND NOT ib"),
     Query("c9_states_to_intervals", lambda s, d: I.states_to_intervals(_t_series(s, d).withColumn("state", F.floor(F.col("value") / 20).cast("int")), "state", NAMES, KEYS, ["t", "event_id"]),

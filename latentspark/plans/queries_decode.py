@@ -194,7 +194,7 @@ QUERIES = [
     Query("g6_fit_em", lambda s, d: _em(s, d)),
     Query("g7_init_random", lambda s, d: rounded(G.init_random(hourly_counts(s, d).select("session", "bin").distinct(), KEYS, 4)),
           with_(EV, HC) + ", u AS (SELECT session, bin, CAST(l AS INTEGER) AS latent, (" + HASH.format("'0|' || session || '|' || bin || '|' || l") + " + 0.5) / 4294967296e0 AS u FROM (SELECT DISTINCT session, bin FROM hc), range(4) r(l)) SELECT session, bin, latent, round(u / sum(u) OVER (PARTITION BY session, bin), 6) AS p FROM u"),
-    Query("g7_init_pca", lambda s, d: G.init_pca(hourly_counts(s, d), ["click", "purchase", "view"], KEYS, 3)),
+    Query("g7_init_pca", lambda s, d: G.init_pca(hourly_counts(s, d), ["click", "error", "purchase", "signup", "view"], KEYS, 5)),
     Query("g10_split_contiguous", lambda s, d: G.split_contiguous(hourly_counts(s, d).select("session", "bin").distinct(), KEYS).groupBy("session", "part").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("first")),
           with_(EV, HC) + "SELECT session, CASE WHEN bin >= 576 THEN 'test' ELSE 'train' END AS part, count(DISTINCT bin) AS n, min(bin) AS first FROM hc GROUP BY 1, 2"),
     Query("g12_chain_agreement", lambda s, d: rounded(_chains(s, d)),
@@ -215,7 +215,7 @@ QUERIES = [
     Query("h8_weighted_quantile", lambda s, d: H.weighted_quantile(events(s, d), "k", "value", 0.9, KEYS),
           with_(EV) + ", g AS (SELECT session, k, sum(value) AS w FROM ev GROUP BY 1, 2), c AS (SELECT *, sum(w) OVER (PARTITION BY session ORDER BY k ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY session) AS t FROM g) SELECT session, min(k) AS value FROM c WHERE c >= 0.9 * t GROUP BY 1"),
     Query("h9_match_step", lambda s, d: rounded(H.match_step(_distances(s, d), _target(s, d), BETAS, 0.9), 8)),
-    Query("l1_pre_post_posterior", lambda s, d: rounded(posterior(s, d).groupBy("session", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff"))),
+    Query("l1_pre_post_posterior", lambda s, d: rounded(M.pre_post_posterior(posterior(s, d), KEYS, F.col("bin") < 360, F.col("bin") >= 360).select("session", "latent", "diff")),
           BASE + "SELECT session, latent, round(avg(p) FILTER (bin >= 360) - avg(p) FILTER (bin < 360), 6) + 0.0 AS diff FROM nb GROUP BY 1, 2"),
     Query("l2_circular_shuffle", lambda s, d: _circular(s, d).where("n > 0").select("session", "shuffle", "bin", "unit", "n"), with_(EV, HC, CIRC) + "SELECT session, CAST(shuffle AS INTEGER) AS shuffle, bin, unit, n FROM cs WHERE n > 0"),
     Query("l4_relabel_pre_post", lambda s, d: rounded(M.relabel_pre_post(hourly_signal(s, d).withColumn("epoch", F.when(F.col("bin") < 360, "pre").otherwise("post")), 5, "value", [], KEYS))),

@@ -76,24 +76,12 @@ def _selection(spark, sf):
 
 def _clean_transition(spark, sf):
     """Tuning distance -> Gibbs kernel at the beta nearest to the posterior's transitions -> decoding."""
-    c = hourly_counts(spark, sf)
-    p = posterior(spark, sf)
-    rates = G.empirical_tuning(*G.weighted_stats(p, c, KEYS), c)
-    r = rates.groupBy("latent").agg(F.sum("rate").alias("r"))
-    d = r.select(F.col("latent").alias("i"), F.col("r").alias("a")).join(r.select(F.col("latent").alias("j"), F.col("r").alias("b")), F.lit(True)).select("i", "j", F.abs(F.col("a") - F.col("b")).alias("d"))
     seen = D.posterior_transitions(day_counts(spark, sf), _model(spark, sf), EK).select("i", "j", F.col("conditional").alias("p"))
-    beta = H.select_beta(d, seen, [0.0, 1.0, 2.0, 4.0]).first().beta
-    k = K.as_arrays(H.gibbs_transitions(d, beta), LATENTS)
-    return D.decode_hmm(c, D.Model.of(rates, k, np.ones((1, 1))), KEYS).select("session", "bin", "p_latent", "step")
+    return S.clean_transition_decode(hourly_counts(spark, sf), posterior(spark, sf), seen, LATENTS, [0.0, 1.0, 2.0, 4.0], KEYS).select("session", "bin", "p_latent", "step")
 
 
 def _feature_table(spark, sf):
-    """Population rate, distance of successive count vectors and probability of jumping, as one long table."""
-    c = hourly_counts(spark, sf)
-    wide = c.groupBy("session", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("unit", "n"))), lambda x: x["n"].cast("double")).alias("v"))
-    rate = c.groupBy("session", "bin").agg(F.avg("n").alias("value")).withColumn("feature", F.lit("rate"))
-    dist = signals.consecutive_distance(wide, "v", "cosine", KEYS, ["bin"]).where("distance is not null").select("session", "bin", F.col("distance").alias("value"), F.lit("distance").alias("feature"))
-    return rate.unionByName(dist)
+    return signals.feature_table(hourly_counts(spark, sf), KEYS)
 
 
 FEATURES = """wd AS (SELECT session, bin, list(CAST(n AS DOUBLE) ORDER BY unit) AS v FROM hc GROUP BY 1, 2),
@@ -101,20 +89,9 @@ FEATURES = """wd AS (SELECT session, bin, list(CAST(n AS DOUBLE) ORDER BY unit)
       nr AS (SELECT *, sqrt(list_inner_product(v, v)) AS nv, sqrt(list_inner_product(b, b)) AS nb_ FROM wl WHERE b IS NOT NULL)"""
 
 
-def _stream_counts_batch(spark, sf):
-    e = table(spark, sf, "events")
-    return e.groupBy(F.concat(F.lit("s"), F.pmod("user_id", F.lit(4))).alias("session"), F.col("event_type").alias("unit"), F.window(F.col("ts").cast("timestamp"), "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("session", "unit", (F.col("w.start").cast("double")).alias("start"), "n")
-
-
-def _sessions_batch(spark, sf):
-    e = table(spark, sf, "events")
-    g = e.groupBy(F.concat(F.lit("s"), F.pmod("user_id", F.lit(4))).alias("session"), F.session_window(F.col("ts").cast("timestamp"), "15 minutes").alias("w")).agg(F.count(F.lit(1)).alias("n"))
-    return g.select("session", F.col("w.start").cast("double").alias("start"), "n")
-
-
 def _logit(spark, sf):
     rows = B.previous_state(_map(spark, sf).withColumnRenamed("bin", "event_bin"), "latent", KEYS).withColumn("phase", (F.col("event_bin") % 24) / 24.0)
-    return S.label_logit(rows.withColumn("id", F.col("event_bin")), "latent", ["phase", "previous", "id"], 1, keys=KEYS)
+    return S.logit_test(S.label_logit(rows, "latent", ["phase", "previous", "speed"], 40, keys=KEYS), KEYS)
 
 
 def _adjacent_test(spark, sf):
@@ -162,8 +139,5 @@ QUERIES = [
     Query("k15_null_steps", lambda s, d: L.null_steps(_map(s, d), "latent", _chains(s, d), 0.6, 20, KEYS),
           M0 + """, ch AS (SELECT bin, sum(n) FILTER (unit = 'view') / greatest(sum(n), 1) AS p FROM hc GROUP BY session, bin), c AS (SELECT session, bin, latent <> lag(latent) OVER (PARTITION BY session ORDER BY bin) AS x FROM mp)
           SELECT session, bin AS event_bin FROM c WHERE x AND bin NOT IN (SELECT bin FROM ch WHERE p > 0.6) QUALIFY row_number() OVER (PARTITION BY session ORDER BY CAST(('0x' || substr(md5('0|' || session || '|' || bin), 1, 8)) AS BIGINT), bin) <= 20"""),
-    Query("l3_pre_post_circular_null", lambda s, d: D.naive_bayes(D.poisson_loglik(M.circular_shuffle(hourly_counts(s, d), 2, KEYS), hourly_tuning(hourly_counts(s, d)), ["session", "shuffle"]), ["session", "shuffle"]).groupBy("session", "shuffle", "latent").agg((F.avg(F.when(F.col("bin") >= 360, F.col("p"))) - F.avg(F.when(F.col("bin") < 360, F.col("p")))).alias("diff")).select("session", "shuffle", "latent", (F.round("diff", 6) + 0.0).alias("diff"))),
-    Query("t1_counts_by_window", lambda s, d: _stream_counts_batch(s, d), with_(EV) + "SELECT session, unit, floor(t / 21600) * 21600 AS start, count(*) AS n FROM ev GROUP BY 1, 2, 3"),
-    Query("t2_session_windows", lambda s, d: rounded(_sessions_batch(s, d), 3),
-          with_(EV) + ", a AS (SELECT session, t, CASE WHEN t - lag(t) OVER (PARTITION BY session ORDER BY t) < 900 THEN 0 ELSE 1 END AS nw FROM ev), b AS (SELECT *, sum(nw) OVER (PARTITION BY session ORDER BY t ROWS UNBOUNDED PRECEDING) AS g FROM a) SELECT session, round(min(t), 3) AS start, count(*) AS n FROM b GROUP BY session, g"),
+    Query("l3_pre_post_circular_null", lambda s, d: rounded(M.pre_post_circular_null(hourly_counts(s, d), hourly_tuning(hourly_counts(s, d)), 2, KEYS, F.col("bin") < 360, F.col("bin") >= 360).select("session", "shuffle", "latent", "diff"))),
 ]

@@ -162,8 +162,8 @@ QUERIES = [
           with_(EV) + ", a AS (SELECT session, unit, avg(cos(k / 100 * 2 * pi())) AS c, avg(sin(k / 100 * 2 * pi())) AS s FROM ev GROUP BY 1, 2) SELECT session, unit, round((CASE WHEN atan2(s, c) < 0 THEN atan2(s, c) + 2 * pi() ELSE atan2(s, c) END) / (2 * pi()) * 100, 4) AS mean, round(sqrt(-2 * ln(least(sqrt(c * c + s * s), 1))) / (2 * pi()) * 100, 4) AS std FROM a"),
     Query("k8_latent_in_range", lambda s, d: rounded(K.latent_in_range(_map(s, d), "latent", "session", "away", 30.0, 70.0)),
           M0 + ", g AS (SELECT latent, session, CAST(count(*) FILTER (away BETWEEN 30 AND 70) AS BIGINT) AS n, avg(CASE WHEN away BETWEEN 30 AND 70 THEN 1e0 ELSE 0 END) AS frac FROM mp GROUP BY 1, 2) SELECT latent, session, n, round(frac, 6) AS frac, CASE WHEN sum(n) OVER (PARTITION BY latent) > 0 THEN round(n / sum(n) OVER (PARTITION BY latent), 6) END AS share FROM g"),
-    Query("k9_sided_latents", lambda s, d: K.sided_latents(K.latent_in_range(_map(s, d).where("session in ('s0', 's1')"), "latent", "session", "away", 30.0, 70.0), "latent", 0.4, 3),
-          M0 + ", g AS (SELECT latent, session, count(*) FILTER (away BETWEEN 30 AND 70) AS n, avg(CASE WHEN away BETWEEN 30 AND 70 THEN 1e0 ELSE 0 END) AS frac FROM mp WHERE session IN ('s0', 's1') GROUP BY 1, 2) SELECT latent, count(*) AS arms FROM g WHERE frac > 0.4 AND n > 3 GROUP BY 1"),
+    Query("k9_sided_latents", lambda s, d: K.sided_latents(K.latent_in_range(_map(s, d).withColumn("session", F.when(F.col("session").isin("s0", "s1"), "left").otherwise("right")), "latent", "session", "away", 30.0, 70.0), "latent", 0.4, 3),
+          M0 + ", g AS (SELECT latent, session IN ('s0', 's1') AS side, count(*) FILTER (away BETWEEN 30 AND 70) AS n, avg(CASE WHEN away BETWEEN 30 AND 70 THEN 1e0 ELSE 0 END) AS frac FROM mp GROUP BY 1, 2) SELECT latent, count(*) AS arms FROM g WHERE frac > 0.4 AND n > 3 GROUP BY 1"),
     Query("k10_sequence_occurrence", lambda s, d: K.sequence_occurrence(_map(s, d), "latent", [0, 2, 4], 1, KEYS),
           M0 + ", x AS (SELECT session, bin, latent AS a, lead(latent, 1) OVER w AS b, lead(latent, 2) OVER w AS c FROM mp WINDOW w AS (PARTITION BY session ORDER BY bin)) SELECT session, bin FROM x WHERE abs(a) <= 1 AND abs(b - 2) <= 1 AND abs(c - 4) <= 1"),
     Query("k11_latent_pairs", lambda s, d: K.latent_pairs(_map(s, d), "latent", [(0, 4), (2, 2)], 0, KEYS),

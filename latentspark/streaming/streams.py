@@ -26,15 +26,18 @@ def stream_bursts(stream: DataFrame, gap: str, late: str, longer_than: float = 0
     return g.where(length > longer_than).select("session", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_filter(counts: DataFrame, model: decode.Model, dt: float = 1.0) -> DataFrame:
+def stream_filter(counts: DataFrame, model: decode.Model, dt: float = 1.0, idle_ms: int | None = None) -> DataFrame:
     """session, bin, causal_latent, log_marginal (so far) of a stream of session, bin, units (array of counts in the model's order).
 
     The state of a session is its last bin, posterior and log marginal: the filter needs no more of the past. Bins at or below the last
-    one seen are dropped; a batch's bins are taken in order.
+    one seen are dropped; a batch's bins are taken in order. With idle_ms, the state of a session that gets no rows for so long goes.
     """
     rates, kernels, switch = model.rates, model.kernels, model.switch
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         dyn, size = len(kernels), len(rates)
         last, flat, total = state.get if state.exists else (-1, [1.0 / (dyn * size)] * (dyn * size), 0.0)
         rows = pd.concat(list(batches)).sort_values("bin")
@@ -42,13 +45,15 @@ def stream_filter(counts: DataFrame, model: decode.Model, dt: float = 1.0) -> Da
         now, out = np.array(flat).reshape(dyn, size), []
         for r in rows.itertuples():
             ll = decode.loglik_matrix(np.array(r.units, float)[None], rates, dt, 1.0)
-            got = decode.forward_backward(ll, kernels, switch, start=now)
-            now, total, last = got["causal"][0], total + float(got["step"][0]), int(r.bin)
+            causal, one = decode.forward(ll, kernels, switch, start=now)
+            now, total, last = causal[0], total + float(one[0]), int(r.bin)
             out.append((key[0], last, now.sum(0).tolist(), total))
         state.update((last, now.reshape(-1).tolist(), total))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out, columns=["session", "bin", "causal_latent", "log_marginal"])
 
-    return counts.groupBy("session").applyInPandasWithState(step, "session string, bin long, causal_latent array<double>, log_marginal double", "last long, posterior array<double>, total double", "append", GroupStateTimeout.NoTimeout)
+    return counts.groupBy("session").applyInPandasWithState(step, "session string, bin long, causal_latent array<double>, log_marginal double", "last long, posterior array<double>, total double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def stream_naive_bayes(counts: DataFrame, model: decode.Model, dt: float = 1.0) -> DataFrame:
@@ -64,3 +69,14 @@ def stream_naive_bayes(counts: DataFrame, model: decode.Model, dt: float = 1.0)
                 yield pd.DataFrame({"session": rows["session"], "bin": rows["bin"], "p_latent": list(np.exp(ll - total[:, None])), "log_marginal": total})
 
     return counts.select("session", "bin", "units").mapInPandas(decode_rows, "session string, bin long, p_latent array<double>, log_marginal double")
+
+
+def ran(stream: DataFrame, folder: str, mode: str = "append") -> DataFrame:
+    """The rows of a stream run over all that its source holds now: written to folder/rows, with its checkpoint beside them. mode `complete` keeps the last state of all groups."""
+    out = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint").outputMode(mode)
+    if mode == "append":
+        query = out.format("parquet").option("path", f"{folder}/rows").start()
+    else:
+        query = out.foreachBatch(lambda rows, _: rows.write.mode("overwrite").parquet(f"{folder}/rows")).start()
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{folder}/rows")
