@@ -39,9 +39,9 @@ def bins_of(intervals: DataFrame, dt: float) -> DataFrame:
     return intervals.where(n > 0).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("t", F.col("start") + (F.col("bin") + 0.5) * dt)
 
 
-def count_in_bins(spikes: DataFrame, intervals: DataFrame, dt: float, keys: list[str], units: DataFrame | None = None) -> DataFrame:
+def count_in_bins(spikes: DataFrame, intervals: DataFrame, dt: float, keys: list[str], units: DataFrame | None = None, block: float = 86400.0) -> DataFrame:
     """keys, interval_id, bin, unit, n of every bin and unit, zeros kept; without `units` only those that occur in spikes, by keys."""
-    inside = interval_join(spikes, intervals.select(*keys, "interval_id", "start", "end"), keys, right_open=True)
+    inside = interval_join(spikes, intervals.select(*keys, "interval_id", "start", "end"), keys, right_open=True, block=block)
     n = F.floor((F.col("end") - F.col("start")) / dt + 1e-9)
     counted = inside.withColumn("bin", F.floor((F.col("t") - F.col("start")) / dt).cast("long")).where(F.col("bin") < n).groupBy(*keys, "interval_id", "bin", "unit").agg(F.count(F.lit(1)).alias("n"))
     frame = bins_of(intervals.select(*keys, "interval_id", "start", "end"), dt).select(*keys, "interval_id", "bin")
@@ -66,6 +66,22 @@ def runs(series: DataFrame, passes: Column, keys: list[str], t: str = "t", aggre
     return numbered.groupBy(*keys, "run").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"), *(aggregates or []))
 
 
+def runs_in_blocks(series: DataFrame, passes: Column, keys: list[str], block: float, t: str = "t", order: list[str] | None = None) -> DataFrame:
+    """What runs gives (keys, start, end, n), for series that are too long for a task: runs inside blocks of time first, then those that go on over a block's end are joined. Only one row for each block and each run is sorted by series."""
+    order = order or [t]
+    w = Window.partitionBy(*keys, "__block").orderBy(*order)
+    flagged = series.withColumn("__block", F.floor(F.col(t) / block).cast("long")).withColumn("__in", F.coalesce(passes, F.lit(False)))
+    placed = flagged.withColumns({"__first": F.lag("__in").over(w).isNull(), "__last": F.lead("__in").over(w).isNull(), "__b": (F.col("__in") & ~F.coalesce(F.lag("__in").over(w), F.lit(False))).cast("int")})
+    inside = placed.withColumn("__run", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__in").groupBy(*keys, "__block", "__run")
+    found = inside.agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"), F.max("__first").alias("__first"), F.max("__last").alias("__last"))
+    there = flagged.select(*keys, "__block").distinct().withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy("__block")))
+    line = Window.partitionBy(*keys).orderBy("__at", "__run")
+    named = found.join(there, [*keys, "__block"])
+    goes_on = F.col("__first") & F.coalesce(F.lag("__last").over(line), F.lit(False)) & (F.lag("__at").over(line) == F.col("__at") - 1)
+    numbered = named.withColumn("__new", 1 - F.coalesce(goes_on, F.lit(False)).cast("int")).withColumn("run", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("run")
+
+
 def threshold_runs(series: DataFrame, value: str, threshold: float, method: str, keys: list[str], **more) -> DataFrame:
     """runs of rows above, below, aboveequal or belowequal a threshold."""
     v = F.col(value)

@@ -25,10 +25,14 @@ def classify_latents(means: DataFrame, threshold: float | dict[str, float], epoc
     return best.withColumn("kind", F.when(F.col("score") >= (threshold if not isinstance(threshold, dict) else F.create_map(*(F.lit(x) for kv in threshold.items() for x in kv))[F.col("kind")]), F.col("kind")).otherwise("unclassified"))
 
 
+def with_level(rows: DataFrame, value: str, levels: list[float]) -> DataFrame:
+    """rows with level: k for values in [levels[k - 1], levels[k])."""
+    return rows.withColumn("level", reduce(lambda a, x: a + (F.col(value) >= x).cast("int"), levels, F.lit(0)))
+
+
 def occurrence_by_level(rows: DataFrame, latent: str, value: str, levels: list[float]) -> DataFrame:
-    """latent, level (values in [levels[k - 1], levels[k])), n, bins."""
-    level = reduce(lambda a, x: a + (F.col(value) >= x).cast("int"), levels, F.lit(0))
-    return rows.withColumn("level", level).groupBy(latent, "level").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list("bin")).alias("bins"))
+    """latent, level, n of rows with_level."""
+    return with_level(rows, value, levels).groupBy(latent, "level").agg(F.count(F.lit(1)).alias("n"))
 
 
 def classify_spatial(rows: DataFrame, latent: str, speed: str, away: str, fast: float, far: float, least_total: int, least_run: int, least_off: int) -> DataFrame:

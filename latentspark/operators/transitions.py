@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,14 +21,28 @@ def normalised(pairs: DataFrame, keys: list[str], weight: str = "c") -> DataFram
 def expected_transitions(posterior: DataFrame, keys: list[str], episode: list[str]) -> DataFrame:
     """keys, i, j, c, p: sum over steps of p(t - 1, i) p(t, j), no step across episodes; rows where every p is zero are kept as zeros.
 
-    posterior: keys, episode, bin, latent, p. The sum is one equality join of bins with their successors, so latents squared rows for each bin are summed on the map side.
+    posterior: keys, episode, bin, latent (from 0), p. A bin is one array beside the one before it; a task adds up products of whole batches and
+    returns a matrix for each key, so what is shuffled after it doesn't grow with the bins.
     """
-    order = Window.partitionBy(*keys, *episode).orderBy("bin")
-    numbered = posterior.withColumn("__t", F.dense_rank().over(order))
-    a = numbered.select(*keys, *episode, (F.col("__t") + 1).alias("__t"), F.col("latent").alias("i"), F.col("p").alias("pa"))
-    b = numbered.select(*keys, *episode, "__t", F.col("latent").alias("j"), F.col("p").alias("pb"))
-    c = a.join(b, [*keys, *episode, "__t"]).groupBy(*keys, "i", "j").agg(F.sum(F.col("pa") * F.col("pb")).alias("c"))
-    return normalised(c, keys)
+    top = posterior.agg(F.max("latent")).first()[0]
+    size = 0 if top is None else int(top) + 1  # the model's
+    held = F.map_from_entries(F.collect_list(F.struct(F.col("latent").cast("int").alias("l"), "p")))
+    rows = posterior.groupBy(*keys, *episode, "bin").agg(held.alias("__m"))
+    dense = rows.withColumn("__p", F.transform(F.sequence(F.lit(0), F.lit(max(0, size - 1))), lambda l: F.coalesce(F.try_element_at("__m", l), F.lit(0.0))))
+    steps = dense.withColumn("__b", F.lag("__p").over(Window.partitionBy(*keys, *episode).orderBy("bin"))).where("__b is not null").select(*keys, "__b", "__p")
+
+    def products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for g in batches:
+            for key, part in g.groupby(keys, dropna=False) if keys else [((), g)]:
+                c = np.stack(part["__b"].to_numpy()).T @ np.stack(part["__p"].to_numpy())
+                total[key if isinstance(key, tuple) else (key,)] = total.get(key if isinstance(key, tuple) else (key,), 0.0) + c
+        for key, c in total.items():
+            i, j = np.indices(c.shape)
+            yield pd.DataFrame({k: [v] * c.size for k, v in zip(keys, key, strict=True)} | {"i": i.ravel(), "j": j.ravel(), "c": c.ravel()})
+
+    kinds = "".join(f"{k} {posterior.schema[k].dataType.simpleString()}, " for k in keys)
+    return normalised(steps.mapInPandas(products, f"{kinds}i long, j long, c double").groupBy(*keys, "i", "j").agg(F.sum("c").alias("c")), keys)
 
 
 def transition_mass(transitions: DataFrame, posterior: DataFrame, keys: list[str], episode: list[str]) -> DataFrame:

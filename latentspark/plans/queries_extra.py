@@ -24,7 +24,7 @@ from latentspark.streaming import streams
 from .binding import EV, HASH, HC, IV, KEYS, LL, NB, SIG, TUN, Query, day_counts, events, half_days, hourly_counts, hourly_signal, hourly_tuning, posterior, rounded, table, with_
 from .oracles import BASE as MODEL
 from .oracles import MOVE, SESSIONS, TWO, _forward, with_all
-from .queries_base import _grid_maps
+from .queries_base import RUNS, _grid_maps
 from .queries_decode import BASE, LABELS, LATENTS, _day_posterior, _model
 from .queries_stats import CHAINS, MAP, P0, PERI, SHUFFLED, _chains, _dense_signal, _map, _pairs, _table
 
@@ -134,6 +134,7 @@ QUERIES = [
           with_(EV, IV) + """, bn AS (SELECT session, interval_id, CAST(b AS BIGINT) AS bin, s + (b + 0.5) * 3600 AS t FROM iv, range(12) r(b)), one AS (SELECT session, t, min(k) AS k FROM ev GROUP BY 1, 2),
           bk AS (SELECT bn.*, one.t AS bt, one.k AS bv FROM bn ASOF LEFT JOIN one ON bn.session = one.session AND bn.t >= one.t), al AS (SELECT bk.*, one.t AS at_, one.k AS av FROM bk ASOF LEFT JOIN one ON bk.session = one.session AND bk.t <= one.t)
           SELECT session, interval_id, bin, round(CASE WHEN bt IS NOT NULL AND (at_ IS NULL OR t - bt <= at_ - t) THEN bv ELSE av END, 4) AS k FROM al"""),
+    Query("c5_runs_in_blocks", lambda s, d: C.runs_in_blocks(events(s, d).select("session", "t", "value", "event_id"), F.col("value") > 20, KEYS, 7200.0, order=["t", "event_id"]), with_(EV, RUNS.format(test="value > 20")) + 'SELECT session, s AS start, e AS "end", n FROM runs'),
     Query("d14_population_mean_rate", lambda s, d: rounded(S.population_mean_rate(C.count_in_bins(events(s, d), half_days(s, d), 3600.0, KEYS).join(_bins(s, d), ["session", "interval_id", "bin"]).select("session", "t", "unit", "n"), KEYS), 9),
           with_(EV, IV) + """, u AS (SELECT session, count(DISTINCT unit) AS u FROM ev GROUP BY 1), c AS (SELECT ev.session, interval_id, floor((t - s) / 3600) AS b, count(*) AS n FROM ev JOIN iv ON iv.session = ev.session AND t >= s AND t < e GROUP BY ALL)
           SELECT iv.session, s + (r.b + 0.5) * 3600 AS t, round(coalesce(n, 0) / u / 3600e0, 9) AS rate FROM iv JOIN u USING (session) CROSS JOIN range(12) r(b) LEFT JOIN c ON c.session = iv.session AND c.interval_id = iv.interval_id AND c.b = r.b"""),
