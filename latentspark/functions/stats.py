@@ -42,8 +42,9 @@ def ols(df: DataFrame, y: str, xs: list[str]) -> np.ndarray:
     return np.linalg.solve(a, np.array([got[f"b{i}"] for i in range(k)], float))
 
 
-def signed_rank(df: DataFrame, keys: list[str], d: str) -> DataFrame:
-    """keys, n, w_plus, z of the Wilcoxon signed-rank test of d, by keys; zeros and missing values dropped, ties ranked by their mean, normal approximation."""
+def signed_rank(df: DataFrame, keys: list[str], d: str, digits: int | None = None) -> DataFrame:
+    """keys, n, w_plus, z of the Wilcoxon signed-rank test of d, by keys; zeros and missing values dropped, ties ranked by their mean, normal approximation. With digits, d is rounded first: what is equal but for the order of a sum must tie."""
+    df = df if digits is None else df.withColumn(d, F.round(d, digits))
     rows = df.where(F.col(d).isNotNull() & ~F.isnan(d) & (F.col(d) != 0)).withColumn("__a", F.abs(d))
     order = Window.partitionBy(*keys).orderBy("__a")
     tie = Window.partitionBy(*keys, "__a")

@@ -42,11 +42,11 @@ def pre_post(table: DataFrame, keys: list[str], window: int, include_zero: bool
     return table.groupBy(*keys, "event_bin").agg(F.avg(F.when(pre, F.col("y"))).alias("pre"), F.avg(F.when(post, F.col("y"))).alias("post")).withColumn("diff", F.col("post") - F.col("pre"))
 
 
-def pre_post_test(table: DataFrame, keys: list[str], window: int) -> DataFrame:
+def pre_post_test(table: DataFrame, keys: list[str], window: int, digits: int | None = None) -> DataFrame:
     """keys, n, w_plus, z (Wilcoxon), median, effect (mean by sample deviation) of post - pre."""
     d = pre_post(table, keys, window)
     size = d.groupBy(*keys).agg(F.percentile("diff", 0.5).alias("median"), (F.avg("diff") / F.stddev_samp("diff")).alias("effect"))
-    return signed_rank(d, keys, "diff").join(size, keys)
+    return signed_rank(d, keys, "diff", digits).join(size, keys)
 
 
 def pre_post_correlation(table: DataFrame, keys: list[str], window: int) -> DataFrame:
@@ -62,7 +62,7 @@ def event_triggered_suite(features: DataFrame, events: DataFrame, reach: int, n_
     asked = events.join(features.select(*by).distinct(), keys)
     table = peri_event(features, asked, reach, by, ["event_kind"])
     shuffled = peri_event_shuffle(features, asked.withColumn("event_kind", F.col("event_kind")), reach, n_shuffles, least, most, by, ["event_kind"])
-    return {"table": table, "tests": pre_post_test(table, pairs, reach), "correlation": pre_post_correlation(table, pairs, reach), "slopes": pre_post_slopes(table, pairs), "shuffled": shuffled, "null": pre_post_vs_shuffle(table, shuffled, pairs, reach)}
+    return {"table": table, "tests": pre_post_test(table, pairs, reach, 9), "correlation": pre_post_correlation(table, pairs, reach), "slopes": pre_post_slopes(table, pairs), "shuffled": shuffled, "null": pre_post_vs_shuffle(table, shuffled, pairs, reach)}
 
 
 def bootstrap_band(table: DataFrame, by: list[str], y: str, order: str, repeats: int, low: float = 0.025, high: float = 0.975) -> DataFrame:

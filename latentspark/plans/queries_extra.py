@@ -174,7 +174,7 @@ QUERIES = [
           P0 + "SELECT session, round(corr(y, rel) FILTER (rel > -4 AND rel < 0), 6) AS r_pre, round(corr(y, rel) FILTER (rel > 0 AND rel < 4), 6) AS r_post FROM pt GROUP BY 1"),
     Query("j7_event_triggered_suite", lambda s, d: rounded(_suite(s, d)["tests"]),
           with_(EV, HC, PERI, SUITE) + """, df AS (SELECT session, feature, event_kind, avg(y) FILTER (rel > 0 AND rel < 4) - avg(y) FILTER (rel < 0 AND rel > -4) AS diff FROM st GROUP BY session, feature, event_kind, event_bin),
-          rk AS (SELECT session, feature, event_kind, diff, rank() OVER (PARTITION BY session, feature, event_kind ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY session, feature, event_kind, abs(diff)) - 1) / 2 AS r FROM df WHERE diff <> 0),
+          rk AS (SELECT session, feature, event_kind, diff, rank() OVER (PARTITION BY session, feature, event_kind ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY session, feature, event_kind, abs(diff)) - 1) / 2 AS r FROM (SELECT * REPLACE (round(diff, 9) AS diff) FROM df) WHERE diff <> 0),
           wx AS (SELECT session, feature, event_kind, count(*) AS n, coalesce(sum(r) FILTER (diff > 0), 0) AS w_plus FROM rk GROUP BY 1, 2, 3), sz AS (SELECT session, feature, event_kind, quantile_cont(diff, 0.5) AS median, avg(diff) / stddev_samp(diff) AS effect FROM df GROUP BY 1, 2, 3)
           SELECT session, feature, event_kind, n, round(w_plus, 6) AS w_plus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z, round(median, 6) + 0.0 AS median, round(effect, 6) AS effect FROM wx JOIN sz USING (session, feature, event_kind)"""),
     Query("j7_suite_correlation", lambda s, d: rounded(_suite(s, d)["correlation"]),
