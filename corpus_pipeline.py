@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.llm import decontamination, ngram_join, packing, secret_scan, toxicity
-from latentspark.llm.common import numbered, saved, whole
+from latentspark.llm.common import numbered, passing, saved, small_batches, whole
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold, each row by its own text, null and repeated ids too. The lexicon is learned from the labelled rows of docs; without any, and for null and empty texts, nothing is toxic."""
-    return toxicity.without_toxic(spark, docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    small_batches(spark)
+    with passing(spark):
+        model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.without_toxic(spark, docs, model)
 
 
 @whole
