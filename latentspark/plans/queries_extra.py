@@ -171,14 +171,14 @@ QUERIES = [
           sl AS (SELECT kind, feature, session, a.shuffle, regr_slope(d, abs(a.label - b.label)) AS slope FROM dd JOIN pm a USING (kind, feature, session) JOIN pm b USING (kind, feature, session) WHERE a.r = dd.i AND b.r = dd.j AND a.shuffle = b.shuffle GROUP BY 1, 2, 3, 4)
           SELECT a.kind, a.feature, a.session, round(any_value(a.slope), 6) AS slope, round((1 + count(*) FILTER (abs(b.slope) >= abs(a.slope))) / (count(*) + 1), 6) AS p FROM sl a JOIN sl b USING (kind, feature, session) WHERE a.shuffle = 0 AND b.shuffle > 0 GROUP BY 1, 2, 3"""),
     Query("j4_pre_post_correlation", lambda s, d: rounded(J.pre_post_correlation(_table(s, d), KEYS, 4)),
-          P0 + "SELECT session, round(corr(y, rel) FILTER (rel > -4 AND rel < 0), 6) AS r_pre, round(corr(y, rel) FILTER (rel > 0 AND rel < 4), 6) AS r_post FROM pt GROUP BY 1"),
+          P0 + "SELECT session, round(corr(y, rel) FILTER (rel > -4 AND rel < 0), 6) + 0.0 AS r_pre, round(corr(y, rel) FILTER (rel > 0 AND rel < 4), 6) + 0.0 AS r_post FROM pt GROUP BY 1"),
     Query("j7_event_triggered_suite", lambda s, d: rounded(_suite(s, d)["tests"]),
           with_(EV, HC, PERI, SUITE) + """, df AS (SELECT session, feature, event_kind, avg(y) FILTER (rel > 0 AND rel < 4) - avg(y) FILTER (rel < 0 AND rel > -4) AS diff FROM st GROUP BY session, feature, event_kind, event_bin),
           rk AS (SELECT session, feature, event_kind, diff, rank() OVER (PARTITION BY session, feature, event_kind ORDER BY abs(diff)) + (count(*) OVER (PARTITION BY session, feature, event_kind, abs(diff)) - 1) / 2 AS r FROM (SELECT * REPLACE (round(diff, 9) AS diff) FROM df) WHERE diff <> 0),
           wx AS (SELECT session, feature, event_kind, count(*) AS n, coalesce(sum(r) FILTER (diff > 0), 0) AS w_plus FROM rk GROUP BY 1, 2, 3), sz AS (SELECT session, feature, event_kind, quantile_cont(diff, 0.5) AS median, avg(diff) / stddev_samp(diff) AS effect FROM df GROUP BY 1, 2, 3)
           SELECT session, feature, event_kind, n, round(w_plus, 6) AS w_plus, round((w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24), 6) AS z, round(median, 6) + 0.0 AS median, round(effect, 6) AS effect FROM wx JOIN sz USING (session, feature, event_kind)"""),
     Query("j7_suite_correlation", lambda s, d: rounded(_suite(s, d)["correlation"]),
-          with_(EV, HC, PERI, SUITE) + "SELECT session, feature, event_kind, round(corr(y, rel) FILTER (rel > -4 AND rel < 0), 6) AS r_pre, round(corr(y, rel) FILTER (rel > 0 AND rel < 4), 6) AS r_post FROM st GROUP BY 1, 2, 3"),
+          with_(EV, HC, PERI, SUITE) + "SELECT session, feature, event_kind, round(corr(y, rel) FILTER (rel > -4 AND rel < 0), 6) + 0.0 AS r_pre, round(corr(y, rel) FILTER (rel > 0 AND rel < 4), 6) + 0.0 AS r_post FROM st GROUP BY 1, 2, 3"),
     Query("j13_bootstrap_band", lambda s, d: rounded(J.bootstrap_band(_table(s, d), ["session", "rel"], "y", "event_bin", 20)),
           with_(EV, HC, PERI, BOOT) + "SELECT session, rel, round(any_value(a.mean), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM mn JOIN (SELECT session, rel, avg(y) AS mean FROM pt GROUP BY 1, 2) a USING (session, rel) GROUP BY 1, 2"),
     Query("k2_classify_by_category", lambda s, d: rounded(L.classify_latents(L.mean_latent_per_epoch(posterior(s, d).withColumn("label", F.when(F.col("bin") % 24 < 12, "am").otherwise("pm"))), {"am": 0.9, "pm": 0.5})),
