@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import functools
 import gc
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,75 +22,118 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 1 << 20
 
 
-#: Folders of the operators that are running, the innermost last: what they save on the way goes there.
-_open: list[str] = []
+#: Folders of the operators that are running in this thread, the innermost last: what they save on the way goes there.
+_open: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("latentspark_folders", default=())
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new name in the folder of spark.checkpoint.dir; where that is unset on one machine, as in tests, it is set to a new temporary folder."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
+@contextlib.contextmanager
+def _folders(*folders: str) -> Iterator[None]:
+    token = _open.set(folders)
+    try:
+        yield
+    finally:
+        _open.reset(token)
+
+
+def shared_folder(spark: SparkSession, lasting: bool = False) -> str:
+    """A new name in the folder of spark.checkpoint.dir, or, if not lasting, inside the folder of the operator that is running; where the setting is missing on one machine, as in tests, it is set to a new temporary folder."""
+    if _open.get() and not lasting:
+        return f"{_open.get()[-1]}/{uuid.uuid4().hex}"
+    with _LOCK:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            at = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+            spark.conf.set("spark.checkpoint.dir", at)
     return f"{at.rstrip('/')}/latentspark-{uuid.uuid4().hex}"
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and lost executors cost no more than their tasks."""
-    at = f"{_open[-1]}/{uuid.uuid4().hex}" if _open else shared_folder(df.sparkSession)
+    """df written to the shared folder and read again: its lineage ends there, and lost executors cost no more than their tasks. Outside any operator it stays until the application ends."""
+    at = shared_folder(df.sparkSession)
     df.write.parquet(at)
+    if not _open.get():
+        until_exit(df.sparkSession, at)
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
-def removed(spark: SparkSession, folder: str) -> None:
+def _file_system(spark: SparkSession, folder: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def removed(spark: SparkSession, folder: str) -> None:
+    files, path = _file_system(spark, folder)
+    files.delete(path, True)
+
+
+def until_exit(spark: SparkSession, folder: str) -> None:
+    """folder goes when the application ends."""
+    files, path = _file_system(spark, folder)
+    files.deleteOnExit(path)
 
 
 @contextlib.contextmanager
 def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables saved inside are removed at the end, but for those that the function given saves."""
-    own = f"{_open[-1]}/{uuid.uuid4().hex}" if _open else shared_folder(spark)
+    outer, own = _open.get(), shared_folder(spark)
 
     def keep(df: DataFrame) -> DataFrame:
-        _open.pop()
-        try:
+        with _folders(*outer):
             return saved(df)
-        finally:
-            _open.append(own)
 
-    _open.append(own)
     try:
-        yield keep
+        with _folders(*outer, own):
+            yield keep
     finally:
-        _open.pop()
         removed(spark, own)
 
 
 def whole(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """operator, run with small batches and its result saved; tables that it saves on the way are removed, and settings are as before, when it returns. Its first argument is the session."""
+    """operator, run with small batches and its result saved; tables that it saves on the way are removed, and settings are as before, when it returns. Its first argument is the session, or a frame of it.
+
+    Operators may run side by side in several threads: each has folders of its own, and the batch settings come back when the last one ends.
+    """
 
     @functools.wraps(operator)
-    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
-        before, own = {k: spark.conf.get(k) for k in BATCHES}, shared_folder(spark)
-        small_batches(spark)
-        _open.append(own)
-        try:
-            try:
-                df = operator(spark, *args, **kwargs)
-            finally:
-                _open.pop()
-            return saved(df)
-        finally:
-            removed(spark, own)
-            for k, v in before.items():
-                spark.conf.set(k, v)
+    def run(first: SparkSession | DataFrame, *args, **kwargs) -> DataFrame:
+        spark = first.sparkSession if isinstance(first, DataFrame) else first
+        with small_batches(spark), passing(spark) as keep:
+            return keep(operator(first, *args, **kwargs))
 
     return run
 
 
+#: Rows and bytes that pass to Python at once: texts vary from nothing to megabytes, and two workers share an executor's memory.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+_LOCK = threading.Lock()
+#: For each session that has BATCHES set: how many operators need them, and what was set before the first.
+_needing: dict[SparkSession, tuple[int, dict[str, str]]] = {}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """BATCHES hold inside; behind the last of those that overlap, the session's settings are as they were before the first."""
+    with _LOCK:
+        many, before = _needing.get(spark, (0, {}))
+        if not many:
+            before = {k: spark.conf.get(k) for k in BATCHES}
+            for k, v in BATCHES.items():
+                spark.conf.set(k, v)
+        _needing[spark] = many + 1, before
+    try:
+        yield
+    finally:
+        with _LOCK:
+            many, before = _needing.pop(spark)
+            if many > 1:
+                _needing[spark] = many - 1, before
+            else:
+                for k, v in before.items():
+                    spark.conf.set(k, v)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """name, lengthened until no column of df has it, in whatever case."""
     taken = {c.lower() for c in df.columns}
@@ -97,19 +143,21 @@ def fresh(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """df saved with a column more, a number of each row's own, since ids may be null or repeated; and that column's name."""
-    name = fresh(df, "__row")
-    return saved(df.withColumn(name, F.monotonically_increasing_id())), name
+    """df with a column more, a whole number of each row's own, since ids may be null or repeated; and that column's name.
 
-
-#: Rows and bytes that pass to Python at once: texts vary from nothing to megabytes, and two workers share an executor's memory.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
-
-
-def small_batches(spark: SparkSession) -> None:
-    """Sets BATCHES for this session. Operators that return a frame whose rows are yet to be made can't set them back."""
-    for k, v in BATCHES.items():
-        spark.conf.set(k, v)
+    A frame as read from Parquet files takes it from each row's file and place there, the same whenever it is read; any other is saved with the number first.
+    Of a frame from files that repeats its rows (explode, join), pass a saved copy.
+    """
+    name = fresh(df, "__row")
+    try:
+        at = df.metadataColumn("_metadata")
+        files = sorted(r[0] for r in df.select(at["file_path"]).distinct().collect())  # names of files, not rows
+        file, place = fresh(df, "__file"), fresh(df, "__place")
+        placed = df.select("*", at["file_path"].alias(file), at["row_index"].alias(place))
+    except AnalysisException:
+        return saved(df.withColumn(name, F.monotonically_increasing_id())), name
+    known = df.sparkSession.createDataFrame([(f, i << 40) for i, f in enumerate(files)], f"{file} string, {name} long")
+    return placed.join(F.broadcast(known) if len(files) <= 100_000 else known, file).withColumn(name, F.col(name) + F.col(place)).drop(file, place), name
 
 
 def tidy(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

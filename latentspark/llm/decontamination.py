@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import numbered, saved, text_slices, tidy, whole, word_hashes
+from .common import numbered, passing, saved, sized_hint, text_slices, tidy, whole, word_hashes
 
 WINDOW, WIDTH, RANK = 32, 1 << 13, 64
 #: Leading directions that are left out: they tell languages and common words apart, not passages. A window of an item that keeps less than KEPT
@@ -29,6 +29,8 @@ COSINE, SHARED, SHARED_WITH_ANSWER, ANSWER_WORDS, ANSWER = 0.42, 0.8, 0.6, 5, 0.
 OVERLAP = 0.45
 #: Items compared in one pass; a larger benchmark takes several.
 ITEMS = 4096
+#: Numbers of rows that are broadcast at most; beyond, the same join is shuffled.
+BROADCAST_ROWS = 1_000_000
 
 #: ASCII bytes other than letters and digits divide words here.
 _DIVIDES = np.array([not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128) for b in range(256)])
@@ -308,12 +310,12 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     return out
 
 
-@whole
 def without_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no benchmark item, whatever their ids and other columns: null and repeated ids are rows like others.
 
     Rows with a null or empty text stay; each copy of a row has the same fate; an empty table or benchmark takes nothing away.
     """
     rows, number = numbered(docs)
-    found = saved(contaminated(spark, rows.select(F.col(number).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(number)).distinct())
-    return rows.join(found, number, "left_anti").select(*docs.columns)
+    with passing(spark) as keep:
+        found = keep(contaminated(spark, rows.select(F.col(number).alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias(number)).distinct())
+    return rows.join(sized_hint(found, BROADCAST_ROWS), number, "left_anti").select(*docs.columns)

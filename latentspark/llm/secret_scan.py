@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_slices, tidy
+from .common import text_slices, tidy, whole
 
 
 @dataclass(frozen=True)
@@ -387,13 +387,13 @@ def spans_of_texts(column: pa.Array, rules: tuple[Rule, ...], auto: Automaton) -
         yield from (sorted(x) for x in found)
 
 
+@whole
 def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """doc_id, spans (array of kind, start, end in code points, by start, then rule order) of every row of docs.
 
     Null and empty texts have no spans; texts of any length are read whole. Rows keep their ids, null and repeated ones too; an empty
     table gives an empty one; other columns are not read.
     """
-    small_batches(docs.sparkSession)
     auto = compile_rules(rules)
     kind = docs.schema["doc_id"].dataType.simpleString()
     span_type = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -422,12 +422,12 @@ def scan_digest(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", *(of_kind(k).alias(f"n_{k}") for k in base), F.sha2(joined(F.filter("spans", lambda x: x["kind"].isin(base))), 256).alias("base_sha256"), joined("spans").alias("spans"))
 
 
+@whole
 def redacted(docs: DataFrame) -> DataFrame:
     """docs, each secret in text replaced by `[kind]`; texts without secrets, null ones too, are as they were. n_chars follows the text if there is such a column.
 
     Every row and column stays, null and repeated ids and columns of any name too; spans that overlap are masked as one; an empty table stays empty.
     """
-    small_batches(docs.sparkSession)
     auto = compile_rules(RULES)
     names = docs.columns
 

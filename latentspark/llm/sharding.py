@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import gapless_rank, partitions_of, saved
+from .common import gapless_rank, partitions_of, saved, whole
 
 LAW = "key"
 
@@ -60,6 +60,7 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return out.cast("int")
 
 
+@whole
 def shard_documents(docs: DataFrame, tree: Tree) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard of every row of docs.
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import least_by_hash, saved, sized_hint, small_batches, tidy, whole
+from .common import least_by_hash, numbered, saved, sized_hint, small_batches, tidy, whole
 from .language_id import held_out
 
 SAMPLE_PER_LABEL = {1: 4000, 0: 8000}
@@ -265,17 +265,18 @@ def _judge(entries: list[tuple[str, float]], exceptions: list[str], weights: np.
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of docs, in all their columns, whose text scores below THRESHOLD; null texts score as empty ones."""
-    small_batches(spark)
+    """The rows of docs, in all their columns, whose text scores below THRESHOLD; null texts score as empty ones. Only the numbers of the others are saved."""
     held = spark.sparkContext.broadcast((model.entries, model.exceptions, model.weights))
-    at = docs.columns.index("text")
+    rows, number = numbered(docs)
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def toxic(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         judge = _judge(*held.value)
         for batch in batches:
-            yield batch.filter(pa.array(judge(batch.column(at).cast(pa.string()))[0] < THRESHOLD, pa.bool_()))
+            yield batch.select([0]).filter(pa.array(judge(batch.column(1))[0] >= THRESHOLD, pa.bool_()))
 
-    return docs.mapInArrow(tidy(rows), docs.schema)
+    with small_batches(spark):
+        gone = saved(rows.select(number, F.col("text").cast("string").alias("text")).mapInArrow(tidy(toxic), f"{number} long"))
+    return rows.join(sized_hint(gone, BROADCAST_ROWS), number, "left_anti").select(*docs.columns)
 
 
 @whole

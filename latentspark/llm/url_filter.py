@@ -19,7 +19,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_folder
+from .common import shared_folder, until_exit
 
 #: Rule files that an application has been given.
 _given: dict[str, set[str]] = {}
@@ -93,7 +93,8 @@ def judge_urls(spark: SparkSession, pages: DataFrame, rules: list[tuple[str, str
     lengths = RuleFile.write(data, rules)
     name = f"rules-{hashlib.sha256(data.getvalue()).hexdigest()[:32]}.bin"
     if name not in _given.setdefault(spark.sparkContext.applicationId, set()):
-        folder = shared_folder(spark)
+        folder = shared_folder(spark, lasting=True)
+        until_exit(spark, folder)
         store, base = fs.FileSystem.from_uri(folder)
         store.create_dir(base, recursive=True)
         with store.open_output_stream(f"{base}/{name}") as f:

@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, shared_folder, sized_hint, small_batches, tidy
+from .common import saved, shared_folder, sized_hint, tidy, until_exit, whole
 
 #: Equal payloads of at least so many bytes are stored once.
 REVISIT_FROM = 1000
@@ -127,13 +127,15 @@ def records_of(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, block
 
 
-def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
-    """Writes all rows of pages as records to new archives in the shared folder; the saved manifest: path, records, raw_bytes, stored_bytes.
+@whole
+def write_archives(pages: DataFrame, date: str = "2024-01-01T00:00:00Z", folder: str | None = None) -> DataFrame:
+    """Writes all rows of pages as records to new archives in folder; the saved manifest: path, records, raw_bytes, stored_bytes, folder.
 
-    The folder can have any scheme that pyarrow.fs opens (file, hdfs, s3, gs). An empty table writes no archive.
+    Without a folder they lie in a new one of the shared folder, which goes when the application ends. It can have any scheme that pyarrow.fs opens (file, hdfs, s3, gs). An empty table writes no archive.
     """
-    small_batches(pages.sparkSession)
-    folder = shared_folder(pages.sparkSession)
+    if folder is None:
+        folder = shared_folder(pages.sparkSession, lasting=True)
+        until_exit(pages.sparkSession, folder)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
