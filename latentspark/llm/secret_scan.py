@@ -24,7 +24,7 @@ from .common import text_slices, tidy, whole
 
 @dataclass(frozen=True)
 class Rule:
-    """A match is the regex head and then all bytes of the class tail that follow, one at least (no tail: the head alone). Of the leftmost, non-overlapping matches those are reported that have least_tail bytes of tail and least bytes in all; fold: letters of either case."""
+    """A match is the regex head and then all bytes of the class tail that follow, one at least (no tail: the head alone). Of the leftmost, non-overlapping matches those are reported that have least_tail bytes of tail and least bytes in all; fold: letters of either case. What `more` matches right behind a reported match belongs to it, over bytes that part all other matches: the lines of a key."""
 
     kind: str
     head: str
@@ -32,6 +32,7 @@ class Rule:
     least_tail: int = 0
     least: int = 1
     fold: bool = False
+    more: str = ""
 
     @property
     def full(self) -> str:
@@ -50,11 +51,15 @@ BASE = (
     Rule("access", "AKIA", "[A-Z0-9]", least_tail=12),
     Rule("hex", "", "[0-9a-f]", least_tail=32),
 )
+#: Behind the first line of a key: fields, then all up to its last line, or, where that is missing, lines that are no prose.
+_PEM_FIELDS = "(?:[\\x09-\\x0D\\x20]*[A-Z][A-Za-z-]*:\\x20[A-Za-z0-9,-]*[\\x0A\\x0D])*"
+_PEM_BODY = "(?:[\\x09-\\x0D\\x20]*[A-Za-z0-9+/=]+)*[\\x09-\\x0D\\x20]*-----END(?:\\x20[A-Z]+)*\\x20PRIVATE\\x20KEY-----"
+_PEM_CUT = "(?:[\\x09-\\x0D\\x20]*[A-Za-z0-9+/=]{16,})+(?:[\\x09-\\x0D\\x20]+[A-Za-z0-9+/]+=)?"
 #: What the method adds to the base rules.
 ADDED = (
     Rule("forge", "gh[opusr]_", "[A-Za-z0-9]", least_tail=36),
     Rule("jwt", "eyJ[A-Za-z0-9_-]+\\.eyJ[A-Za-z0-9_-]+\\.", "[A-Za-z0-9_-]", least_tail=1, least=30),
-    Rule("pem", "-----BEGIN(?:\\x20[A-Z]+)*\\x20PRIVATE\\x20KEY-----"),
+    Rule("pem", "-----BEGIN(?:\\x20[A-Z]+)*\\x20PRIVATE\\x20KEY-----", more=_PEM_FIELDS + "(?:" + _PEM_BODY + "|" + _PEM_CUT + ")"),
 )
 RULES = BASE + ADDED
 
@@ -271,6 +276,9 @@ class Settler:
         self.ahead = self._lists(deterministic(ahead, start, {ahead.add(rule.full, rule.fold, whole): 1} | ({ahead.add(rule.head, rule.fold, head): 2} if rule.tail and rule.head else {}), anywhere=False))
         start = back.state()
         self.back = self._lists(deterministic(back, start, {back.add(rule.full, rule.fold, start, backwards=True): 1}, anywhere=True))
+        on = Nfa()
+        start = on.state()
+        self.on = self._lists(deterministic(on, start, {on.add(rule.more, rule.fold, start): 1}, anywhere=False)) if rule.more else None
 
     @staticmethod
     def _lists(auto: Automaton) -> tuple[bytes, list[int], dict[int, int], set[int]]:
@@ -308,6 +316,20 @@ class Settler:
         return out
 
 
+    def followed(self, data: np.ndarray, at: int, end: int) -> int:
+        """Where the longest match of the rule's `more` from `at` on ends, `at` without one; data is read up to end at most."""
+        classes, table, accepts, dead = self.on
+        state, to = 0, at
+        for a in range(at, end, 4096):
+            for i, c in enumerate(data[a : min(a + 4096, end)].tobytes().translate(classes), a):
+                state = table[state + c]
+                if state in dead:
+                    return to
+                if state in accepts:
+                    to = i + 1
+        return to
+
+
 #: Pieces that step through the automaton side by side, bytes that each has at least, and pieces that are stepped through one by one if so few are left.
 LANES, LANE_BYTES, FEW = 4096, 64, 32
 
@@ -381,9 +403,16 @@ def spans_of_texts(column: pa.Array, rules: tuple[Rule, ...], auto: Automaton) -
             for k, settler in enumerate(settlers):
                 mine = np.flatnonzero(bits >> k & 1)
                 begins, first = np.unique(left[mine], return_index=True)
+                upto: dict[int, int] = {}  # of each text: where the last match of a rule that goes on ends
                 for a, b, i in zip(begins.tolist(), right[mine[first]].tolist(), row[mine[first]].tolist(), strict=True):
                     base = a - int(where[i])
-                    found[i] |= {(base + s, k, base + e) for s, e in settler.spans(apart[a:b].tobytes())}
+                    for s, e in settler.spans(apart[a:b].tobytes()):
+                        s, e = base + s, base + e
+                        if settler.on:
+                            if s < upto.get(i, 0):
+                                continue
+                            e = upto[i] = settler.followed(apart, int(where[i]) + e, int(where[i] + lengths[i])) - int(where[i])
+                        found[i].add((s, k, e))
         yield from (sorted(x) for x in found)
 
 
