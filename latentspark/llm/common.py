@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task turns into arrays at once; longer texts are taken alone.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 #: Folders of the operators that are running in this thread, the innermost last: what they save on the way goes there.
@@ -106,7 +106,7 @@ def whole(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 
 #: Rows and bytes that pass to Python at once: texts vary from nothing to megabytes, and two workers share an executor's memory.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(2 << 20)}
 _LOCK = threading.Lock()
 #: For each session that has BATCHES set: how many operators need them, and what was set before the first.
 _needing: dict[SparkSession, tuple[int, dict[str, str]]] = {}
