@@ -22,7 +22,7 @@ from .common import fresh, from_planes, mix, planes, saved, sized_hint, text_sli
 
 WINDOW = 20
 #: Windows that a task holds before it passes them on, and windows that a group gets on average.
-FLUSH, PER_GROUP = 1_500_000, 2_000_000
+FLUSH, PER_GROUP = 700_000, 1_000_000
 #: Ids of repeated documents that are broadcast at most; beyond, the same join is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: The prime of the field, and the bases of the two polynomials.
