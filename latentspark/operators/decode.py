@@ -13,6 +13,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latentspark.sources.shared import passing, saved
+
+from .structure import Kernel, Steps
+
 TINY = 1e-20
 
 
@@ -91,17 +95,18 @@ def high_probability_bins(posterior: DataFrame, keys: list[str], above: float |
 
 
 class Model:
-    """rates (latent, unit), kernels (dyn, latent, latent), switch (dyn, dyn): plain arrays that travel with the tasks."""
+    """rates (latent, unit), kernels (an array (dyn, latent, latent), or a structure.Kernel for each dynamics), switch (dyn, dyn): what travels with the tasks."""
 
-    def __init__(self, units: list, rates: np.ndarray, kernels: np.ndarray, switch: np.ndarray) -> None:
+    def __init__(self, units: list, rates: np.ndarray, kernels: np.ndarray | list[Kernel], switch: np.ndarray) -> None:
         self.units, self.rates, self.kernels, self.switch = units, rates, kernels, switch
 
     @staticmethod
-    def of(tuning: DataFrame, kernels: np.ndarray, switch: np.ndarray) -> Model:
+    def of(tuning: DataFrame, kernels: np.ndarray | list[Kernel], switch: np.ndarray, latents: int | None = None) -> Model:
+        """From rows (latent, unit, rate); latents: how many there are, where the last ones have no rows."""
         rows = tuning.collect()
         units = sorted({r.unit for r in rows})
         at = {u: i for i, u in enumerate(units)}
-        rates = np.zeros((1 + max(r.latent for r in rows), len(units)))
+        rates = np.zeros((latents or 1 + max(r.latent for r in rows), len(units)))
         for r in rows:
             rates[r.latent, at[r.unit]] = r.rate or 0.0
         return Model(units, rates, kernels, switch)
@@ -116,26 +121,49 @@ def log_factorials(y: np.ndarray) -> np.ndarray:
     return np.array([lgamma(v + 1) for v in kinds.tolist()])[at].reshape(y.shape)
 
 
-def loglik_matrix(y: np.ndarray, rates: np.ndarray, dt: float, gain: float) -> np.ndarray:
-    """(time, latent) Poisson log likelihood."""
-    m = rates * dt * gain + TINY
-    return y @ np.log(m).T - m.sum(1) - log_factorials(y).sum(1)[:, None]
+def loglik_matrix(y: np.ndarray, rates: np.ndarray, dt: float, gain: float | np.ndarray, valid: list[int] | None = None, constant: np.ndarray | None = None) -> np.ndarray:
+    """(time, latent) Poisson log likelihood. gain: a number, or one for each row of y; valid: latents that count, others are impossible; constant: the sums of ln y! of the rows, where they are known."""
+    m = rates * dt + TINY if np.ndim(gain) else rates * dt * gain + TINY
+    ll = y @ np.log(m).T - (log_factorials(y).sum(1) if constant is None else constant)[:, None]
+    if np.ndim(gain):
+        g = np.asarray(gain, float)[:, None]
+        ll += y.sum(1)[:, None] * np.log(g + TINY) - g * m.sum(1)
+    else:
+        ll -= m.sum(1)
+    if valid is not None:
+        ll[:, np.setdiff1d(np.arange(len(rates)), valid)] = -np.inf
+    return ll
+
 
+def uniform_start(dyn: int, size: int, valid: list[int] | None = None) -> np.ndarray:
+    """Every dynamics and valid latent alike."""
+    start = np.zeros((dyn, size))
+    start[:, np.arange(size) if valid is None else valid] = 1.0
+    return start / start.sum()
 
-def forward(ll: np.ndarray, kernels: np.ndarray, switch: np.ndarray, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def forward(ll: np.ndarray, kernels: np.ndarray | list[Kernel] | Steps, switch: np.ndarray | None = None, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Filter of a switching model: causal (time, dyn, latent) and step, the log predictive of each row.
 
     ll is (time, latent). The start (uniform by default) passes a transition before the first likelihood; the prediction is
     switch first, then the latent kernel of the new dynamics. scale multiplies the likelihood, prior_power the log prediction.
     """
+    steps = kernels if isinstance(kernels, Steps) else Steps(kernels, switch)
     n, size = ll.shape
-    dyn = len(kernels)
     top = ll.max(1) if n else np.zeros(0)
     like = np.exp(scale * (ll - top[:, None]))
-    causal, step, to = np.empty((n, dyn, size)), np.empty(n), np.ascontiguousarray(switch.T)
-    now = np.full((dyn, size), 1.0 / (dyn * size)) if start is None else start
+    causal, step = np.empty((n, steps.dyn, size)), np.empty(n)
+    now = uniform_start(steps.dyn, size) if start is None else start
+    if steps.joint is not None and prior_power == 1.0:  # the same on flat states
+        flat, wide, now = causal.reshape(n, -1), np.tile(like, (1, steps.dyn)), np.ravel(now)
+        for t in range(n):
+            now = (now @ steps.joint) * wide[t]
+            step[t] = total = now.sum()
+            now /= total
+            flat[t] = now
+        return causal, np.log(step) + scale * top
     for t in range(n):
-        prior = np.matmul((to @ now)[:, None, :], kernels)[:, 0]
+        prior = steps.ahead(now)
         if prior_power != 1.0:
             prior = prior**prior_power
             prior /= prior.sum()
@@ -147,37 +175,48 @@ def forward(ll: np.ndarray, kernels: np.ndarray, switch: np.ndarray, scale: floa
     return causal, np.log(step) + scale * top
 
 
-def _prediction(causal: np.ndarray, kernels: np.ndarray, switch: np.ndarray, prior_power: float) -> np.ndarray:
-    """What each row predicts for the next."""
-    prior = np.einsum("de,tdi->eti", switch, causal) @ kernels
-    prior = prior.transpose(1, 0, 2)
-    return prior if prior_power == 1.0 else prior**prior_power / (prior**prior_power).sum((1, 2), keepdims=True)
-
-
-def backward(causal: np.ndarray, kernels: np.ndarray, switch: np.ndarray, prior_power: float = 1.0, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def backward(causal: np.ndarray, kernels: np.ndarray | list[Kernel] | Steps, switch: np.ndarray | None = None, prior_power: float = 1.0, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Smoother: smooth (time, dyn, latent), and for each row but the last its ratio of the next row's smooth to what was predicted for it. after: the smooth row behind the last one, where a longer series goes on."""
+    steps = kernels if isinstance(kernels, Steps) else Steps(kernels, switch)
     n = len(causal)
     smooth, ratio = causal.copy(), np.zeros_like(causal)
-    predicted, back = _prediction(causal, kernels, switch, prior_power), np.ascontiguousarray(kernels.transpose(0, 2, 1))
-    for t in range(n - 1, -1, -1):
-        later = smooth[t + 1] if t + 1 < n else after
-        if later is None:
+    for b in range(n, 0, -4096):  # predictions of many rows at once
+        a = max(0, b - 4096)
+        predicted = steps.ahead(causal[a:b])
+        if prior_power != 1.0:
+            predicted = predicted**prior_power
+            predicted /= predicted.sum((1, 2), keepdims=True)
+        share = np.divide(1.0, predicted, out=np.zeros_like(predicted), where=predicted > 0)
+        if steps.joint is not None:  # the same on flat states
+            s, r, c, share = (x.reshape(len(x), -1) for x in (smooth, ratio, causal, share))
+            for t in range(b - 1, a - 1, -1):
+                if t + 1 == n and after is None:
+                    continue
+                r[t] = now = (s[t + 1] if t + 1 < n else np.ravel(after)) * share[t - a]
+                now = c[t] * (now @ steps.joint_back)
+                s[t] = now / max(now.sum(), 1e-300)
             continue
-        np.divide(later, predicted[t], out=ratio[t], where=predicted[t] > 0)
-        now = causal[t] * (switch @ np.matmul(ratio[t][:, None, :], back)[:, 0])
-        smooth[t] = now / max(now.sum(), 1e-300)
+        for t in range(b - 1, a - 1, -1):
+            later = smooth[t + 1] if t + 1 < n else after
+            if later is None:
+                continue
+            ratio[t] = later * share[t - a]
+            now = causal[t] * steps.behind(ratio[t])
+            smooth[t] = now / max(now.sum(), 1e-300)
     return smooth, ratio
 
 
-def forward_backward(ll: np.ndarray, kernels: np.ndarray, switch: np.ndarray, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> dict[str, np.ndarray]:
+def forward_backward(ll: np.ndarray, kernels: np.ndarray | list[Kernel] | Steps, switch: np.ndarray | None = None, scale: float = 1.0, prior_power: float = 1.0, start: np.ndarray | None = None) -> dict[str, np.ndarray]:
     """causal and smooth (time, dyn, latent), step (log predictive of each row), ratio as backward gives it."""
-    causal, step = forward(ll, kernels, switch, scale, prior_power, start)
-    smooth, ratio = backward(causal, kernels, switch, prior_power)
+    steps = kernels if isinstance(kernels, Steps) else Steps(kernels, switch)
+    causal, step = forward(ll, steps, None, scale, prior_power, start)
+    smooth, ratio = backward(causal, steps, None, prior_power)
     return {"causal": causal, "smooth": smooth, "step": step, "ratio": ratio}
 
 
 def joint_sums(causal: np.ndarray, ratio: np.ndarray, kernels: np.ndarray, switch: np.ndarray, what: str) -> np.ndarray:
     """Expected transitions summed over all steps: `latent` (i, j), `dynamics` (d, e), or `full` (d, i, e, j)."""
+    kernels = np.stack([k.dense() if isinstance(k, Kernel) else k for k in kernels])
     dyn, size = len(kernels), kernels.shape[1]
     shape = {"latent": (size, size), "dynamics": (dyn, dyn), "full": (dyn, size, dyn, size)}[what]
     total = np.zeros(shape)
@@ -204,13 +243,17 @@ def _group_counts(rows: pd.DataFrame, units: list) -> tuple[np.ndarray, np.ndarr
     return bins, y
 
 
-def decode_hmm(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0) -> DataFrame:
-    """keys, bin, p_latent, p_dyn, causal_latent (arrays), step: the model decoded for each group of keys by itself (a session, or an event)."""
+def decode_hmm(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0, valid: list[int] | None = None) -> DataFrame:
+    """keys, bin, p_latent, p_dyn, causal_latent (arrays), step: the model decoded for each group of keys by itself (a session, or an event).
+
+    valid: the latents that count; all others have probability zero, and the start is uniform over the valid ones.
+    """
     units, rates, kernels, switch = model.units, model.rates, model.kernels, model.switch
 
     def decode(rows: pd.DataFrame) -> pd.DataFrame:
         bins, y = _group_counts(rows, units)
-        got = forward_backward(loglik_matrix(y, rates, dt, gain), kernels, switch, scale, prior_power)
+        steps = Steps(kernels, switch)
+        got = forward_backward(loglik_matrix(y, rates, dt, gain, valid), steps, None, scale, prior_power, uniform_start(steps.dyn, steps.size, valid))
         out = {k: [rows[k].iloc[0]] * len(bins) for k in keys}
         return pd.DataFrame(out | {"bin": bins, "p_latent": list(got["smooth"].sum(1)), "p_dyn": list(got["smooth"].sum(2)), "causal_latent": list(got["causal"].sum(1)), "step": got["step"]})
 
@@ -218,30 +261,25 @@ def decode_hmm(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0
     return counts.groupBy(*keys).applyInPandas(decode, f"{fields}, bin long, p_latent array<double>, p_dyn array<double>, causal_latent array<double>, step double")
 
 
-def decode_in_chunks(counts: DataFrame, model: Model, keys: list[str], chunk: int, dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0) -> DataFrame:
+def decode_in_chunks(counts: DataFrame, model: Model, keys: list[str], chunk: int, dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0, valid: list[int] | None = None) -> DataFrame:
     """What decode_hmm gives, a chunk of bins of each group at a time, for series that don't fit a task.
 
-    Chunks follow each other: the filter takes over the last row of the chunk before, the smoother the first row of the chunk behind, so
-    the result is that of the whole series. Each chunk is a job over all groups, checkpointed; only the number of chunks is known here.
+    Counts are written once, laid out by chunk, so each chunk reads its own files alone. A table of the last state of every group goes along:
+    the filter of a chunk starts from it, the smoother from the first state behind, however many chunks a group has no bin in. A
+    chunk is a job over all groups, and its rows are saved; only the number of chunks is known here. The result stays until the application ends.
     """
-    from latentspark.sources.tables import ensure_checkpoint_dir
-
     spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
     units, rates, kernels, switch = model.units, model.rates, model.kernels, model.switch
     dyn, size = len(kernels), rates.shape[0]
     fields = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
-    begins = counts.groupBy(*keys).agg(F.min("bin").alias("__first"))
-    placed = counts.join(begins, keys).withColumn("__chunk", F.floor((F.col("bin") - F.col("__first")) / chunk).cast("int")).select(*keys, "__chunk", "bin", "unit", "n")
-    last = placed.agg(F.max("__chunk")).first()[0]
-    none = spark.createDataFrame([], f"{fields}, state array<double>")
+    state = f"{fields}, state array<double>"
 
     def ahead(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
         if not len(rows):
             return pd.DataFrame(columns=[*keys, "bin", "causal", "step"])
         bins, y = _group_counts(rows, units)
-        start = np.array(carry["state"].iloc[0]).reshape(dyn, size) if len(carry) else None
-        causal, step = forward(loglik_matrix(y, rates, dt, gain), kernels, switch, scale, prior_power, start)
+        start = np.array(carry["state"].iloc[0]).reshape(dyn, size) if len(carry) else uniform_start(dyn, size, valid)
+        causal, step = forward(loglik_matrix(y, rates, dt, gain, valid), kernels, switch, scale, prior_power, start)
         return pd.DataFrame({k: [rows[k].iloc[0]] * len(bins) for k in keys} | {"bin": bins, "causal": list(causal.reshape(len(bins), -1)), "step": step})
 
     def back(rows: pd.DataFrame, carry: pd.DataFrame) -> pd.DataFrame:
@@ -252,23 +290,32 @@ def decode_in_chunks(counts: DataFrame, model: Model, keys: list[str], chunk: in
         smooth, _ = backward(causal, kernels, switch, prior_power, np.array(carry["state"].iloc[0]).reshape(dyn, size) if len(carry) else None)
         return pd.DataFrame({k: rows[k] for k in keys} | {"bin": rows["bin"], "smooth": list(smooth.reshape(len(rows), -1)), "causal": rows["causal"], "step": rows["step"]})
 
-    filtered, carry = [], none
-    for k in range((last if last is not None else -1) + 1):
-        got = placed.where(F.col("__chunk") == k).groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(ahead, f"{fields}, bin long, causal array<double>, step double").checkpoint()
-        filtered.append(got)
-        carry = got.groupBy(*keys).agg(F.max_by("causal", "bin").alias("state"))
-    out, carry = None, none
-    for got in reversed(filtered):
-        part = got.groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(back, f"{fields}, bin long, smooth array<double>, causal array<double>, step double").checkpoint()
-        carry = part.groupBy(*keys).agg(F.min_by("smooth", "bin").alias("state"))
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        out = none.select(*keys, F.lit(0).cast("long").alias("bin"), F.col("state").alias("smooth"), F.col("state").alias("causal"), F.lit(0.0).alias("step"))
-    add = lambda x, of: F.transform(F.sequence(F.lit(0), F.lit(of - 1)), x)
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
-    by_latent = lambda c: add(lambda i: total(F.transform(F.sequence(F.lit(0), F.lit(dyn - 1)), lambda d: F.get(c, d * size + i))), size)
-    by_dyn = lambda c: add(lambda d: total(F.slice(c, d * size + 1, size)), dyn)
-    return out.select(*keys, "bin", by_latent(F.col("smooth")).alias("p_latent"), by_dyn(F.col("smooth")).alias("p_dyn"), by_latent(F.col("causal")).alias("causal_latent"), "step")
+    upto = lambda of, x: F.transform(F.sequence(F.lit(0), F.lit(of - 1)), x)
+    by_latent = lambda c: upto(size, lambda i: total(upto(dyn, lambda d: F.get(c, d * size + i))))
+    by_dyn = lambda c: upto(dyn, lambda d: total(F.slice(c, d * size + 1, size)))
+    with passing(spark) as save:
+        begins = counts.groupBy(*keys).agg(F.min("bin").alias("__first"))
+        placed = counts.join(begins, keys).withColumn("__chunk", F.floor((F.col("bin") - F.col("__first")) / chunk).cast("int")).select(*keys, "bin", "unit", "n", "__chunk")
+        placed = save(placed.repartition("__chunk", *keys), ["__chunk"])
+        chunks = sorted(r[0] for r in placed.select("__chunk").distinct().collect())
+        of_chunk = lambda t, k: t.where(F.col("__chunk") == k)
+
+        def carried(carry: DataFrame, new: DataFrame) -> DataFrame:
+            """The state of each group of the chunk just done, and of those that it had no bin of."""
+            return save(new.unionByName(carry.join(new.select(*keys), keys, "left_anti")))
+
+        none = spark.createDataFrame([], state)
+        filtered, carry = [], none
+        for k in chunks:
+            filtered.append(save(of_chunk(placed, k).groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(ahead, f"{fields}, bin long, causal array<double>, step double")))
+            carry = carried(carry, filtered[-1].groupBy(*keys).agg(F.max_by("causal", "bin").alias("state")))
+        out, carry = spark.createDataFrame([], f"{fields}, bin long, smooth array<double>, causal array<double>, step double"), none
+        for got in reversed(filtered):
+            part = save(got.groupBy(*keys).cogroup(carry.groupBy(*keys)).applyInPandas(back, f"{fields}, bin long, smooth array<double>, causal array<double>, step double"))
+            carry = carried(carry, part.groupBy(*keys).agg(F.min_by("smooth", "bin").alias("state")))
+            out = out.unionByName(part)
+        return saved(out.select(*keys, "bin", by_latent(F.col("smooth")).alias("p_latent"), by_dyn(F.col("smooth")).alias("p_dyn"), by_latent(F.col("causal")).alias("causal_latent"), "step"))
 
 
 def event_marginals(counts: DataFrame, models: dict[str, Model], keys: list[str], dt: float = 1.0, gain: float = 1.0, prior_power: float = 1.0) -> DataFrame:

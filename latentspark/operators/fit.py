@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latentspark.functions.seeds import uniform
+from latentspark.sources.shared import passing
 
 from . import decode
+from .structure import Kernel
 
 
 def weighted_stats(posterior: DataFrame, counts: DataFrame, keys: list[str], gain: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -144,10 +146,10 @@ def long_posterior(decoded: DataFrame, keys: list[str], column: str = "p_latent"
 
 
 def dense_counts(counts: DataFrame, units: list, keys: list[str]) -> DataFrame:
-    """keys, bin, y: the counts of all units of a bin as one array, in the order of `units`."""
+    """keys, bin, lf (the sum of ln n! of its counts), y: the counts of all units of a bin as one array, in the order of `units`."""
     known = F.map_from_entries(F.collect_list(F.struct("unit", F.col("n").cast("double"))))
-    rows = counts.groupBy(*keys, "bin").agg(known.alias("__m"))
-    return rows.select(*keys, "bin", F.transform(F.array(*(F.lit(u) for u in units)), lambda u: F.coalesce(F.try_element_at("__m", u), F.lit(0.0))).alias("y"))
+    rows = counts.groupBy(*keys, "bin").agg(known.alias("__m"), F.sum(decode.log_factorial("n")).alias("lf"))
+    return rows.select(*keys, "bin", "lf", F.transform(F.array(*(F.lit(u) for u in units)), lambda u: F.coalesce(F.try_element_at("__m", u), F.lit(0.0))).alias("y"))
 
 
 def _sums(p: np.ndarray, y: np.ndarray, step: float) -> pd.DataFrame:
@@ -193,38 +195,36 @@ def rates_of(spark: SparkSession, a: np.ndarray, b: np.ndarray, basis: np.ndarra
     return np.array([r.rate for r in sorted(problems.mapInPandas(solve, "ix long, rate array<double>").collect(), key=lambda r: r.ix)]).T  # the model
 
 
-def _e_step(rates: np.ndarray, kernels: np.ndarray, switch: np.ndarray, dt: float):
+def _e_step(rates: np.ndarray, kernels: np.ndarray | list[Kernel], switch: np.ndarray, dt: float):
     def decode_sums(g: pd.DataFrame) -> pd.DataFrame:
-        y = np.stack(g.sort_values("bin")["y"].to_numpy())
-        got = decode.forward_backward(decode.loglik_matrix(y, rates, dt, 1.0), kernels, switch)
+        g = g.sort_values("bin")
+        y = np.stack(g["y"].to_numpy())
+        got = decode.forward_backward(decode.loglik_matrix(y, rates, dt, 1.0, constant=g["lf"].to_numpy()), kernels, switch)
         return _sums(got["smooth"].sum(1), y, float(got["step"].sum()))
 
     return decode_sums
 
 
-def fit_em(spark: SparkSession, counts: DataFrame, posterior: DataFrame, kernels: np.ndarray, switch: np.ndarray, basis: np.ndarray, keys: list[str], rounds: int, prior: float = 1.0, dt: float = 1.0, noise: float | None = None, rough: float = 0.0, save_every: int | None = None, saved: list | None = None) -> tuple[DataFrame, list[float]]:
+def fit_em(spark: SparkSession, counts: DataFrame, posterior: DataFrame, kernels: np.ndarray | list[Kernel], switch: np.ndarray, basis: np.ndarray, keys: list[str], rounds: int, prior: float = 1.0, dt: float = 1.0, noise: float | None = None, rough: float = 0.0, save_every: int | None = None, kept: list | None = None) -> tuple[DataFrame, list[float]]:
     """(tuning, log marginal of each round): M-step first, from the initial posterior, then E-step.
 
-    Counts become one array for each bin and are checkpointed in the shared folder before the loop. In a round each group of keys is
+    Counts become one array for each bin, saved in the shared folder while the loop runs. In a round each group of keys is
     decoded in one task, which returns sums of the size of the model, so posteriors never leave it; the driver holds only the tuning.
-    noise: a Gaussian M-step with that deviation instead of the Poisson one; rough: its roughness penalty. Every save_every rounds the tuning is appended to `saved` as (round, DataFrame).
+    noise: a Gaussian M-step with that deviation instead of the Poisson one; rough: its roughness penalty. Every save_every rounds the tuning is appended to `kept` as (round, DataFrame).
     """
-    from latentspark.sources.tables import ensure_checkpoint_dir
-
-    ensure_checkpoint_dir(spark)
     units = sorted(r.unit for r in counts.select("unit").distinct().collect())  # the model's
     kind = counts.schema["unit"].dataType.simpleString()
-    dense = dense_counts(counts, units, keys).checkpoint()
     table = lambda r: spark.createDataFrame([(i, u, float(r[i, j])) for i in range(len(r)) for j, u in enumerate(units)], f"latent long, unit {kind}, rate double")
-    a, b = posterior_sums(dense, posterior, keys)
     history, rates = [], None
-    for k in range(rounds):
-        rates = rates_of(spark, a, b, basis, prior, noise, rough) / dt
-
-        a, b, total = _model_sums(dense.groupBy(*keys).applyInPandas(_e_step(rates, kernels, switch, dt), SUMS))
-        history.append(total)
-        if save_every and saved is not None and (k + 1) % save_every == 0:
-            saved.append((k + 1, table(rates)))
+    with passing(spark) as save:
+        dense = save(dense_counts(counts, units, keys))
+        a, b = posterior_sums(dense, posterior, keys)
+        for k in range(rounds):
+            rates = rates_of(spark, a, b, basis, prior, noise, rough) / dt
+            a, b, total = _model_sums(dense.groupBy(*keys).applyInPandas(_e_step(rates, kernels, switch, dt), SUMS))
+            history.append(total)
+            if save_every and kept is not None and (k + 1) % save_every == 0:
+                kept.append((k + 1, table(rates)))
     return table(rates), history
 
 

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
+
 
 def interval_join(points: DataFrame, intervals: DataFrame, keys: list[str], how: str = "inner", t: str = "t", start: str = "start", end: str = "end", block: float = 86400.0, right_open: bool = False) -> DataFrame:
     """points joined with the intervals that hold them (both ends included, or the right one not), keys and time block being equal.
@@ -56,30 +58,16 @@ def event_bins(intervals: DataFrame, dt: float, keys: list[str]) -> DataFrame:
     return intervals.select(*keys, "interval_id").join(spans, [*keys, "interval_id"], "left").withColumns({"n_bins": F.coalesce("n_bins", F.lit(0)), "valid": F.col("n_bins").isNotNull()})
 
 
-def runs(series: DataFrame, passes: Column, keys: list[str], t: str = "t", aggregates: list[Column] | None = None, order: list[str] | None = None) -> DataFrame:
-    """Maximal runs of consecutive rows that pass: keys, run, start, end (first and last time), n, and `aggregates`. A missing test fails."""
-    order = order or [t]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    flagged = series.withColumn("__in", F.coalesce(passes, F.lit(False)))
-    begins = (F.col("__in") & ~F.coalesce(F.lag("__in").over(w), F.lit(False))).cast("int")
-    numbered = flagged.withColumn("__b", begins).withColumn("run", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__in")
+def runs(series: DataFrame, passes: Column, keys: list[str], t: str = "t", aggregates: list[Column] | None = None, order: list[str] | None = None, block: float = B.BLOCK) -> DataFrame:
+    """Maximal runs of consecutive rows that pass: keys, run, start, end (first and last time), n, and `aggregates`. A missing test fails. Rows are gone through a block of time at a time; runs go on over its ends."""
+    flagged = B.cut(series, t, block).withColumn("__in", F.coalesce(passes, F.lit(False)))
+    numbered = B.run_numbers(flagged, "__in", F.col("__in"), keys, order or [t], "run").where("__in")
     return numbered.groupBy(*keys, "run").agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"), *(aggregates or []))
 
 
 def runs_in_blocks(series: DataFrame, passes: Column, keys: list[str], block: float, t: str = "t", order: list[str] | None = None) -> DataFrame:
-    """What runs gives (keys, start, end, n), for series that are too long for a task: runs inside blocks of time first, then those that go on over a block's end are joined. Only one row for each block and each run is sorted by series."""
-    order = order or [t]
-    w = Window.partitionBy(*keys, "__block").orderBy(*order)
-    flagged = series.withColumn("__block", F.floor(F.col(t) / block).cast("long")).withColumn("__in", F.coalesce(passes, F.lit(False)))
-    placed = flagged.withColumns({"__first": F.lag("__in").over(w).isNull(), "__last": F.lead("__in").over(w).isNull(), "__b": (F.col("__in") & ~F.coalesce(F.lag("__in").over(w), F.lit(False))).cast("int")})
-    inside = placed.withColumn("__run", F.sum("__b").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("__in").groupBy(*keys, "__block", "__run")
-    found = inside.agg(F.min(t).alias("start"), F.max(t).alias("end"), F.count(F.lit(1)).alias("n"), F.max("__first").alias("__first"), F.max("__last").alias("__last"))
-    there = flagged.select(*keys, "__block").distinct().withColumn("__at", F.row_number().over(Window.partitionBy(*keys).orderBy("__block")))
-    line = Window.partitionBy(*keys).orderBy("__at", "__run")
-    named = found.join(there, [*keys, "__block"])
-    goes_on = F.col("__first") & F.coalesce(F.lag("__last").over(line), F.lit(False)) & (F.lag("__at").over(line) == F.col("__at") - 1)
-    numbered = named.withColumn("__new", 1 - F.coalesce(goes_on, F.lit(False)).cast("int")).withColumn("run", F.sum("__new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy(*keys, "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("run")
+    """What runs gives (keys, start, end, n), its blocks' length given."""
+    return runs(series, passes, keys, t, None, order, block).drop("run")
 
 
 def threshold_runs(series: DataFrame, value: str, threshold: float, method: str, keys: list[str], **more) -> DataFrame:
@@ -89,12 +77,17 @@ def threshold_runs(series: DataFrame, value: str, threshold: float, method: str,
     return runs(series, test, keys, **more)
 
 
-def merge_close(intervals: DataFrame, gap: float, keys: list[str]) -> DataFrame:
-    """Intervals joined where less than `gap` lies between them: keys, start, end, parts."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
-    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = intervals.withColumn("__new", F.when(reach.isNull() | (F.col("start") - reach >= gap), 1).otherwise(0))
-    return marked.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*keys, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count(F.lit(1)).alias("parts")).drop("__g")
+def merge_close(intervals: DataFrame, gap: float, keys: list[str], block: float = B.BLOCK) -> DataFrame:
+    """Intervals joined where less than `gap` lies between them: keys, start, end, parts. Inside blocks of time first, then what that leaves."""
+
+    def merged(x: DataFrame, by: list[str]) -> DataFrame:
+        w = Window.partitionBy(*by).orderBy("start", "end")
+        reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+        marked = x.withColumn("__new", F.when(reach.isNull() | (F.col("start") - reach >= gap), 1).otherwise(0))
+        return marked.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy(*by, "__g").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("parts").alias("parts")).drop("__g")
+
+    local = merged(B.cut(intervals, "start", block).select(*keys, "__block", "start", "end", F.lit(1).cast("long").alias("parts")), [*keys, "__block"])
+    return merged(local.drop("__block"), keys)
 
 
 def state_intervals(series: DataFrame, value: str, threshold: float, gap: float, longer_than: float, keys: list[str], **more) -> DataFrame:
@@ -118,12 +111,10 @@ def set_operation(a: DataFrame, b: DataFrame, op: str, keys: list[str]) -> DataF
     return spans.withColumn("__b", begins).withColumn("__g", F.sum("__b").over(so_far)).where("keep").groupBy(*keys, "__g").agg(F.min("at").alias("start"), F.max("next").alias("end")).drop("__g")
 
 
-def states_to_intervals(series: DataFrame, state: str, names: dict[int, str], keys: list[str], order: list[str] | None = None) -> DataFrame:
+def states_to_intervals(series: DataFrame, state: str, names: dict[int, str], keys: list[str], order: list[str] | None = None, block: float = B.BLOCK) -> DataFrame:
     """Runs of equal state, by the state's name; states without a name are left out."""
-    w = Window.partitionBy(*keys).orderBy(*(order or ["t"]))
-    change = (~F.coalesce(F.col(state) == F.lag(state).over(w), F.lit(False))).cast("int")
     table = F.create_map(*[x for k, v in names.items() for x in (F.lit(k), F.lit(v))])
-    numbered = series.withColumn("__c", change).withColumn("__g", F.sum("__c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    numbered = B.run_numbers(B.cut(series, "t", block), state, F.lit(True), keys, order or ["t"], "__g")
     return numbered.withColumn("name", table[F.col(state)]).where("name is not null").groupBy(*keys, "name", "__g").agg(F.min("t").alias("start"), F.max("t").alias("end")).drop("__g")
 
 
@@ -132,15 +123,24 @@ def events_by_state(events: DataFrame, intervals: DataFrame, keys: list[str]) ->
     return interval_join(events, intervals.select(*keys, "name", "start", "end"), keys).withColumn("event_state", F.concat_ws("_", "kind", "name")).drop("name", "start", "end")
 
 
-def _aligned(signal: DataFrame, targets: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """targets with the samples before (or at) and after (or at) each: bt, bv, at, av. Of samples at one time the first by value counts."""
-    both = targets.select(*keys, "t").distinct().withColumns({"__s": F.lit(None).cast("double"), "__v": F.lit(None).cast("double"), "__q": F.lit(1)})
-    one = signal.groupBy(*keys, "t").agg(F.min(value).alias("__v"))
-    both = both.unionByName(one.select(*keys, "t", F.col("t").alias("__s"), "__v", F.lit(0).alias("__q")))
-    back = Window.partitionBy(*keys).orderBy("t", "__q").rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*keys).orderBy(F.desc("t"), "__q").rowsBetween(Window.unboundedPreceding, 0)
-    s = F.when(F.col("__s").isNotNull(), F.struct(F.col("__s").alias("t"), F.col("__v").alias("v")))
-    both = both.withColumns({"__b": F.last(s, ignorenulls=True).over(back), "__a": F.last(s, ignorenulls=True).over(ahead)})
+def neighbours(signal: DataFrame, targets: DataFrame, value: str, keys: list[str], block: float = B.BLOCK) -> DataFrame:
+    """keys, t of each target with the samples before (or at) and after (or at) it: bt, bv, at, av. Of samples at one time the least by value counts.
+
+    Targets and samples meet in blocks of time; the last sample of the blocks before and the first of those behind are copied into each block.
+    """
+    sample = F.struct(F.col("t").alias("t"), F.col(value).alias("v"))
+    one = B.cut(signal.groupBy(*keys, "t").agg(F.min(value).alias(value)), "t", block)
+    asked = B.cut(targets.select(*keys, "t").distinct(), "t", block)
+    ends = one.groupBy(*keys, "__block").agg(F.min_by(sample, "t").alias("first"), F.max_by(sample, "t").alias("last"))
+    every = ends.unionByName(asked.select(*keys, "__block").distinct().withColumns({"first": F.lit(None).cast(ends.schema["first"].dataType), "last": F.lit(None).cast(ends.schema["last"].dataType)}))
+    line = every.groupBy(*keys, "__block").agg(F.first("first", True).alias("first"), F.first("last", True).alias("last"))
+    back = F.last("last", True).over(B.before(keys))
+    ahead = F.first("first", True).over(B.line(keys).rowsBetween(1, Window.unboundedFollowing))
+    halo = line.select(*keys, "__block", back.alias("__l"), ahead.alias("__r")).select(*keys, "__block", F.explode(F.array_compact(F.array("__l", "__r"))).alias("__s")).select(*keys, F.col("__s.t").alias("t"), "__block", "__s")
+    none = F.lit(None).cast(ends.schema["first"].dataType)
+    both = asked.withColumns({"__s": none, "__q": F.lit(1)}).unionByName(one.select(*keys, "t", "__block", sample.alias("__s"), F.lit(0).alias("__q"))).unionByName(halo.withColumn("__q", F.lit(0)))
+    up_to, from_on = (B.inside(keys, [o, "__q"]).rowsBetween(Window.unboundedPreceding, 0) for o in (F.col("t"), F.desc("t")))
+    both = both.withColumns({"__b": F.last("__s", True).over(up_to), "__a": F.last("__s", True).over(from_on)})
     return both.where("__q = 1").select(*keys, "t", F.col("__b.t").alias("bt"), F.col("__b.v").alias("bv"), F.col("__a.t").alias("at"), F.col("__a.v").alias("av"))
 
 
@@ -148,13 +148,13 @@ def interpolate_to(signal: DataFrame, targets: DataFrame, value: str, keys: list
     """keys, t, value: linear between the samples around, the end samples beyond them."""
     line = F.col("bv") + (F.col("av") - F.col("bv")) * (F.col("t") - F.col("bt")) / (F.col("at") - F.col("bt"))
     found = F.when(F.col("bt").isNull(), F.col("av")).when(F.col("at").isNull() | (F.col("at") == F.col("bt")), F.col("bv")).otherwise(line)
-    return _aligned(signal, targets, value, keys).select(*keys, "t", found.alias(value))
+    return neighbours(signal, targets, value, keys).select(*keys, "t", found.alias(value))
 
 
 def nearest_to(signal: DataFrame, targets: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """keys, t, value of the nearest sample, the earlier of two as near."""
     before = F.col("at").isNull() | (F.col("t") - F.col("bt") <= F.col("at") - F.col("t"))
-    return _aligned(signal, targets, value, keys).select(*keys, "t", F.when(F.col("bt").isNotNull() & before, F.col("bv")).otherwise(F.col("av")).alias(value))
+    return neighbours(signal, targets, value, keys).select(*keys, "t", F.when(F.col("bt").isNotNull() & before, F.col("bv")).otherwise(F.col("av")).alias(value))
 
 
 def value_from(signal: DataFrame, bins: DataFrame, value: str, keys: list[str]) -> DataFrame:

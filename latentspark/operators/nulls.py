@@ -109,6 +109,12 @@ def shuffle_test(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffl
     return out.withColumn("significant", (F.col("observed") > F.col("unit_limit")) & (F.col("observed") > F.col("circular_limit")))
 
 
+def consecutive(tuning: DataFrame) -> DataFrame:
+    """tuning with its latents numbered from 0 without gaps, where some were left out; for what doesn't depend on a latent's number. A row for each latent is ranked."""
+    order = tuning.select("latent").distinct().withColumn("__n", F.row_number().over(Window.orderBy("latent")) - 1)
+    return tuning.join(order, "latent").withColumn("latent", F.col("__n").cast("long")).drop("__n")
+
+
 def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffles: int, gains: list[float], dt: float = 1.0) -> DataFrame:
     """keys, gain, kind (observed, unit, circular), shuffle, log_marginal, made inside each event's group: only one number for each leaves it.
 
@@ -121,6 +127,9 @@ def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffle
     for r in rows:
         rates[r.latent, units.index(r.unit)] = r.rate or 0.0
 
+    has = (rates > 0).astype(float)
+    logs, total = np.log(np.where(rates > 0, rates * dt, decode.TINY)), (rates * dt).sum(1)
+
     def test(g: pd.DataFrame) -> pd.DataFrame:
         bins, y = decode._group_counts(g, units)
         own = "|".join(str(g[k].iloc[0]) for k in keys)
@@ -137,9 +146,11 @@ def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffle
             tries.append(("unit", s, moved))
             tries.append(("circular", s, np.take_along_axis(y, (np.arange(n)[:, None] - draw % n) % n, 0)))
         out = []
-        for gain in gains:
-            for kind, s, x in tries:
-                ll = decode.loglik_matrix(x, rates, dt, gain)
+        for kind, s, x in tries:
+            # the products serve all gains: ln(rate dt gain) is ln(rate dt) + ln(gain) where there is a rate, and stays ln(TINY) elsewhere
+            base, seen, constant = x @ logs.T, x @ has.T, decode.log_factorials(x).sum(1)[:, None]
+            for gain in gains:
+                ll = base + np.log(gain) * seen - constant - total * gain
                 top = ll.max(1, keepdims=True)
                 out.append((gain, kind, s, round(float((top[:, 0] + np.log(np.exp(ll - top).sum(1))).sum()), 9)))
         return pd.DataFrame({k: g[k].iloc[0] for k in keys} | {"gain": o[0], "kind": o[1], "shuffle": o[2], "log_marginal": o[3]} for o in out)

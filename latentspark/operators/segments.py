@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,20 @@ def long_enough(rows: DataFrame, least_bins: int, keys: list[str]) -> DataFrame:
     return rows.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys, "segment"))).where(F.col("__n") >= least_bins).drop("__n")
 
 
-def split_segments(rows: DataFrame, position: str, most_step: float, least_bins: int, keys: list[str], maze: str | None = None) -> DataFrame:
-    """rows with segments broken where the maze changes, then where a step is above most_step or missing; short parts are dropped after each."""
+def _step(columns: list[str], w) -> Column:
+    """The distance from the row before: over the coordinates that either row has, null where only one of the two has one, or none has any."""
+    squares, known = F.lit(0.0), F.lit(False)
+    for c in columns:
+        x, before = (F.when(~F.isnan(v.cast("double")), v.cast("double")) for v in (F.col(c), F.lag(c).over(w)))
+        lacking = x.isNull() & before.isNull() if len(columns) > 1 else F.lit(False)
+        squares, known = squares + F.when(lacking, 0.0).otherwise((x - before) ** 2), known | ~lacking
+    return F.when(known, F.sqrt(squares))
+
+
+def split_segments(rows: DataFrame, position: str | list[str], most_step: float, least_bins: int, keys: list[str], maze: str | None = None) -> DataFrame:
+    """rows with segments broken where the maze changes, then where a step (of one coordinate, or several) is above most_step or missing; short parts are dropped after each."""
+    columns = [position] if isinstance(position, str) else position
+
     def broken(x: DataFrame, test) -> DataFrame:
         w = Window.partitionBy(*keys, "segment").orderBy("bin")
         marked = x.withColumn("__b", F.coalesce(test(w), F.lit(False)).cast("int"))
@@ -29,30 +41,42 @@ def split_segments(rows: DataFrame, position: str, most_step: float, least_bins:
 
     if maze:
         rows = broken(rows, lambda w: F.col(maze) != F.lag(maze).over(w))
-    x = F.col(position)
-    missing = lambda c: c.isNull() | F.isnan(c)
     first = lambda w: F.row_number().over(w) == 1
-    return broken(rows, lambda w: ~first(w) & (missing(x) | missing(F.lag(position).over(w)) | (F.abs(x - F.lag(position).over(w)) > most_step)))
+    return broken(rows, lambda w: ~first(w) & F.coalesce(_step(columns, w) > most_step, F.lit(True)))
 
 
-def segment_metrics(rows: DataFrame, position: str, dt: float, keys: list[str], discard_step: float | None = None) -> DataFrame:
-    """keys, segment, n_bins, path, displacement (largest from the start), span, speed (mean step by dt) of one-dimensional positions; steps above discard_step don't count; one bin gives zeros."""
+def segment_metrics(rows: DataFrame, position: str | list[str], dt: float, keys: list[str], discard_step: float | None = None) -> DataFrame:
+    """keys, segment, n_bins, path, displacement (largest from the start), span, speed (mean step by dt) of positions of one or several coordinates; steps above discard_step don't count; one bin gives zeros.
+
+    span: the range of one coordinate, the largest distance of two bins of several. A coordinate that a segment lacks in every bin doesn't count.
+    """
+    columns = [position] if isinstance(position, str) else position
     w = Window.partitionBy(*keys, "segment").orderBy("bin")
-    step = F.abs(F.col(position) - F.lag(position).over(w))
+    step = _step(columns, w)
     kept = F.when(step <= discard_step, step) if discard_step is not None else step
-    first = F.first(position).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    s = rows.withColumns({"__s": kept, "__d": F.abs(F.col(position) - first)})
-    return s.groupBy(*keys, "segment").agg(
+    every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    away = F.lit(0.0)
+    for c in columns:
+        away = away + (F.coalesce((F.col(c) - F.first(c).over(every)) ** 2, F.lit(0.0)) if len(columns) > 1 else (F.col(c) - F.first(c).over(every)) ** 2)
+    s = rows.withColumns({"__s": kept, "__d": F.sqrt(away)})
+    span = (F.max(columns[0]) - F.min(columns[0])) if len(columns) == 1 else F.lit(None).cast("double")
+    out = s.groupBy(*keys, "segment").agg(
         F.count(F.lit(1)).alias("n_bins"), F.coalesce(F.sum("__s"), F.lit(0.0)).alias("path"), F.max("__d").alias("displacement"),
-        (F.max(position) - F.min(position)).alias("span"), (F.coalesce(F.avg("__s"), F.lit(0.0)) / dt).alias("speed"),
+        span.alias("span"), (F.coalesce(F.avg("__s"), F.lit(0.0)) / dt).alias("speed"),
     )
-
-
-def segment_span_2d(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, segment, span: the largest distance of two bins (columns x, y) of a segment. A segment is part of one event, so it is short."""
-    a = rows.select(*keys, "segment", F.struct("bin", "x", "y").alias("a"))
-    pairs = a.join(a.withColumnRenamed("a", "b"), [*keys, "segment"]).where("a.bin <= b.bin")
-    return pairs.groupBy(*keys, "segment").agg(F.max(F.sqrt((F.col("a.x") - F.col("b.x")) ** 2 + (F.col("a.y") - F.col("b.y")) ** 2)).alias("span"))
+    if len(columns) == 1:
+        return out
+    wide = segment_span_2d(rows, keys, columns)
+    return out.drop("span").join(wide, [*keys, "segment"]).select(*keys, "segment", "n_bins", "path", "displacement", "span", "speed")
+
+
+def segment_span_2d(rows: DataFrame, keys: list[str], columns: list[str] | None = None) -> DataFrame:
+    """keys, segment, span: the largest distance of two bins of a segment by its coordinates (x, y). A segment is part of one event, so it is short."""
+    columns = columns or ["x", "y"]
+    held = rows.groupBy(*keys, "segment").agg(F.collect_list(F.array(*(F.col(c).cast("double") for c in columns))).alias("__p"))
+    square = lambda a, b: sum((F.coalesce((a[i] - b[i]) ** 2, F.lit(0.0)) for i in range(len(columns))), F.lit(0.0))
+    far = F.array_max(F.transform("__p", lambda a: F.array_max(F.transform("__p", lambda b: square(a, b)))))
+    return held.select(*keys, "segment", F.sqrt(far).alias("span"))
 
 
 def event_metrics(events: DataFrame, metrics: DataFrame, dt: float, keys: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import blocks as B
 from . import intervals as I
 
 
@@ -18,22 +19,21 @@ def gaussian_weights(std: float, cut: float = 4.0) -> list[tuple[int, float]]:
 
 def gaussian_smooth(series: DataFrame, value: str, std: float, keys: list[str], at: str = "bin", name: str | None = None) -> DataFrame:
     """series with `name`: the Gaussian mean over neighbouring rows, renormalised at the ends. Rows of keys are regular, in order of `at`."""
-    w = Window.partitionBy(*keys).orderBy(at)
+    weights = gaussian_weights(std)
+    dealt, w, own = B.halo(series, keys, at, max(k for k, _ in weights))
     total, weight = F.lit(0.0), F.lit(0.0)
-    for k, g in gaussian_weights(std):
+    for k, g in weights:
         x = F.col(value) if k == 0 else F.lag(value, -k).over(w)
         total, weight = total + F.coalesce(x * g, F.lit(0.0)), weight + F.when(x.isNotNull(), g).otherwise(0.0)
-    return series.withColumn(name or value, total / weight)
+    return dealt.withColumn("__smooth", total / weight).where(own).withColumn(name or value, F.col("__smooth")).drop("__smooth", "__row", "__at")
 
 
 def derivative(series: DataFrame, value: str, keys: list[str], t: str = "t", name: str = "slope") -> DataFrame:
     """Central differences over time, one-sided at the ends."""
-    w = Window.partitionBy(*keys).orderBy(t)
-    back, ahead = F.struct(F.lag(t).over(w).alias("t"), F.lag(value).over(w).alias("v")), F.struct(F.lead(t).over(w).alias("t"), F.lead(value).over(w).alias("v"))
-    with_both = series.withColumns({"__p": back, "__n": ahead})
-    a = F.when(F.col("__p.t").isNull(), F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))).otherwise(F.struct(F.col("__p.t").alias("t"), F.col("__p.v").cast("double").alias("v")))
-    b = F.when(F.col("__n.t").isNull(), F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))).otherwise(F.struct(F.col("__n.t").alias("t"), F.col("__n.v").cast("double").alias("v")))
-    return with_both.withColumns({"__a": a, "__b": b}).withColumn(name, F.when(F.col("__b.t") != F.col("__a.t"), (F.col("__b.v") - F.col("__a.v")) / (F.col("__b.t") - F.col("__a.t")))).drop("__p", "__n", "__a", "__b")
+    dealt, w, own = B.halo(series, keys, t, 1)
+    here = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
+    with_both = dealt.withColumns({"__a": F.coalesce(F.lag(here).over(w), here), "__b": F.coalesce(F.lead(here).over(w), here)}).where(own)
+    return with_both.withColumn(name, F.when(F.col("__b.t") != F.col("__a.t"), (F.col("__b.v") - F.col("__a.v")) / (F.col("__b.t") - F.col("__a.t")))).drop("__a", "__b", "__row", "__at")
 
 
 def zscore_with_baseline(series: DataFrame, value: str, baseline: DataFrame, keys: list[str]) -> DataFrame:
@@ -68,17 +68,17 @@ def detect_bursts(spikes: DataFrame, epochs: DataFrame, dt: float, std: float, k
 
 def ramp_onsets(series: DataFrame, value: str, window: int, std: float, height: float, keys: list[str], at: str = "bin", detrend: float | None = None) -> DataFrame:
     """Rows where the smoothed forward slope of the z-scored signal peaks at `height` or more: slope over `window` rows, the last value repeated at the end; plateaus count once, at their first row."""
-    w = Window.partitionBy(*keys)
-    z = (F.col(value) - F.avg(value).over(w)) / F.stddev_pop(value).over(w)
-    order = w.orderBy(at)
-    s = series.withColumn("__z", z)
+    known = series.groupBy(*keys).agg(F.avg(value).alias("__m"), F.stddev_pop(value).alias("__s"))
+    s = series.join(known, keys).withColumn("__z", (F.col(value) - F.col("__m")) / F.col("__s")).drop("__m", "__s")
     if detrend:
-        s = gaussian_smooth(s, "__z", detrend, keys, at, "__low").withColumn("__z", F.col("__z") - F.col("__low"))
-    last = F.last("__z").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    s = s.withColumn("__slope", (F.coalesce(F.lead("__z", window).over(order), last) - F.col("__z")) / window)
-    s = gaussian_smooth(s, "__slope", std, keys, at, "slope")
-    peak = (F.col("slope") > F.lag("slope").over(order)) & (F.col("slope") >= F.lead("slope").over(order)) & (F.col("slope") >= height)
-    return s.withColumn("__p", peak).where("__p").drop("__p", "__z", "__slope", "__low")
+        s = gaussian_smooth(s, "__z", detrend, keys, at, "__low").withColumn("__z", F.col("__z") - F.col("__low")).drop("__low")
+    s = s.join(s.groupBy(*keys).agg(F.max_by("__z", at).alias("__last")), keys)
+    dealt, w, own = B.halo(s, keys, at, window)
+    slope = (F.coalesce(F.lead("__z", window).over(w), F.col("__last")) - F.col("__z")) / window
+    s = dealt.withColumn("__slope", slope).where(own).drop("__row", "__at", "__last", "__z")
+    dealt, w, own = B.halo(gaussian_smooth(s, "__slope", std, keys, at, "slope"), keys, at, 1)
+    peak = (F.col("slope") > F.lag("slope").over(w)) & (F.col("slope") >= F.lead("slope").over(w)) & (F.col("slope") >= height)
+    return dealt.withColumn("__p", peak).where(own & F.col("__p")).drop("__p", "__row", "__at", "__slope")
 
 
 def angular_velocity(series: DataFrame, keys: list[str], least_speed: float = 1e-6) -> DataFrame:

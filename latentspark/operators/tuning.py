@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import intervals
+
 
 def infer_categorical(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, categorical: whether all finite values are whole numbers (false without any)."""
@@ -36,6 +38,17 @@ def flat_index(dims: list[tuple[Column, int]]) -> Column:
     return out
 
 
+def align_labels(labels: DataFrame, bins: DataFrame, numeric: list[str], categorical: list[str], keys: list[str]) -> DataFrame:
+    """bins (keys, t, ...) with the labels (keys, t, ...) at their times, all columns in one pass: numeric ones linear between the samples around, the end samples
+    beyond them; categorical ones, text or numbers, from the nearest sample, the earlier of two as near. Of samples at one time the least counts."""
+    line = lambda c: F.when(F.col("bt").isNull(), F.col(f"av.{c}")).when(F.col("at").isNull() | (F.col("at") == F.col("bt")), F.col(f"bv.{c}")).otherwise(F.col(f"bv.{c}") + (F.col(f"av.{c}") - F.col(f"bv.{c}")) * (F.col("t") - F.col("bt")) / (F.col("at") - F.col("bt")))
+    early = F.col("bt").isNotNull() & (F.col("at").isNull() | (F.col("t") - F.col("bt") <= F.col("at") - F.col("t")))
+    near = lambda c: F.when(early, F.col(f"bv.{c}")).otherwise(F.col(f"av.{c}"))
+    around = intervals.neighbours(labels.select(*keys, "t", F.struct(*(F.col(c).alias(c) for c in [*numeric, *categorical])).alias("__label")), bins, "__label", keys)
+    found = around.select(*keys, "t", *(line(c).alias(c) for c in numeric), *(near(c).alias(c) for c in categorical))
+    return bins.join(found, [*keys, "t"])
+
+
 def occupancy(bins: DataFrame, flat: str, dt: float) -> DataFrame:
     """flat, seconds of the label bins."""
     return bins.where(F.col(flat).isNotNull()).groupBy(flat).agg((F.count(F.lit(1)) * F.lit(dt)).alias("seconds"))

@@ -179,7 +179,18 @@ def day_nulls(shuffles: int, gains: str) -> str:
 
 GAINS = [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]
 
+#: Days with more events than a session's median day; bins of a series follow each other whatever lies between.
+GAPS = """dy AS (SELECT session, bin // 24 AS day, sum(n) AS total FROM hc GROUP BY 1, 2), md AS (SELECT session, quantile_cont(total, 0.5) AS median FROM dy GROUP BY 1),
+      bd AS (SELECT session, day FROM dy JOIN md USING (session) WHERE total > median),
+      lt AS (SELECT ll.session AS g, dense_rank() OVER (PARTITION BY ll.session ORDER BY bin) - 1 AS t, bin, latent, ll, max(ll) OVER (PARTITION BY ll.session, bin) AS top FROM ll JOIN bd ON bd.session = ll.session AND bd.day = ll.bin // 24)"""
+GRID = """SELECT {e} AS e, a.i AS i, b.i AS j, exp(-pow(a.i // 3 - b.i // 3, 2)) * exp(-pow(a.i % 3 - b.i % 3, 2) / 4) / sum(exp(-pow(a.i // 3 - b.i // 3, 2)) * exp(-pow(a.i % 3 - b.i % 3, 2) / 4)) OVER (PARTITION BY a.i) AS p FROM range(6) a(i), range(6) b(i)"""
+#: Latents that don't count have no row, so no probability; the start is uniform over those that do.
+MASKED = SESSIONS.replace("FROM ll)", "FROM ll WHERE latent IN (0, 2, 3, 5))")
+
 SQL = {
+    "f13_decode_in_chunks_with_gaps": smoothed(GAPS, [MOVE, UNIFORM], TWO, "SELECT session, bin, CAST(latent AS INTEGER) AS latent, round(sum(b), 6) AS p, round(any_value(step), 5) AS step FROM (SELECT bw.g AS session, bi.bin, bw.s % 6 AS latent, b, step FROM bw JOIN fw USING (g, t, s) JOIN (SELECT DISTINCT g, t, bin FROM lt) bi USING (g, t)) GROUP BY 1, 2, 3"),
+    "f1_masked_latents": smoothed(MASKED, [MOVE, UNIFORM], TWO, "SELECT f.g AS session, f.t AS bin, CAST(l AS INTEGER) AS latent, round(coalesce(sum(b), 0), 6) AS p, round(any_value(step), 5) AS step FROM (SELECT DISTINCT g, t, step FROM fw) f CROSS JOIN range(6) r(l) LEFT JOIN bw ON bw.g = f.g AND bw.t = f.t AND bw.s % 6 = l GROUP BY 1, 2, 3").replace("st AS (SELECT DISTINCT s FROM tr)", "st AS (SELECT DISTINCT s FROM tr WHERE s % 6 IN (0, 2, 3, 5))"),
+    "f7_decode_grid": smoothed(SESSIONS, [GRID, UNIFORM], TWO, BY_LATENT),
     "f11_forward_backward": smoothed(SESSIONS, [MOVE, UNIFORM], TWO, BY_LATENT),
     "f12_forward_backward_latent": smoothed(SESSIONS, [MOVE], ONE, BY_LATENT),
     "f13_decode_events": smoothed(DAYS, [MOVE, UNIFORM], TWO, f"SELECT {DAY}, t AS bin, CAST(s % 6 AS INTEGER) AS latent, round(sum(b), 6) AS p, round(sum(a), 6) AS causal, round(any_value(step), 5) AS step FROM bw JOIN fw USING (g, t, s) GROUP BY g, t, s % 6"),

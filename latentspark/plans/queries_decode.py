@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from latentspark.operators import decode as D
 from latentspark.operators import fit as G
+from latentspark.operators import intervals, structure
 from latentspark.operators import kernels as K
 from latentspark.operators import nulls as M
 from latentspark.operators import segments as N
 from latentspark.operators import transitions as H
 
-from . import workflows
-from .binding import EV, HASH, HC, KEYS, LL, NB, TUN, Query, day_counts, events, hourly_counts, hourly_signal, hourly_tuning, posterior, rounded, whole_span, with_
+from . import mazes, workflows
+from .binding import EV, HASH, HC, IV, KEYS, LL, NB, TUN, Query, day_counts, events, hourly_counts, hourly_signal, half_days, hourly_tuning, posterior, rounded, whole_span, with_
 
 BASE = with_(EV, HC, TUN, LL, NB)
 LATENTS = 6
@@ -129,6 +130,56 @@ def _replay_unsupervised(spark, sf):
     return got["events"]
 
 
+MAZES = mazes.Mazes((mazes.Maze("arm", (mazes.Axis("x", 0.0, 10.0, 5, 10.0),)), mazes.Maze("field", (mazes.Axis("x", 50.0, 10.0, 5, 10.0), mazes.Axis("y", 0.0, 20.0, 4, 20.0)))))
+
+
+def _maze_position(spark, sf):
+    """k as x; below 50 an arm, from there on a field with the value as y."""
+    e = events(spark, sf)
+    return e.select("session", "t", F.when(F.col("k") < 50, "arm").otherwise("field").alias("maze"), F.col("k").alias("x"), F.when(F.col("k") >= 50, F.col("value")).alias("y"))
+
+
+def _replay_on_mazes(spark, sf):
+    e = events(spark, sf)
+    off = intervals.runs(e.select("session", "t", "value", "event_id"), F.col("value") > 50, KEYS, order=["t", "event_id"]).where("n >= 2").select("session", "start", "end")
+    got = mazes.replay_on_mazes(e.select("session", "unit", "t"), _maze_position(spark, sf), whole_span(spark, sf), KEYS, MAZES, tuning_dt=3600.0, burst_dt=1800.0, burst_std=2.0, z_peak=1.5, shortest=3600.0, longest=36000.0, event_dt=1800.0, n_shuffles=100, gains=[1.0, 2.0], offtrack=off, continuous=0.5, most_step=40.0)
+    return got["events"].select("session", "start", "end", "peak", "n_segments", "total_path", "max_displacement", "observed", "unit_limit", "circular_limit", "significant", "maze", "maze_fraction", "p_move", "p_jump")
+
+
+def _maze_tuning(spark, sf):
+    e = events(spark, sf)
+    return rounded(mazes.maze_tuning(e.select("session", "unit", "t"), _maze_position(spark, sf), half_days(spark, sf), MAZES, 3600.0, KEYS))
+
+
+MAZE_TUNING = with_(EV, IV) + """, sm AS (SELECT session, t, min({'m': CASE WHEN k < 50 THEN 'arm' ELSE 'field' END, 'x': k, 'y': CASE WHEN k >= 50 THEN value END}) AS s FROM ev GROUP BY 1, 2),
+     bn AS (SELECT session, interval_id, CAST(b AS BIGINT) AS bin, s + (b + 0.5) * 3600 AS t FROM iv, range(12) r(b)),
+     bk AS (SELECT bn.*, sm.t AS bt, sm.s AS bv FROM bn ASOF LEFT JOIN sm ON bn.session = sm.session AND bn.t >= sm.t),
+     al AS (SELECT bk.*, sm.t AS at_, sm.s AS av FROM bk ASOF LEFT JOIN sm ON bk.session = sm.session AND bk.t <= sm.t),
+     nr AS (SELECT session, interval_id, bin, CASE WHEN bt IS NOT NULL AND (at_ IS NULL OR t - bt <= at_ - t) THEN bv ELSE av END AS s FROM al),
+     pl AS (SELECT session, interval_id, bin, CAST(CASE WHEN s.m = 'arm' THEN greatest(0, least(4, floor(s.x / 10))) ELSE 5 + greatest(0, least(4, floor((s.x - 50) / 10))) * 4 + greatest(0, least(3, floor(s.y / 20))) END AS BIGINT) AS latent FROM nr),
+     oc AS (SELECT latent, count(*) * 3600e0 AS seconds FROM pl GROUP BY 1),
+     ct AS (SELECT iv.session, interval_id, CAST(floor((t - s) / 3600) AS BIGINT) AS bin, unit, count(*) AS n FROM ev JOIN iv ON iv.session = ev.session AND t >= s AND t < e GROUP BY ALL),
+     cn AS (SELECT latent, unit, sum(n) AS n FROM ct JOIN pl USING (session, interval_id, bin) GROUP BY 1, 2),
+     gr AS (SELECT 'arm' AS m, i AS f, i * 10e0 + 5 AS x, 0e0 AS y FROM range(5) r(i) UNION ALL SELECT 'field', 5 + i * 4 + j, 50e0 + i * 10 + 5, j * 20e0 + 10 FROM range(5) r(i), range(4) q(j)),
+     w0 AS (SELECT a.f AS i, b.f AS j, exp(-0.5 * pow((a.x - b.x) / 10, 2)) * exp(-0.5 * pow((a.y - b.y) / 20, 2)) AS w FROM gr a JOIN gr b USING (m)), wk AS (SELECT i, j, w / sum(w) OVER (PARTITION BY i) AS w FROM w0),
+     fr AS (SELECT oc.latent, u.unit, seconds, coalesce(n, 0) AS n FROM oc CROSS JOIN (SELECT DISTINCT unit FROM cn) u LEFT JOIN cn ON cn.latent = oc.latent AND cn.unit = u.unit)
+SELECT i AS latent, unit, round(sum(w * n) / sum(w * seconds), 6) AS rate FROM fr JOIN wk ON wk.j = fr.latent WHERE i IN (SELECT latent FROM oc) GROUP BY 1, 2"""
+
+
+def _grid_model(spark, sf):
+    """The six latents as a grid of 2 x 3 whose axes move by themselves, and a jump; kept as a product, never as a matrix."""
+    t = hourly_tuning(hourly_counts(spark, sf))
+    return D.Model.of(t, [structure.Product([structure.Dense(structure.moving(2, 1.0)), structure.Dense(structure.moving(3, 2.0))]), structure.SameRows(LATENTS)], K.switching(0.02, 0.02))
+
+
+def _busy_days(spark, sf):
+    """Hourly counts of the days on which a session has more events than on its median day: series with gaps of days."""
+    c = hourly_counts(spark, sf).withColumn("day", F.floor(F.col("bin") / 24).cast("long"))
+    days = c.groupBy("session", "day").agg(F.sum("n").alias("total"))
+    median = days.groupBy("session").agg(F.percentile("total", 0.5).alias("median"))
+    return c.join(days.join(median, "session").where("total > median").select("session", "day"), ["session", "day"]).drop("day")
+
+
 def _em(spark, sf):
     c = hourly_counts(spark, sf)
     move = np.concatenate([K.as_arrays(K.move_kernel(spark, 5, 2.0), 5), K.as_arrays(K.jump_kernel(spark, 5), 5)])
@@ -177,6 +228,11 @@ QUERIES = [
     Query("f12_forward_backward_latent", lambda s, d: _by_latent(D.decode_hmm(hourly_counts(s, d), _model(s, d, False), KEYS))),
     Query("f13_decode_events", lambda s, d: _decoded(s, d)),
     Query("f13_decode_in_chunks", lambda s, d: _by_latent(D.decode_in_chunks(hourly_counts(s, d), _model(s, d), KEYS, 300))),
+    Query("f13_decode_in_chunks_with_gaps", lambda s, d: _by_latent(D.decode_in_chunks(_busy_days(s, d), _model(s, d), KEYS, 72))),
+    Query("f7_decode_grid", lambda s, d: _by_latent(D.decode_hmm(hourly_counts(s, d), _grid_model(s, d), KEYS))),
+    Query("f1_masked_latents", lambda s, d: _by_latent(D.decode_hmm(hourly_counts(s, d), _model(s, d), KEYS, valid=[0, 2, 3, 5]))),
+    Query("e8_maze_tuning", _maze_tuning, MAZE_TUNING),
+    Query("o1_replay_on_mazes", _replay_on_mazes),
     Query("f14_posterior_transitions", lambda s, d: rounded(D.posterior_transitions(day_counts(s, d), _model(s, d), EK))),
     Query("f14_dynamics_transitions", lambda s, d: rounded(D.posterior_transitions(day_counts(s, d), _model(s, d), EK, what="dynamics"))),
     Query("f14_full_transitions", lambda s, d: rounded(D.posterior_transitions(day_counts(s, d), _model(s, d), EK, what="full"))),

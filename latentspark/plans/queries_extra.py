@@ -18,7 +18,8 @@ from latentspark.operators import nulls as M
 from latentspark.operators import perievent as J
 from latentspark.operators import signals as S
 from latentspark.operators import transitions as H
-from latentspark.sources.tables import T0, ensure_checkpoint_dir
+from latentspark.sources.shared import shared_folder, until_exit
+from latentspark.sources.tables import T0
 from latentspark.streaming import streams
 
 from .binding import EV, HASH, HC, IV, KEYS, LL, NB, SIG, TUN, Query, day_counts, events, half_days, hourly_counts, hourly_signal, hourly_tuning, posterior, rounded, table, with_
@@ -87,7 +88,7 @@ STEPS = """c0 AS (SELECT bin FROM ch WHERE p > 0.6), mv AS (SELECT session, bin,
 
 
 def _folder(spark):
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return until_exit(spark, shared_folder(spark))
 
 
 def _event_stream(spark, sf):

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latentspark.operators import decode, fit, intervals, kernels, nulls, perievent, segments, signals, tuning
-from latentspark.sources.tables import ensure_checkpoint_dir
+from latentspark.sources.shared import saved
 
 
 def label_tuning(spikes: DataFrame, labels: DataFrame, epochs: DataFrame, dt: float, low: float, size: float, bins: int, std: float | None, keys: list[str], least_seconds: float | None = None) -> DataFrame:
@@ -32,12 +32,11 @@ def replay_supervised(spikes: DataFrame, labels: DataFrame, epochs: DataFrame, k
     bursts = signals.detect_bursts(spikes, epochs, burst_dt, burst_std, keys, z_peak, shortest, longest)
     half = burst_dt / 2
     windows = bursts.select(*keys, (F.col("start") - half).alias("start"), (F.col("end") + half).alias("end"), "peak").withColumn("interval_id", F.xxhash64(*keys, "start"))
-    ensure_checkpoint_dir(spark)
-    windows = windows.checkpoint()  # several jobs below begin with them
+    windows = saved(windows)  # several jobs below begin with them
     units = rates.select("unit").distinct()
     counts = intervals.count_in_bins(spikes, windows, event_dt, keys, windows.select(*keys).distinct().join(F.broadcast(units), F.lit(True)), block=intervals.fitting_block(windows))
     per_bin = rates.withColumn("rate", F.col("rate") * event_dt)
-    null = nulls.event_nulls(counts, per_bin, [*keys, "interval_id"], n_shuffles, gains)
+    null = saved(nulls.event_nulls(counts, per_bin, [*keys, "interval_id"], n_shuffles, gains))  # the sweep, the limits and the tests read it
     sweep = nulls.gain_sweep(null, [*keys, "interval_id"])
     best = sweep.where("best").select("gain")
     limits = null.join(F.broadcast(best), "gain").groupBy(*keys, "interval_id").agg(F.max(F.when(F.col("kind") == "observed", F.col("log_marginal"))).alias("observed"), F.percentile(F.when(F.col("kind") == "unit", F.col("log_marginal")), 0.95).alias("unit_limit"), F.percentile(F.when(F.col("kind") == "circular", F.col("log_marginal")), 0.95).alias("circular_limit"))

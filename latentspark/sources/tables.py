@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +18,6 @@ SCHEMAS = {
 T0, HOUR = 1704067200.0, 3600.0
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The checkpoint folder that the cluster names in spark.checkpoint.dir; a temporary one where that is unset, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-checkpoint-")
-    spark.sparkContext.setCheckpointDir(at)
-    return at
-
-
 def load_table(spark: SparkSession, path: str, kind: str, form: str = "parquet") -> DataFrame:
     """A session table with its schema; csv with a header."""
     reader = spark.read.schema(SCHEMAS[kind])

@@ -163,7 +163,7 @@ def test_em_equals_plain_rounds_and_saves_its_iterations(spark):
     basis, one = fit.tuning_basis(fit.rbf(3, 1.0)), np.ones((1, 1))
     k = kernels.as_arrays(kernels.move_kernel(spark, 3, 1.0), 3)
     saved = []
-    tuning, history = fit.fit_em(spark, c, start, k, one, basis, KEYS, 2, noise=0.5, save_every=1, saved=saved)
+    tuning, history = fit.fit_em(spark, c, start, k, one, basis, KEYS, 2, noise=0.5, save_every=1, kept=saved)
     for _ in range(2):
         rates = np.maximum(fit.gaussian_m_step(basis, p.T @ y, p.sum(0), 0.5, 1.0), 0)
         p, step = plain_filter(y, rates, k[0])
