@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,15 +81,13 @@ def feature_vs_label_distance(points: DataFrame, intervals: DataFrame, features:
 
 
 def wasserstein1(a, b, widths: list[float], normalize: bool = False):
-    """Sum of width times |difference of the cumulative sums| of two array columns."""
-    def cumulative(x):
-        total = F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
-        x = F.transform(x, lambda v: v / total) if normalize else x
-        return F.transform(F.sequence(F.lit(1), F.size(x)), lambda k: F.aggregate(F.slice(x, 1, k), F.lit(0.0), lambda s, v: s + v))
-
+    """Sum of width times |difference of the cumulative sums| of two array columns, in one pass over the bins."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    share = lambda x: F.transform(x, lambda v: v / total(x)) if normalize else x
     w = F.array(*(F.lit(float(v)) for v in widths))
-    d = F.zip_with(cumulative(a), cumulative(b), lambda p, q: F.abs(p - q))
-    return F.aggregate(F.zip_with(d, w, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    steps = F.zip_with(F.zip_with(share(a), share(b), lambda p, q: p - q), w, lambda d, v: F.struct(d.alias("d"), v.alias("w")))
+    zero = F.struct(F.lit(0.0).alias("c"), F.lit(0.0).alias("t"))
+    return F.aggregate(steps, zero, lambda s, x: F.struct((s["c"] + x["d"]).alias("c"), (s["t"] + F.abs(s["c"] + x["d"]) * x["w"]).alias("t")), lambda s: s["t"])
 
 
 def bin_stats(df: DataFrame, x: str, y: str, edges: list[float], z: float = 1.96) -> DataFrame:
@@ -118,23 +119,69 @@ def residualize(df: DataFrame, y: str, t: str, keys: list[str], name: str) -> Da
     return joined.withColumn(name, F.col(y) - F.col("__i") - F.col("__s") * F.col(t)).drop("__s", "__i")
 
 
-def distance_label_shuffle_test(pairs: DataFrame, labels: DataFrame, n_shuffles: int, keys: list[str] | None = None) -> DataFrame:
-    """keys, slope, p of distance on |difference of labels|: p = (1 + shuffles with as large a slope) / (n + 1). pairs: keys, i, j, d; labels: keys, i, label, i from 1 within keys.
+#: Pairs of a series that a task takes at once.
+PAIRS = 1 << 18
+
+
+def shuffled_sums(pairs: DataFrame, labels: DataFrame, n_shuffles: int, keys: list[str] | None = None, edges: list[float] | None = None) -> DataFrame:
+    """keys, shuffle (0: as seen), bin, n, sx, sxx, sy, sxy: sums over pairs of x, the |difference of labels|, and y, the distance, in bins [a, b) of x, or all in bin 0.
 
-    Permuting rows and columns of the distances is permuting the labels: each shuffle's labels, in drawn order, are one array that meets the pairs of its keys.
+    pairs: keys, i, j, d; labels: keys, i, label, i from 1 within keys. Permuting rows and columns of the distances is permuting the labels: the labels of all shuffles are
+    one array of arrays for each key, and meet its pairs in blocks. A task adds up by place, so rows are as many as shuffles times bins of each block.
     """
     keys = keys or []
     copies = labels.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles))))
     seed = [F.col("shuffle").cast("string"), *(F.col(k).cast("string") for k in keys)]
     drawn = F.when(F.col("shuffle") == 0, F.row_number().over(Window.partitionBy(*keys, "shuffle").orderBy("i"))).otherwise(permuted_rank([*keys, "shuffle"], "i", *seed))
-    moved = copies.select(*keys, "shuffle", drawn.alias("__r"), "label").groupBy(*keys, "shuffle").agg(F.transform(F.array_sort(F.collect_list(F.struct("__r", "label"))), lambda x: x["label"]).alias("__l"))
-    x = pairs.select(*keys, "i", "j", "d").join(moved, keys or F.lit(True)).withColumn("lag", F.abs(F.element_at("__l", F.col("i")) - F.element_at("__l", F.col("j"))).cast("double"))
-    slopes = x.groupBy(*keys, "shuffle").agg(F.regr_slope("d", "lag").alias("slope"))
+    in_order = lambda a, b: F.transform(F.array_sort(F.collect_list(F.struct(a, b))), lambda x: x[b])
+    moved = copies.select(*keys, "shuffle", drawn.alias("__r"), F.col("label").cast("double").alias("label")).groupBy(*keys, "shuffle").agg(in_order("__r", "label").alias("__l"))
+    known = moved.groupBy(*keys).agg(in_order("shuffle", "__l").alias("__l"))
+    many = pairs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("long").alias("__b"))
+    dealt = pairs.select(*keys, "i", "j", "d").join(many, keys) if keys else pairs.select("i", "j", "d").join(F.broadcast(many), F.lit(True))
+    blocks = dealt.withColumn("__k", F.pmod(F.xxhash64("i", "j"), "__b")).groupBy(*keys, "__k").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))).alias("__p"))
+    held = blocks.select(*keys, F.col("__p.i").alias("i"), F.col("__p.j").alias("j"), F.col("__p.d").alias("d"))
+    held = held.join(known, keys) if keys else held.join(F.broadcast(known), F.lit(True))
+    cut = np.array(edges, float) if edges else None
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            for _, r in g.iterrows():
+                i, j, d, out = np.asarray(r["i"]) - 1, np.asarray(r["j"]) - 1, np.asarray(r["d"], float), []
+                for s, one in enumerate(r["__l"]):
+                    one = np.asarray(one, float)
+                    x = np.abs(one[i] - one[j])
+                    at = np.searchsorted(cut, x, "right") - 1 if cut is not None else np.zeros(len(x), np.int64)
+                    good = (at >= 0) & (at < (len(cut) - 1 if cut is not None else 1))
+                    at, x, y = at[good], x[good], d[good]
+                    size = len(cut) - 1 if cut is not None else 1
+                    sums = [np.bincount(at, w, size) for w in (None, x, x * x, y, x * y)]
+                    out += [(s, b, int(sums[0][b]), *(float(v[b]) for v in sums[1:])) for b in np.flatnonzero(sums[0]).tolist()]
+                yield pd.DataFrame({k: [r[k]] * len(out) for k in keys} | dict(zip(("shuffle", "bin", "n", "sx", "sxx", "sy", "sxy"), zip(*out, strict=True), strict=True)) if out else {c: [] for c in [*keys, "shuffle", "bin", "n", "sx", "sxx", "sy", "sxy"]})
+
+    fields = "".join(f"{k} {pairs.schema[k].dataType.simpleString()}, " for k in keys)
+    parts = held.mapInPandas(add, f"{fields}shuffle int, bin int, n long, sx double, sxx double, sy double, sxy double")
+    return parts.groupBy(*keys, "shuffle", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "sxy")))
+
+
+def distance_label_shuffle_test(pairs: DataFrame, labels: DataFrame, n_shuffles: int, keys: list[str] | None = None) -> DataFrame:
+    """keys, slope, p of distance on |difference of labels|: p = (1 + shuffles with as large a slope) / (n + 1), from shuffled_sums."""
+    keys = keys or []
+    line = (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / F.nullif(F.col("n") * F.col("sxx") - F.col("sx") ** 2, F.lit(0.0))
+    slopes = shuffled_sums(pairs, labels, n_shuffles, keys).select(*keys, "shuffle", F.round(line, 12).alias("slope"))
     seen = slopes.where("shuffle = 0").select(*keys, F.col("slope").alias("seen"))
     null = slopes.where("shuffle > 0").join(seen, keys or F.lit(True))
     return null.groupBy(*keys, "seen").agg(((1 + F.sum((F.abs("slope") >= F.abs("seen")).cast("int"))) / (F.count(F.lit(1)) + 1)).alias("p")).withColumnRenamed("seen", "slope")
 
 
+def distance_label_bin_null(pairs: DataFrame, labels: DataFrame, edges: list[float], n_shuffles: int, keys: list[str] | None = None, level: float = 0.95) -> DataFrame:
+    """keys, bin, n, mean of the distances in bins [a, b) of |difference of labels|, with mean, low and high of the shuffles' means of that bin (the middle `level` of them)."""
+    keys = keys or []
+    means = shuffled_sums(pairs, labels, n_shuffles, keys, edges).select(*keys, "shuffle", "bin", "n", (F.col("sy") / F.col("n")).alias("mean"))
+    tail = (1 - level) / 2
+    null = means.where("shuffle > 0").groupBy(*keys, "bin").agg(F.avg("mean").alias("null_mean"), F.percentile("mean", tail).alias("low"), F.percentile("mean", 1 - tail).alias("high"))
+    return means.where("shuffle = 0").drop("shuffle").join(null, [*keys, "bin"], "left")
+
+
 def resample_trajectories(rows: DataFrame, points: int) -> DataFrame:
     """traj, feature, point, value: each trajectory (traj, step, feature, value) stretched to [0, 1] and interpolated at `points` places; missing values are left out."""
     from .intervals import interpolate_to
@@ -146,6 +193,11 @@ def resample_trajectories(rows: DataFrame, points: int) -> DataFrame:
     return interpolate_to(known.select("traj", "feature", "t", "value"), grid, "value", ["traj", "feature"]).join(grid, ["traj", "feature", "t"]).select("traj", "feature", "point", "value")
 
 
+def mean_trajectory(resampled: DataFrame) -> DataFrame:
+    """feature, point, mean, std (population) over trajectories of resampled ones."""
+    return resampled.groupBy("feature", "point").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
+
+
 def mean_distance_matrix(resampled: DataFrame, points: int) -> DataFrame:
     """p, q, mean, std (population) over trajectories of the Euclidean distance between points p <= q."""
     a = resampled.select("traj", "feature", F.col("point").alias("p"), F.col("value").alias("va")).withColumn("q", F.explode(F.sequence(F.col("p"), F.lit(points - 1))))

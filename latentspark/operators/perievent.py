@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from statistics import NormalDist
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentspark.functions.seeds import uniform
-from latentspark.functions.stats import bin_index, signed_rank
+from latentspark.functions.stats import bin_index, normal_tail, signed_rank
 
 
 def peri_event(series: DataFrame, events: DataFrame, reach: int, keys: list[str], carry: list[str] | None = None) -> DataFrame:
@@ -90,30 +95,71 @@ def pre_post_slopes(table: DataFrame, keys: list[str]) -> DataFrame:
     return z.groupBy(*keys, "side").agg(F.regr_slope("y", "tz").alias("slope"), F.regr_intercept("y", "tz").alias("intercept"))
 
 
-def pre_post_interaction(table: DataFrame, cluster: list[str]) -> dict[str, dict[str, float]]:
-    """y ~ time within side * post, with cluster-robust errors: coefficient, error, z, p of each term.
+def robust_regression(rows: DataFrame, y: str, xs: list[str], keys: list[str], cluster: list[str] | None = None, level: float = 0.95) -> DataFrame:
+    """keys, term, n, coef, se, z, p, low, high of a least-squares line of y on xs (and an intercept) for each key, all keys in one job.
 
-    Sums of products and each cluster's score are made on Spark; the 4 x 4 algebra is finished here, with normal tails.
+    Errors are robust: by the scores of clusters (columns that name one inside its key), or HC1 by single rows. Tails are the normal ones. Products and scores are sums on Spark; each key's
+    small matrices are solved in a task. A key whose terms can't be told apart has null numbers. A row without y or some x is left out.
     """
-    import numpy as np
+    names, k = ["intercept", *xs], len(xs) + 1
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in xs)]
+    known = rows.where(F.col(y).isNotNull() & ~F.isnan(F.col(y).cast("double")))
+    for c in xs:
+        known = known.where(F.col(c).isNotNull())
+    upper = [(i, j) for i in range(k) for j in range(i, k)]
+    group = keys or ["all_"]
+    known = known if keys else known.withColumn("all_", F.lit(0))
+    fields = ", ".join(f"{c} {known.schema[c].dataType.simpleString()}" for c in group)
+    sums = known.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array(*(F.sum(x[i] * x[j]) for i, j in upper)).alias("xx"), F.array(*(F.sum(a * F.col(y)) for a in x)).alias("xy"))
+
+    def square(flat: np.ndarray) -> np.ndarray:
+        out = np.zeros((k, k))
+        for (i, j), v in zip(upper, flat, strict=True):
+            out[i, j] = out[j, i] = v
+        return out
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for g in batches:
+            b = [np.linalg.solve(a, np.array(v)).tolist() if np.linalg.matrix_rank(a := square(m)) == k else None for m, v in zip(g["xx"], g["xy"], strict=True)]
+            yield pd.DataFrame({c: g[c] for c in group} | {"n": g["n"], "xx": g["xx"], "b": b})
+
+    fitted = sums.mapInPandas(solve, f"{fields}, n long, xx array<double>, b array<double>")
+    residual = F.col(y) - sum((F.col("b")[i] * a for i, a in enumerate(x)), F.lit(0.0))
+    scored = known.join(fitted.select(*group, "b"), group).select(*group, *(c for c in cluster or [] if c not in group), *((a * residual).alias(f"__s{i}") for i, a in enumerate(x)))
+    if cluster is not None:
+        scored = scored.groupBy(*dict.fromkeys([*group, *cluster])).agg(*(F.sum(f"__s{i}").alias(f"__s{i}") for i in range(k)))
+    meat = scored.groupBy(*group).agg(F.count(F.lit(1)).alias("g"), F.array(*(F.sum(F.col(f"__s{i}") * F.col(f"__s{j}")) for i, j in upper)).alias("mm"))
+    clustered, wide = cluster is not None, NormalDist().inv_cdf(0.5 + level / 2)
+
+    def finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            out = []
+            for r in rows.itertuples(index=False):
+                own = [getattr(r, c) for c in group]
+                if r.b is None:
+                    out += [(*own, t, r.n, *(None,) * 6) for t in names]
+                    continue
+                inv, n, g = np.linalg.inv(square(r.xx)), r.n, r.g
+                scale = (g / max(1, g - 1)) * ((n - 1) / max(1, n - k)) if clustered else n / max(1, n - k)
+                se = np.sqrt(np.maximum(np.diag(inv @ square(r.mm) @ inv) * scale, 0.0))
+                out += [(*own, t, n, c, s, c / s if s > 0 else None, normal_tail(c / s) if s > 0 else None, c - wide * s, c + wide * s) for t, c, s in zip(names, r.b, se.tolist(), strict=True)]
+            yield pd.DataFrame(out, columns=[*group, "term", "n", "coef", "se", "z", "p", "low", "high"])
+
+    done = fitted.join(meat, group).mapInPandas(finish, f"{fields}, term string, n long, coef double, se double, z double, p double, low double, high double")
+    return done if keys else done.drop("all_")
+
+
+def interaction_rows(table: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of a peri-event table with post (after the event), tz (rel z-scored within its side of its key) and txp, their product."""
+    sided = table.where("rel != 0").withColumn("post", (F.col("rel") > 0).cast("double"))
+    by = [*keys, "post"]
+    known = sided.groupBy(*by).agg(F.avg("rel").alias("__m"), F.stddev_pop("rel").alias("__s"))
+    return sided.join(F.broadcast(known) if not keys else known, by).withColumn("tz", (F.col("rel") - F.col("__m")) / F.col("__s")).withColumn("txp", F.col("tz") * F.col("post")).drop("__m", "__s")
 
-    from latentspark.functions.stats import normal_tail, ols
 
-    sided = table.where("rel != 0").withColumn("post", (F.col("rel") > 0).cast("double"))
-    w = Window.partitionBy("post")
-    rows = sided.withColumn("tz", (F.col("rel") - F.avg("rel").over(w)) / F.stddev_pop("rel").over(w)).withColumn("txp", F.col("tz") * F.col("post"))
-    names = ["tz", "post", "txp"]
-    b = ols(rows, "y", names)
-    x = [F.lit(1.0), *(F.col(c) for c in names)]
-    residual = F.col("y") - sum((F.lit(float(v)) * c for v, c in zip(b, x, strict=True)), F.lit(0.0))
-    scores = rows.withColumn("__e", residual).groupBy(*cluster).agg(*(F.sum(c * F.col("__e")).alias(f"s{i}") for i, c in enumerate(x)))
-    meat = scores.agg(F.count(F.lit(1)).alias("g"), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(4) for j in range(i, 4))).first()
-    bread = rows.agg(F.count(F.lit(1)).alias("n"), *(F.sum(p * q).alias(f"x{i}_{j}") for i, p in enumerate(x) for j, q in enumerate(x) if j >= i)).first()
-    full = lambda r, k: np.array([[r[f"{k}{min(i, j)}_{max(i, j)}"] for j in range(4)] for i in range(4)], float)
-    inv, g, n = np.linalg.inv(full(bread, "x")), meat["g"], bread["n"]
-    cov = inv @ full(meat, "m") @ inv * (g / max(1, g - 1)) * ((n - 1) / max(1, n - 4))
-    se = np.sqrt(np.diag(cov))
-    return {k: {"coef": float(c), "se": float(s), "z": float(c / s), "p": normal_tail(float(c / s))} for k, c, s in zip(("intercept", *names), b, se, strict=True)}
+def pre_post_interaction(table: DataFrame, cluster: list[str] | None, keys: list[str] | None = None) -> DataFrame:
+    """keys, term, n, coef, se, z, p, low, high of y ~ time within side * post, with cluster-robust errors, or HC1 ones without clusters: one model for each key, or one for all rows."""
+    return robust_regression(interaction_rows(table, keys or []), "y", ["tz", "post", "txp"], keys or [], cluster)
 
 
 def cluster_kmeans(table: DataFrame, keys: list[str], k: int, seed: int = 0) -> DataFrame:

@@ -127,7 +127,7 @@ JUMPS = ",\n      ".join([
 
 # ---- permutations --------------------------------------------------------------------------------------------------------
 
-LABEL_SHUFFLES = """ls0 AS (SELECT session, bin, label, s.shuffle, row_number() OVER (PARTITION BY session, s.shuffle ORDER BY bin) AS r, row_number() OVER (PARTITION BY session, s.shuffle ORDER BY """ + HASH.format("s.shuffle || '|' || bin") + """, bin) AS d FROM lb, range(1, 11) s(shuffle)),
+LABEL_SHUFFLES = """ls0 AS (SELECT session, bin, label, s.shuffle, row_number() OVER (PARTITION BY session, s.shuffle ORDER BY bin) AS r, row_number() OVER (PARTITION BY session, s.shuffle ORDER BY """ + HASH.format("s.shuffle || '|' || bin") + """, bin) AS d FROM lb, range(1, 201) s(shuffle)),
       ls1 AS (SELECT a.session, a.shuffle, a.bin, b.label FROM ls0 a JOIN ls0 b ON a.session = b.session AND a.shuffle = b.shuffle AND a.r = b.d UNION ALL SELECT session, 0, bin, label FROM lb),
       st0 AS (SELECT session, shuffle, lag(label) OVER (PARTITION BY session, shuffle ORDER BY bin) AS i, label AS j FROM ls1),
       nm AS (SELECT DISTINCT session, shuffle, label FROM ls1),
@@ -208,6 +208,10 @@ SQL = {
     "h9_match_step": with_all(EV, HC, TUN, DIST, TARGET, """ps AS (SELECT i, j, d, p AS w FROM ds JOIN tg USING (i, j) WHERE i <> j), pc AS (SELECT d, sum(sum(w)) OVER (ORDER BY d) AS c, sum(sum(w)) OVER () AS t FROM ps GROUP BY d),
       lim AS (SELECT min(d) AS l FROM pc WHERE c >= 0.9 * t), sn AS (SELECT sum(w * d) / sum(w) AS seen FROM ps, lim WHERE d <= l), rw AS (SELECT i, sum(w) AS rw FROM ps GROUP BY 1),
       md AS (SELECT beta, i, sum(exp(-beta * d) * d) / sum(exp(-beta * d)) AS step FROM ds, lim, (VALUES (1e0), (2e0), (4e0), (8e0)) b(beta) WHERE i <> j AND d <= l GROUP BY 1, 2)""") + "SELECT beta, round(pow(sum(rw * step) / sum(rw) - any_value(seen), 2), 8) AS loss FROM md JOIN rw USING (i), sn GROUP BY 1",
+    "i8_distance_label_bin_null": with_all(VECTORS, LABEL_TEST, """bx AS (SELECT dd.series, a.shuffle, CASE WHEN abs(a.label - b.label) < 1 THEN 0 WHEN abs(a.label - b.label) < 3 THEN 1 WHEN abs(a.label - b.label) < 6 THEN 2 ELSE 3 END AS bin, count(*) AS n, avg(d) AS mean FROM dd JOIN pm a ON a.series = dd.series AND a.r = dd.i JOIN pm b ON b.series = dd.series AND b.r = dd.j AND b.shuffle = a.shuffle GROUP BY 1, 2, 3),
+      nl AS (SELECT series, bin, avg(mean) AS null_mean, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM bx WHERE shuffle > 0 GROUP BY 1, 2)""") + "SELECT series, bin, n, round(mean, 5) AS mean, round(null_mean, 5) AS null_mean, round(low, 5) AS low, round(high, 5) AS high FROM bx LEFT JOIN nl USING (series, bin) WHERE shuffle = 0",
+    "i9_mean_trajectory": with_all(TRAJECTORIES) + "SELECT feature, point, round(avg(value), 4) + 0.0 AS mean, round(stddev_pop(value), 4) AS std FROM rz GROUP BY 1, 2",
+    "f6_split_posterior": smoothed(SESSIONS, [MOVE, UNIFORM], TWO, "SELECT g AS session, t AS bin, CAST(l AS BIGINT) AS flat_idx, round(sum(b), 6) AS p, CASE WHEN l < 2 THEN 'arm' ELSE 'field' END AS maze, CASE WHEN l < 2 THEN l + 0.5e0 ELSE (l - 2) // 2 * 2 + 1e0 END AS x, CASE WHEN l >= 2 THEN (l - 2) % 2 * 3 + 1.5e0 END AS y FROM (SELECT g, t, s % 6 AS l, b FROM bw) GROUP BY g, t, l"),
     "i8_distance_label_shuffle_test": with_all(VECTORS, LABEL_TEST) + "SELECT a.series, round(any_value(a.slope), 6) AS slope, round((1 + count(*) FILTER (abs(b.slope) >= abs(a.slope))) / (count(*) + 1), 6) AS p FROM sp a JOIN sp b ON a.series = b.series AND a.shuffle = 0 AND b.shuffle > 0 GROUP BY 1",
     "i9_resample_trajectories": with_all(TRAJECTORIES) + "SELECT traj, feature, point, round(value, 5) + 0.0 AS value FROM rz",
     "i10_mean_distance_matrix": with_all(TRAJECTORIES) + "SELECT p, q, round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std FROM (SELECT a.traj, a.point AS p, b.point AS q, sqrt(sum(pow(a.value - b.value, 2))) AS d FROM rz a JOIN rz b ON a.traj = b.traj AND a.feature = b.feature AND a.point <= b.point GROUP BY 1, 2, 3) GROUP BY 1, 2",
@@ -215,14 +219,14 @@ SQL = {
     "j9_cluster_quantile": with_all(EV, HC, PERI, "mq AS (SELECT session, event_bin, avg(y) AS m FROM pt WHERE rel BETWEEN -2 AND 0 GROUP BY 1, 2)", "eq AS (SELECT quantile_cont(m, 1 / 3e0) AS a, quantile_cont(m, 2 / 3e0) AS b FROM mq)") + "SELECT session, event_bin, round(m, 6) AS m, CASE WHEN m <= a THEN 0 WHEN m <= b THEN 1 ELSE 2 END AS cluster FROM mq, eq",
     "k12_segment_by_jump": with_all(EV, HC, MAP, JUMPS) + 'SELECT calm.session, s AS start, e AS "end", quantile_cont(latent, 0.5) AS median FROM calm JOIN mp ON mp.session = calm.session AND mp.bin BETWEEN s AND e GROUP BY 1, 2, 3',
     "k14_jump_triggered": with_all(EV, HC, MAP, PERI, "kj AS (SELECT session, bin AS event_bin FROM (SELECT session, bin, latent, lag(latent) OVER (PARTITION BY session ORDER BY bin) AS b FROM mp) WHERE b = 0 AND latent = 4 AND bin BETWEEN 2 AND 717)") + "SELECT kj.session, event_bin, CAST(rel AS INTEGER) AS rel, round(value, 6) AS y FROM kj CROSS JOIN range(-2, 3) r(rel) JOIN ds ON ds.session = kj.session AND ds.bin = event_bin + rel",
-    "l3_pre_post_circular_null": with_all(EV, HC, TUN, "cs AS (SELECT session, s.shuffle, unit, n, (bin + " + HASH.format("s.shuffle || '|' || session || '|' || unit") + " % 720) % 720 AS bin FROM hc, range(1, 3) s(shuffle))",
+    "l3_pre_post_circular_null": with_all(EV, HC, TUN, "cs AS (SELECT session, s.shuffle, unit, n, (bin + " + HASH.format("s.shuffle || '|' || session || '|' || unit") + " % 720) % 720 AS bin FROM hc, range(1, 21) s(shuffle))",
         "l3 AS (SELECT session, shuffle, bin, latent, sum(n * ln(rate + 1e-20) - rate - 1e-20 - lgamma(n + 1)) AS ll FROM cs JOIN tun USING (unit) GROUP BY 1, 2, 3, 4)", "p3 AS (SELECT session, shuffle, bin, latent, exp(ll - mx) / sum(exp(ll - mx)) OVER (PARTITION BY session, shuffle, bin) AS p FROM (SELECT *, max(ll) OVER (PARTITION BY session, shuffle, bin) AS mx FROM l3))") + "SELECT session, CAST(shuffle AS INTEGER) AS shuffle, latent, round(avg(p) FILTER (bin >= 360) - avg(p) FILTER (bin < 360), 6) + 0.0 AS diff FROM p3 GROUP BY 1, 2, 3",
     "l4_relabel_pre_post": with_all(EV, SIG, "rl AS (SELECT session, bin, value, s.shuffle, count(*) FILTER (bin < 360) OVER (PARTITION BY session, s.shuffle) AS np, row_number() OVER (PARTITION BY session, s.shuffle ORDER BY " + HASH.format("s.shuffle || '|' || session || '|' || bin") + ", bin) AS r FROM sig, range(6) s(shuffle))") + "SELECT session, CAST(shuffle AS INTEGER) AS shuffle, round(avg(value) FILTER (NOT pre) - avg(value) FILTER (pre), 6) AS diff FROM (SELECT *, CASE WHEN shuffle = 0 THEN bin < 360 ELSE r <= np END AS pre FROM rl) GROUP BY 1, 2",
     "m2_circular_shuffle_in_event": with_all(EV, HC, DAY_COUNTS) + "SELECT session, event, CAST(s.shuffle AS INTEGER) AS shuffle, (bin + " + HASH.format("s.shuffle || '|' || session || '|' || event || '|' || unit") + " % 24) % 24 AS bin, unit, n FROM dc, range(1, 3) s(shuffle) WHERE n > 0",
     "m3_shuffle_test_marginal": with_all(EV, HC, TUN, DAY_COUNTS, day_nulls(100, "(1e0)")) + "SELECT session, event, round(observed, 5) AS observed, round(unit_limit, 5) AS unit_limit, round(circular_limit, 5) AS circular_limit, observed > unit_limit AND observed > circular_limit AS significant FROM li",
     "m3_quantile_tables": with_all(EV, HC, TUN, DAY_COUNTS, day_nulls(100, "(1e0)")) + "SELECT session, event, kind, CAST(l AS INTEGER) AS level, round(list_extract(q, CAST(l AS BIGINT) + 1), 5) AS value FROM (SELECT session, event, kind, quantile_cont(m, [k / 40e0 for k in range(41)]) AS q FROM em WHERE kind <> 'observed' GROUP BY 1, 2, 3), range(41) r(l)",
     "m3_significant_fractions": with_all(EV, HC, TUN, DAY_COUNTS, day_nulls(100, "(1e0)")) + "SELECT session, count(*) AS n, round(avg((observed > unit_limit)::INT), 6) AS unit, round(avg((observed > circular_limit)::INT), 6) AS circular, round(avg((observed > greatest(unit_limit, circular_limit))::INT), 6) AS both FROM li GROUP BY 1",
-    "m4_gain_sweep": with_all(EV, HC, TUN, DAY_COUNTS, day_nulls(20, ", ".join(f"({g}e0)" for g in GAINS)), """hg AS (SELECT gain, (observed > greatest(unit_limit, circular_limit))::INT * 1e0 AS hit, """ + HASH.format("'split|' || session || '|' || event") + """ < 2147483648 AS train FROM li),
+    "m4_gain_sweep": with_all(EV, HC, TUN, DAY_COUNTS, day_nulls(100, ", ".join(f"({g}e0)" for g in GAINS)), """hg AS (SELECT gain, (observed > greatest(unit_limit, circular_limit))::INT * 1e0 AS hit, """ + HASH.format("'split|' || session || '|' || event") + """ < 2147483648 AS train FROM li),
       bg AS (SELECT gain, avg(hit) FILTER (train) AS train, avg(hit) FILTER (NOT train) AS test FROM hg GROUP BY 1), fl0 AS (SELECT *, coalesce(test < lag(test) OVER w AND lag(test) OVER w < lag(test, 2) OVER w AND row_number() OVER w >= 7, false) AS fall FROM bg WINDOW w AS (ORDER BY gain)),
       kp AS (SELECT gain, train, test, NOT coalesce(bool_or(fall) OVER (ORDER BY gain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS kept FROM fl0)""") + "SELECT gain, round(train, 6) AS train, round(test, 6) AS test, kept, row_number() OVER (ORDER BY kept DESC, test DESC, gain) = 1 AS best FROM kp",
     "o3_event_triggered": with_all(EV, HC, PERI.split(",\n      pe AS")[0], RAMP.format(x="ds"), "pt AS (SELECT ramps.session, ramps.bin AS event_bin, CAST(rel AS INTEGER) AS rel, value AS y FROM ramps CROSS JOIN range(-4, 5) r(rel) JOIN ds ON ds.session = ramps.session AND ds.bin = ramps.bin + rel WHERE ramps.bin BETWEEN 4 AND 715)", PP, WILCOXON) + TEST_ROWS,

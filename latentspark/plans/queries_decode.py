@@ -120,7 +120,7 @@ CIRC = """cs AS (SELECT session, s.shuffle, unit, n, (bin + """ + HASH.format("s
 
 def _replay(spark, sf):
     e = events(spark, sf)
-    got = workflows.replay_supervised(e.select("session", "unit", "t"), e.select("session", "t", F.col("k").alias("label")), whole_span(spark, sf), KEYS, tuning_dt=3600.0, low=0.0, size=10.0, bins=10, std=10.0, burst_dt=1800.0, burst_std=2.0, z_peak=1.5, shortest=3600.0, longest=36000.0, event_dt=1800.0, n_shuffles=10, gains=[1.0, 2.0])
+    got = workflows.replay_supervised(e.select("session", "unit", "t"), e.select("session", "t", F.col("k").alias("label")), whole_span(spark, sf), KEYS, tuning_dt=3600.0, low=0.0, size=10.0, bins=10, std=10.0, burst_dt=1800.0, burst_std=2.0, z_peak=1.5, shortest=3600.0, longest=36000.0, event_dt=1800.0, n_shuffles=100, gains=[1.0, 2.0])
     return got["events"].select("session", "start", "end", "peak", "n_segments", "total_path", "observed", "unit_limit", "circular_limit", "significant")
 
 
@@ -195,7 +195,7 @@ def _m_step(spark, sf):
 
 def _gain_sweep(spark, sf):
     c = day_counts(spark, sf)
-    return rounded(M.gain_sweep(M.event_nulls(c, hourly_tuning(hourly_counts(spark, sf)), EK, 20, [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]), EK))
+    return rounded(M.gain_sweep(M.event_nulls(c, hourly_tuning(hourly_counts(spark, sf)), EK, 100, [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0]), EK))
 
 
 def _nulls(spark, sf):
@@ -203,16 +203,16 @@ def _nulls(spark, sf):
 
 
 def _chains(spark, sf):
-    c = hourly_counts(spark, sf)
-    t = hourly_tuning(c).withColumn("chain", F.lit(0)).unionByName(hourly_tuning(c.where("session = 's1'")).withColumn("chain", F.lit(1)))
-    p = posterior(spark, sf)
-    q = p.where("session = 's0'").withColumn("chain", F.lit(0)).unionByName(p.where("session = 's1'").withColumn("chain", F.lit(1))).select("chain", "bin", "latent", "p")
-    return G.chain_agreement(t, q)
+    """Each session as a chain: the tuning of its own hours, the posterior under all sessions' tuning."""
+    number = F.substring("session", 2, 1).cast("int").alias("chain")
+    t = hourly_counts(spark, sf).groupBy(number, F.floor((F.col("bin") % 24) / 4).cast("long").alias("latent"), "unit").agg(F.avg("n").alias("rate"))
+    return G.chain_agreement(t, posterior(spark, sf).select(number, "bin", "latent", F.round("p", 9).alias("p")))
 
 
-CHAINS = """t2 AS (SELECT 0 AS chain, * FROM tun UNION ALL SELECT 1, (bin % 24) // 4, unit, avg(n) FROM hc WHERE session = 's1' GROUP BY ALL),
-      rm AS (SELECT sqrt(avg(pow(x.rate - y.rate, 2))) / sqrt(avg(pow(x.rate, 2))) AS tuning_rmse FROM t2 x JOIN t2 y ON x.chain = 0 AND y.chain = 1 AND x.latent = y.latent AND x.unit = y.unit),
-      pb AS (SELECT x.bin, sum(abs(x.p - y.p)) / 2 AS tv, arg_max(x.latent, x.p) AS ma, arg_max(y.latent, y.p) AS mb FROM nb x JOIN nb y ON x.session = 's0' AND y.session = 's1' AND x.bin = y.bin AND x.latent = y.latent GROUP BY 1)"""
+CHAINS = """t2 AS (SELECT CAST(substr(session, 2, 1) AS INTEGER) AS chain, (bin % 24) // 4 AS latent, unit, avg(n) AS rate FROM hc GROUP BY ALL),
+      rm AS (SELECT x.chain AS a, y.chain AS b, sqrt(avg(pow(x.rate - y.rate, 2))) / sqrt(avg(pow(x.rate, 2))) AS tuning_rmse FROM t2 x JOIN t2 y ON x.chain < y.chain AND x.latent = y.latent AND x.unit = y.unit GROUP BY 1, 2),
+      q2 AS (SELECT CAST(substr(session, 2, 1) AS INTEGER) AS chain, bin, latent, round(p, 9) AS p FROM nb),
+      pb AS (SELECT x.chain AS a, y.chain AS b, x.bin, sum(abs(x.p - y.p)) / 2 AS tv, arg_max(x.latent, x.p) AS ma, arg_max(y.latent, y.p) AS mb FROM q2 x JOIN q2 y ON x.chain < y.chain AND x.bin = y.bin AND x.latent = y.latent GROUP BY 1, 2, 3)"""
 
 QUERIES = [
     Query("f1_poisson_loglik", lambda s, d: rounded(D.poisson_loglik(hourly_counts(s, d), hourly_tuning(hourly_counts(s, d)), KEYS)), with_(EV, HC, TUN, LL) + "SELECT session, bin, latent, round(ll, 6) AS ll FROM ll"),
@@ -254,7 +254,7 @@ QUERIES = [
     Query("g10_split_contiguous", lambda s, d: G.split_contiguous(hourly_counts(s, d).select("session", "bin").distinct(), KEYS).groupBy("session", "part").agg(F.count(F.lit(1)).alias("n"), F.min("bin").alias("first")),
           with_(EV, HC) + "SELECT session, CASE WHEN bin >= 576 THEN 'test' ELSE 'train' END AS part, count(DISTINCT bin) AS n, min(bin) AS first FROM hc GROUP BY 1, 2"),
     Query("g12_chain_agreement", lambda s, d: rounded(_chains(s, d)),
-          BASE.rstrip() + ",\n" + CHAINS + " SELECT 0 AS a, 1 AS b, round(avg(tv), 6) AS total_variation, round(avg(CASE WHEN ma <> mb THEN 1.0 ELSE 0.0 END), 6) AS map_disagreement, round(any_value(tuning_rmse), 6) AS tuning_rmse FROM pb, rm"),
+          BASE.rstrip() + ",\n" + CHAINS + " SELECT a, b, round(avg(tv), 6) AS total_variation, round(avg(CASE WHEN ma <> mb THEN 1.0 ELSE 0.0 END), 6) AS map_disagreement, round(any_value(tuning_rmse), 6) AS tuning_rmse FROM pb JOIN rm USING (a, b) GROUP BY 1, 2"),
     Query("h1_expected_transitions", lambda s, d: rounded(H.expected_transitions(_day_posterior(s, d), KEYS, ["day"])),
           BASE.rstrip() + ",\n c AS (SELECT a.session, a.latent AS i, b.latent AS j, sum(a.p * b.p) AS c FROM nb a JOIN nb b ON a.session = b.session AND b.bin = a.bin + 1 AND a.bin // 24 = b.bin // 24 GROUP BY 1, 2, 3) SELECT session, i, j, round(c, 6) AS c, round(c / sum(c) OVER (PARTITION BY session, i), 6) AS p FROM c"),
     Query("h2_transitions_by_epoch", lambda s, d: rounded(H.expected_transitions(_day_posterior(s, d).withColumn("name", F.when(F.col("day") < 15, "pre").otherwise("post")), ["name"], ["session", "day"])),
@@ -264,7 +264,7 @@ QUERIES = [
           g AS (SELECT a.session, a.label AS i, b.label AS j FROM (SELECT DISTINCT session, label FROM k) a JOIN (SELECT DISTINCT session, label FROM k) b USING (session)),
           c AS (SELECT g.session, g.i, g.j, count(x.i) * 1e0 AS c FROM g LEFT JOIN x ON x.session = g.session AND x.i = g.i AND x.j = g.j GROUP BY 1, 2, 3)
           SELECT session, i, j, c, CASE WHEN sum(c) OVER w > 0 THEN round(c / sum(c) OVER w, 6) ELSE 0 END AS p FROM c WINDOW w AS (PARTITION BY session, i)"""),
-    Query("h4_transition_shuffle_test", lambda s, d: rounded(H.transition_shuffle_test(_labels(s, d), 10, 0.99, KEYS))),
+    Query("h4_transition_shuffle_test", lambda s, d: rounded(H.transition_shuffle_test(_labels(s, d), 200, 0.99, KEYS))),
     Query("h6_gibbs_transitions", lambda s, d: rounded(H.gibbs_transitions(_distances(s, d), 2.0)), with_(EV, HC, TUN, DIST) + "SELECT i, j, round(exp(-2 * d) / sum(exp(-2 * d)) OVER (PARTITION BY i), 6) AS p FROM ds"),
     Query("h7_select_beta", lambda s, d: rounded(H.select_beta(_distances(s, d), _target(s, d), BETAS)),
           with_(EV, HC, TUN, DIST, TARGET) + ", x AS (SELECT beta, i, j, -beta * d - ln(sum(exp(-beta * d)) OVER (PARTITION BY beta, i)) AS lp FROM ds, (VALUES (1e0), (2e0), (4e0), (8e0)) b(beta)) SELECT beta, round(-sum(p * lp), 6) AS loss FROM x JOIN tg USING (i, j) GROUP BY 1"),
@@ -278,8 +278,8 @@ QUERIES = [
     Query("l5_poisson_surrogate", lambda s, d: M.poisson_surrogate(hourly_counts(s, d), KEYS, 2)),
     Query("l6_max_then_mean", lambda s, d: rounded(M.max_then_mean(events(s, d).withColumn("day", F.floor((F.col("t") - 1704067200.0) / 86400)), KEYS, "day", "value")),
           with_(EV) + "SELECT session, round(avg(m), 6) AS mean FROM (SELECT session, floor((t - 1704067200e0) / 86400) AS d, max(value) AS m FROM ev GROUP BY 1, 2) GROUP BY 1"),
-    Query("l7_bin_significance", lambda s, d: rounded(M.bin_significance(hourly_counts(s, d).groupBy("session", "bin").agg(F.max("n").alias("v")), _circular(s, d).groupBy("session", "shuffle", "bin").agg(F.max("n").alias("v")), "v", KEYS)),
-          with_(EV, HC, CIRC) + ", a AS (SELECT session, bin, max(n) AS v FROM hc GROUP BY 1, 2), b AS (SELECT session, bin, quantile_cont(v, 0.975) AS l FROM (SELECT session, shuffle, bin, max(n) AS v FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT session, bin, v, round(l, 6) AS \"limit\", v > l AS significant FROM a JOIN b USING (session, bin)"),
+    Query("l7_bin_significance", lambda s, d: rounded(M.bin_significance(hourly_counts(s, d).groupBy("session", "bin").agg(F.max("n").alias("v")), M.circular_shuffle(hourly_counts(s, d), 100, KEYS).groupBy("session", "shuffle", "bin").agg(F.max("n").alias("v")), "v", KEYS)),
+          with_(EV, HC, CIRC.replace("range(1, 4)", "range(1, 101)")) + ", a AS (SELECT session, bin, max(n) AS v FROM hc GROUP BY 1, 2), b AS (SELECT session, bin, quantile_cont(v, 0.975) AS l FROM (SELECT session, shuffle, bin, max(n) AS v FROM cs GROUP BY 1, 2, 3) GROUP BY 1, 2) SELECT session, bin, v, round(l, 6) AS \"limit\", v > l AS significant FROM a JOIN b USING (session, bin)"),
     Query("m1_unit_shuffle", lambda s, d: M.unit_shuffle(day_counts(s, d), 2, EK).where("n > 0").select("session", "event", "shuffle", "bin", "unit", "n"),
           with_(EV, HC) + """, dc AS (SELECT session, CAST(bin // 24 AS INTEGER) AS event, bin % 24 AS bin, unit, n FROM hc), u AS (SELECT DISTINCT session, event, unit, CAST(s.shuffle AS INTEGER) AS shuffle FROM dc, range(1, 3) s(shuffle)),
           a AS (SELECT *, row_number() OVER (PARTITION BY session, event, shuffle ORDER BY unit) AS r FROM u),

@@ -106,11 +106,11 @@ def _count_stream(spark, sf):
 
 
 def _t1(spark, sf):
-    return streams.ran(streams.stream_counts(_event_stream(spark, sf), "6 hours", "40 days"), _folder(spark), "complete").select("session", "unit", F.col("start").cast("double").alias("start"), "n")
+    return streams.ran(streams.stream_counts(_event_stream(spark, sf), "6 hours", "2 hours"), _folder(spark)).select("session", "unit", F.col("start").cast("double").alias("start"), "n")
 
 
 def _t2(spark, sf):
-    got = streams.ran(streams.stream_bursts(_event_stream(spark, sf), "15 minutes", "40 days", 60.0), _folder(spark), "complete")
+    got = streams.ran(streams.stream_bursts(_event_stream(spark, sf), "15 minutes", "2 hours", 60.0), _folder(spark))
     return got.select("session", F.round(F.col("start").cast("double"), 3).alias("start"), F.round(F.col("end").cast("double"), 3).alias("end"), "n")
 
 
@@ -149,8 +149,8 @@ QUERIES = [
           """WITH a AS (SELECT DISTINCT CAST(p_size AS INTEGER) AS ix FROM part), b AS (SELECT CAST(n_nationkey AS INTEGER) AS ix FROM nation),
           g AS (SELECT 'a' AS maze, row_number() OVER (ORDER BY ix) - 1 AS f, ix * 2e0 AS c, 3e0 AS sd FROM a UNION ALL SELECT 'b', (SELECT count(*) FROM a) + row_number() OVER (ORDER BY ix) - 1, ix * 3e0, 5e0 FROM b),
           w AS (SELECT x.f AS i, y.f AS j, exp(-0.5 * pow((x.c - y.c) / x.sd, 2)) AS w FROM g x JOIN g y USING (maze)) SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS p FROM w"""),
-    Query("f7_kernel_of_labels", lambda s, d: rounded(K.label_grid_kernel(_label_values(s, d), [("k", 10.0)]).where("i < j")),
-          with_(EV) + ", g AS (SELECT DISTINCT k, dense_rank() OVER (ORDER BY k) - 1 AS f FROM ev), w AS (SELECT x.f AS i, y.f AS j, exp(-0.5 * pow((x.k - y.k) / 10, 2)) AS w FROM g x, g y) SELECT i, j, p FROM (SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS p FROM w) WHERE i < j"),
+    Query("f7_kernel_of_labels", lambda s, d: rounded(K.label_grid_kernel(_label_values(s, d), [("k", 10.0)])),
+          with_(EV) + ", g AS (SELECT DISTINCT k, dense_rank() OVER (ORDER BY k) - 1 AS f FROM ev), w AS (SELECT x.f AS i, y.f AS j, exp(-0.5 * pow((x.k - y.k) / 10, 2)) AS w FROM g x, g y) SELECT i, j, p FROM (SELECT i, j, round(w / sum(w) OVER (PARTITION BY i), 6) AS p FROM w)"),
     Query("g2_map_tuning", lambda s, d: rounded(G.empirical_tuning(*G.weighted_stats(G.map_posterior(posterior(s, d).withColumn("p", F.round("p", 9)), KEYS), hourly_counts(s, d), KEYS), hourly_counts(s, d))),
           BASE.rstrip() + ",\n h1 AS (SELECT session, bin, latent, (row_number() OVER (PARTITION BY session, bin ORDER BY round(p, 9) DESC, latent) = 1)::INT * 1e0 AS p FROM nb), b AS (SELECT latent, sum(p) AS b FROM h1 GROUP BY 1), a AS (SELECT latent, unit, sum(p * n) AS a FROM h1 JOIN hc USING (session, bin) GROUP BY 1, 2) SELECT latent, unit, round(a / (b + 1e-12), 6) AS rate FROM a JOIN b USING (latent)"),
     Query("h1_transition_mass", lambda s, d: rounded(H.transition_mass(H.expected_transitions(_day_posterior(s, d), KEYS, ["day"]), _day_posterior(s, d), KEYS, ["day"])),
@@ -204,8 +204,8 @@ QUERIES = [
           SELECT CAST(shuffle AS INTEGER) AS shuffle, CAST(w AS INTEGER) AS "window", round(avg(h), 6) AS fraction FROM hh GROUP BY 1, 2"""),
     Query("l1_pre_post_means", lambda s, d: rounded(M.pre_post_posterior(posterior(s, d), KEYS, F.col("bin") < 240, F.col("bin") >= 480)),
           BASE + "SELECT session, latent, round(avg(p) FILTER (bin < 240), 6) AS pre, round(avg(p) FILTER (bin >= 480), 6) AS post, round(avg(p) FILTER (bin >= 480) - avg(p) FILTER (bin < 240), 6) + 0.0 AS diff FROM nb GROUP BY 1, 2"),
-    Query("t1_counts_by_window", _t1, with_(EV) + "SELECT session, unit, floor(t / 21600) * 21600 AS start, count(*) AS n FROM ev GROUP BY 1, 2, 3"),
-    Query("t2_session_windows", _t2, with_(EV, BURSTS) + 'SELECT session, round(min(t), 3) AS start, round(max(t) + 900, 3) AS "end", count(*) AS n FROM b GROUP BY session, g HAVING max(t) - min(t) > 60'),
+    Query("t1_counts_by_window", _t1, with_(EV) + "SELECT session, unit, floor(t / 21600) * 21600 AS start, count(*) AS n FROM ev GROUP BY 1, 2, 3 HAVING floor(any_value(t) / 21600) * 21600 + 21600 <= (SELECT max(t) FROM ev) - 7200"),
+    Query("t2_session_windows", _t2, with_(EV, BURSTS) + 'SELECT session, round(min(t), 3) AS start, round(max(t) + 900, 3) AS "end", count(*) AS n FROM b GROUP BY session, g HAVING max(t) - min(t) > 60 AND max(t) + 900 <= (SELECT max(t) FROM ev) - 7200'),
     Query("t3_stream_filter", _t3, with_all(*MODEL, *_forward("", SESSIONS, [MOVE, "SELECT {e}, a.i, b.i, 1e0 / 6 FROM range(6) a(i), range(6) b(i)"], TWO)) + "SELECT session, bin, CAST(latent AS INTEGER) AS latent, round(p, 6) AS p, round(sum(step) OVER (PARTITION BY session, latent ORDER BY bin), 4) AS log_marginal FROM (SELECT g AS session, t AS bin, s % 6 AS latent, sum(a) AS p, any_value(step) AS step FROM fw GROUP BY 1, 2, 3)"),
     Query("t4_stream_naive_bayes", _t4, BASE + "SELECT session, bin, CAST(latent AS INTEGER) AS latent, round(p, 6) AS p, round(log_marginal, 5) AS log_marginal FROM nb"),
 ]

@@ -19,6 +19,7 @@ from latentspark.operators import tuning as T
 from latentspark.operators import transitions as H
 from latentspark.sources.tables import T0
 
+from . import mazes
 from .binding import EV, HC, KEYS, TUN, Query, day_counts, events, hourly_counts, hourly_tuning, posterior, rounded, table, with_
 from .queries_decode import BASE, EK, LATENTS, LABELS, _labels, _model
 from .queries_stats import M0, P0, _chains, _dense_signal, _map, _table
@@ -59,8 +60,13 @@ def _multi_kernel(spark, sf):
     return rounded(D.decode_multi_kernel(day_counts(spark, sf), hourly_tuning(hourly_counts(spark, sf)), K.as_arrays(k, LATENTS), 0.9, EK))
 
 
+def _two_mazes():
+    """The six latents as an arm of two places and a field of two by two."""
+    return mazes.Mazes((mazes.Maze("arm", (mazes.Axis("x", 0.0, 1.0, 2, 1.0),)), mazes.Maze("field", (mazes.Axis("x", 0.0, 2.0, 2, 1.0), mazes.Axis("y", 0.0, 3.0, 2, 1.0)))))
+
+
 def _refit(spark, sf):
-    return S.iterative_label_refit(spark, hourly_counts(spark, sf), hourly_tuning(hourly_counts(spark, sf)), LATENTS, 1.0, 2, KEYS)[0]
+    return S.iterative_label_refit(spark, hourly_counts(spark, sf), hourly_tuning(hourly_counts(spark, sf)), LATENTS, 1.0, 8, KEYS)[0]
 
 
 def _versions(spark, sf):
@@ -108,7 +114,7 @@ QUERIES = [
     Query("e2_align_labels", lambda s, d: rounded(I.interpolate_to(events(s, d), I.bins_of(events(s, d).groupBy("session").agg((F.ceil(F.min("t") / 3600) * 3600.0).alias("start"), (F.floor(F.max("t") / 3600) * 3600.0).alias("end")).withColumn("interval_id", F.lit(0)), 3600.0).select("session", "t"), "k", KEYS), 4)),
     Query("e11_posterior_weighted_average", lambda s, d: rounded(T.posterior_weighted_average(posterior(s, d).join(hourly_counts(s, d).groupBy("session", "bin").agg(F.sum("n").alias("total")), ["session", "bin"]), "total")),
           BASE + "SELECT latent, round(sum(p * total) / sum(p), 6) AS mean FROM nb JOIN (SELECT session, bin, sum(n) AS total FROM hc GROUP BY 1, 2) USING (session, bin) GROUP BY 1"),
-    Query("f6_split_posterior", lambda s, d: rounded(posterior(s, d).where("latent < 3 and bin between 24 and 47").select("session", "bin", "latent", "p")), BASE + "SELECT session, bin, latent, round(p, 6) AS p FROM nb WHERE latent < 3 AND bin BETWEEN 24 AND 47"),
+    Query("f6_split_posterior", lambda s, d: rounded(D.split_posterior(D.decode_hmm(hourly_counts(s, d), _model(s, d), KEYS), _two_mazes().grid(s), KEYS))),
     Query("f16_decode_multi_kernel", _multi_kernel),
     Query("f19_log_marginal_history", lambda s, d: rounded(S.log_marginal_history(hourly_counts(s, d), _versions(s, d), KEYS), 3),
           with_(EV, HC, TUN) + """, vs AS (SELECT 0 AS version, * FROM tun UNION ALL SELECT 1, (bin % 24) // 4, unit, avg(n) FROM hc WHERE session = 's1' GROUP BY ALL),
@@ -139,5 +145,5 @@ QUERIES = [
     Query("k15_null_steps", lambda s, d: L.null_steps(_map(s, d), "latent", _chains(s, d), 0.6, 20, KEYS),
           M0 + """, ch AS (SELECT bin, sum(n) FILTER (unit = 'view') / greatest(sum(n), 1) AS p FROM hc GROUP BY session, bin), c AS (SELECT session, bin, latent <> lag(latent) OVER (PARTITION BY session ORDER BY bin) AS x FROM mp)
           SELECT session, bin AS event_bin FROM c WHERE x AND bin NOT IN (SELECT bin FROM ch WHERE p > 0.6) QUALIFY row_number() OVER (PARTITION BY session ORDER BY CAST(('0x' || substr(md5('0|' || session || '|' || bin), 1, 8)) AS BIGINT), bin) <= 20"""),
-    Query("l3_pre_post_circular_null", lambda s, d: rounded(M.pre_post_circular_null(hourly_counts(s, d), hourly_tuning(hourly_counts(s, d)), 2, KEYS, F.col("bin") < 360, F.col("bin") >= 360).select("session", "shuffle", "latent", "diff"))),
+    Query("l3_pre_post_circular_null", lambda s, d: rounded(M.pre_post_circular_null(hourly_counts(s, d), hourly_tuning(hourly_counts(s, d)), 20, KEYS, F.col("bin") < 360, F.col("bin") >= 360).select("session", "shuffle", "latent", "diff"))),
 ]

@@ -96,13 +96,41 @@ def _label_shuffle_test(spark, sf):
     return I.distance_label_shuffle_test(I.pairwise_distance(v, "embedding", "euclidean", "vec_id", ["series"], 99), places, 50, ["series"])
 
 
+def _between_sessions(spark, sf):
+    """The distance of each two sessions' posteriors in every bin."""
+    p = posterior(spark, sf).groupBy("session", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("latent", "p"))), lambda x: x["p"]).alias("p"))
+    a, b = p.select(F.col("session").alias("a"), "bin", F.col("p").alias("x")), p.select(F.col("session").alias("b"), "bin", F.col("p").alias("y"))
+    return a.join(b, "bin").where("a < b").select("a", "b", "bin", I.wasserstein1(F.col("x"), F.col("y"), [1.0] * 6).alias("w1"))
+
+
 def _triggered(spark, sf):
     return workflows.event_triggered(_dense_signal(spark, sf), "value", KEYS, window=3, std=1.0, height=0.05, reach=REACH, n_shuffles=5)["tests"]
 
 
 def _interaction(spark, sf):
-    got = J.pre_post_interaction(_table(spark, sf), ["session", "event_bin"])
-    return spark.createDataFrame([(k, round(v["coef"], 6) + 0.0, round(v["se"], 6), round(v["z"], 4)) for k, v in got.items()], "term string, coef double, se double, z double")
+    got = J.pre_post_interaction(_table(spark, sf), ["session", "event_bin"]).select("term", "coef", "se", "z")
+    return got.select("term", (F.round("coef", 6) + 0.0).alias("coef"), F.round("se", 6).alias("se"), F.round("z", 4).alias("z"))
+
+
+def _interaction_by_session(spark, sf):
+    got = J.pre_post_interaction(_table(spark, sf), None, KEYS).select("session", "term", "n", "coef", "se", "low", "high")
+    return rounded(got, 5)
+
+
+HC1 = """sd AS (SELECT session, y, CAST(rel > 0 AS INTEGER) AS post, (rel - avg(rel) OVER w) / stddev_pop(rel) OVER w AS tz FROM pt WHERE rel <> 0 AND y IS NOT NULL WINDOW w AS (PARTITION BY session, rel > 0)),
+      ft AS (SELECT session, post, count(*) AS n, avg(y) AS a, regr_slope(y, tz) AS b FROM sd GROUP BY 1, 2),
+      fx AS (SELECT session, max(a) FILTER (post = 0) AS a0, max(b) FILTER (post = 0) AS b0, max(a) FILTER (post = 1) AS a1, max(b) FILTER (post = 1) AS b1, max(n) FILTER (post = 0) AS n0, max(n) FILTER (post = 1) AS n1 FROM ft GROUP BY 1),
+      sc AS (SELECT session, post, y - a - b * tz AS e, tz FROM sd JOIN ft USING (session, post)),
+      vv AS (SELECT session, any_value(a0) AS a0, any_value(b0) AS b0, any_value(a1) AS a1, any_value(b1) AS b1, any_value(n0) + any_value(n1) AS n, (any_value(n0) + any_value(n1)) / (any_value(n0) + any_value(n1) - 4e0) AS k,
+             sum(e * e) FILTER (post = 0) / pow(any_value(n0), 2) AS p0, sum(e * e * tz * tz) FILTER (post = 0) / pow(any_value(n0), 2) AS q0, sum(e * e) FILTER (post = 1) / pow(any_value(n1), 2) AS p1, sum(e * e * tz * tz) FILTER (post = 1) / pow(any_value(n1), 2) AS q1 FROM sc JOIN fx USING (session) GROUP BY 1),
+      ou(session, term, n, coef, se) AS (SELECT session, 'intercept', n, a0, sqrt(k * p0) FROM vv UNION ALL SELECT session, 'tz', n, b0, sqrt(k * q0) FROM vv UNION ALL SELECT session, 'post', n, a1 - a0, sqrt(k * (p0 + p1)) FROM vv UNION ALL SELECT session, 'txp', n, b1 - b0, sqrt(k * (q0 + q1)) FROM vv)"""
+WIDE = 1.959963984540054
+
+
+def _label_bin_null(spark, sf):
+    v = vectors(spark, sf)
+    places = v.select("series", F.row_number().over(Window.partitionBy("series").orderBy("vec_id")).alias("i"), "label")
+    return I.distance_label_bin_null(I.pairwise_distance(v, "embedding", "euclidean", "vec_id", ["series"], 99), places, [0, 1, 3, 6, 100], 50, ["series"])
 
 
 QUERIES = [
@@ -110,8 +138,8 @@ QUERIES = [
     Query("i2_distance_by_index_lag", lambda s, d: rounded(I.distance_by_lag(_pairs(s, d))), with_(PAIRS) + "SELECT lag, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(stddev_samp(d) / sqrt(count(*)), 6) AS sem FROM pr GROUP BY 1"),
     Query("i3_distance_by_label_lag", lambda s, d: rounded(I.distance_by_label(_pairs(s, d), "label_i", "label_j", [0, 2, 4, 9])),
           with_(PAIRS) + "SELECT CASE WHEN ll <= 2 THEN 0 WHEN ll <= 4 THEN 1 ELSE 2 END AS label_lag, count(*) AS n, round(avg(d), 6) AS mean, round(stddev_samp(d), 6) AS std, round(stddev_samp(d) / sqrt(count(*)), 6) AS sem FROM pr GROUP BY 1"),
-    Query("i4_wasserstein1", lambda s, d: rounded(posterior(s, d).groupBy("session", "bin").agg(F.transform(F.array_sort(F.collect_list(F.struct("latent", "p"))), lambda x: x["p"]).alias("a")).groupBy("bin").agg(F.max(F.when(F.col("session") == "s0", F.col("a"))).alias("x"), F.max(F.when(F.col("session") == "s1", F.col("a"))).alias("y")).select("bin", I.wasserstein1(F.col("x"), F.col("y"), [1.0] * 6).alias("w1"))),
-          BASE + "SELECT bin, round(sum(abs(cx - cy)), 6) + 0.0 AS w1 FROM (SELECT x.bin, x.latent, sum(x.p) OVER w AS cx, sum(y.p) OVER w AS cy FROM nb x JOIN nb y ON x.session = 's0' AND y.session = 's1' AND x.bin = y.bin AND x.latent = y.latent WINDOW w AS (PARTITION BY x.bin ORDER BY x.latent ROWS UNBOUNDED PRECEDING)) GROUP BY 1"),
+    Query("i4_wasserstein1", lambda s, d: rounded(_between_sessions(s, d)),
+          BASE + "SELECT a, b, bin, round(sum(abs(cx - cy)), 6) + 0.0 AS w1 FROM (SELECT x.session AS a, y.session AS b, x.bin, x.latent, sum(x.p) OVER w AS cx, sum(y.p) OVER w AS cy FROM nb x JOIN nb y ON x.session < y.session AND x.bin = y.bin AND x.latent = y.latent WINDOW w AS (PARTITION BY x.session, y.session, x.bin ORDER BY x.latent ROWS UNBOUNDED PRECEDING)) GROUP BY 1, 2, 3"),
     Query("i5_bin_stats", lambda s, d: rounded(I.bin_stats(events(s, d), "k", "value", [0, 25, 50, 75, 99]).select("bin", "n", "mean", "std", "low", "high")),
           with_(EV) + "SELECT CASE WHEN k < 25 THEN 0 WHEN k < 50 THEN 1 WHEN k < 75 THEN 2 ELSE 3 END AS bin, count(*) AS n, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std, round(avg(value) - 1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS low, round(avg(value) + 1.96 * stddev_samp(value) / sqrt(count(*)), 6) AS high FROM ev WHERE k < 99 GROUP BY 1"),
     Query("i6_distance_label_ols", lambda s, d: rounded(I.distance_label_ols(_pairs(s, d).withColumn("ll", F.abs(F.col("label_i") - F.col("label_j"))), "ll", keys=["series"])),
@@ -136,12 +164,16 @@ QUERIES = [
     Query("j6_pre_post_slopes", lambda s, d: rounded(J.pre_post_slopes(_table(s, d), KEYS)),
           P0 + ", z AS (SELECT session, CAST(sign(rel) AS INTEGER) AS side, y, (rel - avg(rel) OVER w) / stddev_pop(rel) OVER w AS tz FROM pt WHERE rel <> 0 WINDOW w AS (PARTITION BY session, sign(rel))) SELECT session, side, round(regr_slope(y, tz), 6) AS slope, round(regr_intercept(y, tz), 6) AS intercept FROM z GROUP BY 1, 2"),
     Query("j6_pre_post_interaction", _interaction),
+    Query("j6_interaction_by_session", _interaction_by_session,
+          with_(EV, HC, PERI, HC1) + f"SELECT session, term, n, round(coef, 5) + 0.0 AS coef, round(se, 5) AS se, round(coef - {WIDE} * se, 5) + 0.0 AS low, round(coef + {WIDE} * se, 5) + 0.0 AS high FROM ou"),
+    Query("i8_distance_label_bin_null", lambda s, d: rounded(_label_bin_null(s, d), 5)),
+    Query("i9_mean_trajectory", lambda s, d: rounded(I.mean_trajectory(_resampled(s, d)), 4)),
     Query("j8_cluster_kmeans", lambda s, d: J.cluster_kmeans(_table(s, d), KEYS, 2)),
     Query("j9_cluster_quantile", lambda s, d: rounded(J.cluster_quantile(_table(s, d), KEYS, -2, 0, 3))),
     Query("j13_mean_error_band", lambda s, d: rounded(J.mean_error_band(_table(s, d), ["session", "rel"], "y")),
           P0 + "SELECT session, rel, count(y) AS n, round(avg(y), 6) AS mean, round(stddev_pop(y), 6) AS std, round(stddev_samp(y) / sqrt(count(y)), 6) AS sem, round(quantile_cont(y, 0.025), 6) AS low, round(quantile_cont(y, 0.975), 6) AS high FROM pt GROUP BY 1, 2"),
-    Query("j15_ks_two_sample", lambda s, d: rounded(stats.ks_statistic(events(s, d).where("session in ('s0', 's1')").withColumn("g", F.when(F.col("session") == "s0", 0).otherwise(1)), "value", "g")),
-          with_(EV) + """, x AS (SELECT value, count(*) FILTER (session = 's0') AS a, count(*) FILTER (session = 's1') AS b FROM ev WHERE session IN ('s0', 's1') GROUP BY 1),
+    Query("j15_ks_two_sample", lambda s, d: rounded(stats.ks_statistic(events(s, d).withColumn("g", F.col("session").isin("s1", "s3").cast("int")), "value", "g")),
+          with_(EV) + """, x AS (SELECT value, count(*) FILTER (session NOT IN ('s1', 's3')) AS a, count(*) FILTER (session IN ('s1', 's3')) AS b FROM ev GROUP BY 1),
           c AS (SELECT sum(a) OVER (ORDER BY value) AS ca, sum(b) OVER (ORDER BY value) AS cb, sum(a) OVER () AS na, sum(b) OVER () AS nb FROM x) SELECT CAST(any_value(na) AS BIGINT) AS n_a, CAST(any_value(nb) AS BIGINT) AS n_b, round(max(abs(ca / na - cb / nb)), 6) AS ks FROM c"""),
     Query("j16_null_threshold", lambda s, d: rounded(J.null_threshold(_shuffled(s, d), _table(s, d).groupBy("session", "rel").agg(F.avg("y").alias("mean")), "mean", 0.025, ["session", "rel"])),
           with_(EV, HC, PERI, SHUFFLED) + ", l AS (SELECT session, rel, quantile_cont(mean, 0.025) AS low, quantile_cont(mean, 0.975) AS high FROM sp GROUP BY 1, 2), o AS (SELECT session, rel, avg(y) AS mean FROM pt GROUP BY 1, 2) SELECT session, rel, round(mean, 6) AS mean, round(low, 6) AS low, round(high, 6) AS high, mean < low OR mean > high AS outside FROM o JOIN l USING (session, rel)"),

@@ -26,21 +26,26 @@ def stream_bursts(stream: DataFrame, gap: str, late: str, longer_than: float = 0
     return g.where(length > longer_than).select("session", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def stream_filter(counts: DataFrame, model: decode.Model, dt: float = 1.0, idle_ms: int | None = None) -> DataFrame:
+def stream_filter(counts: DataFrame, model: decode.Model, dt: float = 1.0, late: str | None = None, expires_ms: int = 0) -> DataFrame:
     """session, bin, causal_latent, log_marginal (so far) of a stream of session, bin, units (array of counts in the model's order).
 
     The state of a session is its last bin, posterior and log marginal: the filter needs no more of the past. Bins at or below the last
-    one seen are dropped; a batch's bins are taken in order. With idle_ms, the state of a session that gets no rows for so long goes.
+    one seen are dropped; a batch's bins are taken in order. With `late`, the stream has a column ts: rows behind the watermark, the latest time less `late`, are
+    dropped, and a session's state goes when the watermark is expires_ms past its last row's time; if it comes back it starts anew. Without `late` states stay.
     """
     rates, kernels, switch = model.rates, model.kernels, model.switch
+    dyn, size = len(kernels), len(rates)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        dyn, size = len(kernels), len(rates)
-        last, flat, total = state.get if state.exists else (-1, [1.0 / (dyn * size)] * (dyn * size), 0.0)
+        last, flat, total, seen = state.get if state.exists else (-1, [1.0 / (dyn * size)] * (dyn * size), 0.0, 0)
         rows = pd.concat(list(batches)).sort_values("bin")
+        if late:  # rows of the batch that fall behind the watermark
+            at = (rows["ts"].astype("int64") // {"ns": 10**6, "us": 10**3, "ms": 1}[rows["ts"].dt.unit]).to_numpy()
+            rows, at = rows[at >= state.getCurrentWatermarkMs()], at[at >= state.getCurrentWatermarkMs()]
+            seen = max([seen, *at.tolist()])
         rows = rows[rows["bin"] > last].drop_duplicates("bin")
         now, out = np.array(flat).reshape(dyn, size), []
         for r in rows.itertuples():
@@ -48,12 +53,14 @@ def stream_filter(counts: DataFrame, model: decode.Model, dt: float = 1.0, idle_
             causal, one = decode.forward(ll, kernels, switch, start=now)
             now, total, last = causal[0], total + float(one[0]), int(r.bin)
             out.append((key[0], last, now.sum(0).tolist(), total))
-        state.update((last, now.reshape(-1).tolist(), total))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
+        if last >= 0:
+            state.update((last, now.reshape(-1).tolist(), total, seen))
+            if late:
+                state.setTimeoutTimestamp(max(seen + expires_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["session", "bin", "causal_latent", "log_marginal"])
 
-    return counts.groupBy("session").applyInPandasWithState(step, "session string, bin long, causal_latent array<double>, log_marginal double", "last long, posterior array<double>, total double", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
+    stream = counts.withWatermark("ts", late) if late else counts
+    return stream.groupBy("session").applyInPandasWithState(step, "session string, bin long, causal_latent array<double>, log_marginal double", "last long, posterior array<double>, total double, seen long", "append", GroupStateTimeout.EventTimeTimeout if late else GroupStateTimeout.NoTimeout)
 
 
 def stream_naive_bayes(counts: DataFrame, model: decode.Model, dt: float = 1.0) -> DataFrame:

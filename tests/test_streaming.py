@@ -63,3 +63,25 @@ def test_naive_bayes_of_a_stream_equals_batch(spark, tmp_path):
     for r in got:
         assert np.isclose(r.log_marginal, np.log(np.exp(ll[r.bin]).sum())) and np.allclose(r.p_latent, np.exp(ll[r.bin]) / np.exp(ll[r.bin]).sum())
     assert len(got) == 5
+
+
+def test_a_session_expires_by_event_time_and_late_rows_go(spark, tmp_path):
+    m = model(spark)
+    row = lambda s, b, minute: (s, b, [1.0, 2.0], at(minute))
+    batches = [
+        [row("a", 0, 0), row("a", 1, 1), row("b", 0, 1)],
+        [row("c", 0, 30)],  # the watermark goes to minute 20
+        [row("a", 2, 5), row("c", 1, 31)],  # a's row is late
+        [row("c", 2, 120)],  # watermark 110: a and b are older than an hour
+        [row("c", 3, 121)],
+        [row("a", 0, 125), row("b", 1, 125), row("c", 4, 125)],
+    ]
+    got = run(spark, lambda s: streams.stream_filter(s, m, late="10 minutes", expires_ms=3_600_000), "session string, bin long, units array<double>, ts timestamp", batches, tmp_path).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.session, []).append((r.bin, round(r.log_marginal, 9)))
+    ll = decode.loglik_matrix(np.tile([1.0, 2.0], (5, 1)), m.rates, 1.0, 1.0)
+    total = np.cumsum(decode.forward(ll, m.kernels, m.switch)[1]).round(9)
+    assert by["c"] == [(k, total[k]) for k in range(5)]  # c goes on
+    assert by["a"] == [(0, total[0]), (1, total[1]), (0, total[0])]  # a starts anew
+    assert by["b"] == [(0, total[0]), (1, total[0])]
