@@ -3,29 +3,42 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import decode, fit, kernels, transitions, tuning
+from latentspark.sources.shared import passing
+
+from . import decode, fit, kernels, transitions
 
 
 def iterative_label_refit(spark: SparkSession, counts: DataFrame, start: DataFrame, n: int, std: float, rounds: int, keys: list[str]) -> tuple[DataFrame, list[float]]:
-    """(tuning, log marginals): decode with a moving kernel, refit as the smoothed ratio of weighted statistics, again and again. start: latent, unit, rate."""
-    grid = spark.range(n).select(F.col("id").alias("latent"), F.col("id").cast("double").alias("x"))
-    smooth = tuning.smoothing_kernel(grid, "latent", [("x", std)]).cache()
-    move, one = kernels.as_arrays(kernels.move_kernel(spark, n, std), n), np.ones((1, 1))
-    rates, history = start, []
-    for _ in range(rounds):
-        decoded = decode.decode_hmm(counts, decode.Model.of(rates, move, one), keys)
-        a, b = fit.weighted_stats(fit.long_posterior(decoded, keys), counts, keys)
-        new = tuning.tuning_by_label(a.withColumnRenamed("a", "n"), b.withColumnRenamed("b", "seconds"), "latent", smooth)
-        rows = new.collect()  # latents times units
-        history.append(float(decoded.agg(F.sum("step")).first()[0]))
-        rates = spark.createDataFrame(rows, new.schema)
-    return rates, history
+    """(tuning, log marginals): decode with a moving kernel, refit as the smoothed ratio of weighted statistics, again and again. start: latent, unit, rate.
+
+    A round decodes each group of keys once; its task returns the sums of the model's size that the refit needs.
+    """
+    units = sorted(r.unit for r in counts.select("unit").distinct().collect())  # the model's
+    first = decode.Model.of(start, [], np.ones((1, 1)), latents=n)
+    at, rates = {u: i for i, u in enumerate(first.units)}, np.zeros((n, len(units)))
+    for i, u in enumerate(units):
+        if u in at:
+            rates[:, i] = first.rates[:, at[u]]
+    smooth, _ = _smoothing(n, std)
+    smooth /= smooth.sum(1, keepdims=True)
+    move, one, history = kernels.as_arrays(kernels.move_kernel(spark, n, std), n), np.ones((1, 1)), []
+    with passing(spark) as save:
+        dense = save(fit.dense_counts(counts, units, keys))
+        for _ in range(rounds):
+            a, b, total = fit._model_sums(dense.groupBy(*keys).applyInPandas(fit._e_step(rates, move, one, 1.0), fit.SUMS))
+            history.append(total)
+            seconds = (smooth @ b)[:, None]
+            rates = np.divide(smooth @ a, seconds, out=np.zeros_like(a), where=seconds > 0)
+    kind = counts.schema["unit"].dataType.simpleString()
+    return spark.createDataFrame([(i, u, float(rates[i, j])) for i in range(n) for j, u in enumerate(units)], f"latent long, unit {kind}, rate double"), history
 
 
 def log_marginal_history(counts: DataFrame, versions: DataFrame, keys: list[str]) -> DataFrame:
@@ -51,74 +64,116 @@ def _smoothing(latents: int, lengthscale: float) -> tuple[np.ndarray, np.ndarray
     return np.exp(-0.5 * (d / lengthscale) ** 2), np.stack([move / move.sum(1, keepdims=True), np.full((latents, latents), 1 / latents)])
 
 
-def fit_grid(train: DataFrame, jobs: list, units: list, keys: list[str], rounds: int) -> dict[tuple[int, int], np.ndarray]:
-    """Rates (latent, unit) by (config, repeat), by EM with Gaussian-smoothed ratio updates.
+@dataclass(frozen=True)
+class Job:
+    """One fit: a configuration, a repeat (its random start), and the configuration's numbers."""
+
+    config: int
+    repeat: int
+    latents: int
+    lengthscale: float
+    prior: float
+    rough: float
+
+    @property
+    def basis(self) -> np.ndarray:
+        return fit.tuning_basis(fit.rbf(self.latents, self.lengthscale))
+
+    @property
+    def dynamics(self) -> tuple[np.ndarray, np.ndarray]:
+        return _smoothing(self.latents, self.lengthscale)[1], kernels.switching(0.02, 0.02)
+
+    @staticmethod
+    def all(grid: DataFrame, repeats: int) -> list[Job]:
+        """Of a grid (config, latents, lengthscale, and prior and rough if it has them)."""
+        rows = [r.asDict() for r in grid.collect()]
+        return [Job(int(r["config"]), k, int(r["latents"]), float(r["lengthscale"]), float(r.get("prior") or 1.0), float(r.get("rough") or 0.0)) for r in rows for k in range(repeats)]
 
-    Each round is one job: a task decodes a group of keys (a session) for one configuration and repeat and returns the sums of the
-    posterior and of its products with the counts, which are added up by configuration and repeat. Only those sums, the models, are collected.
+
+def fit_grid(dense: DataFrame, jobs: list[Job], keys: list[str], rounds: int) -> dict[tuple[int, int], np.ndarray]:
+    """Rates (latent, unit) by (config, repeat): each job fitted by EM with the penalised M-step, all jobs together.
+
+    dense: fit.dense_counts, saved. A round is two steps: a task takes a group of keys (a session) through all jobs and returns sums of the models' size; and
+    the M-steps of all jobs are one convex problem for each (config, repeat, unit), dealt over the executors. Only models are collected.
     """
-    spark, frame = train.sparkSession, [(int(j.config), r, int(j.latents), float(j.lengthscale)) for j, r in jobs]
-    copies = train.join(F.broadcast(spark.createDataFrame(frame, "config int, repeat int, latents int, lengthscale double")), F.lit(True))
+    spark, rates = dense.sparkSession, {}
 
     def sums_by(held):
         def sums(g: pd.DataFrame) -> pd.DataFrame:
-            r = g.iloc[0]
-            job, latents = (int(r.config), int(r["repeat"])), int(r.latents)
-            _, y = decode._group_counts(g, units)
-            if job in held.value:
-                _, k = _smoothing(latents, r.lengthscale)
-                post = decode.forward_backward(decode.loglik_matrix(y, held.value[job], 1.0, 1.0), k, kernels.switching(0.02, 0.02))["smooth"].sum(1)
-            else:
-                post = _start(len(y), latents, *job, *(r[k] for k in keys))
-            a = np.column_stack([post.T @ y, post.sum(0)])
-            latent, unit = np.indices(a.shape)
-            return pd.DataFrame({"config": job[0], "repeat": job[1], "latent": latent.ravel(), "unit": unit.ravel(), "a": a.ravel()})
+            g = g.sort_values("bin")
+            y, lf, own, out = np.stack(g["y"].to_numpy()), g["lf"].to_numpy(), tuple(g[k].iloc[0] for k in keys), []
+            for job in jobs:
+                now = held.value.get((job.config, job.repeat))
+                if now is None:
+                    post = _start(len(y), job.latents, job.config, job.repeat, *own)
+                else:
+                    post = decode.forward_backward(decode.loglik_matrix(y, now, 1.0, 1.0, constant=lf), *job.dynamics)["smooth"].sum(1)
+                a, b = post.T @ y, post.sum(0)
+                out += [(job.config, job.repeat, i, a[i].tolist(), float(b[i])) for i in range(job.latents)]
+            return pd.DataFrame(out, columns=["config", "repeat", "latent", "a", "b"])
 
         return sums
 
-    rates: dict[tuple[int, int], np.ndarray] = {}
+    known = {(j.config, j.repeat): j for j in jobs}
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bases = {k: j.basis for k, j in known.items()}
+        for g in batches:
+            out = []
+            for r in g.itertuples(index=False):
+                job = known[r.config, r.repeat]
+                w = fit.poisson_unit(bases[r.config, r.repeat], np.asarray(r.a, float), np.asarray(r.b, float), job.prior, rough=job.rough)
+                out.append((r.config, r.repeat, r.ix, fit.softplus(bases[r.config, r.repeat] @ w).tolist()))
+            yield pd.DataFrame(out, columns=["config", "repeat", "ix", "rate"])
+
     for _ in range(rounds):
-        got = copies.groupBy(*keys, "config", "repeat").applyInPandas(sums_by(spark.sparkContext.broadcast(rates)), "config int, repeat int, latent int, unit int, a double")
-        total = {(c, r): np.zeros((n, len(units) + 1)) for c, r, n, _ in frame}
-        for x in got.groupBy("config", "repeat", "latent", "unit").agg(F.sum("a").alias("a")).collect():  # configurations times latents times units
-            total[x.config, x.repeat][x.latent, x.unit] = x.a
-        rates = {}
-        for c, r, n, scale in frame:
-            smooth, _ = _smoothing(n, scale)
-            rates[c, r] = (smooth @ total[c, r][:, :-1]) / (smooth @ total[c, r][:, -1])[:, None]
+        parts = dense.groupBy(*keys).applyInPandas(sums_by(spark.sparkContext.broadcast(rates)), "config int, repeat int, latent int, a array<double>, b double")
+        by_unit = parts.select("config", "repeat", "latent", "b", F.posexplode("a").alias("ix", "a")).groupBy("config", "repeat", "ix", "latent").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+        ordered = F.array_sort(F.collect_list(F.struct("latent", "a", "b")))
+        problems = by_unit.groupBy("config", "repeat", "ix").agg(ordered.alias("__p")).select("config", "repeat", "ix", F.col("__p.a").alias("a"), F.col("__p.b").alias("b"))
+        rows = problems.mapInPandas(solve, "config int, repeat int, ix int, rate array<double>").collect()  # the models
+        rates = {k: np.zeros((j.latents, 1 + max(r.ix for r in rows))) for k, j in known.items()}
+        for r in rows:
+            rates[r.config, r["repeat"]][:, r.ix] = r.rate
     return rates
 
 
+def kept_latents(latents: int, share: float, repeat: int, draw: int) -> list[int]:
+    """A random share of the latents, the same for every group of keys."""
+    return sorted(np.random.default_rng([repeat, draw]).permutation(latents)[: max(1, int(round(share * latents)))].tolist())
+
+
 def model_selection(spark: SparkSession, train: DataFrame, test: DataFrame, grid: DataFrame, keys: list[str], repeats: int, rounds: int, downsample: float, downsample_repeats: int = 3) -> DataFrame:
-    """config, repeat, test_marginal, downsampled (mean marginal with a random share of the latents), best: one fit for each configuration and repeat.
+    """config, repeat, test_marginal, downsampled (mean log marginal of the test bins decoded with a random share of the latents, others masked), mean and std of downsampled over the configuration's repeats, best: the configuration of the largest mean.
 
-    train, test: keys, bin, unit, n. Fits and marginals are made in tasks, a group of keys at a time; counts don't pass through the driver.
+    train, test: keys, bin, unit, n; grid as Job.all reads it. Held-out bins are decoded by the fitted model with its dynamics, a group of keys in a task; counts don't pass through the driver.
     """
-    units = sorted(r.unit for r in train.select("unit").distinct().collect())
-    jobs = [(j, r) for j in grid.collect() for r in range(repeats)]
-    held = spark.sparkContext.broadcast(fit_grid(train, jobs, units, keys, rounds))
+    units, jobs = sorted(r.unit for r in train.select("unit").distinct().collect()), Job.all(grid, repeats)
+    with passing(spark) as save:
+        held = spark.sparkContext.broadcast(fit_grid(save(fit.dense_counts(train, units, keys)), jobs, keys, rounds))
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         _, z = decode._group_counts(g, units)
-
-        def marginal(some: np.ndarray) -> float:
-            ll = decode.loglik_matrix(z, some, 1.0, 1.0)
-            top = ll.max(1)
-            return float((top + np.log(np.exp(ll - top[:, None]).sum(1)) - np.log(len(some))).sum())
-
         out = []
-        for (config, repeat), rates in sorted(held.value.items()):
-            rng = np.random.default_rng(repeat)  # every group of keys keeps the same latents
-            keep = max(1, int(round(downsample * len(rates))))
-            down = float(np.mean([marginal(rates[rng.permutation(len(rates))[:keep]]) for _ in range(downsample_repeats)]))
-            out.append((config, repeat, marginal(rates), down))
+        for job in jobs:
+            rates, (kernel, switch) = held.value[job.config, job.repeat], job.dynamics
+            ll = decode.loglik_matrix(z, rates, 1.0, 1.0)
+
+            def marginal(valid: list[int] | None) -> float:
+                some = ll.copy()
+                if valid is not None:
+                    some[:, np.setdiff1d(np.arange(job.latents), valid)] = -np.inf
+                return float(decode.forward(some, kernel, switch, start=decode.uniform_start(len(kernel), job.latents, valid))[1].sum())
+
+            down = float(np.mean([marginal(kept_latents(job.latents, downsample, job.repeat, d)) for d in range(downsample_repeats)]))
+            out.append((job.config, job.repeat, marginal(None), down))
         return pd.DataFrame(out, columns=["config", "repeat", "test_marginal", "downsampled"])
 
     by_group = test.groupBy(*keys).applyInPandas(run, "config int, repeat int, test_marginal double, downsampled double")
     got = by_group.groupBy("config", "repeat").agg(F.sum("test_marginal").alias("test_marginal"), F.sum("downsampled").alias("downsampled"))
-    by_config = got.groupBy("config").agg(F.avg("downsampled").alias("m"))
-    first = by_config.withColumn("__r", F.row_number().over(Window.orderBy(F.desc("m"), "config"))).where("__r = 1").select(F.col("config").alias("__c"))
-    return got.join(F.broadcast(first), F.lit(True)).withColumn("best", F.col("config") == F.col("__c")).drop("__c")
+    one = Window.partitionBy("config")  # a row for each fit
+    with_means = got.withColumns({"mean": F.avg("downsampled").over(one), "std": F.stddev_samp("downsampled").over(one)})
+    return with_means.withColumn("best", F.dense_rank().over(Window.orderBy(F.desc("mean"), "config")) == 1)
 
 
 def multinomial_l1(x: np.ndarray, y: np.ndarray, kinds: int, strength: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:

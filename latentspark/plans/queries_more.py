@@ -77,7 +77,7 @@ def _versions(spark, sf):
 def _selection(spark, sf):
     c = hourly_counts(spark, sf)
     grid = G.hyperparameter_grid(spark, {"latents": [3, 6], "lengthscale": [1.0, 2.0]}).withColumn("config", F.col("config").cast("int"))
-    return S.model_selection(spark, c.where("bin < 576"), c.where("bin >= 576"), grid, KEYS, 2, 2, 0.5)
+    return S.model_selection(spark, c.where("bin < 576"), c.where("bin >= 576"), grid, KEYS, 2, 20, 0.5)
 
 
 def _clean_transition(spark, sf):

@@ -77,7 +77,7 @@ def test_iterative_refit_equals_plain_rounds(spark):
     d = np.subtract.outer(np.arange(6), np.arange(6))
     norm = lambda k: k / k.sum(1, keepdims=True)
     smooth, move = norm(np.exp(-0.5 * d**2.0)), norm(np.exp(-(d**2.0)))
-    for _ in range(2):
+    for _ in range(8):
         a, b = np.zeros((6, len(units))), np.zeros(6)
         for y in ys.values():
             p, _ = plain_filter(y, rates, move)
@@ -86,7 +86,7 @@ def test_iterative_refit_equals_plain_rounds(spark):
     got = np.zeros_like(rates)
     for r in Q["g8_iterative_label_refit"](spark, SF).collect():
         got[r.latent, units.index(r.unit)] = r.rate
-    assert np.allclose(got, rates, atol=1e-6)
+    assert np.allclose(got, rates, atol=1e-5)
 
 
 def test_model_selection_ranks_by_its_own_marginals(spark):

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import __spark_entry__
-from latentspark.operators import decode, kernels, nulls, selection
+from latentspark.operators import decode, fit, kernels, nulls, selection
 from latentspark.plans.binding import DAYS, day_counts, hourly_counts, hourly_tuning
 
 SF = "/root/testdata/sf0.001"
@@ -68,15 +68,22 @@ def test_query_has_every_session(spark, name):
 def test_model_selection_takes_every_session(spark):
     frame = spark.createDataFrame([(s, b, u, (b * 7 + s * 3 + k) % 5) for s in range(3) for b in range(40) for k, u in enumerate("ab")], "session int, bin long, unit string, n long")
     grid = spark.createDataFrame([(0, 2, 1.0), (1, 3, 1.0)], "config int, latents int, lengthscale double")
-    got = selection.model_selection(spark, frame.where("bin < 30"), frame.where("bin >= 30"), grid, ["session"], 2, 2, 0.5).collect()
+    got = selection.model_selection(spark, frame.where("bin < 30"), frame.where("bin >= 30"), grid, ["session"], 2, 3, 0.5).collect()
     assert {(r.config, r.repeat) for r in got} == {(c, r) for c in range(2) for r in range(2)} and len({r.config for r in got if r.best}) == 1
     y, z = ({s: np.array([[(b * 7 + s * 3 + k) % 5 for k in range(2)] for b in bins], float) for s in range(3)} for bins in (range(30), range(30, 40)))
+    by_config = {}
     for r in got:
         n = r.config + 2
-        smooth, k = selection._smoothing(n, 1.0)
+        basis, (_, k), switch = fit.tuning_basis(fit.rbf(n, 1.0)), selection._smoothing(n, 1.0), kernels.switching(0.02, 0.02)
         post = {s: selection._start(30, n, r.config, r.repeat, s) for s in y}
-        for _ in range(2):
-            rates = (smooth @ sum(post[s].T @ y[s] for s in y)) / (smooth @ sum(post[s].sum(0) for s in y))[:, None]
-            post = {s: decode.forward_backward(decode.loglik_matrix(y[s], rates, 1.0, 1.0), k, kernels.switching(0.02, 0.02))["smooth"].sum(1) for s in y}
-        want = sum(np.log(np.exp(decode.loglik_matrix(z[s], rates, 1.0, 1.0)).mean(1)).sum() for s in z)
-        assert r.test_marginal == pytest.approx(want)
+        for _ in range(3):
+            a, b = sum(post[s].T @ y[s] for s in y), sum(post[s].sum(0) for s in y)
+            rates = np.column_stack([fit.softplus(basis @ fit.poisson_unit(basis, a[:, u], b, 1.0)) for u in range(2)])
+            post = {s: decode.forward_backward(decode.loglik_matrix(y[s], rates, 1.0, 1.0), k, switch)["smooth"].sum(1) for s in y}
+        marginal = lambda v: sum(decode.forward(decode.loglik_matrix(z[s], rates, 1.0, 1.0, v), k, switch, start=decode.uniform_start(2, n, v))[1].sum() for s in z)  # noqa: B023, E731
+        down = np.mean([marginal(selection.kept_latents(n, 0.5, r.repeat, d)) for d in range(3)])
+        assert r.test_marginal == pytest.approx(marginal(None)) and r.downsampled == pytest.approx(down)
+        by_config.setdefault(r.config, []).append(r)
+    for rows in by_config.values():
+        assert rows[0]["mean"] == pytest.approx(np.mean([r.downsampled for r in rows])) and rows[0]["std"] == pytest.approx(np.std([r.downsampled for r in rows], ddof=1))
+    assert {r.config for r in got if r.best} == {max(by_config, key=lambda c: by_config[c][0]["mean"])}
