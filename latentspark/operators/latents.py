@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latentspark.functions.seeds import hash_number
+from latentspark.sources.shared import passing, saved
 
+from .graphs import components
 from .perievent import peri_event
 
 
@@ -43,48 +45,84 @@ def classify_spatial(rows: DataFrame, latent: str, speed: str, away: str, fast:
     return n.where(F.col("total") > least_total).withColumn("kind", kind)
 
 
-def dbscan(x: np.ndarray, eps: float, least: int) -> np.ndarray:
-    """Density clusters of points (n, 2) by a grid of cells of side eps; noise is -1. Clusters are numbered by their first core point."""
-    cells: dict[tuple, list[int]] = {}
-    for i, c in enumerate(map(tuple, np.floor(x / eps).astype(int))):
-        cells.setdefault(c, []).append(i)
+#: Side of a tile in units of eps.
+TILE = 32
 
-    def near(i: int) -> list[int]:
-        a, b = np.floor(x[i] / eps).astype(int)
-        around = [j for p in (a - 1, a, a + 1) for q in (b - 1, b, b + 1) for j in cells.get((p, q), ())]
-        around = np.array(around)
-        return around[((x[around] - x[i]) ** 2).sum(1) <= eps * eps].tolist()
 
-    label, k = np.full(len(x), -2), 0
+def _near_in_tile(x: np.ndarray, eps: float):
+    """For each point the indexes of the points of x within eps, itself too; x is a tile with its halo."""
+    cell = np.floor(x / eps).astype(np.int64)
+    cell -= cell.min(0) - 1
+    width = int(cell[:, 1].max()) + 2
+    name = cell[:, 0] * width + cell[:, 1]
+    order = np.argsort(name, kind="stable")
+    held = name[order]
+    around = np.array([p * width + q for p in (-1, 0, 1) for q in (-1, 0, 1)])
     for i in range(len(x)):
-        if label[i] != -2:
-            continue
-        around = near(i)
-        if len(around) < least:
-            label[i] = -1
-            continue
-        label[i], todo = k, around
-        while todo:
-            j = todo.pop()
-            if label[j] < 0:
-                first = label[j] == -2
-                label[j] = k
-                if first and len(more := near(j)) >= least:
-                    todo.extend(more)
-        k += 1
-    return label
+        lo, hi = np.searchsorted(held, name[i] + around), np.searchsorted(held, name[i] + around, "right")
+        near = np.concatenate([order[u:v] for u, v in zip(lo, hi, strict=True)])
+        yield near[((x[near] - x[i]) ** 2).sum(1) <= eps * eps]
 
 
 def dbscan_per_latent(rows: DataFrame, latent: str, eps: float, least: int, keys: list[str] | None = None) -> DataFrame:
-    """keys, latent, bin, cluster of the points x, y of each latent within keys."""
-    by = [*(keys or []), latent]
-
-    def cluster(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("bin")
-        return pd.DataFrame({k: g[k] for k in by} | {"bin": g["bin"], "cluster": dbscan(g[["x", "y"]].to_numpy(float), eps, least)})
-
-    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in by)
-    return rows.select(*by, "bin", "x", "y").groupBy(*by).applyInPandas(cluster, f"{fields}, bin long, cluster long")
+    """keys, latent, bin, cluster of the points x, y of each latent within keys; -1 for noise, and for points without finite coordinates. Clusters are
+    numbered by the bin of their first core point; a point that several clusters reach belongs to the first of them.
+
+    The plane is dealt into tiles with a halo of eps, so no task holds a latent. A tile counts its points' neighbours (points at one place count as often as they
+    are there), then joins core points, its halo's too; clusters that run over tiles' borders are joined by the components of a graph of the tiles' clusters.
+    The result stays until the application ends.
+    """
+    by, spark, side = [*(keys or []), latent], rows.sparkSession, TILE * eps
+    fine = lambda c: F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) != float("inf"))
+    placed = rows.select(*by, "bin", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    tile = lambda c: F.floor(F.col(c) / side).cast("long")
+    with passing(spark) as save:
+        points = save(placed.where(fine("x") & fine("y")).groupBy(*by, "x", "y").agg(F.count(F.lit(1)).alias("w"), F.min("bin").alias("first")).withColumn("pid", F.monotonically_increasing_id()))
+
+        def dealt(p: DataFrame) -> DataFrame:
+            """Each point in its tile and in those within eps of it."""
+            over = lambda c: F.array_distinct(F.array(*(F.floor((F.col(c) + d * eps) / side).cast("long") for d in (-1, 0, 1))))
+            return p.withColumn("__a", F.explode(over("x"))).withColumn("__b", F.explode(over("y"))).withColumn("own", (F.col("__a") == tile("x")) & (F.col("__b") == tile("y")))
+
+        def count(g: pd.DataFrame) -> pd.DataFrame:
+            w, own = g["w"].to_numpy(), g["own"].to_numpy()
+            total = np.array([w[near].sum() for near in _near_in_tile(g[["x", "y"]].to_numpy(), eps)])
+            return pd.DataFrame({"pid": g["pid"][own], "core": total[own] >= least})
+
+        def join(g: pd.DataFrame) -> pd.DataFrame:
+            pid, core, own, out = g["pid"].to_numpy(), g["core"].to_numpy(), g["own"].to_numpy(), []
+            near = [n[core[n]] for n in _near_in_tile(g[["x", "y"]].to_numpy(), eps)]
+            root = np.arange(len(g))
+
+            def top(i: int) -> int:
+                while root[i] != i:
+                    root[i] = root[root[i]]
+                    i = root[i]
+                return i
+
+            for i in np.flatnonzero(core):
+                for j in near[i]:
+                    root[top(int(j))] = top(int(i))
+            for i in range(len(g)):
+                if core[i]:
+                    out.append((pid[i], pid[top(i)], True))
+                elif own[i]:
+                    out += [(pid[i], p, False) for p in {pid[top(int(j))] for j in near[i]}]
+            return pd.DataFrame(out, columns=["pid", "root", "core"])
+
+        group = [*by, "__a", "__b"]
+        cores = save(dealt(points).groupBy(*group).applyInPandas(count, "pid long, core boolean"))
+        reached = save(dealt(points.join(cores, "pid")).groupBy(*group).applyInPandas(join, "pid long, root long, core boolean"))
+        # a core point that several tiles see ties their clusters together
+        ties = reached.where("core").groupBy("pid").agg(F.collect_set("root").alias("r")).where(F.size("r") > 1).select(F.array_min("r").alias("a"), F.explode("r").alias("b")).where("a != b")
+        joined = components(ties, save)
+        named = save(reached.join(joined.withColumnRenamed("node", "root"), "root", "left").select("pid", "core", F.coalesce("comp", "root").alias("cluster_id")).distinct())
+        begins = named.where("core").join(points, "pid").groupBy(*by, "cluster_id").agg(F.min("first").alias("__f"))
+        number = begins.withColumn("cluster", F.row_number().over(Window.partitionBy(*by).orderBy("__f", "cluster_id")) - 1)  # a row for each cluster
+        of_point = named.join(number.select("cluster_id", "cluster"), "cluster_id").groupBy("pid").agg(F.min("cluster").alias("cluster"))
+        known = points.join(of_point, "pid").select(*by, "x", "y", F.col("cluster").cast("long").alias("cluster"))
+        out = saved(placed.join(known, [*by, "x", "y"], "left").select(*by, "bin", F.coalesce("cluster", F.lit(-1).cast("long")).alias("cluster")))
+    return out
 
 
 def field_properties(rows: DataFrame, by: list[str], value: str, early, late) -> DataFrame:

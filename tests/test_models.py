@@ -77,21 +77,56 @@ def test_gaussian_step_solves_its_equations():
     assert np.allclose((basis.T @ np.diag(b) @ basis / 0.25 + np.eye(3) / 4) @ w, basis.T @ a / 0.25)
 
 
-def test_dbscan_equals_reachability():
-    rng = np.random.default_rng(5)
-    x = np.concatenate([rng.normal(c, 0.4, (30, 2)) for c in (0, 4)] + [rng.random((10, 2)) * 20 - 8])
-    got = latents.dbscan(x, 0.7, 5)
-    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.7
-    core = d.sum(1) >= 5
-    group = np.arange(len(x))
-    for _ in range(len(x)):
-        for i in np.flatnonzero(core):
-            near = d[i] & core
-            group[near] = group[near].min()
-    for i in np.flatnonzero(core):
-        for j in np.flatnonzero(core):
-            assert (got[i] == got[j]) == (group[i] == group[j])
-    assert ((got == -1) == ~(core | (d & core[None]).any(1))).all()
+def plain_dbscan(x, eps, least):
+    cells: dict[tuple, list[int]] = {}
+    for i, c in enumerate(map(tuple, np.floor(x / eps).astype(int))):
+        cells.setdefault(c, []).append(i)
+
+    def near(i: int) -> list[int]:
+        a, b = np.floor(x[i] / eps).astype(int)
+        around = [j for p in (a - 1, a, a + 1) for q in (b - 1, b, b + 1) for j in cells.get((p, q), ())]
+        around = np.array(around)
+        return around[((x[around] - x[i]) ** 2).sum(1) <= eps * eps].tolist()
+
+    label, k = np.full(len(x), -2), 0
+    for i in range(len(x)):
+        if label[i] != -2:
+            continue
+        around = near(i)
+        if len(around) < least:
+            label[i] = -1
+            continue
+        label[i], todo = k, around
+        while todo:
+            j = todo.pop()
+            if label[j] < 0:
+                first = label[j] == -2
+                label[j] = k
+                if first and len(more := near(j)) >= least:
+                    todo.extend(more)
+        k += 1
+    return label
+
+
+@pytest.mark.parametrize("seed,tile", [(1, 32), (2, 1), (3, 3)])
+def test_density_clusters_over_tiles_equal_a_plain_search(spark, monkeypatch, seed, tile):
+    monkeypatch.setattr(latents, "TILE", tile)
+    rng = np.random.default_rng(seed)
+    rows = []
+    for latent in range(2):
+        t = np.arange(120) / 119
+        snake = np.column_stack([30 * t, 5 * np.sin(8 * t)]) + rng.normal(0, 0.15, (120, 2))  # runs through many tiles
+        x = np.concatenate([snake, rng.normal((-6, 3), 0.4, (40, 2)), np.repeat([[50.0, 50.0]], 6, axis=0), np.repeat([[-40.0, 1.0]], 4, axis=0), rng.random((40, 2)) * 60 - 20])
+        order = rng.permutation(len(x))
+        rows += [("a", latent, int(b), float(x[i, 0]), float(x[i, 1])) for b, i in enumerate(order)]
+    df = spark.createDataFrame([*rows, ("a", 0, 900, None, 1.0), ("a", 1, 901, float("nan"), 1.0)], "session string, latent int, bin long, x double, y double")
+    got = {(r.latent, r.bin): r.cluster for r in latents.dbscan_per_latent(df, "latent", 1.0, 5, ["session"]).collect()}
+    assert got.pop((0, 900)) == got.pop((1, 901)) == -1
+    for latent in range(2):
+        own = [r for r in rows if r[1] == latent]
+        want = plain_dbscan(np.array([r[3:] for r in own]), 1.0, 5)
+        assert [got[latent, r[2]] for r in own] == want.tolist() and want.max() >= 2
+    assert latents.dbscan_per_latent(df.limit(0), "latent", 1.0, 5, ["session"]).count() == 0
 
 
 def test_poisson_draws_follow_the_distribution():
