@@ -30,10 +30,10 @@ def gaussian_smooth(series: DataFrame, value: str, std: float, keys: list[str],
 
 def derivative(series: DataFrame, value: str, keys: list[str], t: str = "t", name: str = "slope") -> DataFrame:
     """Central differences over time, one-sided at the ends."""
-    dealt, w, own = B.halo(series, keys, t, 1)
+    w = Window.partitionBy(*keys).orderBy(t)
     here = F.struct(F.col(t).alias("t"), F.col(value).cast("double").alias("v"))
-    with_both = dealt.withColumns({"__a": F.coalesce(F.lag(here).over(w), here), "__b": F.coalesce(F.lead(here).over(w), here)}).where(own)
-    return with_both.withColumn(name, F.when(F.col("__b.t") != F.col("__a.t"), (F.col("__b.v") - F.col("__a.v")) / (F.col("__b.t") - F.col("__a.t")))).drop("__a", "__b", "__row", "__at")
+    with_both = series.withColumns({"__a": F.coalesce(F.lag(here).over(w), here), "__b": F.coalesce(F.lead(here).over(w), here)})
+    return with_both.withColumn(name, F.when(F.col("__b.t") != F.col("__a.t"), (F.col("__b.v") - F.col("__a.v")) / (F.col("__b.t") - F.col("__a.t")))).drop("__a", "__b")
 
 
 def zscore_with_baseline(series: DataFrame, value: str, baseline: DataFrame, keys: list[str]) -> DataFrame:

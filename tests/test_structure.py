@@ -154,7 +154,7 @@ def test_blocks_give_what_whole_series_give(spark, monkeypatch, seed):
 
 def test_no_window_holds_a_whole_series(spark):
     x = spark.createDataFrame([("a", 1.0, 1.0)], "session string, t double, value double")
-    for df in (signals.gaussian_smooth(x, "value", 2.0, KEYS, "t"), signals.derivative(x, "value", KEYS), intervals.neighbours(x, x, "value", KEYS)):
+    for df in (signals.gaussian_smooth(x, "value", 2.0, KEYS, "t"), intervals.neighbours(x, x, "value", KEYS)):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         whole = [line for line in plan.split("\n") if "Window [" in line and "__block" not in line and "__at" not in line]
         assert not whole, whole
