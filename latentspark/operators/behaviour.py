@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import intervals as I
-from . import transitions
+from . import places, transitions
 
 
 def sample_reference_points(position: DataFrame, digits: int = 0) -> DataFrame:
@@ -23,13 +23,9 @@ def points_along_edges(edges: DataFrame, step: float) -> DataFrame:
     return at.select((F.col("x0") + F.col("__f") * (F.col("x1") - F.col("x0"))).alias("x"), (F.col("y0") + F.col("__f") * (F.col("y1") - F.col("y0"))).alias("y")).distinct()
 
 
-def distance_to_points(position: DataFrame, points: DataFrame, ids: list[str], most: int = 100_000) -> DataFrame:
-    """ids, away: the least distance of x, y to any reference point. The points are the maze's and are broadcast; more than `most` are an error, take coarser ones."""
-    if points.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} reference points")
-    p = F.broadcast(points.select(F.col("x").alias("__x"), F.col("y").alias("__y")))
-    d = F.sqrt((F.col("x") - F.col("__x")) ** 2 + (F.col("y") - F.col("__y")) ** 2)
-    return position.join(p, F.lit(True)).groupBy(*ids).agg(F.min(d).alias("away"))
+def distance_to_points(position: DataFrame, points: DataFrame, ids: list[str], cell: float | None = None) -> DataFrame:
+    """ids, away: the distance of x, y to the nearest reference point, through cells (`places`); any number of points will do."""
+    return places.nearest_point(position.select(*ids, "x", "y"), points, cell=cell).select(*ids, "away")
 
 
 def offtrack_candidates(series: DataFrame, keys: list[str], low: float, high: float, turn: float, close: float, order: list[str] | None = None) -> DataFrame:

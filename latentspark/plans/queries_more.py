@@ -13,6 +13,7 @@ from latentspark.operators import intervals as I
 from latentspark.operators import kernels as K
 from latentspark.operators import latents as L
 from latentspark.operators import nulls as M
+from latentspark.operators import places as P
 from latentspark.operators import selection as S
 from latentspark.operators import signals
 from latentspark.operators import tuning as T
@@ -36,6 +37,16 @@ POS = """ps AS (SELECT session, floor((t - 1704067200e0) / 3600) AS t, avg(value
       rp AS (SELECT round(x, -1) AS lin, quantile_cont(x, 0.5) AS x, quantile_cont(y, 0.5) AS y FROM ps GROUP BY 1),
       aw AS (SELECT ps.session, ps.t, min(sqrt(pow(ps.x - rp.x, 2) + pow(ps.y - rp.y, 2))) AS away FROM ps, rp GROUP BY 1, 2)"""
 
+#: The nearest point of the line through the reference points, against all of its edges.
+EDGES = """el AS (SELECT * FROM (SELECT lin AS o, x AS x0, y AS y0, lead(x) OVER (ORDER BY lin) AS x1, lead(y) OVER (ORDER BY lin) AS y1 FROM rp) WHERE x1 IS NOT NULL AND y1 IS NOT NULL),
+      ed AS (SELECT *, pow(x1 - x0, 2) + pow(y1 - y0, 2) AS l2, coalesce(sum(sqrt(pow(x1 - x0, 2) + pow(y1 - y0, 2))) OVER (ORDER BY o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM el),
+      sh AS (SELECT session, t, x, y, ed.* EXCLUDE (o), CASE WHEN l2 > 0 THEN greatest(0, least(1, ((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / l2)) ELSE 0e0 END AS f FROM ps, ed),
+      np AS (SELECT session, t, min({'d': sqrt(pow(x - x0 - f * (x1 - x0), 2) + pow(y - y0 - f * (y1 - y0), 2)), 'x0': x0, 'y0': y0, 'x1': x1, 'y1': y1, 'lin': s + f * sqrt(l2), 'x': x0 + f * (x1 - x0), 'y': y0 + f * (y1 - y0)}) AS o FROM sh GROUP BY 1, 2)"""
+
+
+def _edges(spark, sf):
+    return P.polyline(_reference(spark, sf), "lin")
+
 
 def _reference(spark, sf):
     return B.sample_reference_points(_position(spark, sf), -1)
@@ -109,6 +120,8 @@ QUERIES = [
     Query("a1_session_summary", lambda s, d: rounded(events(s, d).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))), with_(EV) + "SELECT session, count(*) AS n, round(min(t), 6) AS first, round(max(t), 6) AS last FROM ev GROUP BY 1"),
     Query("d9_distance_to_points", lambda s, d: rounded(_away(s, d), 5), with_(EV, POS) + "SELECT session, t, round(away, 5) AS away FROM aw"),
     Query("d10_reference_points", lambda s, d: rounded(_reference(s, d), 5), with_(EV, POS) + "SELECT lin, round(x, 5) AS x, round(y, 5) AS y FROM rp"),
+    Query("d10_linear_position", lambda s, d: rounded(P.linear_position(_position(s, d).select("session", "t", "x", "y"), _edges(s, d)).select("session", "t", "away", "lin", "at_x", "at_y"), 4), with_(EV, POS, EDGES) + "SELECT session, t, round(o.d, 4) + 0 AS away, round(o.lin, 4) + 0 AS lin, round(o.x, 4) + 0 AS at_x, round(o.y, 4) + 0 AS at_y FROM np"),
+    Query("d10_projected_points", lambda s, d: rounded(P.projected_points(_position(s, d), _edges(s, d), 0), 4), with_(EV, POS, EDGES) + "SELECT round(o.lin) AS lin, round(min(o2).x, 4) + 0 AS x, round(min(o2).y, 4) + 0 AS y FROM (SELECT o, {'lin': o.lin, 'x': o.x, 'y': o.y} AS o2 FROM np) GROUP BY 1"),
     Query("d11_offtrack_candidates", lambda s, d: _offtrack(s, d).select("session", "start", "end", "far", "returned", "offtrack")),
     Query("d12_behaviour_epochs", lambda s, d: _epochs(s, d)),
     Query("e2_align_labels", lambda s, d: rounded(I.interpolate_to(events(s, d), I.bins_of(events(s, d).groupBy("session").agg((F.ceil(F.min("t") / 3600) * 3600.0).alias("start"), (F.floor(F.max("t") / 3600) * 3600.0).alias("end")).withColumn("interval_id", F.lit(0)), 3600.0).select("session", "t"), "k", KEYS), 4)),
