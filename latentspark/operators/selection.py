@@ -11,9 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from latentspark.sources.shared import passing
+from latentspark.sources.shared import passing, saved
 
-from . import decode, fit, kernels, transitions
+from . import blocks, decode, fit, kernels, transitions
 
 
 def iterative_label_refit(spark: SparkSession, counts: DataFrame, start: DataFrame, n: int, std: float, rounds: int, keys: list[str]) -> tuple[DataFrame, list[float]]:
@@ -176,47 +176,159 @@ def model_selection(spark: SparkSession, train: DataFrame, test: DataFrame, grid
     return with_means.withColumn("best", F.dense_rank().over(Window.orderBy(F.desc("mean"), "config")) == 1)
 
 
-def multinomial_l1(x: np.ndarray, y: np.ndarray, kinds: int, strength: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
-    """(coefficients by kind, intercepts) for standardised columns of x: least mean log loss + strength |coefficients|, by accelerated proximal steps."""
-    n, d = x.shape
-    spread = x.std(0, ddof=1) if n > 1 else np.zeros(d)
-    z = np.where(spread > 0, (x - x.mean(0)) / np.where(spread > 0, spread, 1), 0.0)
-    z = np.column_stack([z, np.ones(n)])
-    hot = np.eye(kinds)[y]
-    size = 2.0 / max(np.linalg.eigvalsh(z.T @ z)[-1] / n, 1e-12)
-    w = ahead = np.zeros((d + 1, kinds))
-    t = 1.0
-    for _ in range(rounds):
-        e = z @ ahead
+class Proximal:
+    """Accelerated proximal steps of several L1 multinomial logits over the same standardised rows: least mean log loss + strength |coefficients|."""
+
+    def __init__(self, moments: np.ndarray, n: int, fits: int, kinds: int, strength: float):
+        """moments: z'z of the rows z, whose last column is 1."""
+        self.n, self.strength, self.t = n, strength, 1.0
+        self.size = 2.0 / max(np.linalg.eigvalsh(moments)[-1] / n, 1e-12)
+        self.w = np.zeros((fits, len(moments), kinds))
+        self.ahead = self.w
+        self.moving = np.ones(fits, bool)
+
+    def step(self, slopes: np.ndarray) -> None:
+        """slopes: `log_loss_slopes` of all rows at `ahead`. A fit that no longer moves stays."""
+        new = self.ahead - self.size * slopes / self.n
+        new[:, :-1] = np.sign(new[:, :-1]) * np.maximum(np.abs(new[:, :-1]) - self.size * self.strength, 0)
+        new[~self.moving] = self.w[~self.moving]
+        later = (1 + np.sqrt(1 + 4 * self.t * self.t)) / 2
+        self.ahead = new + (self.t - 1) / later * (new - self.w)
+        self.moving &= np.abs(new - self.w).max(axis=(1, 2)) >= 1e-9
+        self.w, self.t = new, later
+
+
+def standardised(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Columns less their mean by their spread (0 without one), and a column of ones."""
+    return np.column_stack([np.where(spread > 0, (x - mean) / np.where(spread > 0, spread, 1), 0.0), np.ones(len(x))])
+
+
+def log_loss_slopes(z: np.ndarray, labels: list[np.ndarray], w: np.ndarray, moving: np.ndarray) -> np.ndarray:
+    """Slopes of the summed log loss of each fit's labels at its coefficients; those of fits that don't move stay 0."""
+    out = np.zeros_like(w)
+    for f in np.flatnonzero(moving):
+        e = z @ w[f]
         e = np.exp(e - e.max(1, keepdims=True))
-        new = ahead - size * (z.T @ (e / e.sum(1, keepdims=True) - hot)) / n
-        new[:-1] = np.sign(new[:-1]) * np.maximum(np.abs(new[:-1]) - size * strength, 0)
-        later = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        ahead = new + (t - 1) / later * (new - w)
-        if np.abs(new - w).max() < 1e-9:
-            w = new
-            break
-        w, t = new, later
-    return z @ w, w
+        e /= e.sum(1, keepdims=True)
+        e[np.arange(len(z)), labels[f]] -= 1
+        out[f] = z.T @ e
+    return out
 
 
-def label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float = 0.01, keys: list[str] | None = None, order: str = "event_bin") -> DataFrame:
-    """keys, shuffle, accuracy of an L1 multinomial logit of the label on standardised features, a model for each group of keys; shuffle 0 is observed, in others the labels are permuted by a hashed draw. All fits are one job."""
+def multinomial_l1(x: np.ndarray, y: np.ndarray, kinds: int, strength: float, rounds: int = 400) -> tuple[np.ndarray, np.ndarray]:
+    """(scores by kind, coefficients by kind with the intercepts last) for standardised columns of x."""
+    w, z = _fitted(x, [y], kinds, strength, rounds)
+    return z @ w[0], w[0]
+
+
+def _fitted(x: np.ndarray, labels: list[np.ndarray], kinds: int, strength: float, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    z = standardised(x, x.mean(0), x.std(0, ddof=1) if len(x) > 1 else np.zeros(x.shape[1]))
+    fits = Proximal(z.T @ z, len(z), len(labels), kinds, strength)
+    for _ in range(rounds):
+        fits.step(log_loss_slopes(z, labels, fits.ahead, fits.moving))
+        if not fits.moving.any():
+            break
+    return fits.w, z
+
+
+def permuted(at: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """Places of `at` in a permutation of 0 .. n - 1 drawn by the seed: a keyed network of eight rounds over halves of the bits, walked until it falls below n. Any part of it can be had alone."""
+    half = np.uint64(max(1, (max(n - 1, 1).bit_length() + 1) // 2))
+    mask, out = np.uint64((1 << int(half)) - 1), at.astype(np.uint64)
+    odd = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], np.uint64)  # odd multipliers of a well-known mixer
+    todo = np.arange(len(out))
+    while len(todo):
+        left, right = out[todo] >> half, out[todo] & mask
+        for k in range(8):
+            m = (right + np.uint64(seed)) * odd[0] + np.uint64((k + 1) * int(odd[1]) % 2**64)
+            m = (m ^ (m >> np.uint64(30))) * odd[1]
+            m = (m ^ (m >> np.uint64(27))) * odd[2]
+            left, right = right, left ^ ((m ^ (m >> np.uint64(31))) & mask)
+        out[todo] = (left << half) | right
+        todo = todo[out[todo] >= n]
+    return out.astype(np.int64)
+
+
+def _labels(at: np.ndarray, y: np.ndarray, sizes: np.ndarray, names: str, n_shuffles: int) -> list[np.ndarray]:
+    """The labels of rows `at` of a group, and those in each shuffle: a permuted row takes the label that its place has among all labels in order, so only their counts are needed."""
+    ends = np.cumsum(sizes)
+    return [y, *(np.searchsorted(ends, permuted(at, int(ends[-1]), zlib.crc32(f"{names}{s}".encode())), "right") for s in range(1, n_shuffles + 1))]
+
+
+def label_logit(rows: DataFrame, label: str, features: list[str], n_shuffles: int, strength: float = 0.01, keys: list[str] | None = None, order: str = "event_bin", one_task: int = 200_000, rounds: int = 400) -> DataFrame:
+    """keys, shuffle, accuracy of an L1 multinomial logit of the label on standardised features, a model for each group of keys; shuffle 0 is observed, in others the labels are permuted by a hashed draw. Rows with a null in label, features or order don't count.
+
+    No row is copied: a group of at most `one_task` rows is a task that fits all its shuffles; of larger groups, a round is one pass over their saved rows in which tasks sum the slopes of all shuffles,
+    and only the models (one for each shuffle of such a group) come to the driver. Both take the same steps. Rows of a group are numbered by `order`, which should tell them apart.
+    """
     keys = keys or []
-    by = [*keys, "shuffle"]
-    copies = rows.na.drop(subset=[label, *features]).select(*keys, F.col(order).alias("__o"), F.col(label).alias("__l"), *(F.col(f).cast("double").alias(f"__f{i}") for i, f in enumerate(features))).withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles))))
+    fs = [f"__f{i}" for i in range(len(features))]
+    plain = rows.na.drop(subset=[label, *features, order]).select(*keys, F.col(order).alias("__o"), F.col(label).alias("__l"), *(F.col(f).cast("double").alias(c) for f, c in zip(features, fs, strict=True)))
+    counted = plain.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    large = saved(counted.where(F.col("__n") > one_task))
+    names = lambda r: "".join(f"{r[k]}|" for k in keys)
 
     def fitted(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("__o")
-        kinds, y = np.unique(g["__l"].to_numpy(), return_inverse=True)
-        shuffle = int(g["shuffle"].iloc[0])
-        if shuffle:
-            y = np.random.default_rng(zlib.crc32("|".join(str(g[k].iloc[0]) for k in by).encode())).permutation(y)
-        score, _ = multinomial_l1(g[[f"__f{i}" for i in range(len(features))]].to_numpy(float), y, len(kinds), strength)
-        return pd.DataFrame({k: [g[k].iloc[0]] for k in by} | {"accuracy": [float((score.argmax(1) == y).mean())]})
-
-    fields = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-    return copies.groupBy(*by).applyInPandas(fitted, (fields + ", " if fields else "") + "shuffle int, accuracy double")
+        g = g.sort_values("__o", kind="stable")
+        kinds, y, sizes = np.unique(g["__l"].to_numpy(), return_inverse=True, return_counts=True)
+        labels = _labels(np.arange(len(g)), y, sizes, names(g.iloc[0]), n_shuffles)
+        w, z = _fitted(g[fs].to_numpy(float), labels, len(kinds), strength, rounds)
+        hit = [float(((z @ w[s]).argmax(1) == labels[s]).mean()) for s in range(n_shuffles + 1)]
+        return pd.DataFrame({k: [g[k].iloc[0]] * len(hit) for k in keys} | {"shuffle": range(len(hit)), "accuracy": hit})
+
+    fields = "".join(f"{k} {rows.schema[k].dataType.simpleString()}, " for k in keys) + "shuffle int, accuracy double"
+    if large.isEmpty():
+        return plain.groupBy(*keys).applyInPandas(fitted, fields)
+    same = F.lit(True)
+    for k in keys:
+        same = same & plain[k].eqNullSafe(large[k])
+    big = _large_logits(plain.join(F.broadcast(large), same, "left_semi"), keys, fs, n_shuffles, strength, rounds, fields)  # each stands for over one_task rows
+    small = plain.join(F.broadcast(large), same, "left_anti")
+    return small.groupBy(*keys).applyInPandas(fitted, fields).unionByName(big)
+
+
+def _large_logits(plain: DataFrame, keys: list[str], fs: list[str], n_shuffles: int, strength: float, rounds: int, fields: str) -> DataFrame:
+    """label_logit of groups that are too large for a task."""
+    spark, fits = plain.sparkSession, n_shuffles + 1
+    group = F.to_json(F.struct(*(F.col(k) for k in keys)), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    with passing(spark) as save:
+        numbered = save(blocks.row_numbers(plain.withColumn("__g", group), ["__g"], "__o", "__i"))
+        stats = {r["__g"]: r for r in numbered.groupBy("__g").agg(*(F.first(k).alias(k) for k in keys), *(F.avg(c).alias(f"__m{c}") for c in fs), *(F.stddev_samp(c).alias(f"__s{c}") for c in fs)).collect()}
+        kinds: dict[str, list] = {}
+        for r in numbered.groupBy("__g", "__l").count().orderBy("__g", "__l").collect():
+            kinds.setdefault(r["__g"], []).append((r["__l"], r["count"]))
+
+        def each(batches, use):
+            """use(group, rows z, labels of each fit, start of the group's sums) over a task's rows, then its sums."""
+            sums: dict[str, np.ndarray] = {}
+            for batch in batches:
+                for g, part in batch.groupby("__g"):
+                    r, known = stats[g], kinds[g]
+                    z = standardised(part[fs].to_numpy(float), np.array([r[f"__m{c}"] for c in fs]), np.array([r[f"__s{c}"] or 0.0 for c in fs]))
+                    y = np.searchsorted(np.array([k for k, _ in known]), part["__l"].to_numpy())
+                    labels = _labels(part["__i"].to_numpy(), y, np.array([n for _, n in known]), "".join(f"{r[k]}|" for k in keys), n_shuffles)
+                    got = use(g, z, labels)
+                    sums[g] = sums[g] + got if g in sums else got
+            yield pd.DataFrame([(g, s.ravel().tolist()) for g, s in sums.items()], columns=["g", "v"])
+
+        def summed(use) -> dict[str, np.ndarray]:
+            parts = numbered.mapInPandas(lambda batches: each(batches, use), "g string, v array<double>").select("g", F.posexplode("v").alias("ix", "v"))
+            by_group = parts.groupBy("g", "ix").agg(F.sum("v").alias("v")).groupBy("g").agg(F.array_sort(F.collect_list(F.struct("ix", "v"))).alias("v"))
+            return {r.g: np.array([x.v for x in r.v]) for r in by_group.collect()}  # the size of the models
+
+        d = len(fs) + 1
+        moments = summed(lambda g, z, labels: z.T @ z)
+        models = {g: Proximal(m.reshape(d, d), sum(n for _, n in kinds[g]), fits, len(kinds[g]), strength) for g, m in moments.items()}
+        for _ in range(rounds):
+            now = spark.sparkContext.broadcast({g: (m.ahead, m.moving) for g, m in models.items()})
+            for g, v in summed(lambda g, z, labels, now=now: log_loss_slopes(z, labels, *now.value[g])).items():
+                models[g].step(v.reshape(models[g].w.shape))
+            now.unpersist()
+            if not any(m.moving.any() for m in models.values()):
+                break
+        last = spark.sparkContext.broadcast({g: m.w for g, m in models.items()})
+        hits = summed(lambda g, z, labels: np.array([float(((z @ last.value[g][f]).argmax(1) == labels[f]).sum()) for f in range(fits)]))
+    return spark.createDataFrame([(*(stats[g][k] for k in keys), f, float(h / models[g].n)) for g, v in hits.items() for f, h in enumerate(v)], fields)
 
 
 def logit_test(accuracies: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:
