@@ -18,7 +18,7 @@ def test_shuffle_test_has_every_day(spark):
 
 
 def test_gain_sweep_counts_every_day(spark):
-    n = nulls.event_nulls(day_counts(spark, SF), hourly_tuning(hourly_counts(spark, SF)), ["session", "event"], 20, [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0])
+    n = nulls.event_nulls(day_counts(spark, SF), hourly_tuning(hourly_counts(spark, SF)), ["session", "event"], 100, [0.25, 0.5, 1.0, 2.0, 4.0, 8.0, 16.0, 32.0])
     assert n.select("session", "event").distinct().count() == len(SESSIONS) * DAYS
     got, want = QUERIES["m4_gain_sweep"](spark, SF), nulls.gain_sweep(n, ["session", "event"])
     assert [(r.gain, r.train, r.test) for r in got.orderBy("gain").collect()] == [(r.gain, pytest.approx(r.train, abs=1e-6), pytest.approx(r.test, abs=1e-6)) for r in want.orderBy("gain").collect()]
