@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latentspark.sources.shared import saved
+
 from . import blocks as B
 from . import intervals as I
 
@@ -56,10 +58,11 @@ def population_rate(spikes: DataFrame, epochs: DataFrame, dt: float, keys: list[
 def detect_bursts(spikes: DataFrame, epochs: DataFrame, dt: float, std: float, keys: list[str], z_peak: float = 3.0, shortest: float = 0.05, longest: float = 0.5, baseline: DataFrame | None = None) -> DataFrame:
     """keys, start, end, n (bins), peak: runs of z > 0 that reach z_peak and last from shortest to longest, both included.
 
-    Rate over fine bins, smoothed by std bins, z-scored on the baseline (all of it by default).
+    Rate over fine bins, smoothed by std bins, z-scored on the baseline (all of it by default). The rate is saved before and after smoothing, as each
+    is read several times: one plan of all steps outgrows the driver.
     """
-    rate = population_rate(spikes, epochs, dt, keys)
-    smooth = gaussian_smooth(rate, "n", std, [*keys, "interval_id"], name="rate")
+    rate = saved(population_rate(spikes, epochs, dt, keys))
+    smooth = saved(gaussian_smooth(rate, "n", std, [*keys, "interval_id"], name="rate"))
     z = zscore_with_baseline(smooth, "rate", baseline if baseline is not None else epochs, keys)
     found = I.runs(z, F.col("z") > 0, [*keys, "interval_id"], aggregates=[F.max("z").alias("peak")])
     length = F.col("end") - F.col("start")

@@ -89,11 +89,14 @@ class Mazes:
 
 
 def maze_tuning(spikes: DataFrame, position: DataFrame, epochs: DataFrame, mazes: Mazes, dt: float, keys: list[str], least_seconds: float | None = None) -> DataFrame:
-    """latent, unit, rate (counts in a second) over the bins of all mazes; null where too little time was spent. position: keys, t, maze, coordinates; what happens between two samples belongs to the nearer one."""
+    """latent, unit, rate (counts in a second) over the bins of all mazes; null where too little time was spent. position: keys, t, maze, coordinates; what happens between two samples belongs to the nearer one.
+
+    Counts and places are saved on the way: each is read several times, and one plan of all of it outgrows the driver.
+    """
     spark = spikes.sparkSession
-    counts = intervals.count_in_bins(spikes, epochs, dt, keys)
+    counts = saved(intervals.count_in_bins(spikes, epochs, dt, keys))
     centres = intervals.bins_of(epochs.select(*keys, "interval_id", "start", "end"), dt).select(*keys, "interval_id", "bin", "t")
-    placed = tuning.align_labels(position, centres, [], ["maze", *mazes.coordinates], keys).withColumn("latent", mazes.flat()).where("latent is not null").select(*keys, "interval_id", "bin", "latent")
+    placed = saved(tuning.align_labels(position, centres, [], ["maze", *mazes.coordinates], keys).withColumn("latent", mazes.flat()).where("latent is not null").select(*keys, "interval_id", "bin", "latent"))
     seconds = tuning.occupancy(placed, "latent", dt)
     summed = tuning.counts_by_bin(counts, placed, [*keys, "interval_id", "bin"], "latent")
     return tuning.tuning_by_label(summed, seconds, "latent", mazes.smoothing(spark), least_seconds)
@@ -123,7 +126,7 @@ def replay_on_mazes(
     on = epochs.select(*keys, "start", "end")
     if offtrack is not None:
         on = intervals.set_operation(on, offtrack.select(*keys, "start", "end"), "diff", keys)
-    on = on.withColumn("interval_id", F.xxhash64(*keys, "start"))
+    on = saved(on.withColumn("interval_id", F.xxhash64(*keys, "start")))
     rates = saved(maze_tuning(spikes, position, on, mazes, tuning_dt, keys, least_seconds))
     valid = sorted(r.latent for r in tuning.valid_bins(rates, "latent").where("valid").collect())  # the grid's
     rates = rates.where(F.col("latent").isin(valid))
