@@ -1,12 +1,14 @@
 """Faults found in the third round: plans that outgrow the driver, noise at limits, windows left out, pairs by copies."""
 
 import numpy as np
-from pyspark.sql import functions as F
+import pandas as pd
 
 from latentspark.operators import signals
-from latentspark.plans import mazes
+from latentspark.plans import catalog, mazes
 from latentspark.sources import shared
 
+QUERIES = catalog.queries()
+
 
 def test_steps_of_the_maze_tuning_and_the_bursts_have_small_plans(spark, monkeypatch):
     """Each plan is kept by the driver whole, again for each stage that ends."""
@@ -27,3 +29,15 @@ def test_steps_of_the_maze_tuning_and_the_bursts_have_small_plans(spark, monkeyp
         written(df, f"{shared.shared_folder(spark)}")
         assert df.count() > 0
     assert max(seen) <= 30
+
+
+def _tail_of_events(folder):
+    """Two bursts of one session, the last of them at the very end; one file, as the streams' source expects."""
+    at = pd.to_datetime([f"2024-01-01 {t}" for t in ("00:00:00", "00:02:00", "11:50:00", "11:52:00")]).astype("datetime64[us]")
+    pd.DataFrame({"event_id": range(4), "ts": at, "user_id": 4, "event_type": "view", "value": 1.0, "props": '{"k": 1}'}).to_parquet(f"{folder}/events.parquet")
+    return str(folder)
+
+
+def test_windows_at_the_end_of_the_stream_count(spark, tmp_path):
+    got = QUERIES["t1_counts_by_window"](spark, _tail_of_events(tmp_path)).collect()
+    assert sorted((r.session, r.unit, r.start, r.n) for r in got) == [("s0", "view", 1704067200.0, 2), ("s0", "view", 1704067200.0 + 21600, 2)]
