@@ -41,3 +41,8 @@ def _tail_of_events(folder):
 def test_windows_at_the_end_of_the_stream_count(spark, tmp_path):
     got = QUERIES["t1_counts_by_window"](spark, _tail_of_events(tmp_path)).collect()
     assert sorted((r.session, r.unit, r.start, r.n) for r in got) == [("s0", "view", 1704067200.0, 2), ("s0", "view", 1704067200.0 + 21600, 2)]
+
+
+def test_bursts_at_the_end_of_the_stream_count(spark, tmp_path):
+    got = QUERIES["t2_session_windows"](spark, _tail_of_events(tmp_path)).collect()
+    assert sorted((r.session, r.start - 1704067200, r.end - 1704067200, r.n) for r in got) == [("s0", 0.0, 1020.0, 2), ("s0", 42600.0, 43620.0, 2)]
