@@ -187,9 +187,13 @@ def mean_error_band(table: DataFrame, by: list[str], y: str) -> DataFrame:
 
 
 def null_threshold(null: DataFrame, observed: DataFrame, value: str, alpha: float, keys: list[str]) -> DataFrame:
-    """keys, observed value, low, high (alpha and 1 - alpha quantiles of the null), outside."""
+    """keys, observed value, low, high (alpha and 1 - alpha quantiles of the null), outside.
+
+    A value within a billionth of a limit is at it: a null that is the observed mean again must not be left by the order of its sum.
+    """
     limits = null.groupBy(*keys).agg(F.percentile(value, alpha).alias("low"), F.percentile(value, 1 - alpha).alias("high"))
-    return observed.join(limits, keys).withColumn("outside", (F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
+    near = lambda c: F.abs(F.col(c)) * 1e-9
+    return observed.join(limits, keys).withColumn("outside", (F.col(value) < F.col("low") - near("low")) | (F.col(value) > F.col("high") + near("high")))
 
 
 def gather_sessions(shuffles: DataFrame, observed: DataFrame, session: str, keys: list[str]) -> DataFrame:

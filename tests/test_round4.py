@@ -1,9 +1,11 @@
 """Faults found in the third round: plans that outgrow the driver, noise at limits, windows left out, pairs by copies."""
 
+import math
+
 import numpy as np
 import pandas as pd
 
-from latentspark.operators import signals
+from latentspark.operators import perievent, signals
 from latentspark.plans import catalog, mazes
 from latentspark.sources import shared
 
@@ -46,3 +48,11 @@ def test_windows_at_the_end_of_the_stream_count(spark, tmp_path):
 def test_bursts_at_the_end_of_the_stream_count(spark, tmp_path):
     got = QUERIES["t2_session_windows"](spark, _tail_of_events(tmp_path)).collect()
     assert sorted((r.session, r.start - 1704067200, r.end - 1704067200, r.n) for r in got) == [("s0", 0.0, 1020.0, 2), ("s0", 42600.0, 43620.0, 2)]
+
+
+def test_a_null_that_repeats_the_observed_mean_is_not_outside(spark):
+    """Every shuffle holds the same values, summed in another order; the SQL's own answer is that of its sums' order."""
+    mean = math.nextafter(0.1, 0.0)
+    null = spark.createDataFrame([("a", s, 0.1) for s in range(5)] + [("b", s, mean) for s in range(5)] + [("c", s, 0.1) for s in range(5)], "k string, shuffle int, mean double")
+    seen = spark.createDataFrame([("a", mean), ("b", 0.1), ("c", 0.1 + 1e-6)], "k string, mean double")
+    assert {r.k: r.outside for r in perievent.null_threshold(null, seen, "mean", 0.025, ["k"]).collect()} == {"a": False, "b": False, "c": True}
