@@ -16,16 +16,29 @@ from latentspark.functions.stats import bin_index, ols
 from .signals import vector_distance
 
 
+#: Places in a block of pairwise_distance at most.
+PLACES = 128
+
+
 def pairwise_distance(vectors: DataFrame, vector: str, metric: str, order: str, keys: list[str], max_lag: int, carry: list[str] | None = None) -> DataFrame:
     """keys, i, j, lag, d of rows i < j at most max_lag places apart in order, and carried columns of both (c_i, c_j).
 
-    Places are joined by equality with the places that they reach, so the work is rows times max_lag; all pairs of n rows are max_lag = n - 1.
+    Places are dealt into blocks of about max_lag, PLACES at most, and blocks that reach each other are joined by equality: a vector is copied once for each block
+    that it meets, not for each place. The work is rows times max_lag; all pairs of n rows are max_lag = n - 1.
     """
     carry = carry or []
-    placed = vectors.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
-    a = placed.select(*keys, F.col("__r").alias("i"), F.col(vector).alias("__a"), *(F.col(c).alias(f"{c}_i") for c in carry)).withColumn("lag", F.explode(F.sequence(F.lit(1), F.lit(max_lag)))).withColumn("j", F.col("i") + F.col("lag"))
-    b = placed.select(*keys, F.col("__r").alias("j"), F.col(vector).alias("__v"), *(F.col(c).alias(f"{c}_j") for c in carry))
-    return a.join(b, [*keys, "j"]).withColumn("d", vector_distance(F.col("__a"), F.col("__v"), metric)).drop("__a", "__v")
+    size = max(1, min(max_lag + 1, PLACES))
+    reach = -(-max_lag // size)
+    every = Window.partitionBy(*keys)
+    placed = vectors.withColumns({"__r": F.row_number().over(every.orderBy(order)), "__n": F.count(F.lit(1)).over(every)})
+    placed = placed.withColumns({"__k": F.floor((F.col("__r") - 1) / size).cast("long"), "__last": F.floor((F.col("__n") - 1) / size).cast("long")})
+    ahead = F.sequence(F.col("__k"), F.least(F.col("__k") + reach, F.col("__last")))
+    back = F.sequence(F.greatest(F.col("__k") - reach, F.lit(0)), F.col("__k"))
+    a = placed.select(*keys, F.col("__k").alias("__ka"), F.explode(ahead).alias("__kb"), F.col("__r").alias("i"), F.col(vector).alias("__a"), *(F.col(c).alias(f"{c}_i") for c in carry))
+    b = placed.select(*keys, F.explode(back).alias("__ka"), F.col("__k").alias("__kb"), F.col("__r").alias("j"), F.col(vector).alias("__v"), *(F.col(c).alias(f"{c}_j") for c in carry))
+    lag = F.col("j") - F.col("i")
+    pairs = a.join(b, [*keys, "__ka", "__kb"]).where((lag > 0) & (lag <= max_lag)).withColumns({"lag": lag, "d": vector_distance(F.col("__a"), F.col("__v"), metric)})
+    return pairs.select(*keys, "i", "j", "lag", *(f"{c}_i" for c in carry), *(f"{c}_j" for c in carry), "d")
 
 
 def distance_by_lag(pairs: DataFrame, lag: str = "lag") -> DataFrame:

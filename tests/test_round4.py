@@ -1,11 +1,13 @@
 """Faults found in the third round: plans that outgrow the driver, noise at limits, windows left out, pairs by copies."""
 
 import math
+import time
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import functions as F
 
-from latentspark.operators import perievent, signals
+from latentspark.operators import distances, perievent, signals
 from latentspark.plans import catalog, mazes
 from latentspark.sources import shared
 
@@ -56,3 +58,30 @@ def test_a_null_that_repeats_the_observed_mean_is_not_outside(spark):
     null = spark.createDataFrame([("a", s, 0.1) for s in range(5)] + [("b", s, mean) for s in range(5)] + [("c", s, 0.1) for s in range(5)], "k string, shuffle int, mean double")
     seen = spark.createDataFrame([("a", mean), ("b", 0.1), ("c", 0.1 + 1e-6)], "k string, mean double")
     assert {r.k: r.outside for r in perievent.null_threshold(null, seen, "mean", 0.025, ["k"]).collect()} == {"a": False, "b": False, "c": True}
+
+
+def _shuffled_bytes(spark):
+    time.sleep(1)  # the status store lags a little
+    return spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+
+
+def test_pairs_copy_a_vector_for_blocks_and_not_for_places(spark):
+    rng = np.random.default_rng(1)
+    rows = [(k // 200, k, rng.random(64).tolist()) for k in range(400)]
+    vectors = spark.createDataFrame(rows, "g long, k long, v array<double>")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = _shuffled_bytes(spark)
+        got = {(r.g, r.i, r.j): (r.lag, r.d) for r in distances.pairwise_distance(vectors, "v", "euclidean", "k", ["g"], 99).collect()}
+        assert _shuffled_bytes(spark) - before < 10 * 400 * 64 * 8
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    want = {(g, i, j): (j - i, float(np.linalg.norm(np.subtract(rows[g * 200 + i - 1][2], rows[g * 200 + j - 1][2])))) for g in range(2) for i in range(1, 201) for j in range(i + 1, min(200, i + 99) + 1)}
+    assert got.keys() == want.keys() and all(got[k][0] == v[0] and abs(got[k][1] - v[1]) < 1e-9 for k, v in want.items())
+
+
+def test_pairs_over_several_blocks(spark):
+    vectors = spark.createDataFrame([(k, [float(k)]) for k in range(300)], "k long, v array<double>").withColumn("g", F.lit("a"))
+    got = [(r.i, r.j, r.lag, r.d) for r in distances.pairwise_distance(vectors, "v", "euclidean", "k", ["g"], 280).collect()]
+    assert sorted(got) == [(i, j, j - i, float(j - i)) for i in range(1, 301) for j in range(i + 1, min(300, i + 280) + 1)]
