@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -140,7 +139,7 @@ def shuffled_sums(pairs: DataFrame, labels: DataFrame, n_shuffles: int, keys: li
     """keys, shuffle (0: as seen), bin, n, sx, sxx, sy, sxy: sums over pairs of x, the |difference of labels|, and y, the distance, in bins [a, b) of x, or all in bin 0.
 
     pairs: keys, i, j, d; labels: keys, i, label, i from 1 within keys. Permuting rows and columns of the distances is permuting the labels: the labels of all shuffles are
-    one array of arrays for each key, and meet its pairs in blocks. A task adds up by place, so rows are as many as shuffles times bins of each block.
+    one array of arrays for each key, and meet its pairs in blocks. A task adds up a block at a time, so it holds PAIRS pairs or so however many blocks it has; rows are as many as shuffles times bins of each block.
     """
     keys = keys or []
     copies = labels.withColumn("shuffle", F.explode(F.sequence(F.lit(0), F.lit(n_shuffles))))
@@ -150,29 +149,29 @@ def shuffled_sums(pairs: DataFrame, labels: DataFrame, n_shuffles: int, keys: li
     moved = copies.select(*keys, "shuffle", drawn.alias("__r"), F.col("label").cast("double").alias("label")).groupBy(*keys, "shuffle").agg(in_order("__r", "label").alias("__l"))
     known = moved.groupBy(*keys).agg(in_order("shuffle", "__l").alias("__l"))
     many = pairs.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / PAIRS).cast("long").alias("__b"))
-    dealt = pairs.select(*keys, "i", "j", "d").join(many, keys) if keys else pairs.select("i", "j", "d").join(F.broadcast(many), F.lit(True))
-    blocks = dealt.withColumn("__k", F.pmod(F.xxhash64("i", "j"), "__b")).groupBy(*keys, "__k").agg(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d"))).alias("__p"))
-    held = blocks.select(*keys, F.col("__p.i").alias("i"), F.col("__p.j").alias("j"), F.col("__p.d").alias("d"))
-    held = held.join(known, keys) if keys else held.join(F.broadcast(known), F.lit(True))
+    by_key = lambda x, y: x.join(y, keys) if keys else x.join(F.broadcast(y), F.lit(True))
+    dealt = by_key(pairs.select(*keys, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("d").cast("double").alias("d")), many).withColumn("__k", F.pmod(F.xxhash64("i", "j"), "__b")).drop("__b")
+    met = by_key(known, many).select(*(F.col(k).alias(f"__of_{k}") for k in keys), F.explode(F.sequence(F.lit(0).cast("long"), F.col("__b") - 1)).alias("__of"), "__l")
     cut = np.array(edges, float) if edges else None
-
-    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for g in batches:
-            for _, r in g.iterrows():
-                i, j, d, out = np.asarray(r["i"]) - 1, np.asarray(r["j"]) - 1, np.asarray(r["d"], float), []
-                for s, one in enumerate(r["__l"]):
-                    one = np.asarray(one, float)
-                    x = np.abs(one[i] - one[j])
-                    at = np.searchsorted(cut, x, "right") - 1 if cut is not None else np.zeros(len(x), np.int64)
-                    good = (at >= 0) & (at < (len(cut) - 1 if cut is not None else 1))
-                    at, x, y = at[good], x[good], d[good]
-                    size = len(cut) - 1 if cut is not None else 1
-                    sums = [np.bincount(at, w, size) for w in (None, x, x * x, y, x * y)]
-                    out += [(s, b, int(sums[0][b]), *(float(v[b]) for v in sums[1:])) for b in np.flatnonzero(sums[0]).tolist()]
-                yield pd.DataFrame({k: [r[k]] * len(out) for k in keys} | dict(zip(("shuffle", "bin", "n", "sx", "sxx", "sy", "sxy"), zip(*out, strict=True), strict=True)) if out else {c: [] for c in [*keys, "shuffle", "bin", "n", "sx", "sxx", "sy", "sxy"]})
+    names = [*keys, "shuffle", "bin", "n", "sx", "sxx", "sy", "sxy"]
+
+    def add(block: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(block) and len(held):
+            i, j, d = block["i"].to_numpy() - 1, block["j"].to_numpy() - 1, block["d"].to_numpy(float)
+            for s, one in enumerate(held["__l"].iloc[0]):
+                one = np.asarray(one, float)
+                x = np.abs(one[i] - one[j])
+                at = np.searchsorted(cut, x, "right") - 1 if cut is not None else np.zeros(len(x), np.int64)
+                good = (at >= 0) & (at < (len(cut) - 1 if cut is not None else 1))
+                at, x, y = at[good], x[good], d[good]
+                size = len(cut) - 1 if cut is not None else 1
+                sums = [np.bincount(at, w, size) for w in (None, x, x * x, y, x * y)]
+                out += [(s, b, int(sums[0][b]), *(float(v[b]) for v in sums[1:])) for b in np.flatnonzero(sums[0]).tolist()]
+        return pd.DataFrame([(*(block[k].iloc[0] for k in keys), *o) for o in out], columns=names)
 
     fields = "".join(f"{k} {pairs.schema[k].dataType.simpleString()}, " for k in keys)
-    parts = held.mapInPandas(add, f"{fields}shuffle int, bin int, n long, sx double, sxx double, sy double, sxy double")
+    parts = dealt.groupBy(*keys, "__k").cogroup(met.groupBy(*(f"__of_{k}" for k in keys), "__of")).applyInPandas(add, f"{fields}shuffle int, bin int, n long, sx double, sxx double, sy double, sxy double")
     return parts.groupBy(*keys, "shuffle", "bin").agg(*(F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sy", "sxy")))
 
 

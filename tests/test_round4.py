@@ -85,3 +85,19 @@ def test_pairs_over_several_blocks(spark):
     vectors = spark.createDataFrame([(k, [float(k)]) for k in range(300)], "k long, v array<double>").withColumn("g", F.lit("a"))
     got = [(r.i, r.j, r.lag, r.d) for r in distances.pairwise_distance(vectors, "v", "euclidean", "k", ["g"], 280).collect()]
     assert sorted(got) == [(i, j, j - i, float(j - i)) for i in range(1, 301) for j in range(i + 1, min(300, i + 280) + 1)]
+
+
+def test_shuffled_sums_take_a_block_at_a_time(spark, monkeypatch):
+    """Blocks go to a task one by one; gathered as rows, a batch held as many of them as the task had."""
+    rng = np.random.default_rng(2)
+    x, labels = rng.random(12), rng.random(12)
+    pairs = spark.createDataFrame([("a", i + 1, j + 1, float(abs(x[i] - x[j]))) for i in range(12) for j in range(i + 1, 12)], "g string, i int, j int, d double")
+    places = spark.createDataFrame([("a", i + 1, float(v)) for i, v in enumerate(labels)], "g string, i int, label double")
+    whole = {(r.shuffle, r.n): r.sxy for r in distances.shuffled_sums(pairs, places, 3, ["g"]).collect()}
+    monkeypatch.setattr(distances, "PAIRS", 10)
+    sums = distances.shuffled_sums(pairs, places, 3, ["g"])
+    assert "CoGroup" in sums._jdf.queryExecution().executedPlan().toString()
+    got = {(r.shuffle, r.n): r.sxy for r in sums.collect()}
+    assert got.keys() == whole.keys() == {(s, 66) for s in range(4)} and all(abs(got[k] - whole[k]) < 1e-9 for k in got)
+    seen = sum(abs(labels[i] - labels[j]) * abs(x[i] - x[j]) for i in range(12) for j in range(i + 1, 12))
+    assert abs(got[0, 66] - seen) < 1e-9
