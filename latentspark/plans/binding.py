@@ -51,6 +51,11 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     return df.select(*((F.round(F.col(f"`{c}`"), digits) + 0.0).alias(c) if kinds[c] in ("double", "float") else F.col(f"`{c}`") for c in df.columns))
 
 
+def rounded_halves_up(df: DataFrame, digits: int) -> DataFrame:
+    """df with its doubles rounded; values that are a half of the last digit but for the order of their sums count as that half, so they go the same way whatever the order."""
+    return rounded(rounded(df, digits + 6), digits)
+
+
 def half_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """session, interval_id, start, end: the first half of each day."""
     s = events(spark, sf_dir).select("session").distinct()
