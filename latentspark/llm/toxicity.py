@@ -38,6 +38,8 @@ MARGIN = 1.0
 THRESHOLD = 0.7
 #: Labels that are broadcast at most; beyond, the join is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Files at most that the sample is saved in, and its counts: both are bounded, and on a local folder Hadoop starts processes for each file (chmod), from a JVM whose memory these show until they run.
+SAMPLE_FILES = 16
 
 #: Letters of other scripts that look like Latin ones, then digits and signs that stand for letters.
 LOOKALIKES = {"а": "a", "в": "b", "е": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ј": "j", "ѕ": "s", "ԁ": "d",
@@ -183,7 +185,7 @@ def learn(sample: DataFrame) -> tuple[list[tuple[str, float]], list[str]]:
         table = fold_table()
         return lambda text: possible_entries(folded(text, table).split())
 
-    totals = saved(_label_counts(sample, starts))
+    totals = saved(_label_counts(sample, starts).coalesce(SAMPLE_FILES))
     n = totals.where("thing = ''").first()
     if not n or not n.bad:
         return [], []
@@ -235,7 +237,7 @@ class Model:
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = saved(training_sample(docs, labels))
+    sample = saved(training_sample(docs, labels).coalesce(SAMPLE_FILES))
     entries, exceptions = learn(sample)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
