@@ -106,7 +106,7 @@ class Model:
         rows = tuning.collect()
         units = sorted({r.unit for r in rows})
         at = {u: i for i, u in enumerate(units)}
-        rates = np.zeros((latents or 1 + max(r.latent for r in rows), len(units)))
+        rates = np.zeros((latents or 1 + max((r.latent for r in rows), default=-1), len(units)))
         for r in rows:
             rates[r.latent, at[r.unit]] = r.rate or 0.0
         return Model(units, rates, kernels, switch)
@@ -246,9 +246,12 @@ def _group_counts(rows: pd.DataFrame, units: list) -> tuple[np.ndarray, np.ndarr
 def decode_hmm(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0, valid: list[int] | None = None) -> DataFrame:
     """keys, bin, p_latent, p_dyn, causal_latent (arrays), step: the model decoded for each group of keys by itself (a session, or an event).
 
-    valid: the latents that count; all others have probability zero, and the start is uniform over the valid ones.
+    valid: the latents that count; all others have probability zero, and the start is uniform over the valid ones. Without any latent that counts there are no rows.
     """
     units, rates, kernels, switch = model.units, model.rates, model.kernels, model.switch
+    schema = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys) + ", bin long, p_latent array<double>, p_dyn array<double>, causal_latent array<double>, step double"
+    if not len(rates) or valid is not None and not len(valid):
+        return counts.sparkSession.createDataFrame([], schema)
 
     def decode(rows: pd.DataFrame) -> pd.DataFrame:
         bins, y = _group_counts(rows, units)
@@ -257,8 +260,7 @@ def decode_hmm(counts: DataFrame, model: Model, keys: list[str], dt: float = 1.0
         out = {k: [rows[k].iloc[0]] * len(bins) for k in keys}
         return pd.DataFrame(out | {"bin": bins, "p_latent": list(got["smooth"].sum(1)), "p_dyn": list(got["smooth"].sum(2)), "causal_latent": list(got["causal"].sum(1)), "step": got["step"]})
 
-    fields = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
-    return counts.groupBy(*keys).applyInPandas(decode, f"{fields}, bin long, p_latent array<double>, p_dyn array<double>, causal_latent array<double>, step double")
+    return counts.groupBy(*keys).applyInPandas(decode, schema)
 
 
 def decode_in_chunks(counts: DataFrame, model: Model, keys: list[str], chunk: int, dt: float = 1.0, gain: float = 1.0, scale: float = 1.0, prior_power: float = 1.0, valid: list[int] | None = None) -> DataFrame:

@@ -41,6 +41,12 @@ def bins_of(intervals: DataFrame, dt: float) -> DataFrame:
     return intervals.where(n > 0).withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), n - 1))).withColumn("t", F.col("start") + (F.col("bin") + 0.5) * dt)
 
 
+def bins_in(intervals: DataFrame, dt: float, keys: list[str]) -> DataFrame:
+    """keys, interval_id, n_bins: the full bins of each interval, 0 too."""
+    n = F.floor((F.col("end") - F.col("start")) / dt + 1e-9).cast("long")
+    return intervals.select(*keys, "interval_id", F.greatest(n, F.lit(0)).cast("long").alias("n_bins"))
+
+
 def count_in_bins(spikes: DataFrame, intervals: DataFrame, dt: float, keys: list[str], units: DataFrame | None = None, block: float = 86400.0) -> DataFrame:
     """keys, interval_id, bin, unit, n of every bin and unit, zeros kept; without `units` only those that occur in spikes, by keys."""
     inside = interval_join(spikes, intervals.select(*keys, "interval_id", "start", "end"), keys, right_open=True, block=block)

@@ -119,9 +119,12 @@ def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffle
     """keys, gain, kind (observed, unit, circular), shuffle, log_marginal, made inside each event's group: only one number for each leaves it.
 
     Draws are the hashes of unit_shuffle and circular_shuffle, so these are the same nulls as theirs. Bins count from 0.
-    Marginals are rounded to nine digits: a null that is the observed event again must tie with it, however its sum was ordered.
+    Marginals are rounded to nine digits: a null that is the observed event again must tie with it, however its sum was ordered. A tuning without latents gives no rows.
     """
     rows = tuning.collect()  # the model
+    schema = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys) + ", gain double, kind string, shuffle int, log_marginal double"
+    if not rows:
+        return counts.sparkSession.createDataFrame([], schema)
     units = sorted({r.unit for r in rows})
     rates = np.zeros((1 + max(r.latent for r in rows), len(units)))
     for r in rows:
@@ -155,8 +158,7 @@ def event_nulls(counts: DataFrame, tuning: DataFrame, keys: list[str], n_shuffle
                 out.append((gain, kind, s, round(float((top[:, 0] + np.log(np.exp(ll - top).sum(1))).sum()), 9)))
         return pd.DataFrame({k: g[k].iloc[0] for k in keys} | {"gain": o[0], "kind": o[1], "shuffle": o[2], "log_marginal": o[3]} for o in out)
 
-    fields = ", ".join(f"{k} {counts.schema[k].dataType.simpleString()}" for k in keys)
-    return counts.groupBy(*keys).applyInPandas(test, f"{fields}, gain double, kind string, shuffle int, log_marginal double")
+    return counts.groupBy(*keys).applyInPandas(test, schema)
 
 
 def tested_events(nulls: DataFrame, keys: list[str], quantile: float = 0.95) -> DataFrame:

@@ -120,7 +120,8 @@ def replay_on_mazes(
     """Supervised replay over several mazes: tuning by the bins of all of them, bursts, shuffle tests for each gain, events decoded over all mazes at the best gain, segments and their metrics.
 
     offtrack: intervals (keys, start, end) that are left out of the epochs of the tuning. Latents without a rate in some unit take no part in decoding. Segments
-    break where the most probable maze changes, and at steps of more than most_step. `events` has a row for each burst.
+    break where the most probable maze changes, and at steps of more than most_step. `events` has a row for each burst. Where no latent takes part
+    (no full bin of tuning_dt lies on the track), bursts have no segments, and what comes from tests and decoding is null.
     """
     spark, k = spikes.sparkSession, [*keys, "interval_id"]
     on = epochs.select(*keys, "start", "end")
@@ -148,8 +149,8 @@ def replay_on_mazes(
     axes = mazes.coordinates
     parts = segments.split_segments(segments.continuous_segments(rows, "p_continuous", continuous, least_bins, k), axes, most_step, least_bins, k, maze="maze")
     metrics = segments.segment_metrics(parts, axes, event_dt, k)
-    summary = segments.event_metrics(counts.groupBy(*k).agg(F.countDistinct("bin").alias("n_bins")), metrics, event_dt, k)
+    summary = segments.event_metrics(intervals.bins_in(windows, event_dt, keys), metrics, event_dt, k)
     fractions = state_fractions(decoded, k)
     named = fractions.groupBy(*k).agg(*(F.max(F.when(F.col("dyn") == d, F.col("fraction"))).alias(n) for d, n in enumerate(("p_move", "p_jump"))))
-    events = windows.join(summary, k).join(tests, k).join(main_maze(where, k), k).join(named, k)
+    events = windows.join(summary, k).join(tests, k, "left").join(main_maze(where, k), k, "left").join(named, k, "left")
     return {"tuning": rates, "windows": windows, "counts": counts, "sweep": sweep, "tests": tests, "decoded": decoded, "positions": rows, "segments": parts, "metrics": metrics, "fractions": fractions, "events": events}

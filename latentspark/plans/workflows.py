@@ -26,7 +26,7 @@ def label_tuning(spikes: DataFrame, labels: DataFrame, epochs: DataFrame, dt: fl
 
 
 def replay_supervised(spikes: DataFrame, labels: DataFrame, epochs: DataFrame, keys: list[str], *, tuning_dt: float, low: float, size: float, bins: int, std: float, burst_dt: float, burst_std: float, z_peak: float, shortest: float, longest: float, event_dt: float, n_shuffles: int, gains: list[float]) -> dict[str, DataFrame]:
-    """Tuning by label, bursts, shuffle tests for each gain, decoding and segment metrics: one row for each burst in `events`."""
+    """Tuning by label, bursts, shuffle tests for each gain, decoding and segment metrics: one row for each burst in `events`, without tests (null) and segments where no latent has a rate."""
     spark = spikes.sparkSession
     rates = label_tuning(spikes, labels, epochs, tuning_dt, low, size, bins, std, keys).where("rate is not null")
     bursts = signals.detect_bursts(spikes, epochs, burst_dt, burst_std, keys, z_peak, shortest, longest)
@@ -48,8 +48,8 @@ def replay_supervised(spikes: DataFrame, labels: DataFrame, epochs: DataFrame, k
     where = F.array_position("p_latent", F.array_max("p_latent")) - 1
     rows = decoded.select(*k, "bin", F.element_at("p_dyn", 1).alias("p_continuous"), (low + (where + 0.5) * size).alias("position"))
     parts = segments.split_segments(segments.continuous_segments(rows, "p_continuous", 0.8, 2, k), "position", 10 * size, 2, k)
-    metrics = segments.event_metrics(counts.groupBy(*k).agg(F.countDistinct("bin").alias("n_bins")), segments.segment_metrics(parts, "position", event_dt, k), event_dt, k)
-    return {"tuning": rates, "windows": windows, "sweep": sweep, "tests": tests, "metrics": metrics, "events": windows.join(metrics, k).join(tests, k)}
+    metrics = segments.event_metrics(intervals.bins_in(windows, event_dt, keys), segments.segment_metrics(parts, "position", event_dt, k), event_dt, k)
+    return {"tuning": rates, "windows": windows, "sweep": sweep, "tests": tests, "metrics": metrics, "events": windows.join(metrics, k).join(tests, k, "left")}
 
 
 def replay_unsupervised(spark: SparkSession, counts: DataFrame, event_counts: DataFrame, keys: list[str], event: str, latents: int, rounds: int, seed: int = 0) -> dict[str, DataFrame | list[float]]:
